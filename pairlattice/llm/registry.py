@@ -1,10 +1,12 @@
 """Queries of the corpus operators by name, and the SQL of those that SQL can express."""
 
-from pairlattice.llm import mixing
+from pairlattice.llm import jaccard_join, mixing
 
 QUERIES = {
+    "op5_jaccard_join": jaccard_join.query,
     "op8_mix_sources": mixing.query,
 }
 ORACLES = {
+    "op5_jaccard_join": jaccard_join.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
 }
