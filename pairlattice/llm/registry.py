@@ -1,9 +1,11 @@
 """Queries of the corpus operators by name, and the SQL of those that SQL can express."""
 
-from pairlattice.llm import jaccard_join, mixing
+from pairlattice.llm import bpe, jaccard_join, mixing, quality
 
 QUERIES = {
     "op5_jaccard_join": jaccard_join.query,
+    "op6_bpe": bpe.query,
+    "op7_quality_rules": quality.query,
     "op8_mix_sources": mixing.query,
 }
 ORACLES = {
