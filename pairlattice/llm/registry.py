@@ -1,8 +1,9 @@
 """Queries of the corpus operators by name, and the SQL of those that SQL can express."""
 
-from pairlattice.llm import bpe, jaccard_join, mixing, quality
+from pairlattice.llm import bpe, jaccard_join, mixing, pii, quality
 
 QUERIES = {
+    "op4_pii": pii.query,
     "op5_jaccard_join": jaccard_join.query,
     "op6_bpe": bpe.query,
     "op7_quality_rules": quality.query,
