@@ -254,5 +254,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     spans = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: ~s["hidden"])
     joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["finish"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: (s["kind"] == k) & ~s["hidden"])).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = lambda kind: F.size(F.filter("spans", lambda s: (s["kind"] == kind) & ~s["hidden"]))
+    counts = [count(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return spans.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["hidden"])).cast("long").alias("n_hidden"))
