@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,19 +179,23 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"key": key[keep], "doc_id": doc[keep], "size": size[keep], "centre": c[keep].astype(np.int64), "centre_size": cs[keep].astype(np.int32)})
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts, compressed: a third of the size of their shingles' hashes."""
+    pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        sets = [shingle_set(t, hashes, WORDS).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "shingles": pa.array(sets, pa.binary())})
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "packed"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact test of (u, v, a, b): the two sets as bytes."""
+    """Exact test of (u, v, a, b): the two texts, packed. Rows come by u, so its set is kept."""
+    hashes, unpack, kept, of_kept = WordHashes(), zstandard.ZstdDecompressor(), None, None
+    of = lambda packed: shingle_set(unpack.decompress(packed).decode("utf-8", "surrogatepass"), hashes, WORDS)
     for batch in batches:
-        ok, last, left = [], None, None
-        for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+        ok = []
+        for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if u != kept:
+                kept, of_kept = u, of(a)
+            x, y = of_kept, of(b)
             if len(x) > len(y):
                 x, y = y, x
             at = np.searchsorted(y, x)
@@ -201,12 +206,11 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) that link; sets are built again for the documents that occur in a pair only."""
+    """The pairs (u, v) that link, by their whole texts; only documents that occur in a pair are moved."""
     needed = written(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    sets = by_ids(texts, needed, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary")
-    sets = written(sets)
-    half = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
-    full = half.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u")
+    packed = written(by_ids(texts, needed, "doc_id", "left_semi").mapInArrow(_packed, "doc_id long, packed binary"))
+    half = pairs.join(packed.select(F.col("doc_id").alias("v"), F.col("packed").alias("b")), "v")
+    full = half.join(packed.select(F.col("doc_id").alias("u"), F.col("packed").alias("a")), "u")
     return full.select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long")
 
 
