@@ -1,6 +1,6 @@
 """Queries of the corpus operators by name, and the SQL of those that SQL can express."""
 
-from pairlattice.llm import bpe, jaccard_join, mixing, pii, quality
+from pairlattice.llm import bpe, html_text, jaccard_join, mixing, pii, quality
 
 QUERIES = {
     "op4_pii": pii.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op6_bpe": bpe.query,
     "op7_quality_rules": quality.query,
     "op8_mix_sources": mixing.query,
+    "op10_html_text": html_text.query,
 }
 ORACLES = {
     "op5_jaccard_join": jaccard_join.ORACLE,
