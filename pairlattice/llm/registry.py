@@ -1,8 +1,9 @@
 """Queries of the corpus operators by name, and the SQL of those that SQL can express."""
 
-from pairlattice.llm import bpe, html_text, jaccard_join, mixing, pii, quality
+from pairlattice.llm import ann, bpe, html_text, jaccard_join, mixing, pii, quality
 
 QUERIES = {
+    "op1_ann": ann.query,
     "op4_pii": pii.query,
     "op5_jaccard_join": jaccard_join.query,
     "op6_bpe": bpe.query,
