@@ -1,9 +1,10 @@
 """Queries of the corpus operators by name, and the SQL of those that SQL can express."""
 
-from pairlattice.llm import ann, bpe, hmm, html_text, jaccard_join, mixing, pii, quality
+from pairlattice.llm import ann, bpe, hmm, html_text, jaccard_join, mixing, pii, quality, substring_dedup
 
 QUERIES = {
     "op1_ann": ann.query,
+    "op2_substring_dedup": substring_dedup.query,
     "op3_hmm_scores": hmm.query,
     "op4_pii": pii.query,
     "op5_jaccard_join": jaccard_join.query,
