@@ -94,13 +94,12 @@ def plan_copies(docs: DataFrame, seed: int = 1, **targets) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 1, **targets) -> DataFrame:
     """docs with every row repeated as often as the mix takes it; of rows with one doc_id and text, each gets its own count."""
-    nth = lambda *order: F.row_number().over(W.partitionBy("doc_id", "tie").orderBy(*order))
-    plan = plan_copies(docs, seed, **targets).select("doc_id", "tie", "copies").withColumn("nth", nth("copies"))
-    keyed = docs.withColumn("tie", _tie(seed))
-    keyed = keyed.withColumn("nth", nth("source")).alias("d")
-    plan = plan.filter("copies > 0").alias("p")
-    met = keyed.join(plan, [F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")), F.col("d.tie") == F.col("p.tie"), F.col("d.nth") == F.col("p.nth")])
-    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("p.copies").cast("int")))).select("d.*").drop("tie", "nth")
+    nth = lambda *order: F.row_number().over(W.partitionBy("doc_id", "mix_tie").orderBy(*order))
+    plan = plan_copies(docs, seed, **targets).select("doc_id", F.col("tie").alias("mix_tie"), F.col("copies").alias("mix_copies")).withColumn("mix_nth", nth("mix_copies"))
+    keyed = docs.withColumn("mix_tie", _tie(seed)).withColumn("mix_nth", nth("source")).alias("d")
+    plan = plan.filter("mix_copies > 0").alias("p")
+    met = keyed.join(plan, [F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")), F.col("d.mix_tie") == F.col("p.mix_tie"), F.col("d.mix_nth") == F.col("p.mix_nth")])
+    return met.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("p.mix_copies").cast("int")))).select("d.*").drop("mix_tie", "mix_nth")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

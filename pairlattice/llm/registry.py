@@ -1,6 +1,6 @@
 """Queries of the corpus operators by name, and the SQL of those that SQL can express."""
 
-from pairlattice.llm import ann, bpe, hmm, html_text, jaccard_join, mixing, pii, quality, substring_dedup
+from pairlattice.llm import ann, bpe, hmm, html_text, jaccard_join, mixing, pii, quality, quotation, substring_dedup
 
 QUERIES = {
     "op1_ann": ann.query,
@@ -11,9 +11,11 @@ QUERIES = {
     "op6_bpe": bpe.query,
     "op7_quality_rules": quality.query,
     "op8_mix_sources": mixing.query,
+    "op9_quotation_linking": quotation.query,
     "op10_html_text": html_text.query,
 }
 ORACLES = {
     "op5_jaccard_join": jaccard_join.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
+    "op9_quotation_linking": quotation.ORACLE,
 }

@@ -92,7 +92,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, n_passages, n_words, n_removed_words, spans, removed, first_docs): a row per document with a repeated passage.
 
     spans are the passages' byte ranges; removed those of their chunks that occur before; first_docs
-    the documents that hold the first occurrences.
+    the documents that hold the first occurrences of LEAST_WORDS words or more (of the most, if
+    none holds so many).
     """
     rows = written(chunks(docs))
     place = F.struct("doc_id", "start")
@@ -125,8 +126,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     later[-1]["finish"] = max(later[-1]["finish"], c["finish"])
                 else:
                     later.append({"start": c["start"], "finish": c["finish"]})
+            shared: dict[int, int] = {}
+            for c in (c for r in runs for c in r if c["first_doc"] != doc):
+                shared[c["first_doc"]] = shared.get(c["first_doc"], 0) + c["words"]
+            enough = min(LEAST_WORDS, max(shared.values(), default=0))
+            firsts = sorted(d for d, words in shared.items() if words >= enough)
             if runs:
-                out.append((doc, len(runs), sum(c["words"] for r in runs for c in r), sum(c["words"] for r in runs for c in r if c["later"]), [{"start": r[0]["start"], "finish": max(c["finish"] for c in r)} for r in runs], later, sorted({c["first_doc"] for r in runs for c in r} - {doc})))
+                out.append((doc, len(runs), sum(c["words"] for r in runs for c in r), sum(c["words"] for r in runs for c in r if c["later"]), [{"start": r[0]["start"], "finish": max(c["finish"] for c in r)} for r in runs], later, firsts))
         cols = list(zip(*out, strict=True)) or [[]] * 7
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), span, span, pa.list_(pa.int64()))
         names = ("doc_id", "n_passages", "n_words", "n_removed_words", "spans", "removed", "first_docs")
