@@ -1,10 +1,12 @@
 """N-gram Jaccard self-join: a size-aware heavy-light join, exact, and its components.
 
 A document's set holds its distinct 5-word shingles (64-bit hashes). Sets link when their
-Jaccard similarity is at least ``num/den`` (3/4). Two linked sets of sizes r >= s share at
-least ceil(0.75 r) shingles, so in any one order of all shingles the first
-``size - ceil(0.75 size) + c`` of each (its prefix) share at least c. That gives two kinds of
-inverted list:
+Jaccard similarity is at least 3/4. Two linked sets of sizes r and s share at least
+o = ceil(3 (r + s) / 7) shingles, so in any one order of all shingles the first r - o + c of
+the one and the first s - o + c of the other share at least c. As o is at least 3/4 of
+either size, prefixes of ``size - ceil(0.75 size) + c`` are enough to post; the place of a
+shingle in its set is posted too, and two sets meet in a list only if both places are within
+what their two sizes allow. That gives two kinds of inverted list:
 
 * small sets enumerate all 2-subsets of their prefix for c = 2; a list is keyed by a subset;
 * large sets post each shingle of their prefix for c = 1; a list is keyed by a shingle;
@@ -49,7 +51,7 @@ from pairlattice.llm.shingles import WordHashes, shingle_set
 
 NUM, DEN, WORDS = 3, 4, 5
 #: Counters of the shared-shingle sketch, and the rows it is sent in.
-SKETCH_BITS, SKETCH_PARTS = 20, 32
+SKETCH_BITS, SKETCH_PARTS = 23, 32
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,6 +64,14 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    return zstandard.compress(counts.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), np.uint32)
+
+
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document (size, digest of its set); at the end the task's sketch in parts."""
     hashes, sketch, task = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32), 0
@@ -81,19 +91,21 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": ids, "size": pa.array(size, pa.int64()), "digest": pa.array(digest, pa.binary()), "part": none(n, pa.int32()), "spread": none(n, pa.int32()), "counts": none(n, pa.binary())})
     if seen:
         n = SKETCH_PARTS
-        yield pa.RecordBatch.from_pydict({"doc_id": none(n, pa.int64()), "size": none(n, pa.int64()), "digest": none(n, pa.binary()), "part": pa.array(range(n), pa.int32()), "spread": pa.array([task] * n, pa.int32()), "counts": pa.array([x.tobytes() for x in np.split(sketch, n)], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"doc_id": none(n, pa.int64()), "size": none(n, pa.int64()), "digest": none(n, pa.binary()), "part": pa.array(range(n), pa.int32()), "spread": pa.array([task] * n, pa.int32()), "counts": pa.array([_pack(x) for x in np.split(sketch, n)], pa.binary())})
 
 
 def _add_counts(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in group.column("counts").to_pylist())
-    return pa.table({"part": group.column("part")[:1].combine_chunks(), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
+    total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.uint64)
+    for x in group.column("counts"):
+        total += _unpack(x.as_py())
+    return pa.table({"part": group.column("part")[:1].combine_chunks(), "counts": pa.array([_pack(np.minimum(total, 0xFFFFFFFF).astype(np.uint32))], pa.binary())})
 
 
 def _sum_sketch(rows: DataFrame) -> np.ndarray:
-    """Adds the tasks' sketches in two levels; 4 MB reach the driver, whatever the input."""
+    """Adds the tasks' sketches in two levels; 32 MB at most reach the driver, whatever the input."""
     rows = rows.groupBy("part", "spread").applyInArrow(_add_counts, "part int, counts binary")
     rows = rows.groupBy("part").applyInArrow(_add_counts, "part int, counts binary")
-    found = {r["part"]: np.frombuffer(r["counts"], np.uint32) for r in rows.collect()}
+    found = {r["part"]: _unpack(r["counts"]) for r in rows.collect()}
     return np.concatenate([found[i] for i in range(SKETCH_PARTS)]) if found else np.zeros(1 << SKETCH_BITS, np.uint32)
 
 
@@ -121,13 +133,17 @@ def choose_boundary(histogram: dict[int, int], list_length: float, post: float =
 
 
 def _postings(levels: np.ndarray, boundary: int):
-    """Tasks' function: (doc_id, text) -> (key, doc_id, size, rare), a row per list that a set is in."""
+    """Tasks' function: (doc_id, text) -> (key, doc_id, size, place, rare), a row per list that a set is in.
+
+    place is how many shingles of the set come before the shared one; for a subset, before its first
+    possible position as a pair, so that one test serves both kinds.
+    """
     shift = np.uint64(64 - SKETCH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            keys, ids, sizes, rare, lengths = [], [], [], [], []
+            keys, places, ids, sizes, rare, lengths = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, hashes, WORDS)
                 n = len(s)
@@ -138,45 +154,48 @@ def _postings(levels: np.ndarray, boundary: int):
                 prefix, out = n - _share(n) + 1, []
                 if n > boundary:
                     out.append(ordered[:prefix])
+                    places.append(np.arange(prefix, dtype=np.int32))
                 if n * NUM <= boundary * DEN:
                     i, j = np.triu_indices(prefix + 1, 1)
                     out.append(((ordered[i] ^ (ordered[i] >> np.uint64(31))) * _GOLD) ^ ordered[j])
+                    places.append((j - 1).astype(np.int32))
                 keys += out
                 lengths.append(sum(map(len, out)))
                 ids.append(doc)
                 sizes.append(n)
                 rare.append(int((level == 0).sum()))
             if ids:
-                yield pa.RecordBatch.from_pydict({"key": _signed(np.concatenate(keys)), "doc_id": np.repeat(np.array(ids, np.int64), lengths), "size": np.repeat(np.array(sizes, np.int32), lengths), "rare": np.repeat(np.array(rare, np.int32), lengths)})
+                yield pa.RecordBatch.from_pydict({"key": _signed(np.concatenate(keys)), "doc_id": np.repeat(np.array(ids, np.int64), lengths), "size": np.repeat(np.array(sizes, np.int32), lengths), "place": np.concatenate(places), "rare": np.repeat(np.array(rare, np.int32), lengths)})
 
     return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, a list's centre first -> its lists of two or more: (key, doc_id, size, centre, centre_size)."""
-    last_key, centre, centre_size, waiting = None, None, None, None
+    """Rows sorted by key, a list's centre first -> its lists of two or more: (key, doc_id, size, place, centre, centre_size, centre_place)."""
+    last_key, centre, centre_size, centre_place, waiting = None, None, None, None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, doc, size = (batch.column(i).to_numpy() for i in range(3))
+        key, doc, size, place = (batch.column(i).to_numpy() for i in range(4))
         if waiting is not None:
-            key, doc, size = (np.concatenate((np.array([w], x.dtype), x)) for w, x in zip(waiting, (key, doc, size), strict=True))
+            key, doc, size, place = (np.concatenate((np.array([w], x.dtype), x)) for w, x in zip(waiting, (key, doc, size, place), strict=True))
         new = np.concatenate(([key[0] != last_key], key[1:] != key[:-1]))
         start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
         at = np.maximum(start, 0)
         c = np.where(start < 0, centre if centre is not None else 0, doc[at])
         cs = np.where(start < 0, centre_size if centre is not None else 0, size[at])
+        cp = np.where(start < 0, centre_place if centre is not None else 0, place[at])
         alone = new & np.concatenate((new[1:], [False]))
         # a list that may have ended with this batch, or go on, waits for the next
-        waiting = (key[-1], doc[-1], size[-1]) if new[-1] else None
+        waiting = (key[-1], doc[-1], size[-1], place[-1]) if new[-1] else None
         keep = ~alone
         if waiting is not None:
             keep[-1] = False
-            last_key, centre, centre_size = (key[-2], c[-2], cs[-2]) if len(key) > 1 else (last_key, centre, centre_size)
+            last_key, centre, centre_size, centre_place = (key[-2], c[-2], cs[-2], cp[-2]) if len(key) > 1 else (last_key, centre, centre_size, centre_place)
         else:
-            last_key, centre, centre_size = key[-1], c[-1], cs[-1]
+            last_key, centre, centre_size, centre_place = key[-1], c[-1], cs[-1], cp[-1]
         if keep.any():
-            yield pa.RecordBatch.from_pydict({"key": key[keep], "doc_id": doc[keep], "size": size[keep], "centre": c[keep].astype(np.int64), "centre_size": cs[keep].astype(np.int32)})
+            yield pa.RecordBatch.from_pydict({"key": key[keep], "doc_id": doc[keep], "size": size[keep], "place": place[keep], "centre": c[keep].astype(np.int64), "centre_size": cs[keep].astype(np.int32), "centre_place": cp[keep].astype(np.int32)})
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,6 +233,12 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return full.select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long")
 
 
+def _may_link(size: str, place: str, other_size: str, other_place: str):
+    """Whether two sets that meet in a list can share enough: both places leave room for the overlap that the sizes ask for."""
+    least = F.ceil((F.col(size) + F.col(other_size)) * NUM / (NUM + DEN))
+    return (F.col(place) + least <= F.col(size)) & (F.col(other_place) + least <= F.col(other_size))
+
+
 def link_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, representative), one row per row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -229,22 +254,21 @@ def link_components(docs: DataFrame) -> DataFrame:
     own = by_ids(texts, written(copied), "doc_id", "left_anti")
 
     spread = spark.sparkContext.broadcast(levels)
-    postings = own.mapInArrow(lambda it: _postings(spread.value, boundary)(it), "key long, doc_id long, size int, rare int")
-    by_key = postings.repartition("key").sortWithinPartitions("key", "rare", "size", "doc_id").select("key", "doc_id", "size")
-    lists = written(by_key.mapInArrow(_stars, "key long, doc_id long, size int, centre long, centre_size int"))
-    near = lambda a, b: (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM)
-    stars = lists.filter("doc_id <> centre").filter(near("size", "centre_size")).select(F.least("doc_id", "centre").alias("u"), F.greatest("doc_id", "centre").alias("v"))
+    postings = own.mapInArrow(lambda it: _postings(spread.value, boundary)(it), "key long, doc_id long, size int, place int, rare int")
+    by_key = postings.repartition("key").sortWithinPartitions("key", "rare", "size", "doc_id").select("key", "doc_id", "size", "place")
+    lists = written(by_key.mapInArrow(_stars, "key long, doc_id long, size int, place int, centre long, centre_size int, centre_place int"))
+    stars = lists.filter("doc_id <> centre").filter(_may_link("size", "place", "centre_size", "centre_place")).select(F.least("doc_id", "centre").alias("u"), F.greatest("doc_id", "centre").alias("v"))
     stars = written(stars.distinct())
     links = written(_verify(stars, own))
     comp = written(components(links))
 
     # lists that still span components: pairs across them
-    member = lists.select("key", "doc_id", "size").join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    member = lists.select("key", "doc_id", "size", "place").join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     member = written(member)
     mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     open_ = member.join(mixed, "key", "left_semi")
     a, b = open_.alias("a"), open_.alias("b")
-    cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & near("a.size", "b.size"))
+    cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _may_link("a.size", "a.place", "b.size", "b.place"))
     cross = cross.select(F.least("a.doc_id", "b.doc_id").alias("u"), F.greatest("a.doc_id", "b.doc_id").alias("v")).distinct()
     cross = written(cross.join(stars, ["u", "v"], "left_anti"))
     more = _verify(cross, own)
