@@ -1,4 +1,466 @@
-"""Queries of the contact-matrix engine by name, and the SQL each must agree with."""
+"""Queries of the contact-matrix engine by name, and the SQL each must agree with.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+A query is written with the library's DataFrame functions, its SQL from the definitions alone.
+Doubles are rounded to six places on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairlattice.functions import genome, pairs as P
+from pairlattice.functions.scalars import percent, with_commas
+from pairlattice.operators import binning, corr, expected, intervals, merge, norms, qc, rows
+from pairlattice.plans.fixture import CHROMOSOMES, CHROMS_SQL, PAIRS_SQL, cells_sql, chroms, halves_sql, pairs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+BIN = 250_000
+TOTAL = sum(x for _, x in CHROMOSOMES)
+
+
+def query(sql: str | None = None, parts: tuple[str, ...] = ()):
+    """Registers a query under its function's name; parts are WITH clauses that its SQL begins with."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = "WITH " + ",\n".join((PAIRS_SQL, *parts)) + "\n" + sql
+        return f
+
+    return add
+
+
+def r6(c: str, name: str | None = None):
+    return F.round(F.col(c), 6).alias(name or c)
+
+
+def _intra(spark: SparkSession, sf: str, resolution: int = BIN) -> DataFrame:
+    return rows.intra_cells(binning.bin_pairs(pairs(spark, sf).filter(P.intra()), resolution))
+
+
+INTRA = cells_sql(BIN, "c", where="chr1 = chr2") + ", ic AS (SELECT resolution, chr1 AS chr, x, y, n FROM c)"
+HALVES = halves_sql()
+VC = """vc0 AS (SELECT resolution, chr, bin, sum(n) AS v FROM halves GROUP BY ALL),
+fac AS (SELECT resolution, chr, sqrt(sum(CASE WHEN x = y THEN 1.0 ELSE 2.0 END * n / (a.v * b.v)) / sum(CASE WHEN x = y THEN 1.0 ELSE 2.0 END * n)) AS factor
+  FROM ic JOIN vc0 a USING (resolution, chr) JOIN vc0 b USING (resolution, chr) WHERE a.bin = x AND b.bin = y AND a.v > 0 AND b.v > 0 GROUP BY ALL),
+vc AS (SELECT resolution, chr, bin, v * factor AS v FROM vc0 JOIN fac USING (resolution, chr))"""
+HIST = "h AS (SELECT resolution, abs(x - y) AS dist, sum(n) AS observed FROM ic GROUP BY ALL)"
+POSSIBLE = f"poss AS (SELECT d AS dist, CAST(sum(m - d) AS BIGINT) AS possible FROM (SELECT length // {BIN} AS m, unnest(range(0, length // {BIN})) AS d FROM chroms) GROUP BY d)"
+TYPE = "CASE WHEN strand1 AND strand2 THEN 'RR' WHEN NOT strand1 AND NOT strand2 THEN 'LL' WHEN strand1 = (pos1 < pos2) THEN 'INNER' ELSE 'OUTER' END"
+
+
+# ---- filters and projections
+
+
+@query("SELECT chr1, chr2, x, y, n FROM cells", (cells_sql(BIN, where="least(mapq1, mapq2) >= 10"),))
+def contact_bins_250k(spark, sf):
+    return binning.bin_pairs(P.select_pairs(pairs(spark, sf), mapq=10), BIN).select("chr1", "chr2", "x", "y", "n")
+
+
+@query("SELECT l_orderkey, l_linenumber, chr1, pos1, chr2, pos2, mapq1, mapq2 FROM pairs WHERE least(mapq1, mapq2) >= 30")
+def filter_mapq(spark, sf):
+    return pairs(spark, sf).filter(P.mapq_at_least(30)).select("l_orderkey", "l_linenumber", "chr1", "pos1", "chr2", "pos2", "mapq1", "mapq2")
+
+
+@query("SELECT chr1, count(*) AS n FROM pairs WHERE chr1 = chr2 GROUP BY ALL")
+def filter_intra(spark, sf):
+    return P.select_pairs(pairs(spark, sf), intra_only=True).groupBy("chr1").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, pos1, pos2 FROM pairs WHERE chr1 = chr2 AND abs(pos1 - pos2) <= 100000")
+def filter_near_diagonal(spark, sf):
+    return P.select_pairs(pairs(spark, sf), near=100_000).select("l_orderkey", "l_linenumber", "pos1", "pos2")
+
+
+@query("SELECT chr1, chr2, count(*) AS n FROM pairs WHERE chr1 IN (1, 3) AND chr2 IN (1, 3) GROUP BY ALL")
+def filter_chromosomes(spark, sf):
+    return P.select_pairs(pairs(spark, sf), chromosomes=(1, 3)).groupBy("chr1", "chr2").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {TYPE} AS pair_type, count(*) AS n FROM pairs GROUP BY ALL")
+def pair_type_counts(spark, sf):
+    return pairs(spark, sf).groupBy(P.pair_type().alias("pair_type")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, strand1, strand2 FROM pairs WHERE {TYPE} IN ('LL', 'RR')")
+def filter_tandem(spark, sf):
+    return P.select_pairs(pairs(spark, sf), orientation="TANDEM").select("l_orderkey", "l_linenumber", "strand1", "strand2")
+
+
+@query("SELECT l_orderkey, l_linenumber, chr1, pos1, frag1, chr2, pos2, frag2 FROM canon")
+def canonical_pairs(spark, sf):
+    return P.canonical(pairs(spark, sf)).select("l_orderkey", "l_linenumber", "chr1", "pos1", "frag1", "chr2", "pos2", "frag2")
+
+
+@query("SELECT l_orderkey, l_linenumber, least(greatest(pos1 - 100000, 0), 8000000) AS pos1, least(greatest(pos2 + 100000, 0), 8000000) AS pos2 FROM pairs")
+def clamped_positions(spark, sf):
+    moved = pairs(spark, sf).withColumns({"pos1": F.col("pos1") - 100000, "pos2": F.col("pos2") + 100000})
+    return P.clamp(moved, chroms(spark)).select("l_orderkey", "l_linenumber", "pos1", "pos2")
+
+
+@query("SELECT l_orderkey, l_linenumber, ((chr1 - 1) * 8000000 + pos1) // 1000 AS gpos1, ((chr2 - 1) * 8000000 + pos2) // 1000 AS gpos2 FROM pairs")
+def genome_wide_position(spark, sf):
+    return P.genome_position(pairs(spark, sf), chroms(spark)).select("l_orderkey", "l_linenumber", "gpos1", "gpos2")
+
+
+@query("SELECT block, count(*) AS n_cells, sum(n) AS n FROM (SELECT 1 * (y // 10) + x // 10 AS block, n FROM cells) GROUP BY ALL", (cells_sql(BIN, where="chr1 <> chr2"),))
+def block_number_inter(spark, sf):
+    cells = binning.bin_pairs(pairs(spark, sf).filter(~P.intra()), BIN)
+    columns = genome.block_columns(8_000_000, BIN, intra=False)
+    block = P.inter_block(F.col("x"), F.col("y"), columns, 10)
+    return cells.groupBy(block.alias("block")).agg(F.count("*").alias("n_cells"), F.sum("n").alias("n"))
+
+
+@query("SELECT block, count(*) AS n_cells FROM (SELECT CAST(floor(ln(1.0 + abs(x - y) / 1.4142135623730951 / 10) / ln(2.0)) AS BIGINT) * 1 + CAST(floor((x + y) / 2 / 10) AS BIGINT) AS block FROM cells) GROUP BY ALL", (cells_sql(BIN, where="chr1 = chr2"),))
+def block_number_intra(spark, sf):
+    cells = binning.bin_pairs(pairs(spark, sf).filter(P.intra()), BIN)
+    depth = P.log_depth(F.col("x"), F.col("y"), 10)
+    return cells.groupBy(P.intra_block(depth, F.col("x"), F.col("y"), genome.block_columns(8_000_000, BIN, True), 10).alias("block")).agg(F.count("*").alias("n_cells"))
+
+
+@query("SELECT chr1, x * resolution AS pos1, chr2, y * resolution AS pos2, n AS score FROM cells", (cells_sql(BIN),))
+def cell_contacts(spark, sf):
+    return binning.to_contacts(binning.bin_pairs(pairs(spark, sf), BIN))
+
+
+@query("SELECT idx, length, coalesce(sum(length) OVER o, 0)::BIGINT AS start_bp, coalesce(sum(length // 250000 + 1) OVER o, 0)::BIGINT AS first_bin, length // 250000 + 1 AS n_bins FROM chroms WINDOW o AS (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", (CHROMS_SQL,))
+def genome_offsets(spark, sf):
+    return genome.offsets(chroms(spark), BIN)
+
+
+@query("SELECT a.idx AS chr1, b.idx AS chr2 FROM chroms a JOIN chroms b ON a.idx <= b.idx", (CHROMS_SQL,))
+def chromosome_pairs(spark, sf):
+    return genome.chromosome_pairs(chroms(spark))
+
+
+@query("SELECT l_orderkey, l_linenumber, chr1, chr2 FROM pairs WHERE chr1 <= 3 AND chr2 <= 3")
+def names_resolved(spark, sf):
+    named = pairs(spark, sf).withColumns({c: F.concat(F.when(F.col("pos1") % 2 == 0, F.lit("chr")).otherwise(F.lit("")), F.col(c).cast("string")) for c in ("chr1", "chr2")})
+    return genome.resolve(named, chroms(spark).filter("idx <= 3")).select("l_orderkey", "l_linenumber", "chr1", "chr2")
+
+
+# ---- cells
+
+
+@query("SELECT 250000 AS resolution, * FROM r250 UNION ALL SELECT 1000000, * FROM r1m UNION ALL SELECT 2500000, * FROM r25m", tuple(f"{n} AS (SELECT chr1, chr2, pos1 // {r} AS x, pos2 // {r} AS y, sum(score) AS n FROM canon GROUP BY ALL)" for n, r in (("r250", 250000), ("r1m", 1000000), ("r25m", 2500000))))
+def multi_resolution_cells(spark, sf):
+    return binning.multi_resolution(pairs(spark, sf), (250_000, 1_000_000, 2_500_000))
+
+
+@query("SELECT chr1, chr2, x, y, n FROM cells", (cells_sql(1_000_000),))
+def rollup_equals_direct(spark, sf):
+    return binning.roll_up(binning.bin_pairs(pairs(spark, sf), BIN), 1_000_000).select("chr1", "chr2", "x", "y", "n")
+
+
+@query("SELECT x, y, sum(score) AS n FROM (SELECT least(a, b) // 64 AS x, greatest(a, b) // 64 AS y, score FROM (SELECT ((chr1 - 1) * 8000000 + pos1) // 1000 AS a, ((chr2 - 1) * 8000000 + pos2) // 1000 AS b, score FROM pairs)) GROUP BY ALL")
+def genome_wide_matrix(spark, sf):
+    return binning.whole_genome(pairs(spark, sf), chroms(spark), TOTAL).select("x", "y", "n")
+
+
+@query("SELECT chr1, chr2, x, y, n FROM cells WHERE n >= 3", (cells_sql(BIN),))
+def count_threshold_cells(spark, sf):
+    return binning.at_least(binning.bin_pairs(pairs(spark, sf), BIN), 3).select("chr1", "chr2", "x", "y", "n")
+
+
+@query("SELECT chr1, chr2, sum(CASE WHEN chr1 = chr2 AND x <> y THEN 2 * n ELSE n END) AS total, count(*) AS occupied FROM cells GROUP BY ALL", (cells_sql(BIN),))
+def matrix_totals(spark, sf):
+    return binning.totals(binning.bin_pairs(pairs(spark, sf), BIN)).select("chr1", "chr2", "total", "occupied")
+
+
+@query("SELECT chr1, chr2, round(quantile_cont(n, 0.05), 6) AS p5, round(quantile_cont(n, 0.95), 6) AS p95 FROM cells GROUP BY ALL", (cells_sql(BIN),))
+def cell_percentiles(spark, sf):
+    return binning.totals(binning.bin_pairs(pairs(spark, sf), BIN)).select("chr1", "chr2", r6("p5"), r6("p95"))
+
+
+# ---- matrix rows
+
+
+@query("SELECT chr, bin, sum(n) AS v FROM halves GROUP BY ALL", (INTRA, HALVES))
+def row_sums_vc(spark, sf):
+    return rows.row_sums(_intra(spark, sf)).select("chr", "bin", "v")
+
+
+@query("SELECT chr, bin, count(*) AS nnz FROM halves GROUP BY ALL", (INTRA, HALVES))
+def row_nonzeros(spark, sf):
+    return rows.row_nonzeros(_intra(spark, sf)).select("chr", "bin", "nnz")
+
+
+@query("SELECT chr, round(factor, 6) AS factor FROM fac", (INTRA, HALVES, VC))
+def norm_sum_factor(spark, sf):
+    c = _intra(spark, sf)
+    return rows.sum_factor(c, rows.row_sums(c)).select("chr", r6("factor"))
+
+
+@query("SELECT chr, x, y, round(n / (a.v * b.v), 6) AS n FROM ic JOIN vc a USING (resolution, chr) JOIN vc b USING (resolution, chr) WHERE a.bin = x AND b.bin = y", (INTRA, HALVES, VC))
+def vc_normalized_cells(spark, sf):
+    c = _intra(spark, sf)
+    return rows.normalized(c, norms.vc(c)).select("chr", "x", "y", r6("n"))
+
+
+@query("SELECT chr, bin, round(w.v * sqrt(q), 6) AS v FROM w JOIN (SELECT chr, sum(CASE WHEN x = y THEN 1.0 ELSE 2.0 END * n / (a.v * b.v)) / sum(CASE WHEN x = y THEN 1.0 ELSE 2.0 END * n) AS q FROM ic JOIN w a USING (chr) JOIN w b USING (chr) WHERE a.bin = x AND b.bin = y GROUP BY chr) USING (chr)", (INTRA, HALVES, "w AS (SELECT chr, bin, sqrt(sum(n)) AS v FROM halves GROUP BY ALL)"))
+def vc_sqrt_vector(spark, sf):
+    return norms.vc_sqrt(_intra(spark, sf)).select("chr", "bin", r6("v"))
+
+
+@query("SELECT h.chr, h.bin, round(sum(n * sqrt(s.v)), 6) AS v FROM halves h JOIN (SELECT chr, bin, sum(n) AS v FROM halves GROUP BY ALL) s ON h.chr = s.chr AND h.other = s.bin GROUP BY ALL", (INTRA, HALVES))
+def sparse_matvec(spark, sf):
+    c = _intra(spark, sf)
+    return rows.matvec(c, rows.row_sums(c).withColumn("v", F.sqrt("v"))).select("chr", "bin", r6("v"))
+
+
+@query("SELECT a.chr, a.bin, round(d / s, 9) AS v FROM (SELECT chr, bin, sqrt(v) AS d, v * sqrt(v) AS s FROM (SELECT chr, bin, sum(n) AS v FROM halves GROUP BY ALL)) a", (INTRA, HALVES))
+def sinkhorn_step(spark, sf):
+    """First half-step of balancing: the row scaling that the start (roots of row sums) turns into."""
+    s = rows.row_sums(_intra(spark, sf))
+    return s.select("chr", "bin", F.round(F.sqrt("v") / (F.col("v") * F.sqrt("v")), 9).alias("v"))
+
+
+@query("SELECT chr, bin, CASE WHEN v > 20 THEN round(1 / v, 9) END AS v FROM (SELECT chr, bin, sum(n) AS v FROM halves GROUP BY ALL)", (INTRA, HALVES))
+def inverted_vector(spark, sf):
+    s = rows.row_sums(_intra(spark, sf)).withColumn("v", F.when(F.col("v") > 20, F.col("v")).otherwise(F.lit(float("nan"))))
+    return rows.inverted(s).select("chr", "bin", F.round(F.nanvl("v", F.lit(None).cast("double")), 9).alias("v"))
+
+
+@query("SELECT idx AS chr, unnest(range(0, length // 1000000 + 1)) AS bin, CAST(1.0 AS DOUBLE) AS v FROM chroms", (CHROMS_SQL,))
+def none_vector(spark, sf):
+    return norms.none(chroms(spark), (1_000_000,)).select("chr", "bin", "v")
+
+
+# ---- distance decay
+
+
+@query("SELECT dist, observed FROM h", (INTRA, HIST))
+def distance_histogram(spark, sf):
+    return expected.distance_histogram(_intra(spark, sf)).select("dist", "observed")
+
+
+@query("SELECT dist, possible FROM poss", (CHROMS_SQL, POSSIBLE))
+def possible_distances(spark, sf):
+    return expected.possible_distances(chroms(spark), BIN).select("dist", "possible")
+
+
+@query("SELECT dist, round(coalesce(observed, 0) / possible, 6) AS density FROM poss LEFT JOIN h USING (dist)", (INTRA, HIST, CHROMS_SQL, POSSIBLE))
+def expected_raw_density(spark, sf):
+    return expected.raw_density(expected.distance_histogram(_intra(spark, sf)), expected.possible_distances(chroms(spark), BIN)).select("dist", r6("density"))
+
+
+@query("SELECT chr, x, y, round(n / (observed / possible), 6) AS oe FROM ic JOIN h ON abs(x - y) = h.dist JOIN poss USING (dist)", (INTRA, HIST, CHROMS_SQL, POSSIBLE))
+def observed_over_expected(spark, sf):
+    c = _intra(spark, sf)
+    density = expected.raw_density(expected.distance_histogram(c), expected.possible_distances(chroms(spark), BIN))
+    return expected.observed_over_expected(c, density).select("chr", "x", "y", r6("oe"))
+
+
+@query("SELECT abs(x - y) AS dist, round(sum(n / (a.v * b.v)), 6) AS observed FROM ic JOIN vc a USING (resolution, chr) JOIN vc b USING (resolution, chr) WHERE a.bin = x AND b.bin = y GROUP BY ALL", (INTRA, HALVES, VC))
+def normed_distance_histogram(spark, sf):
+    c = _intra(spark, sf)
+    return norms.normed_histogram(c, norms.vc(c)).select("dist", r6("observed"))
+
+
+@query("SELECT chr, round(expected / observed, 6) AS factor FROM (SELECT idx AS chr, sum((length // 250000 - dist) * coalesce(observed, 0) / possible) AS expected FROM chroms JOIN poss ON dist < length // 250000 LEFT JOIN h USING (dist) GROUP BY idx) JOIN (SELECT chr, sum(n) AS observed FROM ic GROUP BY chr) USING (chr)", (INTRA, HIST, CHROMS_SQL, POSSIBLE))
+def chromosome_factors(spark, sf):
+    c = _intra(spark, sf)
+    density = expected.raw_density(expected.distance_histogram(c), expected.possible_distances(chroms(spark), BIN))
+    return expected.chromosome_factors(density, chroms(spark), expected.chromosome_totals(c)).select("chr", r6("factor"))
+
+
+@query()
+def expected_smoothed(spark, sf):
+    c = _intra(spark, sf, 50_000)
+    return expected.smoothed_density(expected.distance_histogram(c), expected.possible_distances(chroms(spark), 50_000))
+
+
+# ---- quality statistics
+
+FATES = f"""f AS (SELECT t.threshold, chr1 = chr2 AS intra, abs(pos1 - pos2) AS dist, {TYPE} AS pt, least(mapq1, mapq2) AS mapq,
+  CASE WHEN chr1 = chr2 AND frag1 = frag2 THEN 'intra_fragment' WHEN NOT (mapq1 = 1000 AND mapq2 = 1000) AND least(mapq1, mapq2) >= 0 AND least(mapq1, mapq2) < threshold THEN 'under_mapq' ELSE 'contact' END AS fate
+  FROM pairs, (VALUES (1), (30)) t(threshold))"""
+_EDGES = ", ".join(map(str, P.DISTANCES))
+LOG_BIN = f"len(list_filter([{_EDGES}], lambda e: e < dist))"
+
+
+@query("""SELECT threshold, count(*) AS n_unique, count(*) FILTER (fate = 'intra_fragment') AS intra_fragment, count(*) FILTER (fate = 'under_mapq') AS under_mapq,
+  count(*) FILTER (fate = 'contact') AS contacts, count(*) FILTER (fate = 'contact' AND NOT intra) AS inter, count(*) FILTER (fate = 'contact' AND intra) AS intra,
+  count(*) FILTER (fate = 'contact' AND intra AND dist >= 20000) AS far, count(*) FILTER (fate = 'contact' AND intra AND dist >= 20000 AND pt = 'INNER') AS far_inner,
+  count(*) FILTER (fate = 'contact' AND intra AND dist >= 20000 AND pt = 'LL') AS far_left FROM f GROUP BY threshold""", (FATES,))
+def qc_counts(spark, sf):
+    return qc.counts(pairs(spark, sf)).select("threshold", "n_unique", "intra_fragment", "under_mapq", "contacts", "inter", "intra", "far", "far_inner", "far_left")
+
+
+@query("SELECT CASE WHEN dist < 500 THEN '<500BP' WHEN dist < 5000 THEN '500BP-5kB' WHEN dist < 20000 THEN '5kB-20kB' ELSE '>20kB' END AS class, count(*) AS n FROM f WHERE threshold = 1 AND fate = 'contact' AND intra GROUP BY ALL", (FATES,))
+def qc_distance_classes(spark, sf):
+    c = qc.classified(pairs(spark, sf), (1,)).filter("fate = 'contact' and intra")
+    return c.groupBy(P.distance_class(F.col("dist")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT threshold, {LOG_BIN} AS bin, count(*) FILTER (pt = 'INNER') AS n_inner, count(*) FILTER (pt = 'OUTER') AS n_outer, count(*) FILTER (pt = 'RR') AS n_right, count(*) FILTER (pt = 'LL') AS n_left FROM f WHERE fate = 'contact' AND intra GROUP BY ALL", (FATES,))
+def qc_lior_hist(spark, sf):
+    return qc.orientation_histogram(pairs(spark, sf), (1, 30)).withColumn("bin", F.col("bin").cast("long"))
+
+
+@query("SELECT threshold, mapq, count(*) AS n_all, count(*) FILTER (intra) AS n_intra, count(*) FILTER (NOT intra) AS n_inter FROM f WHERE fate = 'contact' AND mapq <= 200 GROUP BY ALL", (FATES,))
+def qc_mapq_hist(spark, sf):
+    return qc.mapq_histogram(pairs(spark, sf), (1, 30))
+
+
+@query(f"""SELECT threshold, CAST(coalesce(min(bin) FILTER (worst < 0.5), 99) AS INT) AS bin FROM (
+  SELECT threshold, bin, max(err) OVER (PARTITION BY threshold ORDER BY bin ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS worst FROM (
+    SELECT threshold, bin, CASE WHEN i + o + r + l < 1 THEN 1000 WHEN least(i, o, r, l) = 0 OR i + o + r + l = 4 THEN 'inf'::DOUBLE ELSE list_max(list_transform([i, o, r, l], lambda k: abs((ln((i + o + r + l) / 4.0) - ln(k)) / ln((i + o + r + l) / 4.0)))) END AS err
+    FROM (SELECT t.threshold, b.bin, count(*) FILTER (pt = 'INNER') AS i, count(*) FILTER (pt = 'OUTER') AS o, count(*) FILTER (pt = 'RR') AS r, count(*) FILTER (pt = 'LL') AS l
+          FROM (VALUES (1), (30)) t(threshold) CROSS JOIN range(100) b(bin) LEFT JOIN (SELECT *, {LOG_BIN} AS lb FROM f WHERE fate = 'contact' AND intra) f ON f.threshold = t.threshold AND f.lb = b.bin GROUP BY ALL))) GROUP BY threshold""", (FATES,))
+def qc_convergence(spark, sf):
+    """With an error of 0.5, as the fixture's orientations do not agree closely anywhere."""
+    was, qc.SETTLED = qc.SETTLED, 0.5
+    try:
+        return qc.convergence(qc.orientation_histogram(pairs(spark, sf), (1, 30)))
+    finally:
+        qc.SETTLED = was
+
+
+@query("""SELECT CAST(t AS BIGINT) AS n_total, CAST(u AS BIGINT) AS n_unique, CAST(t - u AS BIGINT) AS n_dups FROM (SELECT count(*) AS t, count(DISTINCT (l_orderkey, l_linenumber)) AS u FROM lineitem)""")
+def library_complexity_counts(spark, sf):
+    return qc.complexity(spark.read.parquet(f"{sf}/lineitem.parquet"), "l_orderkey", "l_linenumber").select("n_total", "n_unique", "n_dups")
+
+
+_HALF = "(a.lo + a.hi) / 2"
+
+
+@query(f"""SELECT CAST(floor(u * (r.lo + r.hi) / 2) AS BIGINT) AS library_size FROM (
+  SELECT u, list_reduce(list_transform(range(0, 201), lambda i: {{'lo': CAST(1 AS DOUBLE), 'hi': CAST(100 AS DOUBLE)}}),
+    lambda a, b: CASE WHEN 1 / ({_HALF}) - 1 + exp(-n / (({_HALF}) * u)) > 0 THEN {{'lo': {_HALF}, 'hi': a.hi}} ELSE {{'lo': a.lo, 'hi': {_HALF}}} END) AS r
+  FROM (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(DISTINCT (l_orderkey, l_linenumber)) AS DOUBLE) AS u FROM lineitem))""")
+def library_complexity(spark, sf):
+    return qc.complexity(spark.read.parquet(f"{sf}/lineitem.parquet"), "l_orderkey", "l_linenumber").select("library_size")
+
+
+@query("SELECT chr1, CAST(count(*) AS BIGINT) AS n, printf('%.2f%%', count(*) * 100.0 / sum(count(*)) OVER ()) AS share, format('{:,}', count(*)) AS shown FROM pairs GROUP BY chr1")
+def formatted_shares(spark, sf):
+    per = pairs(spark, sf).groupBy("chr1").agg(F.count("*").alias("n"))
+    total = per.agg(F.sum("n").alias("total"))
+    return per.join(F.broadcast(total)).select("chr1", "n", percent(F.col("n"), F.col("total")).alias("share"), with_commas(F.col("n")).alias("shown"))
+
+
+# ---- datasets and reports
+
+
+@query("SELECT chr1, chr2, x, y, n FROM cells", (cells_sql(BIN),))
+def sum_datasets(spark, sf):
+    p = pairs(spark, sf)
+    return merge.sum_datasets([binning.bin_pairs(p.filter(F.col("l_orderkey") % 3 == i), BIN) for i in range(3)]).select("chr1", "chr2", "x", "y", "n")
+
+
+@query("SELECT 250000 AS resolution, chr1, chr2, x, y, n FROM c0 UNION ALL SELECT 1000000, chr1, chr2, x, y, n FROM c1", (cells_sql(BIN, "c0"), cells_sql(1_000_000, "c1")))
+def rebinned_sum(spark, sf):
+    p = pairs(spark, sf)
+    return merge.rebin_datasets([binning.bin_pairs(p.filter(F.col("l_orderkey") % 2 == i), BIN) for i in range(2)], BIN, (1_000_000,))
+
+
+@query("SELECT CASE p_size % 4 WHEN 0 THEN 'total_unique' WHEN 1 THEN 'contacts' WHEN 2 THEN 'inter' ELSE 'convergence' END AS label, CAST(CASE WHEN p_size % 4 = 3 THEN max(p_partkey) ELSE sum(p_partkey) END AS BIGINT) AS value FROM part GROUP BY p_size % 4")
+def merge_stats_labels(spark, sf):
+    kind = F.element_at(F.array(*map(F.lit, ("Total Unique: ", "Hi-C Contacts: ", "Inter-chromosomal: ", " L-I-O-R Convergence: "))), F.col("p_size") % 4 + 1)
+    lines = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_brand").alias("file"), F.concat(kind, with_commas(F.col("p_partkey")), F.lit(" (1.00% / 2.00%)")).alias("line"))
+    return merge.merge_stats(merge.parse_stats(lines))
+
+
+@query("SELECT 'A' AS name, CAST(i AS INT) AS i, CAST(sum((p_partkey * (i + 1)) % 97) AS BIGINT) AS value FROM part, range(5) t(i) GROUP BY i")
+def merge_histograms(spark, sf):
+    values = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: ((F.col("p_partkey") * i) % 97).cast("string")), " ")
+    files = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").cast("string").alias("file"), F.concat(F.lit("A = [\n"), values, F.lit(" \n];\n")).alias("content"))
+    return merge.merge_histograms(merge.parse_histograms(files)).select("name", "i", "value")
+
+
+# ---- balancing and correlation
+
+
+@query()
+def scale_vectors_intra(spark, sf):
+    return norms.scale(_intra(spark, sf), chroms(spark), (BIN,))
+
+
+@query()
+def scale_vectors_gw(spark, sf):
+    return norms.whole_genome_vectors(binning.bin_pairs(pairs(spark, sf), BIN), chroms(spark), BIN, "SCALE")
+
+
+@query()
+def scale_vectors_inter(spark, sf):
+    return norms.whole_genome_vectors(binning.bin_pairs(pairs(spark, sf), BIN), chroms(spark), BIN, "SCALE", intra=False)
+
+
+@query("SELECT chr, bin, round(v * sqrt(q), 6) AS v FROM (SELECT g // 33 + 1 AS chr, g % 33 AS bin, v, q FROM w, (SELECT sum(t * n / (a.v * b.v)) / sum(t * n) AS q FROM (SELECT *, CASE WHEN x = y THEN 1.0 ELSE 2.0 END AS t FROM gc) gc JOIN w a ON a.g = gc.x JOIN w b ON b.g = gc.y))",
+       (cells_sql(BIN), "gc AS (SELECT least(x + (chr1 - 1) * 33, y + (chr2 - 1) * 33) AS x, greatest(x + (chr1 - 1) * 33, y + (chr2 - 1) * 33) AS y, n FROM cells)", "w AS (SELECT g, sum(n) AS v FROM (SELECT x AS g, n FROM gc UNION ALL SELECT y, n FROM gc WHERE x <> y) GROUP BY g)"))
+def gw_vc_vector(spark, sf):
+    return norms.whole_genome_vectors(binning.bin_pairs(pairs(spark, sf), BIN), chroms(spark), BIN, "VC").select("chr", "bin", r6("v"))
+
+
+@query("SELECT x, y, round(corr(a.v, b.v), 6) AS r FROM (SELECT p.b AS x, q.b AS y FROM range(8) p(b) JOIN range(8) q(b) ON p.b <= q.b) JOIN d a ON a.i = x JOIN d b ON b.i = y AND a.j = b.j GROUP BY ALL",
+       (cells_sql(1_000_000, "c", where="chr1 = 1 AND chr2 = 1"), "d AS (SELECT p.b AS i, q.b AS j, coalesce(max(n), 0) AS v FROM range(8) p(b) CROSS JOIN range(8) q(b) LEFT JOIN c ON (x = p.b AND y = q.b) OR (x = q.b AND y = p.b) GROUP BY ALL)"))
+def pearson_matrix(spark, sf):
+    c = rows.intra_cells(binning.bin_pairs(pairs(spark, sf).filter("chr1 = 1 and chr2 = 1"), corr.check_resolution(1_000_000)))
+    return corr.pearson(c, "n").select("x", "y", r6("r"))
+
+
+@query()
+def eigenvector(spark, sf):
+    c = _intra(spark, sf)
+    density = expected.raw_density(expected.distance_histogram(c), expected.possible_distances(chroms(spark), BIN))
+    return corr.eigenvector(expected.observed_over_expected(c, density))
+
+
+@query()
+def custom_norm_expected(spark, sf):
+    """Expected density under a vector given from outside: here roots of row sums."""
+    c = _intra(spark, sf)
+    given = rows.row_sums(c).withColumn("v", F.sqrt("v"))
+    return expected.smoothed_density(norms.normed_histogram(c, given), expected.possible_distances(chroms(spark), BIN))
+
+
+# ---- intervals, tracks, streams
+
+
+@query("SELECT f.chr, f.beg, f.end, p_partkey FROM (SELECT DISTINCT chr1 AS chr, pos1 // 4000 * 4000 AS beg, pos1 // 4000 * 4000 + 3999 AS end FROM pairs) f JOIN (SELECT CAST(p_partkey % 4 + 1 AS INT) AS chr, p_partkey * 3500 % 8000000 AS r_beg, p_partkey * 3500 % 8000000 + p_size * 500 AS r_end, p_partkey FROM part) a ON f.chr = a.chr AND f.beg <= r_end AND f.end >= r_beg")
+def fragment_overlap_join(spark, sf):
+    b = F.expr("pos1 div 4000 * 4000")
+    frags = pairs(spark, sf).select(F.col("chr1").alias("chr"), b.alias("beg"), (b + 3999).alias("end")).distinct()
+    start = F.col("p_partkey") * 3500 % 8000000
+    notes = spark.read.parquet(f"{sf}/part.parquet").select((F.col("p_partkey") % 4 + 1).cast("int").alias("chr"), start.alias("r_beg"), (start + F.col("p_size") * 500).alias("r_end"), "p_partkey")
+    return intervals.overlap_join(frags, notes, 20_000).select("chr", "beg", "end", "p_partkey")
+
+
+@query("SELECT chr, coalesce(lag(site) OVER (PARTITION BY chr ORDER BY site), 0) AS beg, site AS end, CAST(row_number() OVER (PARTITION BY chr ORDER BY site) - 1 AS INT) AS idx FROM (SELECT DISTINCT chr1 AS chr, pos1 // 4000 * 4000 AS site FROM pairs)")
+def sites_to_fragments(spark, sf):
+    sites = pairs(spark, sf).groupBy(F.col("chr1").alias("chr")).agg(F.array_sort(F.collect_set(F.expr("pos1 div 4000 * 4000"))).alias("sites"))
+    return intervals.sites_to_fragments(sites)
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id > (SELECT max(event_id) FROM events WHERE event_id % 2 = 0 AND event_id < (SELECT max(event_id) // 2 FROM events))")
+def incremental_annotations(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    half = e.agg(F.expr("max(event_id) div 2").alias("half"))
+    done = e.join(F.broadcast(half), F.col("event_id") < F.col("half")).filter("event_id % 2 = 0")
+    return intervals.after_mark(e, done, "event_id").select("event_id", "event_type")
+
+
+@query("SELECT event_type AS chr, event_id // 100 AS win, round(avg(value), 6) AS mean, round(max(value), 6) AS max FROM events GROUP BY ALL")
+def track_window_mean_max(spark, sf):
+    track = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("chr"), F.col("event_id").alias("start"), F.col("event_id").alias("end"), "value")
+    return intervals.window_stats(track, 100).select("chr", "win", r6("mean"), r6("max"))
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL")
+def windowed_event_counts(spark, sf):
+    from pairlattice.streaming.contacts import windowed_counts
+
+    return windowed_counts(spark.read.parquet(f"{sf}/events.parquet"), "1 hour", "2 hours", "event_type").select("event_type", "start", "n")
+
+
+@query("SELECT chr1, chr2, x, y, n FROM cells", (cells_sql(1_000_000),))
+def stream_contact_counts(spark, sf):
+    """The batch form of the streamed cell counts; tests run the stream itself to its end."""
+    from pairlattice.streaming.contacts import stream_cells
+
+    return stream_cells(pairs(spark, sf), 1_000_000).select("chr1", "chr2", "x", "y", "n")
