@@ -187,13 +187,27 @@ def test_forward_is_the_sum_over_all_paths():
     norm = lambda a, axis: a / a.sum(axis, keepdims=True)
     m = hmm.Model(norm(rng.random(k), 0), norm(rng.random((k, k)), 1), np.vstack((norm(rng.random((c, k)), 0), np.ones(k))))
     text = np.array([3, 1, 4, 1])
-    _, scale, _ = hmm.forward(m, hmm.padded([text, text[:2]], c))
+    log = hmm.forward(m, hmm.padded([text, text[:2]], c))
     a = m.start * m.emit[text[0]]
     for x in text[1:]:
         a = np.array([sum(a[i] * m.move[i, j] for i in range(k)) * m.emit[x, j] for j in range(k)])
-    assert np.isclose(np.log(scale).sum(0)[0], np.log(a.sum()))
+    assert np.isclose(log[0], np.log(a.sum()))
     counts = np.zeros(k + k * k + c * k)
     hmm.expected_counts(m, [text, text[:2]], counts)
+    brute = np.zeros((k, k))  # posterior moves of the longer text, by its forward and backward values
+    f, g = [m.start * m.emit[text[0]]], [np.ones(k)]
+    for x in text[1:]:
+        f.append((f[-1] @ m.move) * m.emit[x])
+    for x in text[:0:-1]:
+        g.insert(0, m.move @ (m.emit[x] * g[0]))
+    for t in range(3):
+        brute += np.outer(f[t], m.emit[text[t + 1]] * g[t + 1]) * m.move / a.sum()
+    alone = np.zeros_like(counts)
+    hmm.expected_counts(m, [text], alone)
+    assert np.allclose(alone[k : k + k * k].reshape(k, k), brute)
+    long = np.zeros_like(counts)
+    hmm.expected_counts(m, [np.tile(text, 3000)], long)
+    assert np.isclose(long[k + k * k :].sum(), 12000) and np.isclose(long[k : k + k * k].sum(), 11999)
     assert np.isclose(counts[:k].sum(), 2) and np.isclose(counts[k : k + k * k].sum(), 4) and np.isclose(counts[k + k * k :].sum(), 6)
 
 
