@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pairlattice.functions import genome, pairs as P
 from pairlattice.functions.scalars import percent, with_commas
-from pairlattice.operators import binning, corr, expected, intervals, merge, norms, qc, rows
+from pairlattice.operators import binning, corr, cutoffs, expected, intervals, merge, norms, qc, rows
 from pairlattice.plans.fixture import CHROMOSOMES, CHROMS_SQL, PAIRS_SQL, cells_sql, chroms, halves_sql, pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,6 +230,32 @@ def none_vector(spark, sf):
     return norms.none(chroms(spark), (1_000_000,)).select("chr", "bin", "v")
 
 
+NNZ = "nz AS (SELECT chr, bin, count(*) AS nnz FROM halves GROUP BY ALL)"
+
+
+@query("SELECT chr, 0.0::DOUBLE AS c0, round(quantile_cont(nnz::DOUBLE, 0.1), 6) AS c1, round(quantile_cont(nnz::DOUBLE, 0.2), 6) AS c2 FROM nz GROUP BY chr", (INTRA, HALVES, NNZ))
+def percentile_cutoffs(spark, sf):
+    c = cutoffs.percentile_cutoffs(rows.row_nonzeros(_intra(spark, sf)), 10, 10, 30)
+    return c.select("chr", *[F.round(cutoffs.cutoff(F.col("cutoffs"), i), 6).alias(f"c{i}") for i in range(3)])
+
+
+@query("SELECT chr, round(avg(nnz) - 2 * stddev_samp(nnz), 6) AS c1, round(avg(nnz) - stddev_samp(nnz), 6) AS c2 FROM nz GROUP BY chr", (INTRA, HALVES, NNZ))
+def zscore_cutoffs(spark, sf):
+    c = cutoffs.zscore_cutoffs(rows.row_nonzeros(_intra(spark, sf)), -2, 1, 0)
+    return c.select("chr", *[F.round(cutoffs.cutoff(F.col("cutoffs"), i), 6).alias(f"c{i}") for i in (1, 2)])
+
+
+@query("SELECT chr, list_sort(list(nnz))[1 + CAST(floor(count(*) * 10 / 100) AS INT)] AS upper FROM nz GROUP BY chr", (INTRA, HALVES, NNZ))
+def row_order_statistic(spark, sf):
+    return cutoffs.order_statistic(rows.row_nonzeros(_intra(spark, sf))).select("chr", "upper")
+
+
+@query("SELECT chr, round(quantile_cont(abs(v * (1 / v0) - 1), 0.9), 6) AS error FROM (SELECT chr, bin, sum(n) AS v, sum(n) + 5 AS v0 FROM halves GROUP BY ALL) GROUP BY chr", (INTRA, HALVES))
+def row_error_percentile(spark, sf):
+    s = rows.row_sums(_intra(spark, sf))
+    return cutoffs.error_percentile(s, s.withColumn("v", 1 / (F.col("v") + 5))).select("chr", r6("error"))
+
+
 # ---- distance decay
 
 

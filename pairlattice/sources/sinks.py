@@ -125,3 +125,17 @@ def write_matrix_text(matrix: DataFrame, path: str, value: str = "r") -> None:
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch: int = 1000, **options: str) -> None:
     df.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch), **options).mode(mode).save()
+
+
+def matrix_tiles(matrix: DataFrame, value: str = "r", side: int = 500) -> DataFrame:
+    """(tx, ty, content): square tiles of a dense matrix as little-endian floats, row by row; absent cells are NaN."""
+    import numpy as np
+    import pandas as pd
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        tile = np.full((side, side), np.nan, "<f4")
+        tile[pdf["x"] % side, pdf["y"] % side] = pdf[value]
+        return pd.DataFrame({"tx": [key[0]], "ty": [key[1]], "content": [tile.tobytes()]})
+
+    keyed = matrix.select("x", "y", value, F.expr(f"x div {side}").alias("tx"), F.expr(f"y div {side}").alias("ty"))
+    return keyed.groupBy("tx", "ty").applyInPandas(one, "tx long, ty long, content binary")

@@ -152,3 +152,11 @@ def test_scalars(spark):
     assert len(DISTANCES) == 100 and DISTANCES[:5] == (10, 12, 15, 19, 23) and DISTANCES[-1] == 10**10
     assert whole_genome_bin_size(32_000_000) == 64 and block_columns(8_000_000, 250_000, True) == 1
     assert block_columns(249_250_621, 100, True) == 499
+
+
+def test_matrix_tiles(spark):
+    import numpy as np
+
+    m = spark.createDataFrame([(0, 0, 1.0), (3, 1, 2.5), (4, 4, 3.0)], "x long, y long, r double")
+    tiles = {(r["tx"], r["ty"]): np.frombuffer(r["content"], "<f4").reshape(4, 4) for r in sinks.matrix_tiles(m, side=4).collect()}
+    assert set(tiles) == {(0, 0), (1, 1)} and tiles[0, 0][3, 1] == 2.5 and np.isnan(tiles[1, 1][1, 1]) and tiles[1, 1][0, 0] == 3
