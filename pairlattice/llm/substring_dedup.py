@@ -1,11 +1,12 @@
 """Substring deduplication by content-defined chunks.
 
 A gear hash rolls over a text's UTF-8 bytes (each step doubles the hash and adds the byte's
-random number, so 32 bits see the last 32 bytes). A chunk may end where the hash's upper
-``CUT_BITS`` bits are zero, at least ``LEAST`` and at most ``MOST`` bytes after its start.
-Ends depend on nearby bytes only, so text that moves keeps its chunks. Chunks are known by a
-64-bit digest; digests are counted with combined aggregates, and only those that occur more
-than once are joined back to their places.
+random number, so 16 bits see the last 16 bytes). A chunk ends where the hash's upper
+``CUT_BITS`` bits are zero, at least ``LEAST`` bytes after its start; where ``MOST`` bytes have
+no such place, as in periodic text, it ends at the least hash among them. Ends depend on
+nearby bytes only, so text that moves keeps its chunks. Chunks are known by a 64-bit digest;
+digests are counted with combined aggregates, and only those that occur more than once are
+joined back to their places.
 
 Neighbouring repeated chunks of a text form a run; a run of at least ``LEAST_WORDS`` words is
 a repeated passage. In each run the chunks that first occur elsewhere (smaller doc_id, or
@@ -29,16 +30,16 @@ from pyspark.sql import functions as F
 
 from pairlattice.llm.common import bounded_batches, by_ids, written
 
-CUT_BITS, LEAST, MOST = 5, 24, 512
-LEAST_WORDS = 20
-_GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
+CUT_BITS, LEAST, MOST = 4, 16, 160
+LEAST_WORDS = 16
+_GEAR = np.random.default_rng(11).integers(0, 1 << 16, 256).astype(np.uint16)
 
 
 def gear_hashes(raw: np.ndarray) -> np.ndarray:
     """The rolling hash after each byte: sums of shifted gear numbers, doubled window by doubled window."""
     h = _GEAR[raw]
-    for k in (1, 2, 4, 8, 16):
-        shifted = h[:-k] << np.uint32(k)
+    for k in (1, 2, 4, 8):
+        shifted = h[:-k] << np.uint16(k)
         h = h.copy()
         h[k:] += shifted
     return h
@@ -47,20 +48,17 @@ def gear_hashes(raw: np.ndarray) -> np.ndarray:
 def chunk_ends(raw: bytes) -> list[int]:
     """Ends of the chunks of a text; the last is its length."""
     n = len(raw)
+    if not n:
+        return []
+    h = gear_hashes(np.frombuffer(raw, np.uint8))
     ends, start = [], 0
-    for i in np.flatnonzero(gear_hashes(np.frombuffer(raw, np.uint8)) >> np.uint32(32 - CUT_BITS) == 0).tolist() if n else []:
-        end = i + 1
+    for end in [*(np.flatnonzero(h >> np.uint16(16 - CUT_BITS) == 0) + 1).tolist(), n]:
         while end - start > MOST:
-            start += MOST
+            start += LEAST + int(np.argmin(h[start + LEAST - 1 : start + MOST]))
             ends.append(start)
-        if end - start >= LEAST:
+        if end - start >= LEAST or (end == n and start < n):
             ends.append(end)
             start = end
-    while n - start > MOST:
-        start += MOST
-        ends.append(start)
-    if start < n:
-        ends.append(n)
     return ends
 
 
@@ -97,8 +95,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     rows = written(chunks(docs))
     place = F.struct("doc_id", "start")
-    twice = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("digest", "first")
-    met = rows.join(twice, "digest").select("doc_id", F.struct("start", "finish", "words", F.col("first.doc_id").alias("first_doc"), (place != F.col("first")).alias("later")).alias("c"))
+    twice = rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    repeated = written(rows.join(twice, "digest", "left_semi"))
+    firsts = repeated.groupBy("digest").agg(F.min(place).alias("first"))
+    met = repeated.join(firsts, "digest").select("doc_id", F.struct("start", "finish", "words", F.col("first.doc_id").alias("first_doc"), (place != F.col("first")).alias("later")).alias("c"))
     runs = met.groupBy("doc_id").agg(F.array_sort(F.collect_list("c")).alias("cs")).mapInArrow(_runs, _RUNS)
     return runs
 
