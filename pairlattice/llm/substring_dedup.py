@@ -95,9 +95,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     rows = written(chunks(docs))
     place = F.struct("doc_id", "start")
-    twice = rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    # written, as a join whose sides are both exchanges can be split where a digest is hot
+    twice = written(rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"))
     repeated = written(rows.join(twice, "digest", "left_semi"))
-    firsts = repeated.groupBy("digest").agg(F.min(place).alias("first"))
+    firsts = written(repeated.groupBy("digest").agg(F.min(place).alias("first")))
     met = repeated.join(firsts, "digest").select("doc_id", F.struct("start", "finish", "words", F.col("first.doc_id").alias("first_doc"), (place != F.col("first")).alias("later")).alias("c"))
     runs = met.groupBy("doc_id").agg(F.array_sort(F.collect_list("c")).alias("cs")).mapInArrow(_runs, _RUNS)
     return runs
