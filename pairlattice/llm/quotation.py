@@ -2,20 +2,25 @@
 
 A message's lines get their quote level (the number of leading ``>``). Lines of level 0 are
 its own text; quoted lines, like all own lines, are normalised (lower case, single spaces)
-and hashed. A quoted line is joined to the first message of its conversation that has it as
-an own line, if that came before. A message answers the message that most of its lines of
-level 1 (of the least level it has) come from; ties go to the earlier one. Messages that
-answer nothing start a thread; the others belong to the thread of what they answer. The
+and hashed. A quoted line is linked if an earlier message of its conversation has it as an own
+line. All linked lines of a message's level 1 (of the least level with such lines) are held
+together against every earlier message: each counts its number in the quote, divided by the
+number of messages that hold it, so that greetings and signatures hardly count. The message
+answers the one with the greatest sum; ties go to the earlier one. Messages that answer
+nothing start a thread; the others belong to the thread of what they answer. The
 conversation in reply order runs thread by thread, by the threads' first turns, and within a
 thread by turn, so every reply follows what it answers, and quotes are left out.
 
 Positions are sums of counts (thread blocks, threads, turn blocks) and a rank within a block,
-so that one conversation or thread may hold any part of the rows. Of a line that occurs in
-many messages only the first is kept as the original, by a combined aggregate.
+so that one conversation or thread may hold any part of the rows. Equal quotes are looked up
+once. Lines that many messages hold are not paired with them where they cannot decide: a
+message that holds only such lines of a quote stays below the best sum, which is at least that
+of the quote's heaviest line.
 
 Defined cases: a null text has no lines and an empty own text; rows with a null conv_id or
 turn link with nothing and come last; repeated rows get positions of their own; quotes of
-unknown origin are left out of the text and counted; an empty table gives an empty result;
+unknown origin are left out of the text and counted; the order of a quote's lines does not
+matter; an empty table gives an empty result;
 further columns are ignored.
 """
 
@@ -28,6 +33,8 @@ from pyspark.sql import functions as F
 from pairlattice.llm.common import written
 
 BLOCK = 1024
+#: The weight of a line that one message holds; whole numbers, so that sums do not depend on order.
+UNIT = 1 << 32
 
 
 def _lines(text: Column) -> Column:
@@ -47,11 +54,24 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     lines = lines.select("conv_id", "turn", "level", F.md5("line").alias("h"))
     quoted = written(lines.filter("level > 0"))
     asked = quoted.select("conv_id", "h").distinct()
-    first = lines.filter("level = 0").join(asked, ["conv_id", "h"], "left_semi").groupBy("conv_id", "h").agg(F.min("turn").alias("origin"))
-    met = quoted.join(first, ["conv_id", "h"]).filter("origin < turn")
-    per = met.groupBy("conv_id", "turn", "level", "origin").agg(F.count("*").alias("n"))
-    best = F.min_by("origin", F.struct("level", -F.col("n"), "origin"))
-    return per.groupBy("conv_id", "turn").agg(best.alias("parent_turn"), F.sum("n").alias("n_linked"))
+    held = written(lines.filter("level = 0 AND turn IS NOT NULL").join(asked, ["conv_id", "h"], "left_semi").select("conv_id", "h", "turn").distinct())
+    holders = held.groupBy("conv_id", "h").agg(F.min("turn").alias("origin"), F.count("*").alias("held"))
+    met = written(quoted.groupBy("conv_id", "turn", "level", "h").agg(F.count("*").alias("n")).join(holders, ["conv_id", "h"]).filter("origin < turn"))
+    linked = met.groupBy("conv_id", "turn").agg(F.min("level").alias("level"), F.sum("n").alias("n_linked"))
+    weight = F.col("n") * F.floor(F.lit(UNIT) / F.col("held"))
+    quotes = met.join(linked, ["conv_id", "turn", "level"]).groupBy("conv_id", "turn").agg(F.first("n_linked").alias("n_linked"), F.sort_array(F.collect_list(F.struct("held", "h", weight.alias("w")))).alias("parts"))
+    quotes = written(quotes.withColumn("quote", F.md5(F.to_json("parts"))))
+    parts = written(quotes.groupBy("conv_id", "quote").agg(F.first("parts").alias("parts")).select("conv_id", "quote", F.inline("parts")))
+
+    # what only the more widely held lines add up to is less than the heaviest line: they decide nothing without a rarer one
+    each = W.partitionBy("conv_id", "quote")
+    rest = F.sum("w").over(each.orderBy(F.desc("held"), F.desc("h")).rowsBetween(W.unboundedPreceding, 0))
+    deciding = parts.withColumn("rest", rest).withColumn("top", F.max("w").over(each)).filter("rest >= top")
+    able = written(deciding.join(held, ["conv_id", "h"]).select("conv_id", "quote", "turn").distinct())
+    sums = able.join(held, ["conv_id", "turn"]).join(parts, ["conv_id", "quote", "h"]).groupBy("conv_id", "quote", "turn").agg(F.sum("w").alias("sum"))
+    firsts = written(sums.groupBy("conv_id", "quote", "sum").agg(F.min("turn").alias("origin")))
+    found = quotes.join(firsts, ["conv_id", "quote"]).filter("origin < turn")
+    return found.groupBy("conv_id", "turn").agg(F.min_by("origin", F.struct(-F.col("sum"), "origin")).alias("parent_turn"), F.first("n_linked").alias("n_linked"))
 
 
 def threads(links: DataFrame) -> DataFrame:

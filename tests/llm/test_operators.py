@@ -460,6 +460,34 @@ def test_quotes_are_linked_and_dropped(spark):
     assert quotation.reply_order(d).count() == len(rows) and quotation.reply_order(d.limit(0)).count() == 0
 
 
+def test_quotes_of_lines_that_several_messages_hold(spark):
+    rows = [
+        (1, 1, "Hi all\nfirst\nBest, J"), (1, 7, "Hi all\nthe point\nBest, J"), (1, 8, "> Hi all\n> the point\n> Best, J\nyes"), (1, 9, "> hi  all\nwhom?"),
+        (2, 0, "Hi all\na1\na2\na3"), (2, 1, "a1\na2\na3\nalone"), (2, 2, "one"), (2, 3, "> a1\n> a2\n> a3\n> alone\nx"), (2, 4, "> a1\n> a2\n> a3\n> one\nx"),
+    ]
+    rng = np.random.default_rng(6)
+    for turn in range(120):
+        own = [f"l{x}" for x in (rng.integers(0, 40, 3) ** 2) // 40]
+        rows.append((3, turn, "\n".join([*own, *(f"{'>' * rng.integers(1, 3)} l{x}" for x in (rng.integers(0, 44, rng.integers(0, 6)) ** 2) // 40)])))
+    d = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["n_linked"]) for r in quotation.link_quotes(d).collect()}
+    want, own = {}, defaultdict(set)
+    for c, t, x in rows:
+        own[c] |= {(" ".join(y.lower().split()), t) for y in x.split("\n") if y[0] != ">"}
+    for c, t, x in rows:
+        quoted = [(len(y) - len(y.lstrip(">")), " ".join(y.lstrip(">").lower().split())) for y in x.split("\n") if y[0] == ">"]
+        quoted = [(level, y) for level, y in quoted if any(z == y and u < t for z, u in own[c])]
+        sums = Counter()
+        for level, y in quoted:
+            if level == min(quoted)[0]:
+                at = [u for z, u in own[c] if z == y]
+                sums.update({u: (1 << 32) // len(at) for u in at if u < t})
+        if sums:
+            want[c, t] = (min(sums, key=lambda u: (-sums[u], u)), len(quoted))
+    assert got == want
+    assert [got[k][0] for k in ((1, 8), (1, 9), (2, 3), (2, 4))] == [7, 1, 1, 0]
+
+
 # ---- 10
 
 
