@@ -4,10 +4,14 @@ Each page is read once into text runs with their root-to-leaf tag path. Per path
 length and the punctuation are summed and divided by the number of runs (the two ratios).
 Along the page the ratios of the runs' paths are smoothed with a Gaussian window weighed by
 path, both are normalised and fused by their product's root, and a path is content if its
-mean fused value reaches ``LEVEL`` standard deviations. The container that holds most of the
-content paths' text is the article: all its blocks are returned, so that short paragraphs and
-headings stay, without the parts that are never article text (navigation, headers, footers,
-asides, forms, scripts, adverts, notices, comments by readers), told by tag, role, class or id.
+mean fused value reaches ``LEVEL`` standard deviations. All text of content paths is kept, with
+what stands around it in its containers: the outermost article elements that hold such text;
+without any, the innermost element that holds nearly all of it, or the outermost one above that
+is called main, content, text or the like. What is left outside adds the outermost such element
+that it is in, else its own block. All blocks of the containers are returned, so that short
+paragraphs and headings stay, without the parts that are never article text (navigation, headers,
+footers, asides, forms, scripts, adverts, notices, comments by readers), told by tag, role, class
+or id.
 
 Defined cases: null or empty html gives an empty text; a page without any content path gives
 its best container's text, or an empty text if there is no text outside the excluded parts;
@@ -20,7 +24,7 @@ import html as entities
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -140,7 +144,7 @@ def extract(page: str | None) -> str:
     if not full:
         return ""
     content = _content_paths([x.path for x in full], {p: length[p] / count[p] for p in count}, {p: marks[p] / count[p] for p in count})
-    keep = _container(full, length, content)
+    keep = _containers(full, length, content)
     out, now, current = [], [], None
     for node, text, block in runs:
         if not _under(node, keep):
@@ -182,13 +186,41 @@ def _content_paths(order: list[str], by_length: dict[str, float], by_marks: dict
     return {p for p, v in mean.items() if v >= level}
 
 
+def _outermost(node: _Node | None, fits: Callable[[_Node], bool]) -> _Node | None:
+    """The outermost fitting element among node and those around it."""
+    found = None
+    while node is not None:
+        if fits(node):
+            found = node
+        node = node.parent
+    return found
+
+
+def _containers(full: list[_Node], length: dict[str, int], content: set[str]) -> set[_Node]:
+    """Elements that together hold all text of content paths."""
+    texts = {id(x): x for x in full if x.path in content}.values()
+    main = lambda x: x.main and x.tag not in ("html", "body")
+    keep = {a for x in texts if (a := _outermost(x, lambda y: y.tag == "article"))}
+    if not keep:
+        most = _container(full, length, content)
+        keep = {_outermost(most, main) or most}
+    for x in texts:
+        if _under(x, keep):
+            continue
+        around = _outermost(x, main)
+        if around is None:
+            around = x
+            while around.parent is not None and around.tag not in BLOCK:
+                around = around.parent
+            around = x if around.tag in ("", "html", "body") else around
+        keep.add(around)
+    return keep
+
+
 def _container(full: list[_Node], length: dict[str, int], content: set[str]) -> _Node:
-    """The innermost element that holds nearly all text of content paths; an article element inside or above it wins."""
+    """The innermost element that holds nearly all text of content paths."""
     held: dict[int, int] = defaultdict(int)
     nodes: dict[int, _Node] = {}
-    counted = defaultdict(int)
-    for node in full:
-        counted[id(node)] += 1
     total = 0
     per = defaultdict(int)
     for node in full:
@@ -204,15 +236,12 @@ def _container(full: list[_Node], length: dict[str, int], content: set[str]) ->
             nodes[id(up)] = up
             up = up.parent
     depth = lambda x: x.path.count("/")
-    mains = [x for i, x in nodes.items() if x.main and held[i] >= 0.5 * total]
-    if mains:
-        return max(mains, key=lambda x: (x.tag == "article", depth(x)))
     return max((x for i, x in nodes.items() if held[i] >= 0.9 * total and x.tag not in ("p", "b", "i", "em", "strong", "span", "a")), key=depth)
 
 
-def _under(node: _Node | None, top: _Node) -> bool:
+def _under(node: _Node | None, tops: set[_Node]) -> bool:
     while node is not None:
-        if node is top:
+        if node in tops:
             return True
         node = node.parent
     return False

@@ -511,6 +511,27 @@ def test_main_text_leaves_the_rest_out():
     assert [html_text.extract(x) for x in (None, "", "<nav>x</nav>", "plain", "<p>a<p>b", "<div>a<div>b</div>c", "<<>a", "<p")] == ["", "", "", "plain", "a\nb", "a\nb\nc", "<<>a", "<p"]
 
 
+def test_main_text_of_several_containers_is_whole():
+    text = lambda name, n: "".join(f"<p>{name} para {i}, with text, and more. It goes on, on and on.</p>" for i in range(n))
+    lines = lambda page: re.findall(r">([^<>]+)<", page)
+    rest = "<nav>Home</nav><div><a>Log</a></div>"
+    for split in ((6, 4), (19, 1)):
+        a, b = (text(x, n) for x, n in zip("ab", split))
+        for part in (
+            f"<main><h1>Title</h1><div class='text'>{a}</div><div class='text'>{b}</div></main>",
+            f"<div class='content'><h1>Title</h1><div class='text'>{a}</div><div class='text'>{b}</div></div>",
+            f"<article><h2>One</h2>{a}</article><article><h2>Two</h2>{b}</article>",
+            f"<article><h1>Title</h1><article>{a}</article>{b}</article>",
+            f"<div class='x1'>{a}</div><div class='x2'>{b}</div>",
+        ):
+            got = html_text.extract(f"<html><body>{part}</body></html>").split("\n")
+            assert got == lines(part)
+            if "<main>" in part or "<article>" in part or "content" in part:
+                assert html_text.extract(f"<html><body>{rest}{part}{rest}</body></html>").split("\n") == lines(part)
+    page = f"<html><body><div><a>Log</a></div><div class='post'><h1>Title</h1>{text('a', 19)}</div><div class='x'><p>Elsewhere, a <b>bold</b> text, and more. It goes on, on and on.</p></div></body></html>"
+    assert html_text.extract(page).split("\n") == ["Title", *lines(text("a", 19)), "Elsewhere, a bold text, and more. It goes on, on and on."]
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, None, None), (2, "u", ""), (2, "u", ""), (None, "u", "<p>x</p>"), (3, "u", "<div>" * 3000 + "deep" + "</div>" * 3000), (4, "u", "<p>" + "long text, " * 30000)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
