@@ -4,15 +4,17 @@ A gear hash rolls over a text's UTF-8 bytes (each step doubles the hash and adds
 random number, so 16 bits see the last 16 bytes). A chunk ends where the hash's upper
 ``CUT_BITS`` bits are zero, at least ``LEAST`` bytes after its start; where ``MOST`` bytes have
 no such place, as in periodic text, it ends at the least hash among them. Ends depend on
-nearby bytes only, so text that moves keeps its chunks. Chunks are known by a 64-bit digest;
-digests are counted with combined aggregates, and only those that occur more than once are
-joined back to their places.
+nearby bytes only, so text that moves keeps its chunks. From each chunk's start, and
+back from each chunk's end, a window goes over as many whole chunks as it takes to hold
+``LEAST_WORDS`` words. Windows are known by a 64-bit digest of their bytes; digests are counted with combined aggregates, and only those that occur
+more than once are joined back to their places.
 
-Neighbouring repeated chunks of a text form a run; a run of at least ``LEAST_WORDS`` words is
-a repeated passage. In each run the chunks that first occur elsewhere (smaller doc_id, or
-earlier in the same text) are the ones removed, so one occurrence of everything stays.
+So every window that counts stands elsewhere in one piece. Overlapping ones form a repeated
+passage. The windows that first occur elsewhere (smaller doc_id, or earlier in the same text)
+are the ones removed, so one occurrence of every chunk stays. A word counts where its first byte
+is; a window that begins inside a word counts that part, a passage of fewer words does not count.
 
-Defined cases: a null or empty text has no chunks; in exact copies the whole text is a run;
+Defined cases: a null or empty text has no chunks; in exact copies of LEAST_WORDS words or more the whole text is a passage;
 repeated rows (one doc_id twice) count as two places; texts that share nothing get no row in
 ``repeated_passages`` and are kept unchanged by ``deduplicate``; an empty table gives an
 empty result; further columns are ignored, or kept by ``deduplicate``.
@@ -20,6 +22,7 @@ empty result; further columns are ignored, or kept by ``deduplicate``.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,7 @@ from pairlattice.llm.common import bounded_batches, by_ids, written
 
 CUT_BITS, LEAST, MOST = 4, 16, 160
 LEAST_WORDS = 16
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _GEAR = np.random.default_rng(11).integers(0, 1 << 16, 256).astype(np.uint16)
 
 
@@ -62,44 +66,57 @@ def chunk_ends(raw: bytes) -> list[int]:
     return ends
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, start, finish, words): a row per chunk of docs (doc_id, text); offsets in bytes of UTF-8."""
+def windows(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, finish, before, upto) of a text's windows; before and upto are the words that begin before start and finish."""
+    ends = np.array(chunk_ends(raw), np.int32)
+    starts = np.append(np.int32(0), ends)[: len(ends)]
+    solid = ~_SPACE[np.frombuffer(raw, np.uint8)]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    count = np.append(0, np.cumsum(first)).astype(np.int32)
+    inside = solid[starts] & ~first[starts]
+    upto, n = count[ends], len(ends)
+    held = count[starts] - inside
+    ahead = np.searchsorted(upto, held + LEAST_WORDS)
+    back = np.searchsorted(held, upto - LEAST_WORDS, side="right") - 1
+    at = np.arange(n)
+    both = np.unique(np.append((at * n + ahead)[ahead < n], (back * n + at)[back >= 0]))
+    start, finish = starts[both // max(n, 1)], ends[both % max(n, 1)]
+    return start, finish, count[start], count[finish]
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """(digest, doc_id, start, finish, before, upto): a row per window of docs (doc_id, text); offsets in bytes of UTF-8."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digest, start, finish, words, lengths = [], [], [], [], []
+            digest, found, lengths = [], [], []
             for text in batch.column(1).to_pylist():
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                ends, a = chunk_ends(raw), 0
-                for b in ends:
-                    piece = raw[a:b]
-                    digest.append(xxhash.xxh3_64_intdigest(piece))
-                    words.append(len(piece.split()))
-                    start.append(a)
-                    a = b
-                finish += ends
-                lengths.append(len(ends))
+                found.append(windows(raw))
+                lengths.append(len(found[-1][0]))
+                digest += [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(found[-1][0].tolist(), found[-1][1].tolist(), strict=True)]
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(lengths)), lengths)))
-            yield pa.RecordBatch.from_pydict({"digest": np.array(digest, np.uint64).view(np.int64), "doc_id": ids, "start": pa.array(start, pa.int32()), "finish": pa.array(finish, pa.int32()), "words": pa.array(words, pa.int32())})
+            columns = [np.concatenate(x) if found else np.empty(0, np.int32) for x in (zip(*found, strict=True) if found else [()] * 4)]
+            yield pa.RecordBatch.from_pydict({"digest": np.array(digest, np.uint64).view(np.int64), "doc_id": ids} | dict(zip(("start", "finish", "before", "upto"), columns, strict=True)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "digest long, doc_id long, start int, finish int, words int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "digest long, doc_id long, start int, finish int, before int, upto int")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, n_passages, n_words, n_removed_words, spans, removed, first_docs): a row per document with a repeated passage.
 
-    spans are the passages' byte ranges; removed those of their chunks that occur before; first_docs
-    the documents that hold the first occurrences of LEAST_WORDS words or more (of the most, if
-    none holds so many).
+    spans are the passages' byte ranges; removed those of their windows that occur before; first_docs
+    the documents that hold the windows' first occurrences.
     """
-    rows = written(chunks(docs))
+    rows = written(places(docs))
     place = F.struct("doc_id", "start")
     # written, as a join whose sides are both exchanges can be split where a digest is hot
     twice = written(rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"))
     repeated = written(rows.join(twice, "digest", "left_semi"))
     firsts = written(repeated.groupBy("digest").agg(F.min(place).alias("first")))
-    met = repeated.join(firsts, "digest").select("doc_id", F.struct("start", "finish", "words", F.col("first.doc_id").alias("first_doc"), (place != F.col("first")).alias("later")).alias("c"))
+    met = repeated.join(firsts, "digest").select("doc_id", F.struct("start", "finish", "before", "upto", F.col("first.doc_id").alias("first_doc"), (place != F.col("first")).alias("later")).alias("c"))
     runs = met.groupBy("doc_id").agg(F.array_sort(F.collect_list("c")).alias("cs")).mapInArrow(_runs, _RUNS)
     return runs
 
@@ -108,32 +125,34 @@ _SPAN = "array<struct<start:int,finish:int>>"
 _RUNS = f"doc_id long, n_passages int, n_words long, n_removed_words long, spans {_SPAN}, removed {_SPAN}, first_docs array<long>"
 
 
+def _joined(windows: list[dict]) -> list[dict]:
+    """Overlapping windows as one; they come by start."""
+    out: list[dict] = []
+    for c in windows:
+        if out and c["start"] < out[-1]["finish"]:
+            if c["finish"] > out[-1]["finish"]:
+                out[-1] |= {"finish": c["finish"], "upto": c["upto"]}
+        else:
+            out.append({k: c[k] for k in ("start", "finish", "before", "upto")})
+    return out
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: runs of neighbouring repeated chunks that are long enough."""
+    """Per document: its passages and what to remove of them."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("finish", pa.int32())]))
+    words = lambda spans: sum(x["upto"] - x["before"] for x in spans)
     for batch in batches:
         out = []
         for doc, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            runs: list[list[dict]] = []
-            for c in found:
-                if runs and c["start"] <= runs[-1][-1]["finish"]:
-                    runs[-1].append(c)
-                else:
-                    runs.append([c])
-            runs = [r for r in runs if sum(c["words"] for c in r) >= LEAST_WORDS]
-            later: list[dict] = []
-            for c in (c for r in runs for c in r if c["later"]):
-                if later and later[-1]["finish"] >= c["start"]:
-                    later[-1]["finish"] = max(later[-1]["finish"], c["finish"])
-                else:
-                    later.append({"start": c["start"], "finish": c["finish"]})
-            shared: dict[int, int] = {}
-            for c in (c for r in runs for c in r if c["first_doc"] != doc):
-                shared[c["first_doc"]] = shared.get(c["first_doc"], 0) + c["words"]
-            enough = min(LEAST_WORDS, max(shared.values(), default=0))
-            firsts = sorted(d for d, words in shared.items() if words >= enough)
+            runs = [x for x in _joined(found) if x["upto"] - x["before"] >= LEAST_WORDS]
+            begins = [x["start"] for x in runs]
+            # passages do not overlap: a window is in the last one that begins before it, or in none
+            inside = [c for c in found if (k := bisect_right(begins, c["start"])) and c["finish"] <= runs[k - 1]["finish"]]
+            later = _joined([c for c in inside if c["later"]])
+            firsts = sorted({c["first_doc"] for c in inside if c["first_doc"] != doc and c["first_doc"] is not None})
             if runs:
-                out.append((doc, len(runs), sum(c["words"] for r in runs for c in r), sum(c["words"] for r in runs for c in r if c["later"]), [{"start": r[0]["start"], "finish": max(c["finish"] for c in r)} for r in runs], later, firsts))
+                ranges = [[{k: x[k] for k in ("start", "finish")} for x in y] for y in (runs, later)]
+                out.append((doc, len(runs), words(runs), words(later), *ranges, firsts))
         cols = list(zip(*out, strict=True)) or [[]] * 7
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), span, span, pa.list_(pa.int64()))
         names = ("doc_id", "n_passages", "n_words", "n_removed_words", "spans", "removed", "first_docs")

@@ -157,6 +157,28 @@ def test_long_repeats_are_caught_and_clean_texts_left(spark, docs, texts):
     assert sum(map(len, left.values())) < sum(map(len, texts.values()))
 
 
+def test_passages_stand_elsewhere_in_one_piece(spark):
+    rng = np.random.default_rng(8)
+    some = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9))) for _ in range(n))
+    phrases = [some(14) for _ in range(4)]
+    pieces = [b"".join(x[a:b] for a, b in zip(ends[:-1], ends[1:-1])).decode() for x in (p.encode() for p in phrases) if (ends := substring_dedup.chunk_ends(x))]
+    assert all(len(p.split()) < 16 for p in pieces) and len(" ".join(pieces).split()) >= 16
+    copied = some(60)
+    rows = [(i, f"{some(20)} {p} {some(20)}") for i, p in enumerate(phrases)] + [(10, f"{some(9)} {' '.join(phrases)} {some(9)}"), (20, f"{some(30)} {copied} {some(30)}"), (21, f"{some(8)} {copied}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring_dedup.repeated_passages(d).collect()}
+    assert set(got) == {20, 21} and got[21]["first_docs"] == [20] and got[20]["n_removed_words"] == 0
+    texts = dict(rows)
+    for i, r in got.items():
+        (s,) = r["spans"]
+        assert texts[i][s["start"] : s["finish"]] in texts[41 - i]
+        starts = [m.start() for m in re.finditer(r"\S+", texts[i])]
+        assert r["n_words"] == sum(s["start"] <= x < s["finish"] for x in starts) <= 61
+    assert {r["doc_id"]: r["text"] for r in substring_dedup.deduplicate(d).collect()}[10] == texts[10]
+    copies = spark.createDataFrame([(2 * i + k, t) for i, t in enumerate(some(n) for n in range(16, 56)) for k in (0, 1)], "doc_id long, text string")
+    assert [r["text"] == "" for r in substring_dedup.deduplicate(copies).orderBy("doc_id").collect()] == [False, True] * 40
+
+
 def test_substring_odd_rows(odd, none):
     rows = {r["doc_id"]: r for r in substring_dedup.repeated_passages(odd).collect()}
     assert {4, 5} <= set(rows) and not {1, 2, 3, 6, 7, 10} & set(rows)
