@@ -36,6 +36,14 @@ def vc_sqrt(intra: DataFrame) -> DataFrame:
     return rescaled(intra, row_sums(intra).withColumn("v", F.sqrt("v")))
 
 
+def _balanced_distributed(cells: DataFrame, resolution: int, c: int, size: int) -> DataFrame:
+    """(resolution, chr, bin, v) of one matrix, by Spark products; without rows if it cannot be balanced."""
+    found = balance_distributed(cells, size).vector
+    rows = [] if found is None else [(resolution, c, i, float(x)) for i, x in enumerate(found)]
+    v = inverted(cells.sparkSession.createDataFrame(rows, "resolution int, chr int, bin long, v double"))
+    return v.withColumn("v", F.nanvl("v", F.lit(None).cast("double")))  # null, as from one task
+
+
 def scale(intra: DataFrame, chroms: DataFrame, resolutions: tuple[int, ...]) -> DataFrame:
     """Balanced vectors per chromosome, coarse to fine: a chromosome that fails is skipped at finer sizes."""
     done, failed = None, None
@@ -43,7 +51,13 @@ def scale(intra: DataFrame, chroms: DataFrame, resolutions: tuple[int, ...]) ->
         part = intra.filter(F.col("resolution") == r)
         if failed:
             part = part.filter(~F.col("chr").isin(*failed))
-        v = scale_vectors(part, bins(chroms, (r,))).persist()
+        sizes = bins(chroms, (r,))
+        cells = part.groupBy("chr").count().filter(F.col("count") > CELLS_IN_TASK)
+        large = {x["chr"]: x["n_bins"] for x in cells.join(sizes, "chr").collect()}
+        v = scale_vectors(part.filter(~F.col("chr").isin(*large)) if large else part, sizes)
+        for c, size in large.items():
+            v = v.unionByName(_balanced_distributed(part.filter(F.col("chr") == c), r, c, size))
+        v = v.persist()
         ok = {x["chr"] for x in v.select("chr").distinct().collect()}
         failed = sorted({x["chr"] for x in part.select("chr").distinct().collect()} - ok | set(failed or ()))
         v = rescaled(part, v)
@@ -90,9 +104,7 @@ def whole_genome_vectors(cells: DataFrame, chroms: DataFrame, resolution: int, k
             whole = cells.sparkSession.createDataFrame([(resolution, 0, size)], "resolution int, chr int, n_bins long")
             v = scale_vectors(g, whole)
         else:
-            found = balance_distributed(g, size).vector
-            rows = [] if found is None else [(resolution, 0, i, float(x)) for i, x in enumerate(found)]
-            v = inverted(cells.sparkSession.createDataFrame(rows, "resolution int, chr int, bin long, v double"))
+            v = _balanced_distributed(g, resolution, 0, size)
         v = rescaled(g, v)
     return sliced(v, chroms, resolution)
 

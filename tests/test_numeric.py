@@ -94,6 +94,19 @@ def test_expected_totals_meet_observed(spark):
     assert all(abs(r["t"] - seen[r["chr"]]) < 1e-6 * seen[r["chr"]] for r in total.collect())
 
 
+def test_large_matrices_of_a_chromosome_are_balanced_by_products(spark, monkeypatch):
+    x, y, n, _ = matrix(100, 5)
+    cells = spark.createDataFrame([(1, 1, int(a), int(b), float(v)) for a, b, v in zip(x, y, n)], "resolution int, chr int, x long, y long, n double")
+    sizes = spark.createDataFrame([(1, 104)], "idx int, length long")
+    vector = lambda: {r["bin"]: r["v"] for r in norms.scale(cells, sizes, (1,)).collect()}
+    want = vector()
+    monkeypatch.setattr(norms, "CELLS_IN_TASK", 100)
+    monkeypatch.setattr(norms, "scale_vectors", lambda part, b: balance.scale_vectors(part.filter(F.lit(part.isEmpty())), b))
+    got = vector()
+    assert len(want) == 105 and set(got) == set(want) and np.allclose(np.array([got[k] for k in want], float), np.array(list(want.values()), float), equal_nan=True)
+    assert [k for k in got if got[k] is None] == [k for k in want if want[k] is None]
+
+
 def test_correlation_by_join_equals_the_dense_form(spark):
     c = rows.intra_cells(binning.bin_pairs(pairs(spark, SF).filter("chr1 = chr2"), 1_000_000))
     dense = {(r["chr"], r["x"], r["y"]): r["r"] for r in corr.pearson(c, "n").collect()}
