@@ -41,6 +41,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, written with a number of its own for every row, and that column's name: rows stay apart whatever their ids are."""
+    row = own_name(df, "row")
+    return written(df.withColumn(row, F.monotonically_increasing_id())), row
+
+
 def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     """Semi or anti join with a table of distinct ids, broadcast only when counted to be small."""
     if ids.count() <= BROADCAST_IDS:

@@ -21,7 +21,7 @@ all documents; it steers cost only, any order gives the same links.
 
 Work that would grow with the square of a group is avoided, not capped:
 
-1. documents with equal sets form a class, represented by its smallest doc_id;
+1. documents with equal sets form a class, represented by one row;
 2. in each list all members are compared with the list's centre only (linear), components
    are built from what links;
 3. only lists that still span several components are joined with themselves, across
@@ -30,9 +30,11 @@ Work that would grow with the square of a group is avoided, not capped:
 A pair left out has both ends in one component already, so components are exact.
 
 Defined cases: a null or wordless text has an empty set, size 0, and links with nothing;
-fewer than five words make one shingle; repeated doc_ids are treated as one node, each row
-is returned; an empty table gives an empty result; further columns are ignored by
-``link_components`` and kept by ``keep_one``.
+fewer than five words make one shingle; every row is a document of its own, also where rows
+share a doc_id or have none (a component's id is null only if none of its rows has a doc_id);
+of a component ``keep_one`` keeps the row of smallest doc_id, of equal ones the first, one without a
+doc_id last; an empty table gives an empty result; further columns, whatever their names, are
+ignored by ``link_components`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -41,17 +43,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlattice.llm.common import bounded_batches, by_ids, written
+from pairlattice.llm.common import bounded_batches, by_ids, numbered, written
 from pairlattice.llm.components import components
 from pairlattice.llm.shingles import WordHashes, shingle_set
 
 NUM, DEN, WORDS = 3, 4, 5
 #: Counters of the shared-shingle sketch, and the rows it is sent in.
 SKETCH_BITS, SKETCH_PARTS = 23, 32
+#: A list of more sets than SLICE_ROWS, by the sketch, is dealt in slices; a key's low bits tell the slice, from 1, and are 0 in an undivided list.
+SLICE_ROWS, SLICE_MASK = 1 << 14, (1 << 12) - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,8 +82,6 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, sketch, task = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32), 0
     none = lambda n, kind: pa.nulls(n, kind)
     seen = False
-    import xxhash
-
     for batch in batches:
         ids, size, digest = batch.column(0), [], []
         task = task or hash(str(ids[0] if len(ids) else 0)) & 15
@@ -116,6 +119,16 @@ def _shared_levels(sketch: np.ndarray) -> np.ndarray:
     return np.where(excess > 0, 1 + np.log2(np.maximum(excess, 1)).astype(np.int64) // 2, 0).astype(np.uint8)
 
 
+def _slices(levels: np.ndarray) -> np.ndarray:
+    """Into how many slices lists of these levels are dealt; 0 for undivided ones. A level bounds the count within a factor of 4."""
+    n = np.left_shift(np.uint64(1), np.minimum(2 * levels.astype(np.uint64), np.uint64(62))) // np.uint64(SLICE_ROWS)
+    return np.where(n > 1, np.minimum(n, np.uint64(SLICE_MASK)), np.uint64(0))
+
+
+def _whole_key(key: str):
+    return F.col(key).bitwiseAND(~SLICE_MASK)
+
+
 def choose_boundary(histogram: dict[int, int], list_length: float, post: float = 1.0, scan: float = 1.0, most: int = 64) -> int:
     """The size up to which sets enumerate subsets: least rows posted and list entries scanned over the histogram."""
 
@@ -138,7 +151,7 @@ def _postings(levels: np.ndarray, boundary: int):
     place is how many shingles of the set come before the shared one; for a subset, before its first
     possible position as a pair, so that one test serves both kinds.
     """
-    shift = np.uint64(64 - SKETCH_BITS)
+    shift, mask = np.uint64(64 - SKETCH_BITS), np.uint64(SLICE_MASK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -152,12 +165,17 @@ def _postings(levels: np.ndarray, boundary: int):
                 level = levels[(s >> shift).astype(np.int64)]
                 ordered = s if not level.any() else s[np.lexsort((s, level))]
                 prefix, out = n - _share(n) + 1, []
+                # rare shingles come first, so a set's least levels lead
+                slices = _slices(np.sort(level)[: prefix + 1])
+                own = np.uint64(xxhash.xxh64_intdigest(s.tobytes()))
+                nth = np.where(slices > 0, own % np.maximum(slices, np.uint64(1)) + np.uint64(1), np.uint64(0))
                 if n > boundary:
-                    out.append(ordered[:prefix])
+                    out.append(ordered[:prefix] & ~mask | nth[:prefix])
                     places.append(np.arange(prefix, dtype=np.int32))
                 if n * NUM <= boundary * DEN:
                     i, j = np.triu_indices(prefix + 1, 1)
-                    out.append(((ordered[i] ^ (ordered[i] >> np.uint64(31))) * _GOLD) ^ ordered[j])
+                    # a pair's list is no longer than that of its rarer shingle, which comes first
+                    out.append((((ordered[i] ^ (ordered[i] >> np.uint64(31))) * _GOLD) ^ ordered[j]) & ~mask | nth[i])
                     places.append((j - 1).astype(np.int32))
                 keys += out
                 lengths.append(sum(map(len, out)))
@@ -185,9 +203,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = np.where(start < 0, centre if centre is not None else 0, doc[at])
         cs = np.where(start < 0, centre_size if centre is not None else 0, size[at])
         cp = np.where(start < 0, centre_place if centre is not None else 0, place[at])
-        alone = new & np.concatenate((new[1:], [False]))
-        # a list that may have ended with this batch, or go on, waits for the next
-        waiting = (key[-1], doc[-1], size[-1], place[-1]) if new[-1] else None
+        # a list of one set links nothing, but for a slice of a longer list
+        alone = new & np.concatenate((new[1:], [False])) & (key & SLICE_MASK == 0)
+        # a list that may have ended with this batch, or go on, waits for the next; a slice's first set is given at once
+        waiting = (key[-1], doc[-1], size[-1], place[-1]) if new[-1] and key[-1] & SLICE_MASK == 0 else None
         keep = ~alone
         if waiting is not None:
             keep[-1] = False
@@ -239,18 +258,18 @@ def _may_link(size: str, place: str, other_size: str, other_place: str):
     return (F.col(place) + least <= F.col(size)) & (F.col(other_place) + least <= F.col(other_size))
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, representative), one row per row of docs (doc_id, text)."""
-    spark = docs.sparkSession
+def link_rows(texts: DataFrame) -> DataFrame:
+    """(row, n_shingles, component_id, survivor) of texts (row, doc_id, text), row being a number of its own per row of a written table."""
+    spark = texts.sparkSession
     bounded_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids, texts = texts.select("row", "doc_id"), texts.select(F.col("row").alias("doc_id"), "text")  # a row number is the id from here on
     first = written(texts.mapInArrow(_profiles, "doc_id long, size long, digest binary, part int, spread int, counts binary"))
     profile = first.filter("part is null").select("doc_id", "size", "digest")
     levels = _shared_levels(_sum_sketch(first.filter("part is not null").select("part", "spread", "counts")))
     classes = written(profile.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("representative"), F.min("size").alias("size"), F.count("*").alias("copies")))
     histogram = {r["size"]: r["n"] for r in classes.filter("size < 200").groupBy("size").agg(F.count("*").alias("n")).collect()}
     boundary = choose_boundary(histogram, list_length=1.0 + float((levels > 0).mean()) * 8)
-    copied = profile.join(classes.filter("copies > 1").select("digest", "representative"), "digest").filter("doc_id <> representative").select("doc_id").distinct()
+    copied = profile.join(classes.filter("copies > 1").select("digest", "representative"), "digest").filter("doc_id <> representative").select("doc_id")
     own = by_ids(texts, written(copied), "doc_id", "left_anti")
 
     spread = spark.sparkContext.broadcast(levels)
@@ -258,12 +277,16 @@ def link_components(docs: DataFrame) -> DataFrame:
     by_key = postings.repartition("key").sortWithinPartitions("key", "rare", "size", "doc_id").select("key", "doc_id", "size", "place")
     lists = written(by_key.mapInArrow(_stars, "key long, doc_id long, size int, place int, centre long, centre_size int, centre_place int"))
     stars = lists.filter("doc_id <> centre").filter(_may_link("size", "place", "centre_size", "centre_place")).select(F.least("doc_id", "centre").alias("u"), F.greatest("doc_id", "centre").alias("v"))
+    # slices of one list: their centres meet the least of them
+    heads = lists.filter(F.col("key").bitwiseAND(SLICE_MASK) > 0).select(_whole_key("key").alias("list"), F.struct(F.col("centre_size").alias("size"), F.col("centre").alias("id"), F.col("centre_place").alias("place")).alias("head")).distinct()
+    met = heads.join(heads.groupBy("list").agg(F.min("head").alias("least")), "list").filter("head.id <> least.id").filter(_may_link("head.size", "head.place", "least.size", "least.place"))
+    stars = stars.unionByName(met.select(F.least("head.id", "least.id").alias("u"), F.greatest("head.id", "least.id").alias("v")))
     stars = written(stars.distinct())
     links = written(_verify(stars, own))
     comp = written(components(links))
 
     # lists that still span components: pairs across them
-    member = lists.select("key", "doc_id", "size", "place").join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    member = lists.select(_whole_key("key").alias("key"), "doc_id", "size", "place").join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     member = written(member)
     mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     open_ = member.join(mixed, "key", "left_semi")
@@ -274,20 +297,30 @@ def link_components(docs: DataFrame) -> DataFrame:
     more = _verify(cross, own)
     comp = written(components(links.unionByName(written(more))))
 
-    of_class = classes.join(comp.withColumnRenamed("id", "representative"), "representative", "left").select("digest", "representative", F.coalesce("component", "representative").alias("component_id"))
-    out = profile.join(of_class, "digest", "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("representative", "doc_id").alias("representative"))
+    # rows of one component, and the one of smallest doc_id among them
+    of_class = classes.join(comp.withColumnRenamed("id", "representative"), "representative", "left").select("digest", F.coalesce("component", "representative").alias("component"))
+    rows = written(profile.join(of_class, "digest", "left").select(F.col("doc_id").alias("row"), "size", F.coalesce("component", "doc_id").alias("component")).join(ids, "row"))
+    least = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"))
+    return rows.join(least, "component").select("row", "doc_id", F.col("size").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("survivor"))
+
+
+def link_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of docs (doc_id, text)."""
+    texts, row = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return link_rows(texts.select(F.col(row).alias("row"), "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one of smallest doc_id."""
-    gone = link_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return by_ids(docs, written(gone), "doc_id", "left_anti")
+    """docs with one row of each component: the one of smallest doc_id."""
+    names = docs.columns
+    docs, row = numbered(docs)
+    linked = link_rows(docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    gone = linked.filter("row <> survivor").select(F.col("row").alias(row))
+    return by_ids(docs, written(gone), row, "left_anti").select(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return link_components(docs).select("doc_id", "n_shingles", "component_id")
+    return link_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 #: The same rows by comparing every pair that shares a shingle.

@@ -15,8 +15,9 @@ any part of the rows.
 
 Defined cases: a null text has size 0; a null source is a source of its own and comes
 last; a document of size 0 has its copies counted like the others, they take no words;
-rows repeated exactly stay separate rows; an empty table gives an empty result; columns
-beyond those named are ignored by ``plan_copies`` and kept by ``mix``.
+rows repeated exactly stay separate rows, each with a place of its own, also where they share a doc_id or
+have none; one text in two sources counts in each; an empty table gives an empty result; columns
+beyond those named are ignored by ``plan_copies`` and kept by ``mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairlattice.llm.common import WORD, written
+from pairlattice.llm.common import WORD, own_name, written
 
 WEIGHTS = (3, 1, 2)
 #: Rows ranked together at most, in expectation, whatever a source or a size holds.
@@ -66,8 +67,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return per.select("source", "source_size", target.alias("target"))
 
 
-def plan_copies(docs: DataFrame, seed: int = 1, **targets) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row per row of docs (doc_id, text, source)."""
+def _planned(docs: DataFrame, seed: int, targets: dict) -> DataFrame:
+    """docs (doc_id, source, text) as (doc_id, source, size, source_size, target, place, rate, offset, tie), row by row."""
     sized = written(docs.select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).alias("n"), _tie(seed).alias("tie")).select("doc_id", "source", F.coalesce("n", F.lit(0)).cast("long").alias("size"), "tie"))
     slices = max(8, sized.count() // SLICE_ROWS)
     sized = sized.withColumn("slice", (F.conv(F.substring("tie", 1, 7), 16, 10).cast("long") * slices / F.lit(1 << 28)).cast("long"))
@@ -87,19 +88,43 @@ def plan_copies(docs: DataFrame, seed: int = 1, **targets) -> DataFrame:
     place = F.col("rank") + F.col("before_slice") + F.col("before_size")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = (_hash60(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("d.source"), F.lit("")))) % 1048576) / F.lit(1048576.0)
-    copies = (F.floor(place * rate + offset) - F.floor((place - 1) * rate + offset)).cast("long")
-    out = out.select("d.doc_id", "d.source", "d.size", "source_size", "target", copies.alias("copies"), "tie")
+    return out.select("d.doc_id", "d.source", "d.size", "source_size", "target", place.alias("place"), rate.alias("rate"), offset.alias("offset"), "tie")
+
+
+def _copies(first, last) -> Column:
+    """Whole numbers crossed by the steps of the documents after place first, up to place last."""
+    return (F.floor(last * F.col("rate") + F.col("offset")) - F.floor(first * F.col("rate") + F.col("offset"))).cast("long")
+
+
+def plan_copies(docs: DataFrame, seed: int = 1, **targets) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken, tie: one row per row of docs (doc_id, text, source)."""
+    out = _planned(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text"), seed, targets)
+    out = out.withColumn("copies", _copies(F.col("place") - 1, F.col("place")))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "tie")
 
 
 def mix(docs: DataFrame, seed: int = 1, **targets) -> DataFrame:
-    """docs with every row repeated as often as the mix takes it; of rows with one doc_id and text, each gets its own count."""
-    nth = lambda *order: F.row_number().over(W.partitionBy("doc_id", "mix_tie").orderBy(*order))
-    plan = plan_copies(docs, seed, **targets).select("doc_id", F.col("tie").alias("mix_tie"), F.col("copies").alias("mix_copies")).withColumn("mix_nth", nth("mix_copies"))
-    keyed = docs.withColumn("mix_tie", _tie(seed)).withColumn("mix_nth", nth("source")).alias("d")
-    plan = plan.filter("mix_copies > 0").alias("p")
-    met = keyed.join(plan, [F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")), F.col("d.mix_tie") == F.col("p.mix_tie"), F.col("d.mix_nth") == F.col("p.mix_nth")])
-    return met.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("p.mix_copies").cast("int")))).select("d.*").drop("mix_tie", "mix_nth")
+    """docs with every row repeated as often as the mix takes it.
+
+    Rows of one doc_id, source and text have neighbouring places. Where there are several, equal rows are
+    counted (combined before they are shuffled), and each kind of row takes the copies of as many of these places.
+    """
+    names = docs.columns
+    tie, nth = own_name(docs, "tie"), own_name(docs, "nth")
+    plan = _planned(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text"), seed, targets)
+    plan = plan.groupBy("doc_id", "source", "tie").agg(F.count("*").alias("rows"), (F.min("place") - 1).alias("before"), F.first("rate").alias("rate"), F.first("offset").alias("offset"))
+    plan = written(plan.filter((F.col("rows") > 1) | (_copies(F.col("before"), F.col("before") + 1) > 0)))
+    place = plan.select("before", "rate", "offset", F.struct("doc_id", "source", "tie").alias("p"), "rows")
+    keyed = docs.withColumn(tie, _tie(seed))
+    met = keyed.select(F.struct(*names).alias("d"), tie, F.col("doc_id").alias("i"), F.col("source").cast("string").alias("s")).join(place, [F.col("i").eqNullSafe(F.col("p.doc_id")), F.col("s").eqNullSafe(F.col("p.source")), F.col(tie) == F.col("p.tie")])
+    single = met.filter("rows = 1").withColumn("copies", _copies(F.col("before"), F.col("before") + 1))
+    out = single.select("d", "copies")
+    if not plan.filter("rows > 1").isEmpty():
+        kinds = met.filter("rows > 1").groupBy("d", "p", "before", "rate", "offset").agg(F.count("*").alias("same"))
+        upto = F.sum("same").over(W.partitionBy("p").orderBy(F.to_json("d")).rowsBetween(W.unboundedPreceding, 0))
+        kinds = kinds.withColumn("upto", upto).withColumn("copies", _copies(F.col("before") + F.col("upto") - F.col("same"), F.col("before") + F.col("upto")))
+        out = out.unionByName(kinds.filter("copies > 0").select("d", "copies"))
+    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("d.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,20 +1,30 @@
 """Quality rules: fixed base rules, then robust multivariate outliers per language and source.
 
-Each document gets a vector of six transformed statistics. Per group a minimum-covariance-
-determinant estimate is made by concentration steps on DataFrames: from a median start the
-rows of the smaller distances (``SUBSET`` of the group) give the next mean and covariance,
-``STEPS`` times. A document is rejected if its squared Mahalanobis distance to its group's
-estimate is above ``CUTOFF`` (the 0.9999 quantile of chi-square with six degrees). Sums, counts and quantile sketches are combined before they are
-shuffled, so a group may hold any part of the rows; only sums per group leave a task.
+Each document gets a vector of six transformed statistics. Per group the minimum-covariance-
+determinant estimate is sought by concentration steps on DataFrames, from several starts that
+are computed from all rows (``starts``). A step takes the ``SUBSET`` of the group's rows with
+the smallest distances and makes the next mean and covariance of them, which cannot raise the
+determinant; it is repeated until no group's determinant falls any more. Of the starts the
+least determinant wins, and the estimate is reweighted: mean and covariance of the rows within
+the 0.975 quantile of chi-square, made consistent for normal samples. Where a statistic hardly
+varies in a group, its deviation is raised to ``FLOOR``; other deviations stay as estimated. A document
+is rejected if its squared Mahalanobis distance is above ``CUTOFF`` (the 0.9999 quantile of
+chi-square with six degrees).
+
+Statistics, centres and start vectors are multiples of 1/1024, so sums of them and of their products are
+exact in double precision and do not depend on the order of rows; quantiles come from counts
+per step of a fixed grid. So partitions do not change what is kept. Counts and sums are
+combined before they are shuffled, so a group may hold any part of the rows.
 
 Groups are (lang, source); one with under ``LEAST_ROWS`` documents that pass the base rules
 takes its language's estimate, a language with fewer takes that of all documents, and under
 ``LEAST_ROWS`` documents in all none is rejected by this rule. A null language or source is a
 value of its own.
 
-Defined cases: a null, empty or blank text has no words and fails the base rules; repeated
+Defined cases: a null, empty or blank text has no words and fails the base rules; every row is
+judged by its own text, language and source, whatever its doc_id is or who shares it; repeated
 rows each count and each get a row; an empty table gives an empty result; further columns
-are ignored by ``judge`` and kept by ``keep_good``.
+are ignored by ``judge`` and kept by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,19 +36,26 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairlattice.llm.common import bounded_batches, by_ids, written
+from pairlattice.llm.common import BROADCAST_IDS, bounded_batches, by_ids, own_name, written
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: The estimate: statistics, share of rows in the subset, steps, rows a group needs.
+#: The estimate: statistics, share of rows in the subset, rows a group needs.
 STATS = ("z_length", "z_symbols", "z_upper", "z_marks", "z_lines", "z_repeats")
-SUBSET, STEPS, LEAST_ROWS = 0.75, 4, 100
+SUBSET, LEAST_ROWS, STARTS = 0.75, 100, 3
+#: Steps end when no determinant falls by more than this share of itself; a bound on their number, which is not met in practice.
+SETTLED, MOST_STEPS = 5e-3, 60
 #: Least standard deviation per statistic, so that one that is constant in a group rejects only large departures.
-FLOOR = (0.3, 0.05, 0.06, 0.06, 0.14, 0.22)
-CUTOFF = 27.86
+FLOOR = (0.3, 0.05, 0.06, 0.06, 0.1, 0.12)
+#: Share of the floor that keeps covariances invertible during the steps.
+RIDGE = 0.1
+CUTOFF, REWEIGHT, REWEIGHT_SHARE = 27.86, 14.45, 0.975
+#: Statistics and centres are whole numbers of this part; steps of the grids of distances per doubling.
+UNIT, GRID = 1024, 256
 
 _ASCII = {name: np.isin(np.arange(256), np.frombuffer(chars, np.uint8)) for name, chars in {"space": b" \t\n\x0b\x0c\r", "symbols": SYMBOLS, "upper": bytes(range(65, 91)), "marks": b"!?\"'()+-/0123456789:;=@[]\\^_`{}~"}.items()}
 _CONTINUES = (np.arange(256) & 0xC0) == 0x80
@@ -56,8 +73,12 @@ def statistics(text: str | None) -> tuple:
     n_dup = len(lines) - len(set(lines))
     repeated = 0
     if n >= 3:
-        h = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
-        w = (h[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ (h[1:-1] >> np.uint64(7))) * np.uint64(0xBF58476D1CE4E5B9) + h[1:-1] * np.uint64(0x94D049BB133111EB) + h[2:]
+        number: dict[bytes, int] = {}
+        h = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n).view(np.uint64)
+        # words are numbered, so windows are told apart exactly: a pair's number, then the pair with the third word
+        base = np.uint64(len(number))
+        pair = np.unique(h[:-1] * base + h[1:], return_inverse=True)[1].astype(np.uint64)
+        w = pair[:-1] * base + h[2:]
         order = np.argsort(w)
         s = w[order]
         same = s[1:] == s[:-1]
@@ -73,23 +94,29 @@ def statistics(text: str | None) -> tuple:
     symbols, upper, marks = of("symbols"), of("upper"), of("marks")
     # shares are shrunk a little, so that short texts scatter less
     z = (chars / (n + 1), math.sqrt(symbols / (chars + 50)), math.sqrt(upper / (chars + 50)), math.sqrt(marks / (chars + 50)), math.sqrt(n_dup / (len(lines) + 4)), math.sqrt(repeated / (n + 20)))
-    return (n, chars, symbols, n_dup, repeated, *z)
+    return (n, chars, symbols, n_dup, repeated, *(round(x * UNIT) / UNIT for x in z))
+
+
+def verdict_key(docs: DataFrame):
+    """A digest of all that a row's verdict depends on: its language, source and text; an empty text counts as a null one."""
+    mark = lambda c: F.coalesce(F.concat(F.lit("="), docs[c].cast("string")), F.lit("-"))
+    return F.md5(F.concat_ws("\n", F.md5(mark("lang")), F.md5(mark("source")), F.coalesce(docs["text"], F.lit(""))))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the base figures, base_failed and the vector, a row per row of docs."""
+def measure(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, lang, source, the base figures, base_failed and the vector, a row per row of docs; if asked for, its verdict's key too."""
     bounded_batches(docs.sparkSession)
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*map(statistics, batch.column(3).to_pylist()), strict=True))
+            rows = list(zip(*map(statistics, batch.column(4).to_pylist()), strict=True))
             if rows:
                 kinds = [pa.int64()] * len(base) + [pa.float64()] * len(STATS)
-                yield pa.RecordBatch.from_pydict({k: batch.column(i) for i, k in enumerate(("doc_id", "lang", "source"))} | {k: pa.array(v, kind) for k, v, kind in zip((*base, *STATS), rows, kinds, strict=True)})
+                yield pa.RecordBatch.from_pydict({k: batch.column(i) for i, k in enumerate(("doc_id", "lang", "source", "key"))} | {k: pa.array(v, kind) for k, v, kind in zip((*base, *STATS), rows, kinds, strict=True)})
 
-    schema = "doc_id long, lang string, source string, " + ", ".join([f"{k} long" for k in base] + [f"{k} double" for k in STATS])
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text").mapInArrow(run, schema)
+    schema = "doc_id long, lang string, source string, key string, " + ", ".join([f"{k} long" for k in base] + [f"{k} double" for k in STATS])
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), (verdict_key(docs) if keyed else F.lit(None).cast("string")).alias("key"), "text").mapInArrow(run, schema)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -103,75 +130,186 @@ def consistency(p: int, share: float) -> float:
     return share / below(p + 2, lo)
 
 
-def _inverses(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per group: mean and inverse covariance from its sums (about the group's median)."""
-    p = len(STATS)
-    scale = consistency(p, SUBSET)
+P = len(STATS)
+_TRIANGLE = [(i, j) for i in range(P) for j in range(i, P)]
+
+
+def _symmetric(flat: np.ndarray) -> np.ndarray:
+    m = np.zeros((P, P))
+    m[np.triu_indices(P)] = flat
+    return m + m.T - np.diag(m.diagonal())
+
+
+def moments(sums: np.ndarray, n: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean (about the sums' centre) and covariance from sums of coordinates and of their products."""
+    mean = sums[:P] / n
+    return mean, _symmetric(sums[P:] / n) - np.outer(mean, mean)
+
+
+def floored(cov: np.ndarray) -> np.ndarray:
+    """cov with every deviation at least FLOOR: only what a statistic lacks is added."""
+    return cov + np.diag(np.maximum(np.square(FLOOR) - cov.diagonal(), 0.0))
+
+
+def _shape(centre, cov: np.ndarray, scale: float = 1.0) -> tuple[list[float], list[float], float]:
+    """(centre, upper triangle of the inverse with off-diagonal entries doubled, log of the determinant)."""
+    k = scale * cov + np.diag(np.square(RIDGE * np.array(FLOOR)))
+    inverse = np.linalg.inv(k)
+    flat = [float(inverse[i, j]) * (1 if i == j else 2) for i, j in _TRIANGLE]
+    return [float(x) for x in centre], flat, float(np.linalg.slogdet(k)[1])
+
+
+def _distance():
+    """The squared distance of a row's statistics by the columns centre and inverse."""
+    d = [f"({c} - centre[{i}])" for i, c in enumerate(STATS)]
+    return F.expr(" + ".join(f"{d[i]} * {d[j]} * inverse[{t}]" for t, (i, j) in enumerate(_TRIANGLE)))
+
+
+def _with(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+    return rows.join(F.broadcast(groups) if few else groups, "grp")
+
+
+def _sums(x: list[str]):
+    """An array of the sums of these expressions and of their products."""
+    return F.expr("array(" + ", ".join([f"sum({v})" for v in x] + [f"sum({x[i]} * {x[j]})" for i, j in _TRIANGLE]) + ")")
+
+
+#: Statistics about their group's median.
+_CENTRED = [f"({c} - median[{i}])" for i, c in enumerate(STATS)]
+
+
+def _at_counts(counts: DataFrame, keys: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(*keys, q): per key the least values at which the running count reaches these shares of all rows."""
+    run = W.partitionBy(*keys).orderBy(value)
+    held = counts.withColumn("held", F.sum("n").over(run)).withColumn("all", F.sum("n").over(W.partitionBy(*keys)))
+    return held.groupBy(*keys).agg(F.array(*[F.min(F.when(F.col("held") >= F.ceil(F.col("all") * s), F.col(value))) for s in shares]).alias("q"))
+
+
+def centres(rows: DataFrame) -> DataFrame:
+    """(grp, rows, median, spread): exact medians per group, and deviations from quartiles, at least FLOOR."""
+    counts = rows.select("grp", F.posexplode(F.array(*STATS)).alias("i", "z")).groupBy("grp", "i", "z").agg(F.count("*").alias("n"))
+    q = _at_counts(counts, ["grp", "i"], "z", (0.25, 0.5, 0.75)).withColumn("s", F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.array(*map(F.lit, FLOOR))[F.col("i")]))
+    flat = q.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("i", F.col("q")[1].alias("m"), "s"))).alias("a"))
+    sizes = counts.filter("i = 0").groupBy("grp").agg(F.sum("n").alias("rows"))
+    return flat.select("grp", F.col("a.m").alias("median"), F.col("a.s").alias("spread")).join(sizes, "grp")
+
+
+def starts(rows: DataFrame, middles: DataFrame, few: bool) -> DataFrame:
+    """(grp, start, median, centre, inverse, logdet, was): three starts per group, all about its median, of all its rows.
+
+    0: deviations from quartiles, without correlation; 1: the correlation of hyperbolic tangents of the standardised
+    statistics; 2: the covariance of their directions (spatial signs). 1 and 2 are scaled to the deviations.
+    """
+    at = _with(rows, middles, few)
+    u = [f"({x} / spread[{i}])" for i, x in enumerate(_CENTRED)]
+    length = "greatest(sqrt(" + " + ".join(f"{x} * {x}" for x in u) + "), 1e-9)"
+    whole = lambda x, name: f"round({x} * {UNIT}) / {UNIT} AS {name}"
+    forms = at.selectExpr("grp", *[whole(f"tanh({x})", f"t{i}") for i, x in enumerate(u)], *[whole(f"{x} / {length}", f"s{i}") for i, x in enumerate(u)])
+    both = [_sums([f"{k}{i}" for i in range(P)]).alias(k) for k in "ts"]
+    sums = forms.groupBy("grp").agg(*both).join(middles, "grp")
+
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                spread = np.array(r.spread, float)
+                for start, flat in enumerate((None, r.t, r.s)):
+                    cov = np.eye(P)
+                    if flat is not None:
+                        cov = moments(np.array(flat, float), r.rows)[1]
+                        own = np.sqrt(np.maximum(cov.diagonal(), 1e-6))
+                        cov = cov / np.outer(own, own) + 1e-3 * np.eye(P)
+                    out.append((r.grp, start, r.median, *_shape(r.median, cov * np.outer(spread, spread)), None))
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
+    return sums.mapInPandas(make, _ESTIMATE)
+
+
+_ESTIMATE = "grp string, start int, median array<double>, centre array<double>, inverse array<double>, logdet double, was double"
+_COLUMNS = [x.split()[0] for x in _ESTIMATE.split(", ")]
+
+
+def _refined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per group and start: the estimate of its subset, from the subset's sums about the group's median."""
+    scale = consistency(P, SUBSET)
     for f in frames:
-        rows = []
+        out = []
         for r in f.itertuples(index=False):
-            n, s = r.n, np.array(r.sums, float)
-            mean, cov = s[:p] / n, np.zeros((p, p))
-            cov[np.triu_indices(p)] = s[p:] / n
-            cov = cov + cov.T - np.diag(cov.diagonal()) - np.outer(mean, mean)
-            cov = scale * cov + np.diag(np.square(FLOOR))
-            rows.append((r.grp, (np.array(r.centre) + mean).tolist(), np.linalg.inv(cov).ravel().tolist()))
-        yield pd.DataFrame(rows, columns=["grp", "centre", "inverse"])
-
+            mean, cov = moments(np.array(r.sums, float), r.n)
+            out.append((r.grp, r.start, r.median, *_shape(np.array(r.median) + mean, cov, scale), r.was))
+        yield pd.DataFrame(out, columns=_COLUMNS)
 
-def _distance(p: int):
-    d = [F.col(STATS[i]) - F.col("centre")[i] for i in range(p)]
-    return sum(((d[i] * d[j]) * (F.col("inverse")[i * p + j] * (1 if i == j else 2)) for i in range(p) for j in range(i, p)), F.lit(0.0))
 
+def step(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
+    """One concentration step of every group and start.
 
-def _with(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    return by_ids(rows, groups, "grp", "inner")
+    Distances are counted per step of a fixed grid (``GRID`` a doubling); the subset is all rows up to the grid step
+    at which the running count reaches SUBSET of the group, so rows of equal distance stay together.
+    """
+    far = _with(rows, now, few).withColumn("cell", F.floor(F.log2(_distance() + 1e-9) * GRID))
+    counts = far.groupBy("grp", "start", "cell").agg(F.count("*").alias("n"))
+    cut = _at_counts(counts, ["grp", "start"], "cell", (SUBSET,)).select("grp", "start", F.col("q")[0].alias("cut"))
+    near = far.join(F.broadcast(cut) if few else cut, ["grp", "start"]).filter("cell <= cut")
+    # arrays are joined afterwards, so that the sums are made by a hash aggregate of doubles
+    sums = near.groupBy("grp", "start").agg(F.count("*").alias("n"), _sums(_CENTRED).alias("sums"))
+    sums = sums.join(now.select("grp", "start", "median", F.col("logdet").alias("was")), ["grp", "start"])
+    return sums.mapInPandas(_refined, _ESTIMATE)
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """(grp, centre, inverse, n): the estimate of each group of rows (grp, *STATS)."""
-    p = len(STATS)
-    tri = [(i, j) for i in range(p) for j in range(i, p)]
-    start = rows.groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(c) for c in STATS])
-    spread = [F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(f)) for c, f in zip(STATS, FLOOR, strict=True)]
-    flat = [F.pow(spread[i], -2) if i == j else F.lit(0.0) for i in range(p) for j in range(p)]
-    now = written(start.select("grp", "n", F.array(*[F.col(c)[1] for c in STATS]).alias("centre"), F.array(*flat).alias("inverse")))
-    sizes = now.select("grp", F.col("n").alias("rows"))
-    for _ in range(STEPS):
-        far = written(_with(rows, now.select("grp", "centre", "inverse")).select("grp", *STATS, "centre", _distance(p).alias("d2")))
-        cut = written(far.groupBy("grp").agg(F.percentile_approx("d2", SUBSET, 5000).alias("cut")))
-        near = _with(far, cut).filter("d2 <= cut")
-        x = [F.col(c) - F.col("centre")[i] for i, c in enumerate(STATS)]
-        sums = near.groupBy("grp").agg(F.count("*").alias("n"), F.min("centre").alias("centre"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"q{i}_{j}") for i, j in tri])
-        sums = sums.select("grp", "n", "centre", F.array(*[f"s{i}" for i in range(p)], *[f"q{i}_{j}" for i, j in tri]).alias("sums"))
-        now = written(sums.mapInPandas(_inverses, "grp string, centre array<double>, inverse array<double>"))
-    return now.join(sizes, "grp").withColumnRenamed("rows", "n")
-
-
-def judge(docs: DataFrame) -> DataFrame:
+    """(grp, centre, inverse, logdet): the reweighted estimate of each group of rows (grp, *STATS); logdet is that of the subset that won."""
+    middles = written(centres(rows))
+    few = middles.count() * STARTS <= BROADCAST_IDS
+    now = written(starts(rows, middles, few))
+    for n in range(MOST_STEPS):
+        now = written(step(rows, now, few))
+        if n and now.filter(F.col("logdet") < F.col("was") - SETTLED).isEmpty():
+            break
+    best = now.groupBy("grp").agg(F.min_by(F.struct("median", "centre", "inverse", "logdet"), F.struct("logdet", "start")).alias("e")).select("grp", "e.*")
+    won = written(best)
+    at = _with(rows, won, few)
+    near = at.filter(_distance() <= REWEIGHT)
+    sums = near.groupBy("grp").agg(F.count("*").alias("n"), _sums(_CENTRED).alias("sums")).join(won.select("grp", "median", "logdet"), "grp")
+    scale = consistency(P, REWEIGHT_SHARE)
+
+    def reweighted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                mean, cov = moments(np.array(r.sums, float), r.n)
+                inverse = np.linalg.inv(floored(scale * cov))
+                out.append((r.grp, (np.array(r.median) + mean).tolist(), [float(inverse[i, j]) * (1 if i == j else 2) for i, j in _TRIANGLE], r.logdet))
+            yield pd.DataFrame(out, columns=["grp", "centre", "inverse", "logdet"])
+
+    return sums.mapInPandas(reweighted, "grp string, centre array<double>, inverse array<double>, logdet double")
+
+
+def judge(docs: DataFrame, keyed: bool = False) -> DataFrame:
     """The rows of ``measure`` with d2 (null where no estimate applies) and kept."""
-    rows = written(measure(docs))
+    rows = written(measure(docs, keyed))
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     names = F.array(F.lit("*"), F.concat_ws("\t", F.lit("l"), part("lang")), F.concat_ws("\t", F.lit("s"), part("lang"), part("source")))
     good = rows.filter("not base_failed")
-    levels = written(good.select(F.explode(names).alias("grp"), *STATS))
-    large = written(levels.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_ROWS).select("grp"))
-    estimates = written(fit(_with(levels, large)).select("grp", "centre", "inverse"))
-    # each (lang, source) takes the finest of its groups that has an estimate
-    keys = rows.select("lang", "source", names.alias("names")).distinct().select("lang", "source", F.posexplode("names").alias("depth", "grp"))
-    finest = keys.join(estimates.select("grp"), "grp").groupBy("lang", "source").agg(F.max_by("grp", "depth").alias("grp"))
-    places = written(finest)
+    sizes = written(good.groupBy("lang", "source").agg(F.count("*").alias("n")).select("lang", "source", "n", F.posexplode(names).alias("depth", "grp")))
+    large = sizes.groupBy("grp").agg(F.sum("n").alias("rows")).filter(F.col("rows") >= LEAST_ROWS).select("grp")
+    # each (lang, source) takes the finest of its groups that is large enough; only groups that are taken get an estimate
+    keys = rows.select("lang", "source").distinct().select("lang", "source", F.posexplode(names).alias("depth", "grp"))
+    places = written(keys.join(large, "grp").groupBy("lang", "source").agg(F.max_by("grp", "depth").alias("grp")))
+    taken = written(places.select("grp").distinct())
+    levels = written(by_ids(good.select(F.explode(names).alias("grp"), *STATS), taken, "grp", "inner"))
+    estimates = fit(levels).select("grp", "centre", "inverse")
+    places = written(places.join(estimates, "grp", "left").drop("grp"))
     if places.count() <= 50_000:
         places = F.broadcast(places)
     at = rows.join(places, [rows["lang"].eqNullSafe(places["lang"]), rows["source"].eqNullSafe(places["source"])], "left").drop(places["lang"]).drop(places["source"])
-    met = by_ids(at, estimates, "grp", "left").withColumn("d2", _distance(len(STATS)))
-    return met.drop("grp", "centre", "inverse").withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF))
+    return at.withColumn("d2", _distance()).drop("centre", "inverse").withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without the rejected ones."""
-    gone = written(judge(docs).filter("not kept").select("doc_id").distinct())
-    return by_ids(docs, gone, "doc_id", "left_anti")
+    """docs without the rejected rows; rows of one language, source and text share their verdict."""
+    names, key = docs.columns, own_name(docs, "verdict")
+    gone = written(judge(docs, keyed=True).filter("not kept").select(F.col("key").alias(key)).distinct())
+    return by_ids(docs.withColumn(key, verdict_key(docs)), gone, key, "left_anti").select(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

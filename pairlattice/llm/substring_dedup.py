@@ -15,9 +15,10 @@ are the ones removed, so one occurrence of every chunk stays. A word counts wher
 is; a window that begins inside a word counts that part, a passage of fewer words does not count.
 
 Defined cases: a null or empty text has no chunks; in exact copies of LEAST_WORDS words or more the whole text is a passage;
-repeated rows (one doc_id twice) count as two places; texts that share nothing get no row in
-``repeated_passages`` and are kept unchanged by ``deduplicate``; an empty table gives an
-empty result; further columns are ignored, or kept by ``deduplicate``.
+every row is a text of its own, also where rows share a doc_id or have none (such rows are told apart by
+their number in the input; a null doc_id comes before all others), and gets a row of its own; texts that share
+nothing get no row in ``repeated_passages`` and are kept unchanged by ``deduplicate``; an empty table gives an
+empty result; further columns are ignored, or kept by ``deduplicate``, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlattice.llm.common import bounded_batches, by_ids, written
+from pairlattice.llm.common import bounded_batches, by_ids, numbered, own_name, written
 
 CUT_BITS, LEAST, MOST = 4, 16, 160
 LEAST_WORDS = 16
@@ -85,44 +86,54 @@ def windows(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return start, finish, count[start], count[finish]
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, text): tag is 0 where a doc_id has one row, else the row's own number (it compresses to nothing in most rows)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    several = written(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", F.lit(True).alias("several")))
+    number = F.monotonically_increasing_id() + 1
+    if several.isEmpty():
+        return docs.select("doc_id", F.when(F.col("doc_id").isNull(), number).otherwise(0).alias("tag"), "text")
+    return by_ids(docs, several, "doc_id", "left").select("doc_id", F.when(F.col("doc_id").isNull() | F.col("several"), number).otherwise(0).alias("tag"), "text")
+
+
 def places(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, start, finish, before, upto): a row per window of docs (doc_id, text); offsets in bytes of UTF-8."""
+    """(digest, doc_id, tag, start, finish, before, upto): a row per window of docs (doc_id, tag, text); offsets in bytes of UTF-8."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digest, found, lengths = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 found.append(windows(raw))
                 lengths.append(len(found[-1][0]))
                 digest += [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(found[-1][0].tolist(), found[-1][1].tolist(), strict=True)]
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(lengths)), lengths)))
+            at = pa.array(np.repeat(np.arange(len(lengths)), lengths))
             columns = [np.concatenate(x) if found else np.empty(0, np.int32) for x in (zip(*found, strict=True) if found else [()] * 4)]
-            yield pa.RecordBatch.from_pydict({"digest": np.array(digest, np.uint64).view(np.int64), "doc_id": ids} | dict(zip(("start", "finish", "before", "upto"), columns, strict=True)))
+            yield pa.RecordBatch.from_pydict({"digest": np.array(digest, np.uint64).view(np.int64), "doc_id": batch.column(0).take(at), "tag": batch.column(1).take(at)} | dict(zip(("start", "finish", "before", "upto"), columns, strict=True)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "digest long, doc_id long, start int, finish int, before int, upto int")
+    return docs.mapInArrow(run, "digest long, doc_id long, tag long, start int, finish int, before int, upto int")
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_passages, n_words, n_removed_words, spans, removed, first_docs): a row per document with a repeated passage.
+def repeated_passages(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(doc_id, tag, n_passages, n_words, n_removed_words, spans, removed, first_docs): a row per row with a repeated passage.
 
     spans are the passages' byte ranges; removed those of their windows that occur before; first_docs
-    the documents that hold the windows' first occurrences.
+    the documents that hold the windows' first occurrences. A column that numbers the rows may be named; it is then the tag.
     """
-    rows = written(places(docs))
-    place = F.struct("doc_id", "start")
+    texts = tagged(docs) if row is None else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("tag"), "text")
+    rows = written(places(texts))
+    place = F.struct("doc_id", "tag", "start")
     # written, as a join whose sides are both exchanges can be split where a digest is hot
     twice = written(rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"))
     repeated = written(rows.join(twice, "digest", "left_semi"))
     firsts = written(repeated.groupBy("digest").agg(F.min(place).alias("first")))
-    met = repeated.join(firsts, "digest").select("doc_id", F.struct("start", "finish", "before", "upto", F.col("first.doc_id").alias("first_doc"), (place != F.col("first")).alias("later")).alias("c"))
-    runs = met.groupBy("doc_id").agg(F.array_sort(F.collect_list("c")).alias("cs")).mapInArrow(_runs, _RUNS)
-    return runs
+    met = repeated.join(firsts, "digest").select("doc_id", "tag", F.struct("start", "finish", "before", "upto", F.col("first.doc_id").alias("first_doc"), (~place.eqNullSafe(F.col("first"))).alias("later")).alias("c"))
+    return met.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list("c")).alias("cs")).mapInArrow(_runs, _RUNS)
 
 
 _SPAN = "array<struct<start:int,finish:int>>"
-_RUNS = f"doc_id long, n_passages int, n_words long, n_removed_words long, spans {_SPAN}, removed {_SPAN}, first_docs array<long>"
+_RUNS = f"doc_id long, tag long, n_passages int, n_words long, n_removed_words long, spans {_SPAN}, removed {_SPAN}, first_docs array<long>"
 
 
 def _joined(windows: list[dict]) -> list[dict]:
@@ -143,7 +154,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = lambda spans: sum(x["upto"] - x["before"] for x in spans)
     for batch in batches:
         out = []
-        for doc, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc, tag, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             runs = [x for x in _joined(found) if x["upto"] - x["before"] >= LEAST_WORDS]
             begins = [x["start"] for x in runs]
             # passages do not overlap: a window is in the last one that begins before it, or in none
@@ -152,20 +163,21 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             firsts = sorted({c["first_doc"] for c in inside if c["first_doc"] != doc and c["first_doc"] is not None})
             if runs:
                 ranges = [[{k: x[k] for k in ("start", "finish")} for x in y] for y in (runs, later)]
-                out.append((doc, len(runs), words(runs), words(later), *ranges, firsts))
-        cols = list(zip(*out, strict=True)) or [[]] * 7
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), span, span, pa.list_(pa.int64()))
-        names = ("doc_id", "n_passages", "n_words", "n_removed_words", "spans", "removed", "first_docs")
+                out.append((doc, tag, len(runs), words(runs), words(later), *ranges, firsts))
+        cols = list(zip(*out, strict=True)) or [[]] * 8
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), span, span, pa.list_(pa.int64()))
+        names = ("doc_id", "tag", "n_passages", "n_words", "n_removed_words", "spans", "removed", "first_docs")
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], list(names))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with removed ranges cut out of their texts; only texts that lose something are moved."""
-    cuts = written(repeated_passages(docs).filter(F.size("removed") > 0).select("doc_id", "removed"))
-    names = docs.columns
+    docs, row = numbered(docs)
+    cuts = written(repeated_passages(docs, row).filter(F.size("removed") > 0).select(F.col("tag").alias(row), F.col("removed").alias(own_name(docs, "removed"))))
+    names = [c for c in docs.columns if c != row]
     at = names.index("text")
-    same = by_ids(docs, cuts.select("doc_id"), "doc_id", "left_anti").select(*names)
-    met = docs.join(cuts.withColumnRenamed("removed", "cdc_removed"), "doc_id").select(*names, "cdc_removed")
+    same = by_ids(docs, cuts.select(row), row, "left_anti").select(*names)
+    met = docs.join(cuts, row).select(*names, F.col(cuts.columns[1]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +191,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 texts.append((b"".join(out) + raw[done:]).decode("utf-8", "ignore"))
             yield batch.select(range(len(names))).set_column(at, "text", pa.array(texts, pa.string()))
 
-    return same.unionByName(met.mapInArrow(cut, docs.schema))
+    return same.unionByName(met.mapInArrow(cut, same.schema))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
