@@ -8,8 +8,9 @@ distribution over words and ends. As words depend on states through classes only
 forward recursion over classes, times each word's share of its class, is the text's exact
 likelihood.
 
-Every training document is read by every full Baum-Welch round; rounds on a hashed sample of
-documents come first and only choose where the full rounds start from. Tasks send expected
+Baum-Welch starts with one round on each of ``PARTS_FIRST`` parts of the training rows, so that these rounds
+together read every row once, at any size. Rounds over all training rows follow until the likelihood of
+a token gains less than ``SETTLED``, or ``ROUNDS`` were made. Tasks send expected
 counts (states by classes, a fixed size) that are added in two levels.
 
 A text is looked up word by word once, after counting, and written as two bytes a word with
@@ -43,7 +44,7 @@ from pairlattice.llm.common import bounded_batches, sum_arrays, sum_parts, writt
 
 STATES, SHARED_CLASSES = 8, 1024
 OWN_CLASS, SENT = 1 << 14, 1 << 19
-START_DOCS, START_ROUNDS, ROUNDS, SEED = 3000, 8, 2, 5
+PARTS_FIRST, ROUNDS, SETTLED, SEED = 8, 5, 0.002, 5
 #: Tokens whose recursion runs side by side, tokens gathered to choose texts of like length from, steps between scalings.
 TOGETHER, GATHERED, SCALED = 100_000, 1_500_000, 8
 FLUSH = 400_000
@@ -230,17 +231,17 @@ def padded(texts: list[np.ndarray], pad: int) -> np.ndarray:
     return x
 
 
-def expected_counts(model: Model, texts: list[np.ndarray], into: np.ndarray) -> None:
-    """Adds the forward-backward counts: K starts, K x K moves, then classes x K emissions.
+def expected_counts(model: Model, texts: list[np.ndarray], into: np.ndarray) -> float:
+    """Adds the forward-backward counts: K starts, K x K moves, then classes x K emissions. Gives the texts' log-likelihood.
 
     Forward and backward values are known up to a factor per step and text, which the posteriors'
     own sums take out.
     """
-    k, pad = STATES, len(model.emit) - 1
+    k, pad, likely = STATES, len(model.emit) - 1, 0.0
     for group in _groups(texts):
         x = padded([texts[i] for i in group], pad)
         alpha = np.empty((*x.shape, k))
-        forward(model, x, alpha)
+        likely += float(forward(model, x, alpha).sum())
         e = model.emit[x]
         after, gamma = np.empty_like(alpha), alpha.copy()  # after[t]: emission times backward value at t
         after[-1] = e[-1]
@@ -265,6 +266,7 @@ def expected_counts(model: Model, texts: list[np.ndarray], into: np.ndarray) ->
         counts = into[k + k * k :].reshape(pad, k)
         for s in range(k):
             counts[:, s] += np.bincount(flat, weights=g[:, s], minlength=pad + 1)[:pad]
+    return likely
 
 
 def next_model(lex: Lexicon, counts: np.ndarray) -> Model:
@@ -312,35 +314,60 @@ def _decoded(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
 
 
-def train_rounds(encoded: DataFrame, lex: Lexicon, model: Model, rounds: int) -> Model:
-    """Baum-Welch rounds over all rows of encoded (classes): counts are made in tasks and added across partitions."""
-    send, n_classes = encoded.sparkSession.sparkContext.broadcast, lex.n_classes
+def train_round(encoded: DataFrame, lex: Lexicon, model: Model) -> tuple[Model, float]:
+    """One Baum-Welch round over all rows of encoded (classes): the next model, and the mean log-likelihood of a token by this one.
+
+    Counts are made in tasks and added across partitions.
+    """
+    now = encoded.sparkSession.sparkContext.broadcast(model)
+    n = STATES + STATES**2 + lex.n_classes * STATES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(n + 2)  # then log-likelihood and tokens
+
+        def add(texts: list[np.ndarray]) -> None:
+            counts[n] += expected_counts(now.value, texts, counts[:n])
+            counts[n + 1] += sum(map(len, texts))
+
+        texts, held = [], 0
+        for batch in batches:
+            more = _decoded(batch.column(0))
+            texts += more
+            held += sum(map(len, more))
+            if held > GATHERED:
+                add(texts)
+                texts, held = [], 0
+        add(texts)
+        yield from sum_parts(counts)
+
+    counts = sum_arrays(encoded.select("classes").mapInArrow(run, "part int, spread int, counts binary"))
+    now.unpersist()
+    if not len(counts) or not counts[n + 1]:
+        return model, 0.0
+    return next_model(lex, counts[:n]), counts[n] / counts[n + 1]
+
+
+def train_model(encoded: DataFrame, lex: Lexicon, model: Model, rounds: int | None = None) -> Model:
+    """Rounds on the parts of encoded (row, classes), then full rounds until a token's likelihood settles."""
+    rounds = ROUNDS if rounds is None else rounds
+    for part in range(PARTS_FIRST):
+        model, _ = train_round(encoded.filter(F.pmod("row", F.lit(PARTS_FIRST)) == part), lex, model)
+    before = -math.inf
     for _ in range(rounds):
-        now = send(model)
-
-        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            counts = np.zeros(STATES + STATES**2 + n_classes * STATES)
-            texts, held = [], 0
-            for batch in batches:
-                more = _decoded(batch.column(0))
-                texts += more
-                held += sum(map(len, more))
-                if held > GATHERED:
-                    expected_counts(now.value, texts, counts)
-                    texts, held = [], 0
-            expected_counts(now.value, texts, counts)
-            yield from sum_parts(counts)
-
-        counts = sum_arrays(encoded.select("classes").mapInArrow(run, "part int, spread int, counts binary"))
-        model = next_model(lex, counts) if len(counts) else model
-        now.unpersist()
+        model, likely = train_round(encoded, lex, model)
+        if likely - before < SETTLED:
+            break
+        before = likely
     return model
 
 
 def baum_welch(docs: DataFrame, lex: Lexicon, model: Model, rounds: int) -> Model:
     """Rounds over all rows of docs (text)."""
     rows = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(False).alias("held_out"))
-    return train_rounds(written(encode(rows, lex)), lex, model, rounds)
+    encoded = written(encode(rows, lex))
+    for _ in range(rounds):
+        model, _ = train_round(encoded, lex, model)
+    return model
 
 
 def lex_end(lex: Lexicon) -> int:
@@ -358,10 +385,7 @@ def score(docs: DataFrame, held_out: str = "crc32(coalesce(cast(doc_id as string
     lex = lexicon(counts, n_train)
     encoded = written(encode(docs, lex))
     learned = encoded.filter("not held_out")
-    every = max(1, n_train // START_DOCS)
-    sample = written(learned.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("classes").coalesce(8))
-    model = train_rounds(sample, lex, first_model(lex), START_ROUNDS)
-    model = train_rounds(learned, lex, model, ROUNDS)
+    model = train_model(learned, lex, first_model(lex))
     sent_model, pad = spark.sparkContext.broadcast(model), lex.n_classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
