@@ -1,26 +1,37 @@
 """Personal data in whole texts: plain patterns, and an offset-preserving deobfuscation.
 
 ``base_spans`` finds e-mail addresses, IPv4 addresses, card and phone numbers as written.
-``hidden_spans`` runs a chain of transducers over the text. Each reads characters with their
-source ranges and writes characters with source ranges: (1) letters of other scripts and
-widths that look like ASCII become ASCII, invisible characters vanish; (2) spelled digits
-become digits and runs of them close up; (3) "[at]", "(dot)", " AT x DOT y" and the like
-become "@" and ".". The same patterns then run on the normalised text, and what they find is
-mapped back to source characters through the ranges. A hidden span is added only where no
-base span of its kind or another overlaps it; base spans always stay.
-
-A text in which no transducer changes anything has no hidden spans and is not read twice.
+``hidden_spans`` looks at the lines in which something looks disguised (no pattern crosses a line) and
+runs a chain of transducers over each. A transducer gives edits, ranges of its input and what
+stands for them; a tape keeps the edits, not positions of characters, so it is as long as what was disguised.
+
+1. ``plain_letters``: characters whose compatibility form (Unicode NFKC) is ASCII, homoglyphs of
+   other scripts (``HOMOGLYPHS``) and character references become ASCII, format characters vanish;
+2. ``plain_digits``: number words of English, German, French and Spanish (digits, teens, tens with their units,
+   "double" and "triple") become digits where four or more digits stand in a row; in numbers of mostly digits
+   letters that look like digits become those;
+3. ``plain_signs``: "[at]", "(dot)", " AT x DOT y" and the like become "@" and ".", between parts
+   of an address of any number of labels. A spoken "at" before a plain domain counts only if the
+   part before holds a digit or a sign, or a word like "mail" or "contact" stands shortly before;
+   what is left out: addresses spelled letter by letter, and those without any "at".
+
+The same patterns then run on the normalised line, and what they find is mapped back through the
+edits. A hidden span is added unless a base span, or another hidden one, holds all of it; so an address of which the
+plain pattern sees a part only is given whole, beside that part. Base spans always stay.
 
 Defined cases: a null or empty text has no spans; repeated rows each get a row; an empty
-table gives an empty result; very long digit or letter runs take linear time; further
+table gives an empty result; very long lines and digit, letter or label runs take linear time; further
 columns are ignored by ``find`` and kept by ``mask``.
 """
 
 from __future__ import annotations
 
-import hashlib
+import io
 import re
-from collections.abc import Iterator
+import unicodedata
+from array import array
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +44,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match can only start where a digit run starts, so the look-behind keeps long runs linear
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
-_CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
+_CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _ANY = re.compile(r"[0-9@]")
@@ -82,118 +93,309 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-# Letters that look like ASCII ones, per script.
-_LOOKALIKES = dict(
-    zip(
-        "АВЕКМНОРСТУХаеорсухіјѕԁԛԝһӏ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρ",
-        "ABEKMHOPCTYXaeopcyxijsdqwhl" + "ABEZHIKMNOPTYXovp",
-        strict=True,
-    )
-)
-_LOOKALIKES |= {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | {"．": ".", "。": ".", "․": ".", "‐": "-", "‑": "-", "–": "-", " ": " ", " ": " ", "　": " "}
-_LOOKALIKES |= {chr(start + i): str(i) for start in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for i in range(10)}
-_INVISIBLE = frozenset("​‌‍⁠﻿­")
-_DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-
-_STRANGE = re.compile("[" + "".join(map(re.escape, sorted({*_LOOKALIKES, *_INVISIBLE}))) + "]")
-_SPELLED = re.compile(r"(?i)(?<![A-Za-z])(?:zero|one|two|three|four|five|six|seven|eight|nine)(?![A-Za-z])")
-_DIGIT = r"(?:(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?![A-Za-z])|[0-9])"
-_SPELLED_RUN = re.compile(r"(?i)(?<![A-Za-z0-9])(plus[ -])?(" + _DIGIT + r"(?:[ -]?" + _DIGIT + r")*+)")
-_UNIT = re.compile(r"(?i)zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9]|[ -]")
-_DOT = r"(?:[ \t]?[\[({<][ \t]?(?:dot|punkt|punto|point|\.)[ \t]?[\])}>][ \t]?|[ \t]+(?:dot|DOT|Dot)[ \t]+|(?<=[ \t\])}>])\.(?=[A-Za-z0-9])|\.)"
-_AT = r"(?:[ \t]?[\[({<][ \t]?(?:at|AT|At|@|arroba|ät)[ \t]?[\])}>][ \t]?|[ \t]+(?:at|AT|At|@)[ \t]+|@)"
-_HINT = re.compile(r"(?i)[\[({<][ \t]?(?:at|@|arroba|ät)[ \t]?[\])}>]|[\[({<][ \t]?(?:dot|punkt|punto|point|\.)[ \t]?[\])}>]|[ \t]dot[ \t]|[ \t]@|@[ \t]")
-_ADDRESS = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:" + _DOT + r"[A-Za-z0-9_%+-]+){0,3})(" + _AT + r")([A-Za-z0-9-]+(?:" + _DOT + r"[A-Za-z0-9-]+){1,4})(?![A-Za-z0-9-])")
-_DOTTED_NUMBERS = re.compile(r"(?<![0-9])[0-9]{1,3}(?:" + _DOT + r"[0-9]{1,3}){3}(?![0-9])")
-_INNER_DOT = re.compile(_DOT)
-
-#: A text as characters with their source ranges.
-Tape = tuple[str, list[int], list[int]]
-
-
-def _tape(text: str) -> Tape:
-    return text, list(range(len(text))), list(range(1, len(text) + 1))
-
-
-def _rewrite(tape: Tape, edits: list[tuple[int, int, str]]) -> Tape:
-    """Replace ranges of the tape; each new character stands for the whole source range it came from."""
-    text, start, end = tape
-    out, s, e, done = [], [], [], 0
-    for a, b, new in edits:
-        out.append(text[done:a] + new)
-        s += start[done:a] + [start[a]] * len(new)
-        e += end[done:a] + [end[b - 1]] * len(new)
-        done = b
-    out.append(text[done:])
-    return "".join(out), s + start[done:], e + end[done:]
-
-
-def _plain_letters(tape: Tape) -> Tape:
-    return _rewrite(tape, [(m.start(), m.end(), _LOOKALIKES.get(m[0], "")) for m in _STRANGE.finditer(tape[0])])
-
-
-def _plain_digits(tape: Tape) -> Tape:
-    """Runs of at least four digits of which some are words; separators inside a run vanish."""
-    edits = []
-    for m in _SPELLED_RUN.finditer(tape[0]):
-        units = [u for u in _UNIT.finditer(m[2]) if u[0] not in " -"]
-        if len(units) >= 4 and any(len(u[0]) > 1 for u in units):
-            at = m.start(2)
-            if m[1]:
-                edits.append((m.start(1), m.end(1), "+"))
-            for i, u in enumerate(units):  # a digit takes the separator after it into its range, but for the last
-                to = units[i + 1].start() if i + 1 < len(units) else u.end()
-                edits.append((at + u.start(), at + to, _DIGIT_WORDS.get(u[0].lower(), u[0])))
-    return _rewrite(tape, edits)
-
-
-def _plain_signs(tape: Tape) -> Tape:
-    edits = []
-    for m in _ADDRESS.finditer(tape[0]):
-        spoken = m[2].strip(" \t").lower() in ("at", "@") and m[2] != "@"
-        tail = _INNER_DOT.split(m[3])[-1]
-        if not 2 <= len(tail) <= 24 or not tail.isalpha():
-            continue
-        if spoken and m[2].strip(" \t") != "@" and not re.search(r"(?i)dot|[\[({<]", m[3]):
-            continue  # "at" between words is no sign if the dot is an ordinary one
-        for i in (1, 3):
-            edits += [(m.start(i) + d.start(), m.start(i) + d.end(), ".") for d in _INNER_DOT.finditer(m[i]) if d[0] != "."]
-        if m[2] != "@":
-            edits.append((m.start(2), m.end(2), "@"))
-    for m in _DOTTED_NUMBERS.finditer(tape[0]):
-        edits += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _INNER_DOT.finditer(m[0]) if d[0] != "."]
-    edits.sort()
-    kept, done = [], 0
-    for x in edits:
-        if x[0] >= done:
-            kept.append(x)
-            done = x[1]
-    return _rewrite(tape, kept)
+# Letters of other scripts that look like ASCII ones and have no compatibility form.
+HOMOGLYPHS = {
+    "Cyrillic": ("АВЕЅІЈКМНОРСТУХЬаеорсухіјѕԁԛԝһӏѵгт", "ABESIJKMHOPCTYXbaeopcyxijsdqwhlvrt"),
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορυωϲϳ", "ABEZHIKMNOPTYXayiKvopuwcj"),
+    "Armenian": ("օոսցհԼՏՕ", "onughLSO"),
+    "Latin": ("ıɑɡɩʏᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡᴢℓ", "iagiYABCDEFGHIJKLMNOPRSTUVWZl"),
+    "signs": ("‐‑‒–—−∙·․。｡٫ꓸ", "------......."),
+}
+
+
+def _compatible() -> dict[int, str]:
+    """Characters outside ASCII that stand for ASCII ones by NFKC, or by the table above, and format characters, which stand for nothing."""
+    found = {}
+    for start, stop in ((0xA0, 0x3400), (0xA640, 0xAC00), (0xFB00, 0x10000), (0x1D400, 0x1D800), (0x1F100, 0x1F200), (0x1FBF0, 0x1FBFA)):
+        for code in range(start, stop):
+            c = chr(code)
+            if unicodedata.category(c) in ("Cf", "Mn") and (unicodedata.category(c) == "Cf" or 0xFE00 <= code <= 0xFE0F):
+                found[code] = ""
+            elif (digit := unicodedata.digit(c, None)) is not None and unicodedata.category(c) == "Nd":
+                found[code] = str(digit)
+            elif (plain := unicodedata.normalize("NFKC", c)) != c and plain.isascii() and plain.isprintable() and c not in "ªº¹²³":
+                found[code] = plain
+    for ours, plain in HOMOGLYPHS.values():
+        found |= {ord(c): p for c, p in zip(ours, plain, strict=True)}
+    return found
+
+
+_PLAIN = _compatible()
+_ONE_TO_ONE = {c: p for c, p in _PLAIN.items() if len(p) == 1}
+
+
+def _class(codes: list[int]) -> str:
+    """A character class of ranges."""
+    out, codes = [], sorted(codes)
+    for i, c in enumerate(codes):
+        if i and codes[i - 1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" if a < b else re.escape(chr(a)) for a, b in out) + "]"
+
+
+_STRANGE = re.compile(_class(list(_PLAIN)))
+_LENGTHENED = re.compile(_class([c for c, p in _PLAIN.items() if len(p) != 1]))
+_REFERENCE = re.compile(r"&(?:#[xX]0*+([0-9A-Fa-f]{2})|#0*+([0-9]{2,3})|(commat|period|lowbar|hyphen|dash|plus|nbsp));?")
+_NAMED = {"commat": "@", "period": ".", "lowbar": "_", "hyphen": "-", "dash": "-", "plus": "+", "nbsp": " "}
+
+#: Number words per language, digits, then ten to nineteen, then tens.
+DIGIT_WORDS = {
+    "en": ("zero one two three four five six seven eight nine", "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen", "twenty thirty forty fifty sixty seventy eighty ninety"),
+    "de": ("null eins zwei drei vier fünf sechs sieben acht neun", "zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn", "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig"),
+    "fr": ("zéro un deux trois quatre cinq six sept huit neuf", "dix onze douze treize quatorze quinze seize dix-sept dix-huit dix-neuf", "vingt trente quarante cinquante soixante"),
+    "es": ("cero uno dos tres cuatro cinco seis siete ocho nueve", "diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve", "veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa"),
+}
+_MORE_DIGITS = {"oh": "0", "nought": "0", "zwo": "2", "fuenf": "5", "zero": "0", "une": "1"}
+
+
+def _number_words() -> tuple[dict[str, str], dict[str, str]]:
+    """Words of one digit, and words of two; tens take the unit after them, German units come first."""
+    units, two = dict(_MORE_DIGITS), {}
+    for digits, teens, tens in DIGIT_WORDS.values():
+        units |= {w: str(i) for i, w in enumerate(digits.split())}
+        two |= {w: str(10 + i) for i, w in enumerate(teens.split())}
+        two |= {w: str(20 + 10 * i) for i, w in enumerate(tens.split())}
+    german = DIGIT_WORDS["de"]
+    for i, unit in enumerate(["ein", *german[0].split()[2:]], 1):
+        two |= {f"{unit}und{w}": str(20 + 10 * j + i) for j, w in enumerate(german[2].split())}
+    return units, two
+
+
+_UNITS, _TWO = _number_words()
+_TENS = {w for w, v in _TWO.items() if v[1] == "0" and v != "10"}
+_words = lambda words: "|".join(sorted(map(re.escape, words), key=len, reverse=True))
+_NUMBER = re.compile(rf"(?<![^\W0-9_])(?:({_words(_TENS)})(?:-et-|-|\x20(?:et|y)\x20|\x20)({_words(_UNITS)})|({_words([*_UNITS, *_TWO])}|double|triple))(?![^\W0-9_])|([0-9]+)")
+_GAP = re.compile(r"[\x20().,-]*+")
+_NUMBER_WORDS = frozenset(y for x in (*_UNITS, *_TWO, "double", "triple") for y in x.split("-"))
+
+
+_CAPITALS = {c: c + 32 for c in (*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF))}
+
+
+def _lower(text: str) -> str:
+    """Small letters, place by place."""
+    return text.lower() if text.isascii() else text.translate(_CAPITALS)
+
+
+def _spells(text: str) -> bool:
+    """Whether a number word is followed by another one or by digits; long texts are read piece by piece."""
+    at, words = 0, []
+    while at < len(text):
+        end = text.find(" ", at + (1 << 20))
+        plain = text[at : len(text) if end < 0 else end].lower()
+        for sign in "-,.()":
+            plain = plain.replace(sign, " ")
+        words = words[-2:] + plain.split()
+        hits, i = bytes(map(_NUMBER_WORDS.__contains__, words)), -1
+        while (i := hits.find(1, i + 1)) >= 0:
+            after = words[i + 1 : i + 3]
+            if after and (after[0] in _NUMBER_WORDS or after[0][:1].isdigit() or (after[0] in ("et", "y") and after[-1] in _NUMBER_WORDS)):
+                return True
+        at = len(text) if end < 0 else end
+    return False
+
+
+#: Letters that are written for digits.
+_LIKE_DIGITS = str.maketrans("OoQIl|SBZ", "000111582")
+_MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OoQIl|SBZ](?:[\x20().-]*+[0-9OoQIl|SBZ])++(?![A-Za-z0-9])")
+_MIXED_HINT = re.compile(r"[0-9][OoQIl|SBZ]|[OoQIl|SBZ][0-9]|[OoQIl|][.\x20-][0-9]|[0-9][.\x20-][OoQIl|](?![A-Za-z])")
+
+_DOT_WORD = r"(?:dot|d0t|punkt|punto|point)"
+_DOT = rf"(?:[ \t]*+[\[({{<][ \t]*+(?:{_DOT_WORD}|\.)[ \t]*+[\])}}>][ \t]*+|[ \t]++{_DOT_WORD}[ \t]++|(?<=[ \t\])}}>])\.(?=[A-Za-z0-9])|\.)"
+_LOCAL_CHAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*+", re.I)
+_DOMAIN_CHAIN = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)++(?![A-Za-z0-9_@])", re.I)
+_AT = re.compile(r"[ \t]*+[\[({<][ \t]*+(?:at|@|arroba|ät|a|chez|bei)[ \t]*+[\])}>][ \t]*+|[ \t]++(?:at|@|arroba|ät)[ \t]++|[ \t]++@|@[ \t]*+", re.I)
+_HINT = re.compile(rf"[\[({{<][ \t]*(?:at|@|arroba|ät|a|chez|bei|{_DOT_WORD}|\.)[ \t]*[\])}}>]|[ \t]{_DOT_WORD}[ \t]|[ \t]@|@[ \t]|[ \t](?:at|arroba)[ \t]+[A-Za-z0-9-]+\.[A-Za-z]", re.I)
+_CUE = re.compile(r"(?i)(?:mail|courriel|correo|contact|kontakt|write|reach|adress|address|adresse)[a-z]*[^A-Za-z0-9]+(?:[a-z]+[^A-Za-z0-9]+)?(?:[a-z]+[^A-Za-z0-9]+)?$")
+_DOTTED_NUMBERS = re.compile(rf"(?<![0-9])[0-9]++(?:{_DOT}[0-9]++){{3}}(?![0-9])", re.I)
+_INNER_DOT = re.compile(_DOT, re.I)
+
+Edit = tuple[int, int, str]
+
+
+class Tape:
+    """A line as rewritten so far, and how to get back: per rewrite, where its edits stand in its output and its input."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.layers = text, []
+
+    def rewrite(self, edits: Iterable[Edit]) -> None:
+        """Edits come in order and do not overlap; they are kept as four numbers each."""
+        out, done, size = io.StringIO(), 0, 0
+        layer = begin, finish, source, upto = tuple(array("i") for _ in range(4))
+        for a, b, new in edits:
+            out.write(self.text[done:a])
+            out.write(new)
+            size += a - done
+            begin.append(size)
+            size += len(new)
+            finish.append(size)
+            source.append(a)
+            upto.append(b)
+            done = b
+        if begin:
+            out.write(self.text[done:])
+            self.text = out.getvalue()
+            self.layers.append(layer)
+
+    def back(self, start: int, end: int) -> tuple[int, int]:
+        """The range of the first text that a range of the last one came from; an edit counts whole."""
+        for begin, finish, source, upto in reversed(self.layers):
+            # edits that vanish may lie at a border; they count as outside
+            i = bisect_right(begin, start) - 1
+            j = bisect_left(begin, end) - 1
+            at = start if i < 0 else source[i] if start < finish[i] else start - finish[i] + upto[i]
+            end = end if j < 0 else upto[j] if end <= finish[j] and begin[j] < finish[j] else end - finish[j] + upto[j]
+            start = at
+        return start, end
+
+
+def plain_letters(tape: Tape) -> None:
+    """Look-alike characters; those that keep the length need no edit. Then character references."""
+    if not tape.text.isascii():
+        tape.rewrite((m.start(), m.end(), _PLAIN[ord(m[0])]) for m in _LENGTHENED.finditer(tape.text))
+        tape.text = tape.text.translate(_ONE_TO_ONE)
+
+    def references(text: str) -> Iterator[Edit]:
+        for m in _REFERENCE.finditer(text):
+            code = int(m[1], 16) if m[1] else int(m[2]) if m[2] else None
+            if m[3] or 32 < code < 127:
+                yield m.start(), m.end(), _NAMED[m[3]] if m[3] else chr(code)
+
+    tape.rewrite(references(tape.text))
+
+
+def _number_edits(text: str) -> Iterator[Edit]:
+    """Edits of a text in small letters: in runs of numbers, of which some are words, with four digits or more."""
+    waiting: list[Edit] = []  # until the run has a word and four digits
+    last: tuple[int, int, bool, str] | None = None  # the number before: where it starts and ends, whether it is a word, its digits
+    word, digits, sure, times = False, 0, False, 1
+    for x in _NUMBER.finditer(text):
+        start, is_word, name = x.start(), not x[4], x[3] or ""
+        if last is None or not _GAP.fullmatch(text, last[1], start):
+            if sure and last[2]:
+                yield last[:2] + last[3:]
+            word, digits, sure, last, times, waiting = False, 0, False, None, 1, []
+            if text[max(0, start - 5) : start] in ("plus ", "plus-") and not text[max(0, start - 6) : start - 5].isalnum():
+                waiting.append((start - 5, start, "+"))
+        if last and (last[2] or is_word):  # a number takes the separators after it into its range, up to a word or from one
+            waiting.append((last[0], start, last[3]))
+        if name in ("double", "triple"):
+            value, times = "", 2 if name == "double" else 3
+        else:
+            value = (x[4] or (_TWO[x[1]][0] + _UNITS[x[2]] if x[1] else _UNITS.get(name) or _TWO[name])) * times
+            times = 1
+        word, digits = word or is_word, digits + max(1, len(value))
+        sure = sure or (word and digits >= 4)
+        if sure:
+            yield from waiting
+            waiting.clear()
+        last = (start, x.end(), is_word, value)
+    if sure and last and last[2]:
+        yield last[:2] + last[3:]
+
+
+def plain_digits(tape: Tape) -> None:
+    """Runs of at least four digits of which some are words; separators at words inside a run vanish. Letters for digits keep their places."""
+    if _spells(tape.text):
+        tape.rewrite(_number_edits(_lower(tape.text)))
+    if _MIXED_HINT.search(tape.text):
+        out, done = io.StringIO(), 0
+        for m in _MIXED.finditer(tape.text):
+            digits = sum(map(str.isdigit, m[0]))
+            letters = sum(map(str.isalpha, m[0])) + m[0].count("|")
+            if letters and (digits >= 2 * letters and digits + letters >= 8 or digits >= letters and m[0].count(".") == 3):
+                out.write(tape.text[done : m.start()])
+                out.write(m[0].translate(_LIKE_DIGITS))
+                done = m.end()
+        tape.text = out.getvalue() + tape.text[done:]
+
+
+def _sign_edits(text: str) -> Iterator[Edit]:
+    dots = lambda m: ((m.start() + d.start(), m.start() + d.end(), ".") for d in _INNER_DOT.finditer(m[0]) if d[0] != ".")
+    done = left_from = 0
+    for mark in _AT.finditer(text):
+        right, left = _DOMAIN_CHAIN.match(text, mark.end()), None
+        if right:
+            for left in _LOCAL_CHAIN.finditer(text, left_from, mark.start()):
+                pass
+        if right and left and left.end() == mark.start() and left.start() >= done and _is_address(text, left, right, mark[0].strip(" \t").lower()):
+            yield from dots(left)
+            if mark[0] != "@":
+                yield mark.start(), mark.end(), "@"
+            yield from dots(right)
+            done = right.end()
+        left_from = mark.end()
+
+
+def plain_signs(tape: Tape) -> None:
+    """Signs of addresses, then dots between four numbers."""
+    tape.rewrite(_sign_edits(tape.text))
+    tape.rewrite((m.start() + d.start(), m.start() + d.end(), ".") for m in _DOTTED_NUMBERS.finditer(tape.text) for d in _INNER_DOT.finditer(m[0]) if d[0] != ".")
+
+
+def _is_address(text: str, left: re.Match, right: re.Match, sign: str) -> bool:
+    """Whether the parts around a sign make an address: the last label is a word of two letters or more; a spoken sign needs more."""
+    labels = _INNER_DOT.split(right[0])
+    if len(labels[-1]) < 2 or not labels[-1].isalpha():
+        return False
+    if sign not in ("at", "arroba", "ät") or any(d[0] != "." for d in _INNER_DOT.finditer(right[0])):
+        return True
+    return bool(re.search(r"[0-9._+%-]", left[0].strip("._-"))) or bool(_CUE.search(text, max(0, left.start() - 60), left.start()))
+
+
+def _disguised(text: str) -> Iterator[tuple[int, int]]:
+    """Lines in which something may be disguised, in order, each once."""
+    tests = [_HINT, _MIXED_HINT]
+    if not text.isascii():
+        tests.append(_STRANGE)
+    if "&" in text:
+        tests.append(_REFERENCE)
+    lines, at = set(), 0
+    while at <= len(text) and (at or _spells(text)):  # lines with number words, looked at only where the text has some in a row
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        if _spells(text[at:end]):
+            lines.add((at, end))
+        at = end + 1
+    for test in tests:
+        at = 0
+        while m := test.search(text, at):
+            end = text.find("\n", m.end())
+            lines.add((text.rfind("\n", 0, m.start()) + 1, end := len(text) if end < 0 else end))
+            at = end
+    return sorted(lines)
 
 
 def hidden_spans(text: str, base: list[Span]) -> list[Span]:
-    """Spans of disguised identifiers, in source code points, that no base span overlaps."""
-    strange, spelled, hint = _STRANGE.search(text), _SPELLED.search(text), _HINT.search(text)
-    if not (strange or spelled or hint):
-        return []
-    tape = _tape(text)
-    if strange:
-        tape = _plain_letters(tape)
-    if strange or spelled:
-        tape = _plain_digits(tape)
-    if hint or _HINT.search(tape[0]):
-        tape = _plain_signs(tape)
-    if tape[0] == text:
+    """Spans of disguised identifiers, in source code points, that no base span holds."""
+    found: list[Span] = []
+    for start, end in _disguised(text):
+        tape = Tape(text[start:end])
+        line = tape.text
+        plain_letters(tape)
+        plain_digits(tape)
+        if _HINT.search(tape.text):
+            plain_signs(tape)
+        if tape.text == line:
+            continue
+        for kind, a, b in base_spans(tape.text):
+            a, b = tape.back(a, b)
+            found.append((kind, start + a, start + b))
+    if not found:
         return []
-    found, taken = [], bytearray(len(text))
-    for _, s, e in base:
-        taken[s:e] = b"\x01" * (e - s)
-    for kind, a, b in base_spans(tape[0]):
-        s, e = tape[1][a], tape[2][b - 1]
-        if not any(taken[s:e]):
-            found.append((kind, s, e))
-            taken[s:e] = b"\x01" * (e - s)
-    return found
+    # of spans that begin together the longest comes first: what ends no later than an earlier one lies in it
+    out, upto, plain = [], -1, sorted(((s, -e) for _, s, e in base))
+    most, k = -1, 0
+    for kind, s, e in sorted(found, key=lambda x: (x[1], -x[2], KINDS.index(x[0]))):
+        while k < len(plain) and plain[k][0] <= s:
+            most, k = max(most, -plain[k][1]), k + 1
+        if e > most and e > upto:
+            out.append((kind, s, e))
+            upto = e
+    return out
 
 
 def all_spans(text: str | None) -> tuple[list[Span], list[Span]]:
