@@ -1,17 +1,20 @@
 """Approximate nearest neighbours: inverted lists scanned dimension block by dimension block.
 
-Index: k-means centroids are fitted on a bounded sample (``SAMPLE`` rows, the least hashes of
-vec_id; a model only, every row is indexed); each vector goes to its nearest centroid's list,
-as a randomly rotated copy in column blocks beside the original. A list is dealt in slices by
-hash, so that one that holds any part of the rows is many tasks' work.
+Index: k-means centroids are fitted on a bounded sample (``SAMPLE`` rows or ``PER_LIST`` a list, the least hashes of
+vec_id; a model only, every row is indexed); there are as many lists as the root of the number of rows. Each
+vector goes to its nearest centroid's list. A list is dealt in slices by
+hash, so that one that holds any part of the rows is many tasks' work; so are the queries that probe it.
 
 Search: a query probes the lists of its nearest centroids, as many as found ``RECALL`` of the
 true neighbours among the sample's rows (``calibrate``), more if they hold under ``REACH``
-rows. Data without clusters thus probe many lists, clustered data few. In each slice the queries that probe it meet its
-vectors: rotated coordinates are added block by block, and after each block a candidate is
-dropped if its partial distance, scaled to all dimensions, exceeds the current k-th distance
-by the factor (1 + EPSILON / sqrt(d)): the hypothesis that it is nearer is then rejected with
-confidence growing in d. What stays gets its exact distance in double precision from the
+rows. Data without clusters thus probe many lists, clustered data few. The lists are scanned nearest first, in
+two rounds: the nearest ones, with ``FIRST`` of the rows to be probed, give each query a k-th distance that
+it carries to its other lists. In each slice the queries that probe it meet its
+vectors, randomly rotated and in column blocks: coordinates are added block by block, and after each block a candidate is
+dropped if its partial squared distance is too large for one within the current k-th distance r: of a vector at
+distance r, b of d rotated coordinates hold a share of r^2 with mean b/d and variance
+2b(d-b) / (d^2 (d+2)), so the hypothesis that the candidate is nearer is rejected above the mean plus
+``EPSILON`` deviations. What stays gets its exact distance in double precision from the
 original vectors. The k best of each slice meet in one ranking per query.
 
 Defined cases: vectors that are null, zero, of another length than the most common, or that
@@ -25,7 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,11 +36,11 @@ from pyspark.sql import functions as F
 from pairlattice.llm.common import written
 
 K = 10
-SAMPLE, ROUNDS, SEED = 20_000, 12, 7
-#: Lists grow as the root of the rows up to a fixed number, so the centroids broadcast are bounded.
-MOST_LISTS = 4096
-REACH, RECALL, PROBED_QUERIES = 500, 0.97, 400
-SLICE_ROWS, BLOCK, EPSILON = 20_000, 16, 2.1
+#: Rows of the sample, or so many a list where there are more lists; centroids and sample grow as the root of the rows.
+SAMPLE, PER_LIST, ROUNDS, SEED = 20_000, 8, 12, 7
+REACH, RECALL, PROBED_QUERIES, FIRST = 500, 0.985, 400, 0.1
+#: Vectors and queries that meet in one task, coordinates in a block, deviations of the test.
+SLICE_ROWS, SLICE_QUERIES, BLOCK, EPSILON = 20_000, 2_000, 8, 2.0
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -87,31 +90,32 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, base_ids: np.ndarray, turn: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, candidate, distance) of each query's k nearest in one slice, by the adaptive scan."""
+def scan(queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray, base: np.ndarray, base_ids: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(queries, candidates, distances) of each query's k nearest in one slice that are within its bound, by the adaptive scan; and the coordinates read."""
     dim = base.shape[1]
     cuts = [*range(0, dim, BLOCK), dim]
     columns = [np.ascontiguousarray((base @ turn)[:, a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    limits = [b / dim + EPSILON * np.sqrt(2 * b * (dim - b) / (dim + 2)) / dim for b in cuts[1:]]
     turned = queries @ turn
-    out = []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    read = 0
     for qi, qid in enumerate(query_ids):
         own = np.flatnonzero(base_ids != qid)
-        if not len(own):
-            continue
         best_d, best_i = np.empty(0), np.empty(0, int)
-        # the k-th distance comes from growing runs of candidates, so that the tests have a bound to work with
-        at, step = 0, max(64, 4 * k)
+        # growing runs of candidates, so that the tests soon have a bound where none is carried
+        at, step = 0, max(32, 2 * k)
         while at < len(own):
             cand = own[at : at + step]
             at, step = at + step, step * 4
-            bound = best_d.max() if len(best_d) >= k else np.inf
+            bound = min(bounds[qi], best_d[-1] if len(best_d) >= k else np.inf)
             part = np.zeros(len(cand))
-            for col, a, b in zip(columns, cuts, cuts[1:], strict=False):
+            for col, limit, a, b in zip(columns, limits, cuts, cuts[1:], strict=False):
+                read += len(cand) * (b - a)
                 diff = col[cand] - turned[qi, a:b]
                 part += np.einsum("ij,ij->i", diff, diff)
                 if np.isfinite(bound) and b < dim:
                     # a margin for rounding keeps candidates at exactly the bound
-                    go = np.sqrt(part * (dim / b)) <= (1 + EPSILON / np.sqrt(b)) * bound + 1e-9
+                    go = part <= limit * bound * bound * (1 + 1e-9) + 1e-18
                     cand, part = cand[go], part[go]
                     if not len(cand):
                         break
@@ -122,8 +126,25 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, base_ids:
             best_d, best_i = np.concatenate((best_d, d)), np.concatenate((best_i, cand))
             keep = np.lexsort((base_ids[best_i], best_d))[:k]
             best_d, best_i = best_d[keep], best_i[keep]
-        out += [(int(qid), int(base_ids[i]), float(d)) for i, d in zip(best_i, best_d, strict=True)]
-    return out
+        near = best_d <= bounds[qi]
+        out.append((np.full(near.sum(), qid, np.int64), base_ids[best_i[near]], best_d[near]))
+    found = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+    return found[0], found[1], found[2], read
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = len(flat)
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.empty((0, 1))
+
+
+_FOUND = "query_id long, vec_id long, score double"
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = K) -> DataFrame:
@@ -131,52 +152,68 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = K) -
     spark = vectors.sparkSession
     rows = written(usable(vectors))
     total = rows.count()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not total:
-        return spark.createDataFrame([], schema)
-    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lists = max(1, int(np.sqrt(total)))
+    sample = _matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, PER_LIST * lists)).select("v").toArrow()["v"])
     turn = rotation(sample.shape[1])
-    lists = int(min(MOST_LISTS, max(1, np.sqrt(total))))
     centroids = fit_centroids(sample, lists)
     model, probes = spark.sparkContext.broadcast(centroids), calibrate(sample, centroids, k)
 
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f["list"] = nearest(np.array(f["v"].tolist()), model.value) if len(f) else np.empty(0, int)
-            yield f
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nearest(_matrix(b.column(1)), model.value), pa.int32())], ["vec_id", "v", "list"])
 
-    placed = written(rows.mapInPandas(assign, "vec_id long, v array<double>, list int"))
+    placed = written(rows.mapInArrow(assign, "vec_id long, v array<double>, list int"))
     sizes = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    counts = spark.sparkContext.broadcast(np.array([sizes.get(i, 0) for i in range(len(model.value))]))
-    slices = {i: -(-n // SLICE_ROWS) for i, n in sizes.items()}
-
-    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, n = model.value, counts.value
-        for f in frames:
-            if not len(f):
+    held_by = spark.sparkContext.broadcast(np.array([sizes.get(i, 0) for i in range(len(centroids))]))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per list that a query probes; round 0 are the nearest lists."""
+        c, n = model.value, held_by.value
+        half = 0.5 * (c * c).sum(1)
+        for b in batches:
+            if not b.num_rows:
                 continue
-            q = np.array(f["v"].tolist())
-            order = np.argsort(0.5 * (c * c).sum(1) - q @ c.T, axis=1, kind="stable")
+            order = np.argsort(half - _matrix(b.column(1)) @ c.T, axis=1, kind="stable")
             held = np.cumsum(n[order], axis=1)
-            need = np.maximum((held < max(REACH, 4 * k)).sum(1) + 1, probes)
-            picks = [o[:m][n[o[:m]] > 0].tolist() for o, m in zip(order, need, strict=True)]
-            yield pd.DataFrame({"query_id": f["vec_id"], "q": f["v"], "list": picks}).explode("list").astype({"list": int})
-
-    queries = rows.filter(is_query).mapInPandas(probe, "query_id long, q array<double>, list int")
-    of_list = F.create_map(*[x for i, n in slices.items() for x in (F.lit(i), F.lit(n))]) if max(slices.values()) > 1 else None
-    n_slices = F.lit(1) if of_list is None else of_list[F.col("list")]
-    queries = queries.withColumn("slice", F.explode(F.sequence(F.lit(0), n_slices - 1)))
-    placed = placed.withColumn("slice", F.pmod(F.xxhash64("vec_id"), n_slices).cast("int"))
-
-    def meet(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        found = scan(np.array(q["q"].tolist()), q["query_id"].to_numpy(), np.array(x["v"].tolist()), x["vec_id"].to_numpy(), turn, k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    met = queries.groupBy("list", "slice").cogroup(placed.groupBy("list", "slice")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            need = np.minimum(np.maximum((held < max(REACH, 4 * k)).sum(1) + 1, probes), len(c))
+            first = np.maximum(4 * k, FIRST * held[np.arange(len(held)), need - 1])
+            place = np.arange(len(c))
+            at, column = np.nonzero((place < need[:, None]) & (n[order] > 0))
+            late = column > 0
+            late &= held[at, column - 1] >= first[at]
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(order[at, column], pa.int32()), pa.array(late.astype(np.int32))], ["query_id", "q", "list", "round"])
+
+    asked = written(rows.filter(is_query).mapInArrow(probe, "query_id long, q array<double>, list int, round int"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows and right.num_rows:
+            q, i, d, _ = scan(_matrix(left["q"]), left["query_id"].to_numpy(), left["bound"].to_numpy(), _matrix(right["v"]), right["vec_id"].to_numpy(), turn, k)
+        else:
+            q, i, d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        return pa.table({"query_id": q, "vec_id": i, "score": d})
+
+    def scanned(queries: DataFrame) -> DataFrame:
+        """What queries (query_id, q, list, bound) find. Their lists' vectors are dealt in slices, the queries too, and every slice meets every other."""
+        asking = {r["list"]: r["n"] for r in queries.groupBy("list").agg(F.count("*").alias("n")).collect()}
+        parts = [(i, -(-sizes[i] // SLICE_ROWS), -(-n // SLICE_QUERIES)) for i, n in asking.items()]
+        if not parts:
+            return spark.createDataFrame([], _FOUND)
+        # a row per list that is asked: as many as the root of all rows at most
+        deal = F.broadcast(spark.createDataFrame(parts, "list int, slices int, query_slices int"))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        mine = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        q = queries.join(deal, "list").select("list", mine("query_id", "query_slices").alias("b"), each("slices").alias("a"), "query_id", "q", "bound")
+        x = placed.join(deal, "list").select("list", mine("vec_id", "slices").alias("a"), each("query_slices").alias("b"), "vec_id", "v")
+        keys = ("list", "a", "b")
+        return q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInArrow(meet, _FOUND)
+
+    near = written(_ranked(scanned(asked.filter("round = 0").withColumn("bound", F.lit(float("inf")))), k))
+    reached = near.filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound")).distinct()
+    far = scanned(asked.filter("round = 1").join(reached, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))))
+    return _ranked(near.drop("rank").unionByName(far), k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

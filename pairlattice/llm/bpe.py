@@ -34,12 +34,16 @@ from pairlattice.llm.common import bounded_batches
 
 #: The pattern and the byte alphabet of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CACHED_PIECES = 250_000
+_CACHED_PIECES, _KEPT_PAIRS = 250_000, 1_000_000
 
 
 def default_vocabulary() -> str:
-    """The vocabulary file's path: PAIRLATTICE_TOKENIZERS names another folder."""
-    return os.path.join(os.environ.get("PAIRLATTICE_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
+    """The vocabulary file's path: that of the public tokenizers, unless PAIRLATTICE_TOKENIZERS names another folder."""
+    if folder := os.environ.get("PAIRLATTICE_TOKENIZERS"):
+        return os.path.join(folder, "byte_bpe_50k.json")
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def _byte_letters() -> dict[str, int]:
@@ -117,6 +121,8 @@ class Backtracker:
     def fits(self, left: int, right: int) -> bool:
         """Whether exact merging keeps the border between the two tokens; kept in the table."""
         if (known := self.compatible.get((left, right))) is None:
+            if len(self.compatible) >= _KEPT_PAIRS:  # a bound for the life of a worker; pairs are worked out anew
+                self.compatible.clear()
             known = self.compatible[(left, right)] = self._border_stays(left, right)
         return known
 

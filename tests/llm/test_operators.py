@@ -96,7 +96,7 @@ def test_scan_is_exact_on_ties_and_copies():
     x = rng.standard_normal((3000, 48))
     x[100:900] = x[7]
     ids = rng.permutation(3000)
-    found = ann.scan(x[[7, 5, 2000]], ids[[7, 5, 2000]], x, ids, ann.rotation(48), 10)
+    found = list(zip(*ann.scan(x[[7, 5, 2000]], ids[[7, 5, 2000]], np.full(3, np.inf), x, ids, ann.rotation(48), 10)[:3]))
     for q in (7, 5, 2000):
         mine = [(i, d) for a, i, d in found if a == ids[q]]
         assert [i for i, _ in mine][: 10 if q == 7 else 5] == [i for i, _ in brute_nearest(x, ids, q, 10)][: 10 if q == 7 else 5]
