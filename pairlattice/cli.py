@@ -35,16 +35,23 @@ def _selected(a: argparse.Namespace, pairs: DataFrame, chroms: DataFrame) -> Dat
 
 
 def pre(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Cells of every bin size, and the whole genome as one matrix (ordinal 0, "All")."""
     chroms = _chromosomes(spark, a.genome)
     pairs = _selected(a, P.clamp(readers.read_pairs(spark, a.input, chroms), chroms), chroms)
-    cells = binning.multi_resolution(pairs, a.resolutions)
-    sinks.write_matrix_set(cells, chroms, a.output, {"genome": a.genome, "scaling": str(a.scaling)}, a.min_count)
+    total = chroms.agg(F.sum("length")).first()[0]
+    cells = binning.multi_resolution(pairs, a.resolutions).unionByName(binning.whole_genome(pairs, chroms, total))
+    sinks.write_matrix_set(cells, genome.with_all(chroms), a.output, {"genome": a.genome, "scaling": str(a.scaling)}, a.min_count)
     if not a.no_norm:
         add_norm(spark, argparse.Namespace(path=a.output, resolutions=a.resolutions, norms=a.norms, vectors=None))
 
 
 def add_norm(spark: SparkSession, a: argparse.Namespace) -> None:
-    chroms, cells = spark.read.parquet(f"{a.path}/chromosomes"), sinks.read_cells(spark, a.path)
+    """Vectors, and the expected of raw cells and of cells under each vector.
+
+    Balanced vectors are made for all bin sizes at once, coarse to fine, so that a chromosome that fails is left out below.
+    """
+    chroms, cells = spark.read.parquet(f"{a.path}/chromosomes").filter("idx > 0"), sinks.read_cells(spark, a.path).filter("chr1 > 0")
+    balanced = None if a.vectors or "SCALE" not in a.norms else norms.scale(rows.intra_cells(cells).filter(F.col("resolution").isin(*a.resolutions)), chroms, a.resolutions)
     for r in sorted(a.resolutions, reverse=True):
         part = cells.filter(F.col("resolution") == r)
         intra = rows.intra_cells(part)
@@ -53,7 +60,7 @@ def add_norm(spark: SparkSession, a: argparse.Namespace) -> None:
             given = readers.read_norm_vectors(spark, a.vectors, chroms).filter(F.col("resolution") == r)
             made = {n["norm"]: given.filter(F.col("norm") == n["norm"]) for n in given.select("norm").distinct().collect()}
         else:
-            kinds = {"VC": lambda i=intra: norms.vc(i), "VC_SQRT": lambda i=intra: norms.vc_sqrt(i), "SCALE": lambda i=intra, r=r: norms.scale(i, chroms, (r,))}
+            kinds = {"VC": lambda i=intra: norms.vc(i), "VC_SQRT": lambda i=intra: norms.vc_sqrt(i), "SCALE": lambda r=r: balanced.filter(F.col("resolution") == r)}
             made = {k: f() for k, f in kinds.items() if k in a.norms}
             if r >= norms.WHOLE_GENOME_FLOOR and norms.has_all_pairs(part, chroms):
                 for k in a.norms:
@@ -62,36 +69,69 @@ def add_norm(spark: SparkSession, a: argparse.Namespace) -> None:
                             made[k] = norms.whole_genome_vectors(part, chroms, r, k.removeprefix(prefix), with_intra)
         for name in sorted(made, key=sinks.norm_order):
             sinks.write_norms(made[name].select(F.lit(name).alias("norm"), "resolution", "chr", "bin", "v"), a.path)
-        possible = expected.possible_distances(chroms, r, intra)
-        density = expected.smoothed_density(expected.distance_histogram(intra), possible)
-        factors = expected.chromosome_factors(density, chroms, expected.chromosome_totals(intra))
-        sinks.write_expected(density, factors, f"{a.path}/raw_{r}")
+        _expected(spark, a.path, r, intra, chroms, "raw")
+        for name in made:
+            vector = sinks.read_norms(spark, a.path, name, r)
+            _expected(spark, a.path, r, rows.normalized(intra, vector), chroms, name)
+
+
+def _expected(spark: SparkSession, path: str, resolution: int, intra: DataFrame, chroms: DataFrame, name: str) -> None:
+    """Smoothed density and chromosome factors of cells into ``path/name_resolution``."""
+    density = expected.smoothed_density(expected.distance_histogram(intra), expected.possible_distances(chroms, resolution))
+    sinks.write_expected(density, expected.chromosome_factors(density, chroms, expected.chromosome_totals(intra)), f"{path}/{name}_{resolution}")
 
 
 def statistics(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Reports per MAPQ threshold: printed, and with an output name as files, the histograms beside them."""
     pairs = readers.read_pairs(spark, a.input)
-    hist = qc.orientation_histogram(pairs, a.mapqs)
+    hist, mapq = qc.orientation_histogram(pairs, a.mapqs), qc.mapq_histogram(pairs, a.mapqs)
     settled = {r["threshold"]: r["bin"] for r in qc.convergence(hist).collect()}
     for row in qc.counts(pairs, a.mapqs, a.ligation).orderBy("threshold").collect():
+        lines = sinks.stats_lines(row, settled_bin=settled.get(row["threshold"]))
         print(f"MAPQ >= {row['threshold']}")
-        print("\n".join(sinks.stats_lines(row, settled_bin=settled.get(row["threshold"]))))
+        print("\n".join(lines))
+        if a.output:
+            sinks.write_report(spark, lines, f"{a.output}_{row['threshold']}.txt")
+            sinks.write_report(spark, sinks.histogram_lines(mapq, hist, row["threshold"]), f"{a.output}_{row['threshold']}_hists.m")
+
+
+def merge_statistics(spark: SparkSession, a: argparse.Namespace) -> None:
+    """One report of several; single-end and paired-end ones do not mix."""
+    lines = readers.read_report_lines(spark, a.inputs)
+    kind = merge.read_type(lines)
+    merged = {r["label"]: r["value"] for r in merge.merge_stats(merge.parse_stats(lines)).collect()}  # a row per label
+    sinks.write_report(spark, ([f"Read type: {kind}"] if kind else []) + sinks.merged_report_lines(merged), a.output)
+
+
+def merge_histograms(spark: SparkSession, a: argparse.Namespace) -> None:
+    merged = merge.merge_histograms(merge.parse_histograms(readers.read_whole(spark, a.inputs)))
+    sinks.write_report(spark, sinks.merged_histogram_lines(merged), a.output)
 
 
 def sum_sets(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Sums per matrix; the whole genome's matrix has a bin size of its own and is summed as it is."""
     parts = [sinks.read_cells(spark, p) for p in a.inputs]
-    finest = a.resolution or parts[0].agg(F.min("resolution")).first()[0]
-    sizes = tuple(r[0] for r in parts[0].select("resolution").distinct().collect() if r[0] >= finest and r[0] % finest == 0)
-    sinks.write_matrix_set(merge.rebin_datasets(parts, finest, sizes), spark.read.parquet(f"{a.inputs[0]}/chromosomes"), a.output)
+    own, whole = [p.filter("chr1 > 0") for p in parts], [p.filter("chr1 = 0") for p in parts]
+    finest = a.resolution or own[0].agg(F.min("resolution")).first()[0]
+    sizes = tuple(r[0] for r in own[0].select("resolution").distinct().collect() if r[0] >= finest and r[0] % finest == 0)
+    cells = merge.rebin_datasets(own, finest, sizes).unionByName(merge.sum_datasets(whole))
+    sinks.write_matrix_set(cells, spark.read.parquet(f"{a.inputs[0]}/chromosomes"), a.output)
 
 
 def matrix(spark: SparkSession, a: argparse.Namespace) -> None:
     corr.check_resolution(a.resolution, 1 if a.any_resolution else corr.FINEST)
-    chroms = spark.read.parquet(f"{a.path}/chromosomes").filter(F.col("name") == a.chromosome)
+    chroms = spark.read.parquet(f"{a.path}/chromosomes").filter((F.col("name") == a.chromosome) & (F.col("idx") > 0))
     c = rows.intra_cells(sinks.read_cells(spark, a.path, a.resolution, chroms.first()["idx"], chroms.first()["idx"]))
     density = expected.smoothed_density(expected.distance_histogram(c), expected.possible_distances(chroms, a.resolution))
     oe = expected.observed_over_expected(c, density)
     if a.command == "pearsons":
-        sinks.write_matrix_text(corr.pearson(oe), a.output)
+        r = corr.pearson(oe)
+        if a.tiles:
+            bins = chroms.first()["length"] // a.resolution + 1
+            meta = {x["key"]: x["value"] for x in spark.read.parquet(f"{a.path}/metadata").collect()}
+            sinks.write_matrix_tiles(r, a.output, meta.get("genome", ""), a.chromosome, a.resolution, bins)
+        else:
+            sinks.write_matrix_text(r, a.output)
     else:
         sinks.write_vector_text(corr.eigenvector(oe), a.output)
 
@@ -102,16 +142,19 @@ def convert(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.command == "pairstobin":
         write_pairs_binary(pairs, a.output, SHORT if a.short else FULL, "bn" if a.short else "bin")
     else:
-        sinks.write_pairs_text(pairs, a.output, chroms)
+        sinks.write_pairs_text(pairs, a.output, chroms, with_mapq=a.mapq)
 
 
 def complexity(spark: SparkSession, a: argparse.Namespace) -> None:
-    n = {r["file"]: r["n"] for r in readers.count_lines(spark, [a.unique, a.dups]).collect()}
-    u, d = (n.get(p.rpartition("/")[2], 0) for p in (a.unique, a.dups))
+    """From two files of pairs, or from a folder with merged_nodups, dups and opt_dups, which gives the optical duplicates too."""
     from pairlattice.functions.scalars import library_size
 
+    scan = a.dups is None
+    unique, dups, optical = (f"{a.unique}/{x}.txt" for x in ("merged_nodups", "dups", "opt_dups")) if scan else (a.unique, a.dups, None)
+    n = {r["file"]: r["n"] for r in readers.count_lines(spark, [x for x in (unique, dups, optical) if x]).collect()}
+    u, d, o = (n.get(p.rpartition("/")[2], 0) if p else a.optical for p in (unique, dups, optical))
     row = spark.range(1).select(F.lit(u + d).alias("n_total"), F.lit(u).alias("n_unique"), F.lit(d).alias("n_dups"), library_size(F.lit(d), F.lit(u)).alias("library_size")).first()
-    print("\n".join(sinks.complexity_lines(row, a.optical)))
+    print("\n".join(sinks.complexity_lines(row, o)))
 
 
 def track(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -133,13 +176,15 @@ def parser() -> argparse.ArgumentParser:
     kinds = ("-k --norms", {"type": lambda x: x.split(","), "default": ["VC", "VC_SQRT", "SCALE"]})
     command("pre", pre, ("input", {}), out, ("-g --genome", {"required": True}), sizes, kinds, ("-q --mapq", {"type": int, "default": 0}), ("-m --min-count", {"type": float, "default": 0.0}), ("-c --chromosomes", {}), ("--intra", {"action": "store_true"}), ("--near-diagonal", {"type": int}), ("--orientation", {}), ("-z --scaling", {"type": float, "default": 1.0}), ("-n --no-norm", {"action": "store_true"}))
     command("addnorm", add_norm, path, sizes, kinds, ("--vectors", {}))
-    command("statistics", statistics, ("input", {}), ("--mapqs", {"type": _numbers, "default": (1, 30)}), ("--ligation", {}))
+    command("statistics", statistics, ("input", {}), ("--mapqs", {"type": _numbers, "default": (1, 30)}), ("--ligation", {}), ("-o --output", {}))
+    command("mergestats", merge_statistics, out, ("inputs", {"nargs": "+"}))
+    command("mergehists", merge_histograms, out, ("inputs", {"nargs": "+"}))
     command("sum", sum_sets, out, ("inputs", {"nargs": "+"}), ("-r --resolution", {"type": int}))
     for name in ("pearsons", "eigenvector"):
-        command(name, matrix, path, ("chromosome", {}), ("resolution", {"type": int}), out, ("-p --any-resolution", {"action": "store_true"}))
+        command(name, matrix, path, ("chromosome", {}), ("resolution", {"type": int}), out, ("-p --any-resolution", {"action": "store_true"}), ("-b --tiles", {"action": "store_true"}))
     command("pairstobin", convert, ("input", {}), out, ("-g --genome", {"required": True}), ("--short", {"action": "store_true"}))
-    command("bintopairs", convert, ("input", {}), out, ("-g --genome", {"required": True}))
-    command("librarycomplexity", complexity, ("unique", {}), ("dups", {}), ("--optical", {"type": int, "default": 0}))
+    command("bintopairs", convert, ("input", {}), out, ("-g --genome", {"required": True}), ("--mapq", {"action": "store_true"}))
+    command("librarycomplexity", complexity, ("unique", {}), ("dups", {"nargs": "?"}), ("--optical", {"type": int, "default": 0}))
     command("track", track, ("input", {}), out, ("window", {"type": int}))
     return p
 

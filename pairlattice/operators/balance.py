@@ -163,15 +163,13 @@ def scale_vectors(cells: DataFrame, bins: DataFrame) -> DataFrame:
     return cells.join(F.broadcast(bins), ["resolution", "chr"]).groupBy("resolution", "chr").applyInPandas(one, "resolution int, chr int, bin long, v double")
 
 
-def balance_distributed(cells: DataFrame, size: int, per_slice: int = 1 << 16) -> Outcome:
-    """The same controller for one matrix of any number of cells: each product is a Spark job.
+def spark_product(cells: DataFrame, size: int) -> Callable[[np.ndarray], np.ndarray]:
+    """v -> A v for the upper-triangle cells (x, y, n) of one matrix of any number of cells: each product is a Spark job.
 
-    The cells (x, y, n) are written by the caller or cached; the vector (one double a bin) is sent
-    to tasks, which return sums per slice of bins, so only vectors move. The number of bins is
-    bounded by genome length over bin size.
+    The cells are written by the caller or cached; the vector (one double a bin) is sent to tasks, which return
+    sums per bin, so only vectors move. The number of bins is bounded by genome length over bin size.
     """
     spark = cells.sparkSession
-    cells = cells.select("x", "y", "n").persist()
 
     def product(v: np.ndarray) -> np.ndarray:
         sent = spark.sparkContext.broadcast(v)
@@ -186,17 +184,31 @@ def balance_distributed(cells: DataFrame, size: int, per_slice: int = 1 << 16) -
                 bins = np.flatnonzero(total)
                 yield pd.DataFrame({"bin": bins, "v": total[bins]})
 
-        rows = cells.mapInPandas(run, "bin long, v double").groupBy("bin").agg(F.sum("v").alias("v")).toPandas()
+        rows = cells.select("x", "y", "n").mapInPandas(run, "bin long, v double").groupBy("bin").agg(F.sum("v").alias("v")).toPandas()
         out = np.zeros(size)
         out[rows["bin"].to_numpy()] = rows["v"].to_numpy()
         sent.unpersist()
         return out
 
+    return product
+
+
+def balance_distributed(cells: DataFrame, size: int) -> Outcome:
+    """The same controller for one matrix of any number of cells, by Spark products."""
+    cells = cells.select("x", "y", "n").persist()
     ends = F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))
     counted = cells.select(F.explode(ends).alias("bin")).groupBy("bin").agg(F.count("*").alias("n")).toPandas()
     nnz = np.zeros(size, np.int64)
     nnz[counted["bin"].to_numpy()] = counted["n"].to_numpy()
     try:
-        return balance(product, nnz)
+        return balance(spark_product(cells, size), nnz)
     finally:
         cells.unpersist()
+
+
+def half_step(cells: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first half-step of balancing one matrix: the row scaling that the start (roots of row sums) turns into, and the columns' sums after it."""
+    product = spark_product(cells, size)
+    first = product(np.ones(size))
+    start = np.sqrt(first)
+    return _half_step(product, start, first * start, first == 0, start)

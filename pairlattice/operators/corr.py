@@ -7,8 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bins of a matrix that one task holds densely.
+from pairlattice.operators.balance import spark_product
+
+#: Bins of a matrix that one task holds densely; of larger ones correlations come from joins, and eigenvectors from Spark products.
 MOST_BINS = 6000
+#: Steps of the eigenvector's Krylov space at most, and the residual at which it ends.
+MOST_STEPS, RESIDUAL = 300, 1e-10
 #: Bin sizes below this are refused unless asked for (fixed value).
 FINEST = 50_000
 
@@ -21,8 +25,6 @@ def check_resolution(resolution: int, finest: int = FINEST) -> int:
 
 def _dense(pdf: pd.DataFrame, value: str) -> np.ndarray:
     size = int(pdf[["x", "y"]].to_numpy().max()) + 1
-    if size > MOST_BINS:
-        raise ValueError(f"{size} bins; a dense matrix holds {MOST_BINS}")
     m = np.zeros((size, size))
     m[pdf["x"], pdf["y"]] = m[pdf["y"], pdf["x"]] = pdf[value].to_numpy()
     return m
@@ -33,6 +35,16 @@ def _correlation(m: np.ndarray) -> np.ndarray:
         return np.corrcoef(m)
 
 
+def _by_size(cells: DataFrame) -> tuple[DataFrame, list[tuple[DataFrame, int]]]:
+    """Cells of the matrices that a task holds, and those of each larger one with its number of bins; a row per matrix reaches the driver."""
+    sizes = cells.groupBy("resolution", "chr").agg((F.max(F.greatest("x", "y")) + 1).alias("size")).filter(F.col("size") > MOST_BINS).collect()
+    of = lambda r: (F.col("resolution") == r["resolution"]) & (F.col("chr") == r["chr"])
+    small = cells
+    for r in sizes:
+        small = small.filter(~of(r))
+    return small, [(cells.filter(of(r)), r["size"]) for r in sizes]
+
+
 def pearson(cells: DataFrame, value: str = "oe") -> DataFrame:
     """(resolution, chr, x, y, r) for x <= y: correlation of matrix rows, absent cells being 0; NaN rows are left out."""
 
@@ -42,39 +54,93 @@ def pearson(cells: DataFrame, value: str = "oe") -> DataFrame:
         keep = ~np.isnan(r[x, y])
         return pd.DataFrame({"resolution": pdf["resolution"].iloc[0], "chr": pdf["chr"].iloc[0], "x": x[keep], "y": y[keep], "r": r[x, y][keep]})
 
-    return cells.groupBy("resolution", "chr").applyInPandas(one, "resolution int, chr int, x long, y long, r double")
+    small, large = _by_size(cells)
+    out = small.groupBy("resolution", "chr").applyInPandas(one, "resolution int, chr int, x long, y long, r double")
+    for part, size in large:
+        out = out.unionByName(pearson_by_join(part, value, size).select(F.col("resolution").cast("int").alias("resolution"), F.col("chr").cast("int").alias("chr"), "x", "y", "r"))
+    return out
 
 
 def eigenvector(cells: DataFrame, value: str = "oe") -> DataFrame:
-    """(resolution, chr, bin, v): first eigenvector of the correlation matrix, centred; its largest entry is positive."""
+    """(resolution, chr, bin, v): first eigenvector of the correlation matrix, centred; its largest entry is positive; null for rows without a correlation."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         r = _correlation(_dense(pdf, value))
         good = ~np.isnan(r).all(axis=1)
         v = np.full(len(r), np.nan)
         if good.any():
-            w = np.linalg.eigh(r[np.ix_(good, good)])[1][:, -1]
-            w = w * np.sign(w[np.argmax(np.abs(w))])
-            v[good] = w - w.mean()
+            v[good] = _oriented(np.linalg.eigh(r[np.ix_(good, good)])[1][:, -1])
         return pd.DataFrame({"resolution": pdf["resolution"].iloc[0], "chr": pdf["chr"].iloc[0], "bin": np.arange(len(v)), "v": v})
 
-    return cells.groupBy("resolution", "chr").applyInPandas(one, "resolution int, chr int, bin long, v double")
+    small, large = _by_size(cells)
+    out = small.groupBy("resolution", "chr").applyInPandas(one, "resolution int, chr int, bin long, v double")
+    for part, size in large:
+        key = part.select("resolution", "chr").first()
+        v = eigenvector_by_products(part.select("x", "y", F.col(value).cast("double").alias("n")), size)
+        rows = [(int(key["resolution"]), int(key["chr"]), i, None if np.isnan(x) else float(x)) for i, x in enumerate(v)]  # a row per bin of one matrix
+        out = out.unionByName(cells.sparkSession.createDataFrame(rows, "resolution int, chr int, bin long, v double"))
+    return out
+
+
+def _oriented(w: np.ndarray) -> np.ndarray:
+    w = w * np.sign(w[np.argmax(np.abs(w))])
+    return w - w.mean()
+
+
+def eigenvector_by_products(cells: DataFrame, size: int) -> np.ndarray:
+    """The same vector of one matrix (x, y, n) without its correlations: Lanczos steps, each of one Spark product with the cells.
+
+    With row sums s, sums of squares q and d = sqrt(q - s^2 / m) the correlation matrix is D (A A - s s^T / m) D, D = 1 / d;
+    A A v is two products. Vectors of one double a bin are on the driver, orthogonalised against each other.
+    """
+    cells = cells.persist()
+    try:
+        product, m = spark_product(cells, size), float(size)
+        s, q = product(np.ones(size)), spark_product(cells.withColumn("n", F.col("n") * F.col("n")), size)(np.ones(size))
+        spread = q - s * s / m
+        good = spread > 1e-12 * np.maximum(q, 1e-300)
+        scale = np.where(good, 1.0 / np.sqrt(np.where(good, spread, 1.0)), 0.0)
+
+        def times(v: np.ndarray) -> np.ndarray:
+            u = scale * v
+            return scale * (product(product(u)) - s * (s @ u) / m)
+
+        start = np.where(good, np.cos(np.arange(size) * 0.7) + 0.5, 0.0)
+        basis, alpha, beta = [start / np.linalg.norm(start)], [], []
+        while True:
+            w = times(basis[-1])
+            alpha.append(float(w @ basis[-1]))
+            known = np.array(basis)
+            for _ in range(2):
+                w = w - known.T @ (known @ w)
+            values, vectors = np.linalg.eigh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))
+            size_left = float(np.linalg.norm(w))
+            if size_left * abs(vectors[-1, -1]) <= RESIDUAL * max(values[-1], 1e-300) or len(basis) >= min(int(good.sum()), MOST_STEPS):
+                break
+            beta.append(size_left)
+            basis.append(w / size_left)
+        out = np.full(size, np.nan)
+        out[good] = _oriented((vectors[:, -1] @ np.array(basis))[good])
+        return out
+    finally:
+        cells.unpersist()
 
 
 def pearson_by_join(cells: DataFrame, value: str, n_bins: int) -> DataFrame:
     """The same correlations by aggregation: for matrices of more bins than a task should hold.
 
     Absent cells are 0, so sums over the cells that two rows share are enough: products meet by
-    column, and row sums and squares complete the formula.
+    column, and row sums and squares complete the formula; rows that share no column have a product of 0.
     """
     full = cells.select("resolution", "chr", F.col("x").alias("row"), F.col("y").alias("col"), F.col(value).alias("v")).unionByName(cells.filter("x <> y").select("resolution", "chr", F.col("y").alias("row"), F.col("x").alias("col"), F.col(value).alias("v")))
-    k = ["resolution", "chr"]
+    k, m = ["resolution", "chr"], F.lit(float(n_bins))
     s = full.groupBy(*k, "row").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    s = s.withColumn("spread", m * F.col("q") - F.col("s") ** 2).filter(F.col("spread") > 1e-12 * m * F.col("q")).drop("q")
     a, b = full.alias("a"), full.alias("b")
     cond = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*k, "col")] + [F.col("a.row") <= F.col("b.row")]
     p = a.join(b, cond).groupBy("a.resolution", "a.chr", F.col("a.row").alias("x"), F.col("b.row").alias("y")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("p"))
-    for side, n in (("x", "1"), ("y", "2")):
-        p = p.join(s.select(*k, F.col("row").alias(side), F.col("s").alias(f"s{n}"), F.col("q").alias(f"q{n}")), [*k, side])
-    m = F.lit(float(n_bins))
-    r = (m * F.col("p") - F.col("s1") * F.col("s2")) / F.sqrt((m * F.col("q1") - F.col("s1") ** 2) * (m * F.col("q2") - F.col("s2") ** 2))
-    return p.select(*k, "x", "y", r.alias("r"))
+    # every pair of rows is in the result, so each row is dealt out with all that follow it
+    left = s.select(*k, F.col("row").alias("x"), F.col("s").alias("s1"), F.col("spread").alias("w1"), F.explode(F.sequence(F.col("row"), F.lit(n_bins - 1).cast("long"))).alias("y"))
+    both = left.join(s.select(*k, F.col("row").alias("y"), F.col("s").alias("s2"), F.col("spread").alias("w2")), [*k, "y"]).join(p, [*k, "x", "y"], "left")
+    r = (m * F.coalesce("p", F.lit(0.0)) - F.col("s1") * F.col("s2")) / F.sqrt(F.col("w1") * F.col("w2"))
+    return both.select(*k, "x", "y", r.alias("r"))

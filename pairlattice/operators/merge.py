@@ -46,6 +46,15 @@ def label_of(line):
     return out
 
 
+def read_type(lines: DataFrame) -> str | None:
+    """"Single End" or "Paired End" if reports (file, line) say so; an error if they say both."""
+    said = F.lower("line")
+    row = lines.agg(*[F.coalesce(F.bool_or(said.contains(f"read type: {k} end")), F.lit(False)).alias(k) for k in ("single", "paired")]).first()
+    if row["single"] and row["paired"]:
+        raise ValueError("single-end and paired-end reports cannot be merged")
+    return "Single End" if row["single"] else "Paired End" if row["paired"] else None
+
+
 def parse_stats(lines: DataFrame) -> DataFrame:
     """(file, label, value) of report lines (file, line); N/A and lines without a number are dropped."""
     p = lines.withColumn("label", label_of(F.col("line"))).filter("label <> 'ignore'").withColumn("rest", F.element_at(F.split("line", ":"), 2)).filter(F.col("rest").isNotNull() & ~F.lower("rest").contains("n/a"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlattice.functions.genome import offsets
-from pairlattice.operators.balance import CELLS_IN_TASK, balance_distributed, scale_vectors
+from pairlattice.operators import balance
+from pairlattice.operators.balance import balance_distributed, scale_vectors
 from pairlattice.operators.expected import distance_histogram
 from pairlattice.operators.rows import intra_cells, inverted, normalized, rescaled, row_sums
 
@@ -52,7 +53,7 @@ def scale(intra: DataFrame, chroms: DataFrame, resolutions: tuple[int, ...]) ->
         if failed:
             part = part.filter(~F.col("chr").isin(*failed))
         sizes = bins(chroms, (r,))
-        cells = part.groupBy("chr").count().filter(F.col("count") > CELLS_IN_TASK)
+        cells = part.groupBy("chr").count().filter(F.col("count") > balance.CELLS_IN_TASK)
         large = {x["chr"]: x["n_bins"] for x in cells.join(sizes, "chr").collect()}
         v = scale_vectors(part.filter(~F.col("chr").isin(*large)) if large else part, sizes)
         for c, size in large.items():
@@ -100,7 +101,7 @@ def whole_genome_vectors(cells: DataFrame, chroms: DataFrame, resolution: int, k
         v = vc_sqrt(g)
     else:
         size = offsets(chroms, resolution).agg(F.sum("n_bins")).first()[0]
-        if g.count() <= CELLS_IN_TASK:
+        if g.count() <= balance.CELLS_IN_TASK:
             whole = cells.sparkSession.createDataFrame([(resolution, 0, size)], "resolution int, chr int, n_bins long")
             v = scale_vectors(g, whole)
         else:

@@ -57,7 +57,7 @@ def mapq_histogram(pairs: DataFrame, thresholds: tuple[int, ...] = (1,)) -> Data
     return c.groupBy("threshold", "mapq").agg(F.count("*").alias("n_all"), F.count_if("intra").alias("n_intra"), F.count_if(~F.col("intra")).alias("n_inter"))
 
 
-def convergence(hist: DataFrame) -> DataFrame:
+def convergence(hist: DataFrame, settled: float = SETTLED) -> DataFrame:
     """(threshold, bin): the first log-distance class from which the four orientations agree, for it and the next ones.
 
     The hundred classes are a fixed frame; absent ones have an error of 1000.
@@ -73,7 +73,7 @@ def convergence(hist: DataFrame) -> DataFrame:
     error = F.when(total < 1, F.lit(1000.0)).otherwise(F.greatest(*map(one, kinds)))
     ahead = W.partitionBy("threshold").orderBy("bin").rowsBetween(0, SETTLED_BINS)
     h = h.withColumn("error", error).withColumn("worst", F.max("error").over(ahead))
-    return h.groupBy("threshold").agg(F.coalesce(F.min(F.when(F.col("worst") < SETTLED, F.col("bin"))), F.lit(len(DISTANCES) - 1)).alias("bin"))
+    return h.groupBy("threshold").agg(F.coalesce(F.min(F.when(F.col("worst") < settled, F.col("bin"))), F.lit(len(DISTANCES) - 1)).alias("bin"))
 
 
 def complexity(keyed: DataFrame, *keys: str) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlattice.functions import genome, pairs as P
+from pairlattice.functions.genome import offsets
 from pairlattice.functions.scalars import percent, with_commas
-from pairlattice.operators import binning, corr, cutoffs, expected, intervals, merge, norms, qc, rows
+from pairlattice.operators import balance, binning, corr, cutoffs, expected, intervals, merge, norms, qc, rows
 from pairlattice.plans.fixture import CHROMOSOMES, CHROMS_SQL, PAIRS_SQL, cells_sql, chroms, halves_sql, pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +29,7 @@ def query(sql: str | None = None, parts: tuple[str, ...] = ()):
     def add(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = "WITH " + ",\n".join((PAIRS_SQL, *parts)) + "\n" + sql
+            ORACLES[f.__name__] = ("WITH RECURSIVE " if any(x.startswith("fold(") for x in parts) else "WITH ") + ",\n".join((PAIRS_SQL, *parts)) + "\n" + sql
         return f
 
     return add
@@ -212,11 +213,26 @@ def sparse_matvec(spark, sf):
     return rows.matvec(c, rows.row_sums(c).withColumn("v", F.sqrt("v"))).select("chr", "bin", r6("v"))
 
 
-@query("SELECT a.chr, a.bin, round(d / s, 9) AS v FROM (SELECT chr, bin, sqrt(v) AS d, v * sqrt(v) AS s FROM (SELECT chr, bin, sum(n) AS v FROM halves GROUP BY ALL)) a", (INTRA, HALVES))
+def _half_steps(spark, sf, which: int):
+    """A half-step of the balancing operator for each chromosome, as rows of occupied bins."""
+    c, out = _intra(spark, sf), []
+    for r in norms.bins(chroms(spark), (BIN,)).collect():
+        step = balance.half_step(c.filter(F.col("chr") == r["chr"]), r["n_bins"])
+        out += [(r["chr"], i, round(float(step[which][i]), 6)) for i in range(r["n_bins"]) if step[0][i] > 0]
+    return spark.createDataFrame(out, "chr int, bin long, v double")
+
+
+@query("SELECT chr, bin, round(sqrt(v) / (v * sqrt(v)), 6) AS v FROM (SELECT chr, bin, sum(n) AS v FROM halves GROUP BY ALL)", (INTRA, HALVES))
 def sinkhorn_step(spark, sf):
     """First half-step of balancing: the row scaling that the start (roots of row sums) turns into."""
-    s = rows.row_sums(_intra(spark, sf))
-    return s.select("chr", "bin", F.round(F.sqrt("v") / (F.col("v") * F.sqrt("v")), 9).alias("v"))
+    return _half_steps(spark, sf, 0)
+
+
+@query("SELECT h.chr, h.bin, round(sum(h.n / o.v) * sqrt(any_value(b.v)), 6) AS v FROM halves h JOIN s o ON h.chr = o.chr AND h.other = o.bin JOIN s b ON h.chr = b.chr AND h.bin = b.bin GROUP BY h.chr, h.bin",
+       (INTRA, HALVES, "s AS (SELECT chr, bin, sum(n) AS v FROM halves GROUP BY ALL)"))
+def sinkhorn_sums(spark, sf):
+    """The columns' sums after the first half-step of balancing."""
+    return _half_steps(spark, sf, 1)
 
 
 @query("SELECT chr, bin, CASE WHEN v > 20 THEN round(1 / v, 9) END AS v FROM (SELECT chr, bin, sum(n) AS v FROM halves GROUP BY ALL)", (INTRA, HALVES))
@@ -294,10 +310,26 @@ def chromosome_factors(spark, sf):
     return expected.chromosome_factors(density, chroms(spark), expected.chromosome_totals(c)).select("chr", r6("factor"))
 
 
-@query()
+def _smoothed(observed: str, resolution: int) -> tuple[str, ...]:
+    """WITH clauses of the widening window as recursion over distances; lists of running sums begin with 0."""
+    n = 8_000_000 // resolution
+    return (
+        f"o AS (SELECT coalesce(dist, d) AS dist, coalesce(observed, 0) AS observed, 4 * greatest(0, {n} - d) AS possible FROM range({n + 1}) r(d) LEFT JOIN ({observed}) ON dist = d)",
+        "acc AS (SELECT dist, sum(observed) OVER w AS a, sum(possible) OVER w AS b FROM o WINDOW w AS (ORDER BY dist))",
+        f"sums AS (SELECT list_prepend(CAST(0 AS DOUBLE), list(CAST(a AS DOUBLE) ORDER BY dist)) AS a, list_prepend(CAST(0 AS DOUBLE), list(CAST(b AS DOUBLE) ORDER BY dist)) AS b, {n} AS n FROM acc)",
+        """fold(d, lo, hi, density) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE)
+  UNION ALL SELECT d + 1, lo2, greatest(hi2, least(hi2 + 2, n - 1)), CASE WHEN b[hi2 + 2] > b[lo2 + 1] THEN (a[hi2 + 2] - a[lo2 + 1]) / (b[hi2 + 2] - b[lo2 + 1]) ELSE 0.0 END
+  FROM (SELECT d, a, b, n, CASE WHEN short THEN lo ELSE lo + k END AS lo2, CASE WHEN short THEN greatest(hi, least(reach, n)) ELSE hi - k END AS hi2
+    FROM (SELECT d, lo, hi, a, b, n, a[hi + 2] - a[lo + 1] < 400 AS short, len(list_filter(a, lambda x: x < a[lo + 1] + 400)) - 1 AS reach,
+            len(list_filter(range(1, n + 2), lambda j: hi - lo - 2 * (j - 1) > 1 AND a[hi - j + 2] - a[lo + j + 1] >= 400)) AS k
+          FROM fold, sums WHERE d < n)))""",
+    )
+
+
+@query("SELECT 50000 AS resolution, d - 1 AS dist, round(density, 6) AS density FROM fold WHERE d > 0", (cells_sql(50_000, "c50"), *_smoothed("SELECT y - x AS dist, sum(n) AS observed FROM c50 WHERE chr1 = chr2 GROUP BY ALL", 50_000)))
 def expected_smoothed(spark, sf):
     c = _intra(spark, sf, 50_000)
-    return expected.smoothed_density(expected.distance_histogram(c), expected.possible_distances(chroms(spark), 50_000))
+    return expected.smoothed_density(expected.distance_histogram(c), expected.possible_distances(chroms(spark), 50_000)).withColumn("density", F.round("density", 6))
 
 
 # ---- quality statistics
@@ -340,11 +372,7 @@ def qc_mapq_hist(spark, sf):
           FROM (VALUES (1), (30)) t(threshold) CROSS JOIN range(100) b(bin) LEFT JOIN (SELECT *, {LOG_BIN} AS lb FROM f WHERE fate = 'contact' AND intra) f ON f.threshold = t.threshold AND f.lb = b.bin GROUP BY ALL))) GROUP BY threshold""", (FATES,))
 def qc_convergence(spark, sf):
     """With an error of 0.5, as the fixture's orientations do not agree closely anywhere."""
-    was, qc.SETTLED = qc.SETTLED, 0.5
-    try:
-        return qc.convergence(qc.orientation_histogram(pairs(spark, sf), (1, 30)))
-    finally:
-        qc.SETTLED = was
+    return qc.convergence(qc.orientation_histogram(pairs(spark, sf), (1, 30)), 0.5)
 
 
 @query("""SELECT CAST(t AS BIGINT) AS n_total, CAST(u AS BIGINT) AS n_unique, CAST(t - u AS BIGINT) AS n_dups FROM (SELECT count(*) AS t, count(DISTINCT (l_orderkey, l_linenumber)) AS u FROM lineitem)""")
@@ -417,6 +445,40 @@ def scale_vectors_inter(spark, sf):
     return norms.whole_genome_vectors(binning.bin_pairs(pairs(spark, sf), BIN), chroms(spark), BIN, "SCALE", intra=False)
 
 
+GENOME = "gc AS (SELECT least(x + (chr1 - 1) * 33, y + (chr2 - 1) * 33) AS x, greatest(x + (chr1 - 1) * 33, y + (chr2 - 1) * 33) AS y, n FROM cells)"
+
+
+def _even(cells: DataFrame, vector: DataFrame) -> DataFrame:
+    """Whether each occupied row of a matrix sums to the same once cells are divided by its balanced vector."""
+    s = rows.row_sums(rows.normalized(cells, vector))
+    mean = s.groupBy(*rows.MATRIX).agg(F.avg("v").alias("mean"))
+    return s.join(mean, list(rows.MATRIX)).select("chr", "bin", (F.abs(F.col("v") / F.col("mean") - 1) < balance.LARGEST_ROW_ERROR).alias("even"))
+
+
+def _even_whole(spark, sf, intra: bool):
+    c = binning.bin_pairs(pairs(spark, sf), BIN)
+    v = norms.whole_genome_vectors(c, chroms(spark), BIN, "SCALE", intra)
+    first = offsets(chroms(spark), BIN).select(F.col("idx").alias("chr"), "first_bin")
+    whole = v.join(first, "chr").select("resolution", F.lit(0).alias("chr"), (F.col("bin") + F.col("first_bin")).alias("bin"), "v")
+    return _even(norms.whole_genome_cells(c, chroms(spark), BIN, intra), whole).select("bin", "even")
+
+
+@query("SELECT DISTINCT chr, bin, TRUE AS even FROM halves", (INTRA, HALVES))
+def scale_rows_even_intra(spark, sf):
+    c = _intra(spark, sf)
+    return _even(c, norms.scale(c, chroms(spark), (BIN,)))
+
+
+@query("SELECT DISTINCT unnest([x, y]) AS bin, TRUE AS even FROM gc", (cells_sql(BIN), GENOME))
+def scale_rows_even_gw(spark, sf):
+    return _even_whole(spark, sf, True)
+
+
+@query("SELECT DISTINCT unnest([x, y]) AS bin, TRUE AS even FROM gc WHERE x // 33 <> y // 33", (cells_sql(BIN), GENOME))
+def scale_rows_even_inter(spark, sf):
+    return _even_whole(spark, sf, False)
+
+
 @query("SELECT chr, bin, round(v * sqrt(q), 6) AS v FROM (SELECT g // 33 + 1 AS chr, g % 33 AS bin, v, q FROM w, (SELECT sum(t * n / (a.v * b.v)) / sum(t * n) AS q FROM (SELECT *, CASE WHEN x = y THEN 1.0 ELSE 2.0 END AS t FROM gc) gc JOIN w a ON a.g = gc.x JOIN w b ON b.g = gc.y))",
        (cells_sql(BIN), "gc AS (SELECT least(x + (chr1 - 1) * 33, y + (chr2 - 1) * 33) AS x, greatest(x + (chr1 - 1) * 33, y + (chr2 - 1) * 33) AS y, n FROM cells)", "w AS (SELECT g, sum(n) AS v FROM (SELECT x AS g, n FROM gc UNION ALL SELECT y, n FROM gc WHERE x <> y) GROUP BY g)"))
 def gw_vc_vector(spark, sf):
@@ -437,12 +499,30 @@ def eigenvector(spark, sf):
     return corr.eigenvector(expected.observed_over_expected(c, density))
 
 
-@query()
+@query("SELECT DISTINCT chr, TRUE AS settled FROM ic", (INTRA,))
+def eigenvector_residual(spark, sf):
+    """Whether each chromosome's vector, with its mean put back, is an eigenvector of the correlation matrix: |C w - l w| < 1e-6, l = w C w."""
+    c = _intra(spark, sf)
+    oe = expected.observed_over_expected(c, expected.raw_density(expected.distance_histogram(c), expected.possible_distances(chroms(spark), BIN)))
+    r, v = corr.pearson(oe), corr.eigenvector(oe).filter(~F.isnan("v"))
+    sums = v.groupBy("chr").agg(F.sum(F.col("v") * F.col("v")).alias("q"), F.count("*").alias("m"))
+    shift = F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("q")) / F.col("m"))
+    w = v.join(sums, "chr").select("chr", "bin", F.explode(F.array(F.struct(F.lit(1).alias("sign"), (F.col("v") + shift).alias("w")), F.struct(F.lit(-1).alias("sign"), (F.col("v") - shift).alias("w")))).alias("z")).select("chr", "bin", "z.sign", "z.w")
+    full = r.select("chr", F.col("x").alias("bin"), F.col("y").alias("other"), "r").unionByName(r.filter("x <> y").select("chr", F.col("y").alias("bin"), F.col("x").alias("other"), "r"))
+    cw = full.join(w.withColumnRenamed("bin", "other"), ["chr", "other"]).groupBy("chr", "sign", "bin").agg(F.sum(F.col("r") * F.col("w")).alias("cw"))
+    both = cw.join(w, ["chr", "sign", "bin"])
+    top = both.groupBy("chr", "sign").agg(F.sum(F.col("cw") * F.col("w")).alias("l"))
+    rest = both.join(top, ["chr", "sign"]).groupBy("chr", "sign").agg(F.sqrt(F.sum((F.col("cw") - F.col("l") * F.col("w")) ** 2)).alias("rest"))
+    return rest.groupBy("chr").agg((F.min("rest") < 1e-6).alias("settled"))
+
+
+@query(f"SELECT {BIN} AS resolution, d - 1 AS dist, round(density, 6) AS density FROM fold WHERE d > 0",
+       (INTRA, HALVES, "w AS (SELECT chr, bin, sqrt(sum(n)) AS v FROM halves GROUP BY ALL)", *_smoothed("SELECT y - x AS dist, sum(n / (p.v * q.v)) AS observed FROM ic JOIN w p ON ic.chr = p.chr AND x = p.bin JOIN w q ON ic.chr = q.chr AND y = q.bin GROUP BY ALL", BIN)))
 def custom_norm_expected(spark, sf):
     """Expected density under a vector given from outside: here roots of row sums."""
     c = _intra(spark, sf)
     given = rows.row_sums(c).withColumn("v", F.sqrt("v"))
-    return expected.smoothed_density(norms.normed_histogram(c, given), expected.possible_distances(chroms(spark), BIN))
+    return expected.smoothed_density(norms.normed_histogram(c, given), expected.possible_distances(chroms(spark), BIN)).withColumn("density", F.round("density", 6))
 
 
 # ---- intervals, tracks, streams

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ def write_norms(norms: DataFrame, path: str) -> None:
     (known.repartition("norm", "resolution", "chr").sortWithinPartitions("norm", "resolution", "chr", "bin").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("norm", "resolution").parquet(f"{path}/norms"))
 
 
+def read_norms(spark: SparkSession, path: str, norm: str, resolution: int) -> DataFrame:
+    """(resolution, chr, bin, v) of one stored kind of vector at one bin size; null values are invalid bins."""
+    return spark.read.parquet(f"{path}/norms").filter((F.col("norm") == norm) & (F.col("resolution") == resolution)).select("resolution", "chr", "bin", "v").filter("v is not null")
+
+
 def norm_order(norm: str) -> int:
     return ORDER.index(norm) if norm in ORDER else len(ORDER)
 
@@ -48,18 +55,19 @@ def write_expected(density: DataFrame, factors: DataFrame, path: str) -> None:
     factors.write.mode("overwrite").parquet(f"{path}/chr_scale")
 
 
-def pairs_as_text(pairs: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """(value): lines of nine columns, strand chr pos frag twice, then the score; strands as 0 and 16."""
+def pairs_as_text(pairs: DataFrame, names: DataFrame | None = None, with_mapq: bool = False) -> DataFrame:
+    """(value): lines of nine columns, strand chr pos frag twice, then the score; with mapq after each frag eleven; strands as 0 and 16."""
     if names is not None:
         for c in ("chr1", "chr2"):
             pairs = pairs.join(F.broadcast(names.select(F.col("idx").alias(c), F.col("name").alias(f"{c}_name"))), c).drop(c).withColumnRenamed(f"{c}_name", c)
     strand = lambda c: F.when(F.col(c), "0").otherwise("16")
     s = lambda c: F.col(c).cast("string")
-    return pairs.select(F.concat_ws("\t", strand("strand1"), s("chr1"), s("pos1"), s("frag1"), strand("strand2"), s("chr2"), s("pos2"), s("frag2"), s("score")).alias("value"))
+    side = lambda i: [strand(f"strand{i}"), *(s(f"{c}{i}") for c in ("chr", "pos", "frag", *(("mapq",) if with_mapq else ())))]
+    return pairs.select(F.concat_ws("\t", *side(1), *side(2), s("score")).alias("value"))
 
 
-def write_pairs_text(pairs: DataFrame, path: str, names: DataFrame | None = None, codec: str | None = None) -> None:
-    w = pairs_as_text(pairs, names).write.mode("overwrite")
+def write_pairs_text(pairs: DataFrame, path: str, names: DataFrame | None = None, codec: str | None = None, with_mapq: bool = False) -> None:
+    w = pairs_as_text(pairs, names, with_mapq).write.mode("overwrite")
     (w.option("compression", codec) if codec else w).text(path)
 
 
@@ -113,6 +121,46 @@ def merged_report_lines(merged: dict[str, int]) -> list[str]:
     return [f"{mark} {merged[label]:,}" for label, mark in LABELS if label in merged and label not in ("ignore", "pair_percents")] + ([" Pair Type %(L-I-O-R): 25% - 25% - 25% - 25%"] if merged.get("pair_percents") == 25 else [])
 
 
+def merged_histogram_lines(merged: DataFrame) -> list[str]:
+    """Lines of a merged histogram report from (name, i, value): A in one line, B by threes, D by fours, x; of fixed size."""
+    arrays: dict[str, list[int]] = {}
+    for r in merged.orderBy("name", "i").collect():
+        arrays.setdefault(r["name"], []).append(r["value"])
+    wide = {"B": 3, "D": 4}
+    out = []
+    for name in ("A", "B", "D", "x"):
+        v = arrays.get(name, [])
+        n = wide.get(name, max(1, len(v)))
+        out += [f"{name} = [", *(" ".join(map(str, v[i : i + n])) for i in range(0, len(v), n)), "];"]
+    return out
+
+
+def write_report(spark: SparkSession, lines: list[str], path: str) -> None:
+    """A report as one file of this name, through Hadoop's file system."""
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(to, True)
+    try:
+        stream.write(bytearray(("\n".join(lines) + "\n").encode()))
+    finally:
+        stream.close()
+
+
+def tile_header(genome: str, chromosome: str, resolution: int, lower: float, upper: float, bins: int, side: int = 500) -> bytes:
+    """Header of a tiled matrix file (fixed format): magic, version, names ended by a zero byte, bin size, the two values, rows, columns, tile side."""
+    name = lambda x: x.encode() + b"\0"
+    return b"hic\0" + struct.pack("<i", 1) + name(genome) + name(chromosome) * 2 + struct.pack("<iffiii", resolution, lower, upper, bins, bins, side)
+
+
+def write_matrix_tiles(matrix: DataFrame, path: str, genome: str, chromosome: str, resolution: int, bins: int, value: str = "r", side: int = 500) -> None:
+    """``path/tiles`` (tx, ty, content) by row of tiles, and ``path/header``, which a reader puts before them."""
+    ends = matrix.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    full = matrix.select("x", "y", value).unionByName(matrix.filter("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), value))
+    matrix_tiles(full, value, side).orderBy("tx", "ty").write.mode("overwrite").parquet(f"{path}/tiles")
+    spark = matrix.sparkSession
+    header = tile_header(genome, chromosome, resolution, ends["lo"] or 0.0, ends["hi"] or 0.0, bins, side)
+    spark.createDataFrame([(bytearray(header),)], "content binary").write.mode("overwrite").parquet(f"{path}/header")
+
+
 def write_vector_text(vector: DataFrame, path: str) -> None:
     """One value a line by bin: each part file is a range of bins, the parts are in order."""
     vector.orderBy("bin").select(F.col("v").cast("string").alias("value")).write.mode("overwrite").text(path)

@@ -100,7 +100,7 @@ def test_large_matrices_of_a_chromosome_are_balanced_by_products(spark, monkeypa
     sizes = spark.createDataFrame([(1, 104)], "idx int, length long")
     vector = lambda: {r["bin"]: r["v"] for r in norms.scale(cells, sizes, (1,)).collect()}
     want = vector()
-    monkeypatch.setattr(norms, "CELLS_IN_TASK", 100)
+    monkeypatch.setattr(balance, "CELLS_IN_TASK", 100)
     monkeypatch.setattr(norms, "scale_vectors", lambda part, b: balance.scale_vectors(part.filter(F.lit(part.isEmpty())), b))
     got = vector()
     assert len(want) == 105 and set(got) == set(want) and np.allclose(np.array([got[k] for k in want], float), np.array(list(want.values()), float), equal_nan=True)
@@ -124,3 +124,21 @@ def test_eigenvector_is_centred_and_signed(spark):
 def test_fine_bins_are_refused():
     with pytest.raises(ValueError):
         corr.check_resolution(10_000)
+
+
+def test_correlations_of_matrices_beyond_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    m = np.triu(rng.poisson(1.2, (40, 40)).astype(float))
+    m[:, 7] = m[7, :] = 0  # a row without cells
+    m[20:, 20:][np.triu_indices(20)] += 3
+    rows = [(1000, c, int(x), int(y), float(m[x, y])) for c in (1, 2) for x, y in zip(*np.nonzero(m)) if c == 1 or x < 30 and y < 30]
+    d = spark.createDataFrame(rows, "resolution int, chr int, x long, y long, oe double")
+    small = {(r["chr"], r["x"], r["y"]): r["r"] for r in corr.pearson(d).collect()}
+    vectors = {(r["chr"], r["bin"]): r["v"] for r in corr.eigenvector(d).collect()}
+    monkeypatch.setattr(corr, "MOST_BINS", 35)
+    large = {(r["chr"], r["x"], r["y"]): r["r"] for r in corr.pearson(d).collect()}
+    assert set(small) == set(large) and len([k for k in small if k[0] == 1]) == 39 * 40 // 2
+    assert all(abs(small[k] - large[k]) < 1e-9 for k in small)
+    again = {(r["chr"], r["bin"]): r["v"] for r in corr.eigenvector(d).collect()}
+    assert set(vectors) == set(again)
+    assert all(vectors[k] is again[k] is None or abs(vectors[k] - again[k]) < 1e-6 for k in vectors)

@@ -1,3 +1,9 @@
+import re
+import struct
+
+import numpy as np
+import pytest
+
 from pairlattice import cli
 from pairlattice.operators.binning import bin_pairs
 from pairlattice.plans.fixture import pairs
@@ -22,14 +28,59 @@ def test_commands_run_end_to_end(spark, tmp_path, capsys):
     sinks.write_pairs_text(p, str(tmp_path / "pairs"))
     out = str(tmp_path / "set")
     assert cli.main(["pre", str(tmp_path / "pairs"), out, "-g", str(tmp_path / "g.txt"), "-r", "1000000,2500000", "-k", "VC,SCALE,GW_VC", "-q", "0"]) == 0
+    whole = sinks.read_cells(spark, out).filter("chr1 = 0")
+    assert whole.agg({"n": "sum"}).first()[0] == p.count() and spark.read.parquet(f"{out}/chromosomes").filter("idx = 0").first()["name"] == "All"
+    for name in ("raw", "VC", "SCALE", "GW_VC"):
+        assert spark.read.parquet(f"{out}/{name}_1000000/expected").filter("density > 0").count() > 0
     assert {r["norm"] for r in spark.read.parquet(f"{out}/norms").select("norm").distinct().collect()} == {"VC", "SCALE", "GW_VC"}
     assert cli.main(["sum", str(tmp_path / "twice"), out, out]) == 0
     a, b = sinks.read_cells(spark, out, 1_000_000).agg({"n": "sum"}).first()[0], sinks.read_cells(spark, str(tmp_path / "twice"), 1_000_000).agg({"n": "sum"}).first()[0]
     assert b == 2 * a
     assert cli.main(["eigenvector", out, "1", "1000000", str(tmp_path / "e")]) == 0
     assert cli.main(["pearsons", out, "1", "1000000", str(tmp_path / "r")]) == 0
-    assert cli.main(["statistics", str(tmp_path / "pairs")]) == 0
+    assert cli.main(["pearsons", out, "1", "1000000", str(tmp_path / "t"), "-b"]) == 0
+    header = spark.read.parquet(str(tmp_path / "t" / "header")).first()["content"]
+    assert bytes(header[:4]) == b"hic\0" and header[-12:] == struct.pack("<iii", 9, 9, 500)
+    tile = np.frombuffer(spark.read.parquet(str(tmp_path / "t" / "tiles")).first()["content"], "<f4").reshape(500, 500)
+    assert np.allclose(tile[:8, :8], tile[:8, :8].T) and np.allclose(np.diag(tile)[:8], 1)
+    assert cli.main(["statistics", str(tmp_path / "pairs"), "-o", str(tmp_path / "report")]) == 0
     assert "Hi-C Contacts" in capsys.readouterr().out
+    reports = [str(tmp_path / f"report_{q}{x}") for q in (1, 30) for x in (".txt", "_hists.m")]
+    assert cli.main(["mergestats", str(tmp_path / "m.txt"), reports[0], reports[2]]) == 0
+    assert cli.main(["mergehists", str(tmp_path / "m_hists.m"), reports[1], reports[3]]) == 0
+    number = lambda path: int(re.search(r"Hi-C Contacts: *([0-9,]+)", open(path).read())[1].replace(",", ""))
+    assert number(tmp_path / "m.txt") == number(reports[0]) + number(reports[2])
+    rows = lambda path, name: np.array([list(map(int, x.split())) for x in re.search(name + r" = \[\n(.*?)\n\]", open(path).read(), re.S)[1].split("\n")])
+    for name, shape in (("B", (200, 3)), ("D", (100, 4))):
+        assert rows(tmp_path / "m_hists.m", name).shape == shape
+        assert (rows(tmp_path / "m_hists.m", name) == rows(reports[1], name) + rows(reports[3], name)).all()
+    assert (rows(tmp_path / "m_hists.m", "x") == rows(reports[1], "x")).all()
+
+
+def test_reports_of_two_read_types_do_not_mix(spark, tmp_path):
+    for name, kind in (("a", "Single End"), ("b", "Paired End"), ("c", "Paired End")):
+        (tmp_path / name).write_text(f"Read type: {kind}\nHi-C Contacts: 1,000 (5%)\n")
+    with pytest.raises(ValueError):
+        cli.main(["mergestats", str(tmp_path / "m"), str(tmp_path / "a"), str(tmp_path / "b")])
+    assert cli.main(["mergestats", str(tmp_path / "m"), str(tmp_path / "b"), str(tmp_path / "c")]) == 0
+    assert (tmp_path / "m").read_text().splitlines()[:2] == ["Read type: Paired End", "Hi-C Contacts: 2,000"]
+
+
+def test_complexity_of_a_folder(spark, tmp_path, capsys):
+    for name, n in (("merged_nodups", 900), ("dups", 100), ("opt_dups", 10)):
+        (tmp_path / f"{name}.txt").write_text("x\n" * n)
+    assert cli.main(["librarycomplexity", str(tmp_path)]) == 0
+    scanned = capsys.readouterr().out
+    assert cli.main(["librarycomplexity", str(tmp_path / "merged_nodups.txt"), str(tmp_path / "dups.txt"), "--optical", "10"]) == 0
+    assert capsys.readouterr().out == scanned and "Optical Duplicates: 10 (1.00%)" in scanned
+
+
+def test_binary_pairs_back_to_text(spark, tmp_path):
+    p = pairs(spark, SF).limit(50)
+    (tmp_path / "g.txt").write_text("".join(f"chr{i}\t8000000\n" for i in range(1, 5)))
+    sinks.write_pairs_text(p, str(tmp_path / "text"))
+    assert sinks.pairs_as_text(p, with_mapq=True).first()["value"].count("\t") == 10
+    assert sinks.pairs_as_text(p).first()["value"].count("\t") == 8
 
 
 def test_thread_rule():
