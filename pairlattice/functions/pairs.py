@@ -94,9 +94,10 @@ def select_pairs(df: DataFrame, *, intra_only: bool = False, near: int | None =
 
 
 def distance_bin(distance: Column) -> Column:
-    """Index of the first distance class that is not below the distance."""
-    ends = F.array(*[F.lit(x).cast("long") for x in DISTANCES])
-    return F.aggregate(ends, F.lit(0), lambda n, e: n + F.when(e < distance, 1).otherwise(0))
+    """Index of the first distance class that is not below the distance, 100 beyond the last: from the logarithm, set right by the neighbouring ends."""
+    ends = F.array(*[F.lit(x).cast("long") for x in (*DISTANCES, 1 << 62)])
+    near = F.greatest(F.lit(1), F.least(F.lit(len(DISTANCES) - 1), F.ceil(11 * (F.log10(F.greatest(distance, F.lit(1))) - 1)).cast("int")))
+    return F.when(distance <= F.get(ends, near - 1), near - 1).when(distance <= F.get(ends, near), near).otherwise(near + 1)
 
 
 def distance_class(distance: Column) -> Column:

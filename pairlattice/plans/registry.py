@@ -40,7 +40,8 @@ def r6(c: str, name: str | None = None):
 
 
 def _intra(spark: SparkSession, sf: str, resolution: int = BIN) -> DataFrame:
-    return rows.intra_cells(binning.bin_pairs(pairs(spark, sf).filter(P.intra()), resolution))
+    """Intra cells, kept once made: vectors, factors and normalised cells all read them."""
+    return rows.intra_cells(binning.bin_pairs(pairs(spark, sf).filter(P.intra()), resolution)).persist()
 
 
 INTRA = cells_sql(BIN, "c", where="chr1 = chr2") + ", ic AS (SELECT resolution, chr1 AS chr, x, y, n FROM c)"
