@@ -300,7 +300,8 @@ def link_rows(texts: DataFrame) -> DataFrame:
     # rows of one component, and the one of smallest doc_id among them
     of_class = classes.join(comp.withColumnRenamed("id", "representative"), "representative", "left").select("digest", F.coalesce("component", "representative").alias("component"))
     rows = written(profile.join(of_class, "digest", "left").select(F.col("doc_id").alias("row"), "size", F.coalesce("component", "doc_id").alias("component")).join(ids, "row"))
-    least = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"))
+    # written, so that the join deals its rows anew and a large component can be split
+    least = written(rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")))
     return rows.join(least, "component").select("row", "doc_id", F.col("size").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("survivor"))
 
 
