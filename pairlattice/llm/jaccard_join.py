@@ -277,10 +277,10 @@ def link_rows(texts: DataFrame) -> DataFrame:
     by_key = postings.repartition("key").sortWithinPartitions("key", "rare", "size", "doc_id").select("key", "doc_id", "size", "place")
     lists = written(by_key.mapInArrow(_stars, "key long, doc_id long, size int, place int, centre long, centre_size int, centre_place int"))
     stars = lists.filter("doc_id <> centre").filter(_may_link("size", "place", "centre_size", "centre_place")).select(F.least("doc_id", "centre").alias("u"), F.greatest("doc_id", "centre").alias("v"))
-    # slices of one list: their centres meet the least of them
-    heads = lists.filter(F.col("key").bitwiseAND(SLICE_MASK) > 0).select(_whole_key("key").alias("list"), F.struct(F.col("centre_size").alias("size"), F.col("centre").alias("id"), F.col("centre_place").alias("place")).alias("head")).distinct()
-    met = heads.join(heads.groupBy("list").agg(F.min("head").alias("least")), "list").filter("head.id <> least.id").filter(_may_link("head.size", "head.place", "least.size", "least.place"))
-    stars = stars.unionByName(met.select(F.least("head.id", "least.id").alias("u"), F.greatest("head.id", "least.id").alias("v")))
+    if _slices(levels).any():  # some list is dealt in slices: their centres meet the least of them
+        heads = lists.filter(F.col("key").bitwiseAND(SLICE_MASK) > 0).select(_whole_key("key").alias("list"), F.struct(F.col("centre_size").alias("size"), F.col("centre").alias("id"), F.col("centre_place").alias("place")).alias("head")).distinct()
+        met = heads.join(heads.groupBy("list").agg(F.min("head").alias("least")), "list").filter("head.id <> least.id").filter(_may_link("head.size", "head.place", "least.size", "least.place"))
+        stars = stars.unionByName(met.select(F.least("head.id", "least.id").alias("u"), F.greatest("head.id", "least.id").alias("v")))
     stars = written(stars.distinct())
     links = written(_verify(stars, own))
     comp = written(components(links))
