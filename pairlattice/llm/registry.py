@@ -1,6 +1,6 @@
 """Queries of the corpus operators by name, and the SQL of those that SQL can express."""
 
-from pairlattice.llm import ann, bpe, fill_middle, hmm, html_text, jaccard_join, mixing, pii, quality, quotation, substring_dedup
+from pairlattice.llm import ann, bpe, fill_middle, hmm, html_text, jaccard_join, mixing, pii, quality, quotation, sharding, substring_dedup
 
 QUERIES = {
     "op1_ann": ann.query,
@@ -14,10 +14,12 @@ QUERIES = {
     "op9_quotation_linking": quotation.query,
     "op10_html_text": html_text.query,
     "op11_fill_middle": fill_middle.query,
+    "op12_sharding": sharding.query,
 }
 ORACLES = {
     "op5_jaccard_join": jaccard_join.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
     "op9_quotation_linking": quotation.ORACLE,
     "op11_fill_middle": fill_middle.ORACLE,
+    "op12_sharding": sharding.ORACLE,
 }
