@@ -1,6 +1,6 @@
 """Queries of the corpus operators by name, and the SQL of those that SQL can express."""
 
-from pairlattice.llm import ann, bpe, fill_middle, hmm, html_text, jaccard_join, mixing, pii, quality, quotation, sharding, substring_dedup
+from pairlattice.llm import alignment, ann, bpe, fill_middle, hmm, html_text, jaccard_join, mixing, pii, quality, quotation, sharding, substring_dedup
 
 QUERIES = {
     "op1_ann": ann.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_html_text": html_text.query,
     "op11_fill_middle": fill_middle.query,
     "op12_sharding": sharding.query,
+    "op13_token_alignment": alignment.query,
 }
 ORACLES = {
     "op5_jaccard_join": jaccard_join.ORACLE,
