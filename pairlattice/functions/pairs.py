@@ -20,11 +20,14 @@ def is_upper() -> Column:
 
 
 def canonical(df: DataFrame) -> DataFrame:
-    """Upper triangle: position, chromosome and fragment of both ends are swapped where the first end is the later one."""
+    """Upper triangle: position, chromosome and fragment of both ends are swapped where the first end is the later one.
+
+    The chromosomes are the smaller and the larger one, so that a filter on them stays short where it is pushed down.
+    """
     keep = is_upper()
-    ends = [c for c in ("chr", "pos", "frag") if f"{c}1" in df.columns]
+    ends = [c for c in ("pos", "frag") if f"{c}1" in df.columns]
     flipped = {f"{c}{i}": F.when(keep, F.col(f"{c}{i}")).otherwise(F.col(f"{c}{3 - i}")) for c in ends for i in (1, 2)}
-    return df.withColumns(flipped)
+    return df.withColumns(flipped | {"chr1": F.least("chr1", "chr2"), "chr2": F.greatest("chr1", "chr2")})
 
 
 def clamp(df: DataFrame, chroms: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from pairlattice.operators import balance
 from pairlattice.operators.balance import balance_distributed, scale_vectors
 from pairlattice.operators.expected import distance_histogram
 from pairlattice.operators.rows import intra_cells, inverted, normalized, rescaled, row_sums
+from pairlattice.operators.stage import settled
 
 #: Order in which vectors are written (fixed values).
 ORDER = ("GW_VC", "GW_VC_SQRT", "GW_SCALE", "INTER_VC", "INTER_VC_SQRT", "INTER_SCALE", "VC", "VC_SQRT", "SCALE")
@@ -40,8 +43,8 @@ def vc_sqrt(intra: DataFrame) -> DataFrame:
 def _balanced_distributed(cells: DataFrame, resolution: int, c: int, size: int) -> DataFrame:
     """(resolution, chr, bin, v) of one matrix, by Spark products; without rows if it cannot be balanced."""
     found = balance_distributed(cells, size).vector
-    rows = [] if found is None else [(resolution, c, i, float(x)) for i, x in enumerate(found)]
-    v = inverted(cells.sparkSession.createDataFrame(rows, "resolution int, chr int, bin long, v double"))
+    frame = pd.DataFrame({"resolution": resolution, "chr": c, "bin": np.arange(0 if found is None else size), "v": [] if found is None else found})
+    v = inverted(cells.sparkSession.createDataFrame(frame, "resolution int, chr int, bin long, v double"))
     return v.withColumn("v", F.nanvl("v", F.lit(None).cast("double")))  # null, as from one task
 
 
@@ -58,7 +61,7 @@ def scale(intra: DataFrame, chroms: DataFrame, resolutions: tuple[int, ...]) ->
         v = scale_vectors(part.filter(~F.col("chr").isin(*large)) if large else part, sizes)
         for c, size in large.items():
             v = v.unionByName(_balanced_distributed(part.filter(F.col("chr") == c), r, c, size))
-        v = v.persist()
+        v = settled(v)
         ok = {x["chr"] for x in v.select("chr").distinct().collect()}
         failed = sorted({x["chr"] for x in part.select("chr").distinct().collect()} - ok | set(failed or ()))
         v = rescaled(part, v)
@@ -94,7 +97,7 @@ def whole_genome_vectors(cells: DataFrame, chroms: DataFrame, resolution: int, k
     """GW_ (intra) or INTER_ vectors of a kind, per chromosome. Large matrices are balanced by Spark products."""
     if resolution < WHOLE_GENOME_FLOOR:
         raise ValueError(f"whole-genome vectors need bins of {WHOLE_GENOME_FLOOR} or more")
-    g = whole_genome_cells(cells, chroms, resolution, intra).persist()
+    g = settled(whole_genome_cells(cells, chroms, resolution, intra))
     if kind == "VC":
         v = vc(g)
     elif kind == "VC_SQRT":

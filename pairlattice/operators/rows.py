@@ -11,7 +11,12 @@ MATRIX = ("resolution", "chr")
 
 
 def intra_cells(cells: DataFrame) -> DataFrame:
-    return cells.filter("chr1 = chr2").select("resolution", F.col("chr1").alias("chr"), "x", "y", "n")
+    return as_intra(cells.filter("chr1 = chr2"))
+
+
+def as_intra(cells: DataFrame) -> DataFrame:
+    """Cells that are known to be intra, as (resolution, chr, x, y, n): pairs filtered before binning need no filter after it."""
+    return cells.select("resolution", F.col("chr1").alias("chr"), "x", "y", "n")
 
 
 def both_halves(cells: DataFrame, *more: Column) -> DataFrame:

@@ -15,6 +15,7 @@ from pairlattice.functions import genome, pairs as P
 from pairlattice.functions.genome import offsets
 from pairlattice.functions.scalars import percent, with_commas
 from pairlattice.operators import balance, binning, corr, cutoffs, expected, intervals, merge, norms, qc, rows
+from pairlattice.operators.stage import settled
 from pairlattice.plans.fixture import CHROMOSOMES, CHROMS_SQL, PAIRS_SQL, cells_sql, chroms, halves_sql, pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,8 +41,8 @@ def r6(c: str, name: str | None = None):
 
 
 def _intra(spark: SparkSession, sf: str, resolution: int = BIN) -> DataFrame:
-    """Intra cells, kept once made: vectors, factors and normalised cells all read them."""
-    return rows.intra_cells(binning.bin_pairs(pairs(spark, sf).filter(P.intra()), resolution)).persist()
+    """Intra cells; queries that read them several times settle them first."""
+    return rows.as_intra(binning.bin_pairs(pairs(spark, sf).filter(P.intra()), resolution))
 
 
 INTRA = cells_sql(BIN, "c", where="chr1 = chr2") + ", ic AS (SELECT resolution, chr1 AS chr, x, y, n FROM c)"
@@ -193,19 +194,19 @@ def row_nonzeros(spark, sf):
 
 @query("SELECT chr, round(factor, 6) AS factor FROM fac", (INTRA, HALVES, VC))
 def norm_sum_factor(spark, sf):
-    c = _intra(spark, sf)
+    c = settled(_intra(spark, sf))
     return rows.sum_factor(c, rows.row_sums(c)).select("chr", r6("factor"))
 
 
 @query("SELECT chr, x, y, round(n / (a.v * b.v), 6) AS n FROM ic JOIN vc a USING (resolution, chr) JOIN vc b USING (resolution, chr) WHERE a.bin = x AND b.bin = y", (INTRA, HALVES, VC))
 def vc_normalized_cells(spark, sf):
-    c = _intra(spark, sf)
+    c = settled(_intra(spark, sf))
     return rows.normalized(c, norms.vc(c)).select("chr", "x", "y", r6("n"))
 
 
 @query("SELECT chr, bin, round(w.v * sqrt(q), 6) AS v FROM w JOIN (SELECT chr, sum(CASE WHEN x = y THEN 1.0 ELSE 2.0 END * n / (a.v * b.v)) / sum(CASE WHEN x = y THEN 1.0 ELSE 2.0 END * n) AS q FROM ic JOIN w a USING (chr) JOIN w b USING (chr) WHERE a.bin = x AND b.bin = y GROUP BY chr) USING (chr)", (INTRA, HALVES, "w AS (SELECT chr, bin, sqrt(sum(n)) AS v FROM halves GROUP BY ALL)"))
 def vc_sqrt_vector(spark, sf):
-    return norms.vc_sqrt(_intra(spark, sf)).select("chr", "bin", r6("v"))
+    return norms.vc_sqrt(settled(_intra(spark, sf))).select("chr", "bin", r6("v"))
 
 
 @query("SELECT h.chr, h.bin, round(sum(n * sqrt(s.v)), 6) AS v FROM halves h JOIN (SELECT chr, bin, sum(n) AS v FROM halves GROUP BY ALL) s ON h.chr = s.chr AND h.other = s.bin GROUP BY ALL", (INTRA, HALVES))
@@ -216,7 +217,7 @@ def sparse_matvec(spark, sf):
 
 def _half_steps(spark, sf, which: int):
     """A half-step of the balancing operator for each chromosome, as rows of occupied bins."""
-    c, out = _intra(spark, sf), []
+    c, out = settled(_intra(spark, sf)), []
     for r in norms.bins(chroms(spark), (BIN,)).collect():
         step = balance.half_step(c.filter(F.col("chr") == r["chr"]), r["n_bins"])
         out += [(r["chr"], i, round(float(step[which][i]), 6)) for i in range(r["n_bins"]) if step[0][i] > 0]
@@ -293,20 +294,20 @@ def expected_raw_density(spark, sf):
 
 @query("SELECT chr, x, y, round(n / (observed / possible), 6) AS oe FROM ic JOIN h ON abs(x - y) = h.dist JOIN poss USING (dist)", (INTRA, HIST, CHROMS_SQL, POSSIBLE))
 def observed_over_expected(spark, sf):
-    c = _intra(spark, sf)
+    c = settled(_intra(spark, sf))
     density = expected.raw_density(expected.distance_histogram(c), expected.possible_distances(chroms(spark), BIN))
     return expected.observed_over_expected(c, density).select("chr", "x", "y", r6("oe"))
 
 
 @query("SELECT abs(x - y) AS dist, round(sum(n / (a.v * b.v)), 6) AS observed FROM ic JOIN vc a USING (resolution, chr) JOIN vc b USING (resolution, chr) WHERE a.bin = x AND b.bin = y GROUP BY ALL", (INTRA, HALVES, VC))
 def normed_distance_histogram(spark, sf):
-    c = _intra(spark, sf)
+    c = settled(_intra(spark, sf))
     return norms.normed_histogram(c, norms.vc(c)).select("dist", r6("observed"))
 
 
 @query("SELECT chr, round(expected / observed, 6) AS factor FROM (SELECT idx AS chr, sum((length // 250000 - dist) * coalesce(observed, 0) / possible) AS expected FROM chroms JOIN poss ON dist < length // 250000 LEFT JOIN h USING (dist) GROUP BY idx) JOIN (SELECT chr, sum(n) AS observed FROM ic GROUP BY chr) USING (chr)", (INTRA, HIST, CHROMS_SQL, POSSIBLE))
 def chromosome_factors(spark, sf):
-    c = _intra(spark, sf)
+    c = settled(_intra(spark, sf))
     density = expected.raw_density(expected.distance_histogram(c), expected.possible_distances(chroms(spark), BIN))
     return expected.chromosome_factors(density, chroms(spark), expected.chromosome_totals(c)).select("chr", r6("factor"))
 
@@ -433,7 +434,7 @@ def merge_histograms(spark, sf):
 
 @query()
 def scale_vectors_intra(spark, sf):
-    return norms.scale(_intra(spark, sf), chroms(spark), (BIN,))
+    return norms.scale(settled(_intra(spark, sf)), chroms(spark), (BIN,))
 
 
 @query()
@@ -450,10 +451,11 @@ GENOME = "gc AS (SELECT least(x + (chr1 - 1) * 33, y + (chr2 - 1) * 33) AS x, gr
 
 
 def _even(cells: DataFrame, vector: DataFrame) -> DataFrame:
-    """Whether each occupied row of a matrix sums to the same once cells are divided by its balanced vector."""
-    s = rows.row_sums(rows.normalized(cells, vector))
-    mean = s.groupBy(*rows.MATRIX).agg(F.avg("v").alias("mean"))
-    return s.join(mean, list(rows.MATRIX)).select("chr", "bin", (F.abs(F.col("v") / F.col("mean") - 1) < balance.LARGEST_ROW_ERROR).alias("even"))
+    """Whether each occupied row of a matrix sums to the same once cells are divided by its balanced vector, and all rows to what the raw ones do."""
+    s, raw = rows.row_sums(rows.normalized(cells, vector)), rows.row_sums(cells).groupBy(*rows.MATRIX).agg(F.sum("v").alias("raw"))
+    mean = s.groupBy(*rows.MATRIX).agg(F.avg("v").alias("mean"), F.sum("v").alias("total")).join(raw, list(rows.MATRIX))
+    even = (F.abs(F.col("v") / F.col("mean") - 1) < 1e-3) & (F.abs(F.col("total") / F.col("raw") - 1) < 1e-6)
+    return s.join(mean, list(rows.MATRIX)).select("chr", "bin", even.alias("even"))
 
 
 def _even_whole(spark, sf, intra: bool):
@@ -466,7 +468,7 @@ def _even_whole(spark, sf, intra: bool):
 
 @query("SELECT DISTINCT chr, bin, TRUE AS even FROM halves", (INTRA, HALVES))
 def scale_rows_even_intra(spark, sf):
-    c = _intra(spark, sf)
+    c = settled(_intra(spark, sf))
     return _even(c, norms.scale(c, chroms(spark), (BIN,)))
 
 
@@ -489,39 +491,47 @@ def gw_vc_vector(spark, sf):
 @query("SELECT x, y, round(corr(a.v, b.v), 6) AS r FROM (SELECT p.b AS x, q.b AS y FROM range(8) p(b) JOIN range(8) q(b) ON p.b <= q.b) JOIN d a ON a.i = x JOIN d b ON b.i = y AND a.j = b.j GROUP BY ALL",
        (cells_sql(1_000_000, "c", where="chr1 = 1 AND chr2 = 1"), "d AS (SELECT p.b AS i, q.b AS j, coalesce(max(n), 0) AS v FROM range(8) p(b) CROSS JOIN range(8) q(b) LEFT JOIN c ON (x = p.b AND y = q.b) OR (x = q.b AND y = p.b) GROUP BY ALL)"))
 def pearson_matrix(spark, sf):
-    c = rows.intra_cells(binning.bin_pairs(pairs(spark, sf).filter("chr1 = 1 and chr2 = 1"), corr.check_resolution(1_000_000)))
+    c = rows.as_intra(binning.bin_pairs(pairs(spark, sf).filter("chr1 = 1 and chr2 = 1"), corr.check_resolution(1_000_000)))
     return corr.pearson(c, "n").select("x", "y", r6("r"))
 
 
 @query()
 def eigenvector(spark, sf):
-    c = _intra(spark, sf)
+    c = settled(_intra(spark, sf))
     density = expected.raw_density(expected.distance_histogram(c), expected.possible_distances(chroms(spark), BIN))
     return corr.eigenvector(expected.observed_over_expected(c, density))
 
 
 @query("SELECT DISTINCT chr, TRUE AS settled FROM ic", (INTRA,))
 def eigenvector_residual(spark, sf):
-    """Whether each chromosome's vector, with its mean put back, is an eigenvector of the correlation matrix: |C w - l w| < 1e-6, l = w C w."""
-    c = _intra(spark, sf)
+    """Whether each chromosome's vector w, with its mean put back, is the correlation matrix's first eigenvector: |C w - l w| < 1e-6 with l = w C w, and no l' = |C u| / |u| is larger, for u = z, C z, C^2 z, C^3 z and a fixed z."""
+    c = settled(_intra(spark, sf))
     oe = expected.observed_over_expected(c, expected.raw_density(expected.distance_histogram(c), expected.possible_distances(chroms(spark), BIN)))
     r, v = corr.pearson(oe), corr.eigenvector(oe).filter(~F.isnan("v"))
     sums = v.groupBy("chr").agg(F.sum(F.col("v") * F.col("v")).alias("q"), F.count("*").alias("m"))
     shift = F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("q")) / F.col("m"))
     w = v.join(sums, "chr").select("chr", "bin", F.explode(F.array(F.struct(F.lit(1).alias("sign"), (F.col("v") + shift).alias("w")), F.struct(F.lit(-1).alias("sign"), (F.col("v") - shift).alias("w")))).alias("z")).select("chr", "bin", "z.sign", "z.w")
-    full = r.select("chr", F.col("x").alias("bin"), F.col("y").alias("other"), "r").unionByName(r.filter("x <> y").select("chr", F.col("y").alias("bin"), F.col("x").alias("other"), "r"))
+    full = settled(r.select("chr", F.col("x").alias("bin"), F.col("y").alias("other"), "r").unionByName(r.filter("x <> y").select("chr", F.col("y").alias("bin"), F.col("x").alias("other"), "r")))
     cw = full.join(w.withColumnRenamed("bin", "other"), ["chr", "other"]).groupBy("chr", "sign", "bin").agg(F.sum(F.col("r") * F.col("w")).alias("cw"))
     both = cw.join(w, ["chr", "sign", "bin"])
     top = both.groupBy("chr", "sign").agg(F.sum(F.col("cw") * F.col("w")).alias("l"))
     rest = both.join(top, ["chr", "sign"]).groupBy("chr", "sign").agg(F.sqrt(F.sum((F.col("cw") - F.col("l") * F.col("w")) ** 2)).alias("rest"))
-    return rest.groupBy("chr").agg((F.min("rest") < 1e-6).alias("settled"))
+    z, larger = full.groupBy("chr", "bin").agg(F.cos(F.first("bin") * 1.3).alias("z")), None
+    for _ in range(4):
+        cz = settled(full.join(z.withColumnRenamed("bin", "other"), ["chr", "other"]).groupBy("chr", "bin").agg(F.sum(F.col("r") * F.col("z")).alias("cz")))
+        norm = cz.join(z, ["chr", "bin"]).groupBy("chr").agg(F.sqrt(F.sum(F.col("cz") ** 2) / F.sum(F.col("z") ** 2)).alias("quotient"))
+        larger = norm if larger is None else larger.unionByName(norm)
+        z = cz.withColumnRenamed("cz", "z")
+    best = rest.join(top, ["chr", "sign"]).groupBy("chr").agg(F.min_by("l", "rest").alias("l"), F.min("rest").alias("rest"))
+    known = larger.groupBy("chr").agg(F.max("quotient").alias("quotient"))
+    return best.join(known, "chr").select("chr", ((F.col("rest") < 1e-6) & (F.col("l") > F.col("quotient") * (1 - 1e-9))).alias("settled"))
 
 
 @query(f"SELECT {BIN} AS resolution, d - 1 AS dist, round(density, 6) AS density FROM fold WHERE d > 0",
        (INTRA, HALVES, "w AS (SELECT chr, bin, sqrt(sum(n)) AS v FROM halves GROUP BY ALL)", *_smoothed("SELECT y - x AS dist, sum(n / (p.v * q.v)) AS observed FROM ic JOIN w p ON ic.chr = p.chr AND x = p.bin JOIN w q ON ic.chr = q.chr AND y = q.bin GROUP BY ALL", BIN)))
 def custom_norm_expected(spark, sf):
     """Expected density under a vector given from outside: here roots of row sums."""
-    c = _intra(spark, sf)
+    c = settled(_intra(spark, sf))
     given = rows.row_sums(c).withColumn("v", F.sqrt("v"))
     return expected.smoothed_density(norms.normed_histogram(c, given), expected.possible_distances(chroms(spark), BIN)).withColumn("density", F.round("density", 6))
 

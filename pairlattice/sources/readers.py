@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairlattice.functions.genome import clean_name
-from pairlattice.sources.pairs_binary import FULL, SHORT, read_pairs_binary
+from pairlattice.sources.pairs_binary import FULL, SHORT, read_pairs_binary, read_records
 from pairlattice.sources.pairs_text import read_pairs_text
 
 
@@ -113,14 +113,14 @@ def read_jdbc(spark: SparkSession, url: str, query: str, key: str | None = None,
 def read_coo(spark: SparkSession, path: str) -> DataFrame:
     """(x, y, n) of temporary cell records: two ints and a float, little endian."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     kind = np.dtype([("x", "<i4"), ("y", "<i4"), ("n", "<f4")])
 
-    def run(frames):
-        for f in frames:
-            for content in f["content"]:
-                r = np.frombuffer(content, kind, len(content) // kind.itemsize)
-                yield pd.DataFrame({n: r[n] for n in kind.names})
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                r = np.frombuffer(b.column(0).buffers()[2], kind, b.num_rows, b.column(0).offset * kind.itemsize)
+                yield pa.RecordBatch.from_pydict({n: np.ascontiguousarray(r[n]) for n in kind.names})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "x int, y int, n float")
+    return read_records(spark, path, kind).mapInArrow(run, "x int, y int, n float")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairlattice.functions.pairs import DISTANCES
 from pairlattice.operators.norms import ORDER
+from pairlattice.sources.placed import write_placed
 
 
 def write_matrix_set(cells: DataFrame, chroms: DataFrame, path: str, attributes: dict[str, str] | None = None, least: float = 0.0) -> None:
@@ -152,13 +153,23 @@ def tile_header(genome: str, chromosome: str, resolution: int, lower: float, upp
 
 
 def write_matrix_tiles(matrix: DataFrame, path: str, genome: str, chromosome: str, resolution: int, bins: int, value: str = "r", side: int = 500) -> None:
-    """``path/tiles`` (tx, ty, content) by row of tiles, and ``path/header``, which a reader puts before them."""
-    ends = matrix.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
-    full = matrix.select("x", "y", value).unionByName(matrix.filter("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), value))
-    matrix_tiles(full, value, side).orderBy("tx", "ty").write.mode("overwrite").parquet(f"{path}/tiles")
+    """One file of a square matrix given by its cells x <= y: the header, then square tiles row by row, each row by row as floats; absent cells are NaN.
+
+    Tiles at the right and lower edge are cut to the matrix, so a tile's place follows from its numbers. Tiles without cells are written too.
+    """
     spark = matrix.sparkSession
+    ends = matrix.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
     header = tile_header(genome, chromosome, resolution, ends["lo"] or 0.0, ends["hi"] or 0.0, bins, side)
-    spark.createDataFrame([(bytearray(header),)], "content binary").write.mode("overwrite").parquet(f"{path}/header")
+    full = matrix.select("x", "y", value).unionByName(matrix.filter("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), value))
+    tiles = -(-bins // side)
+    grid = spark.range(tiles).select(F.col("id").alias("tx"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)).cast("array<long>")).alias("ty"))
+    found = grid.join(matrix_tiles(full, value, side, bins), ["tx", "ty"], "left")
+    rows = F.least(F.lit(side), F.lit(bins) - F.col("tx") * side)
+    empty = F.expr(f"unhex(repeat('0000C07F', cast(least({side}, {bins} - tx * {side}) * least({side}, {bins} - ty * {side}) as int)))")
+    at = len(header) + 4 * (F.col("tx") * side * bins + rows * F.col("ty") * side)
+    pieces = found.select(at.alias("at"), F.coalesce("content", empty).alias("content"))
+    first = spark.createDataFrame([(0, bytearray(header))], "at long, content binary")
+    write_placed(pieces.unionByName(first), path, len(header) + 4 * bins * bins)
 
 
 def write_vector_text(vector: DataFrame, path: str) -> None:
@@ -175,13 +186,14 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch:
     df.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch), **options).mode(mode).save()
 
 
-def matrix_tiles(matrix: DataFrame, value: str = "r", side: int = 500) -> DataFrame:
-    """(tx, ty, content): square tiles of a dense matrix as little-endian floats, row by row; absent cells are NaN."""
+def matrix_tiles(matrix: DataFrame, value: str = "r", side: int = 500, bins: int | None = None) -> DataFrame:
+    """(tx, ty, content): square tiles of a dense matrix as little-endian floats, row by row; absent cells are NaN; cut to the matrix where its bins are given."""
     import numpy as np
     import pandas as pd
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tile = np.full((side, side), np.nan, "<f4")
+        rows, columns = (min(side, bins - k * side) if bins else side for k in key)
+        tile = np.full((rows, columns), np.nan, "<f4")
         tile[pdf["x"] % side, pdf["y"] % side] = pdf[value]
         return pd.DataFrame({"tx": [key[0]], "ty": [key[1]], "content": [tile.tobytes()]})
 

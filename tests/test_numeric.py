@@ -107,11 +107,30 @@ def test_large_matrices_of_a_chromosome_are_balanced_by_products(spark, monkeypa
     assert [k for k in got if got[k] is None] == [k for k in want if want[k] is None]
 
 
-def test_correlation_by_join_equals_the_dense_form(spark):
-    c = rows.intra_cells(binning.bin_pairs(pairs(spark, SF).filter("chr1 = chr2"), 1_000_000))
-    dense = {(r["chr"], r["x"], r["y"]): r["r"] for r in corr.pearson(c, "n").collect()}
-    joined = {(r["chr"], r["x"], r["y"]): r["r"] for r in corr.pearson_by_join(c, "n", 8).collect()}
-    assert joined and all(abs(v - dense[k]) < 1e-9 for k, v in joined.items())
+@pytest.mark.parametrize("tile", [3, 8, 16])
+def test_correlation_by_tiles_equals_the_dense_form(spark, tile):
+    c = rows.intra_cells(binning.bin_pairs(pairs(spark, SF).filter("chr1 = chr2"), 1_000_000)).filter("chr = 2")
+    dense = {(r["x"], r["y"]): r["r"] for r in corr.pearson(c, "n").collect()}
+    tiled = {(r["x"], r["y"]): r["r"] for r in corr.pearson_by_tiles(c, "n", 8, tile).collect()}
+    assert set(tiled) == set(dense) and all(abs(v - dense[k]) < 1e-9 for k, v in tiled.items())
+
+
+def test_first_eigenvector_by_restarts():
+    """Eigenvalues so close that one basis of BASIS vectors does not settle."""
+    rng = np.random.default_rng(3)
+    basis = np.linalg.qr(rng.normal(size=(400, 400)))[0]
+    values = np.linspace(1, 100, 400)
+    values[-1] = values[-2] + 0.05
+    a, steps = (basis * values) @ basis.T, []
+    v, residual = corr.first_eigenvector(lambda x: steps.append(1) or a @ x, np.ones(400))
+    assert len(steps) > 3 * corr.BASIS and residual <= corr.RESIDUAL
+    assert abs(abs(v @ basis[:, -1]) - 1) < 1e-8
+
+
+def test_an_eigenvector_that_does_not_settle_is_an_error():
+    rng = np.random.default_rng(1)
+    with pytest.raises(ArithmeticError):
+        corr.first_eigenvector(lambda x: rng.normal(size=300), np.ones(300))
 
 
 def test_eigenvector_is_centred_and_signed(spark):

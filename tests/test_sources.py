@@ -1,7 +1,9 @@
 """Every text and binary layout, norm vectors, reports, sinks."""
 
 import gzip
+import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from pairlattice.functions.scalars import library_size
 from pairlattice.operators import binning, intervals, merge, qc
 from pairlattice.plans.fixture import pairs
 from pairlattice.sources import readers, sinks
-from pairlattice.sources.pairs_binary import FULL, SHORT, BinaryPairs, write_pairs_binary
+from pairlattice.sources.pairs_binary import FULL, SHORT, write_pairs_binary
 
 SF = "/root/testdata/sf0.001"
 LAYOUTS = {
@@ -62,15 +64,47 @@ def test_binary_round_trip(layout, suffix, spark, tmp_path):
     p = pairs(spark, SF).repartition(3)
     write_pairs_binary(p, str(tmp_path / "out"), layout, suffix)
     keys = [c for c in layout.names]
-    for f in sorted((tmp_path / "out").iterdir()):
+    for f in sorted((tmp_path / "out").glob("part-*")):
         assert f.stat().st_size % layout.itemsize == 0
     back = readers.read_pairs(spark, f"{tmp_path}/out/*.{suffix}")
     want = p.select(*keys).groupBy(*keys).count()
     assert back.select(*keys).groupBy(*keys).count().exceptAll(want).isEmpty() and back.count() == p.count()
-    spark.dataSource.register(BinaryPairs)
-    one = next((tmp_path / "out").iterdir())
-    split = spark.read.format("binary_pairs").option("layout", "full" if suffix == "bin" else "short").load(str(one))
-    assert split.count() == one.stat().st_size // layout.itemsize
+
+
+def test_binary_files_are_split_at_record_borders(spark, tmp_path):
+    path = tmp_path / "large.bin"
+    with open(path, "wb") as f:
+        f.truncate(3_000_000_000 // FULL.itemsize * FULL.itemsize)  # a sparse file
+    assert readers.read_pairs(spark, str(path)).rdd.getNumPartitions() > 50
+    small = tmp_path / "small.bn"
+    records = np.zeros(10_000, SHORT)
+    records["pos1"] = np.arange(10_000)
+    small.write_bytes(records.tobytes())
+    conf, key = spark.sparkContext._jsc.hadoopConfiguration(), "mapreduce.input.fileinputformat.split.maxsize"
+    conf.set(key, "7777")
+    try:
+        back = readers.read_pairs(spark, str(small))
+        assert back.rdd.getNumPartitions() == -(-10_000 // (7777 // SHORT.itemsize))
+        assert sorted(r["pos1"] for r in back.select("pos1").collect()) == list(range(10_000))
+    finally:
+        conf.unset(key)
+
+
+def test_a_failed_binary_write_leaves_nothing(spark, tmp_path):
+    p = pairs(spark, SF).repartition(3)
+    broken = p.withColumn("pos1", F.when(F.col("l_orderkey") == p.agg(F.max("l_orderkey")).first()[0], F.raise_error(F.lit("broken"))).otherwise(F.col("pos1")).cast("long"))
+    folder = tmp_path / "out"
+    with pytest.raises(Exception, match="broken"):
+        write_pairs_binary(broken, str(folder), FULL)
+    assert not folder.exists() or not [x for x in folder.rglob("*") if x.is_file()]
+    write_pairs_binary(p, str(folder), FULL)
+    once = {x.name for x in folder.iterdir()}
+    assert "_SUCCESS" in once and len(once) == 4
+    with pytest.raises(Exception, match="broken"):
+        write_pairs_binary(broken, str(folder), FULL)
+    assert {x.name for x in folder.iterdir()} == once  # what was there before stays
+    write_pairs_binary(p, str(folder), FULL)
+    assert readers.read_pairs(spark, f"{folder}/*.bin").count() == p.count()
 
 
 def test_text_sink_round_trip(spark, tmp_path):
@@ -160,3 +194,21 @@ def test_matrix_tiles(spark):
     m = spark.createDataFrame([(0, 0, 1.0), (3, 1, 2.5), (4, 4, 3.0)], "x long, y long, r double")
     tiles = {(r["tx"], r["ty"]): np.frombuffer(r["content"], "<f4").reshape(4, 4) for r in sinks.matrix_tiles(m, side=4).collect()}
     assert set(tiles) == {(0, 0), (1, 1)} and tiles[0, 0][3, 1] == 2.5 and np.isnan(tiles[1, 1][1, 1]) and tiles[1, 1][0, 0] == 3
+
+
+def test_a_tiled_matrix_is_one_file(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    m = np.triu(rng.normal(size=(23, 23)))
+    m[:, 9] = m[9, :] = np.nan
+    full = np.triu(m) + np.triu(m, 1).T
+    cells = spark.createDataFrame([(int(x), int(y), float(m[x, y])) for x, y in zip(*np.triu_indices(23)) if not np.isnan(m[x, y]) and not (x < 5 and 10 <= y < 15)], "x long, y long, r double").repartition(3)
+    full[:5, 10:15] = full[10:15, :5] = np.nan
+    path = tmp_path / "m.bin"
+    sinks.write_matrix_tiles(cells, str(path), "g1", "chrX", 1000, 23, side=5)
+    data = path.read_bytes()
+    lo, hi = np.nanmin(full), np.nanmax(full)
+    header = b"hic\0" + struct.pack("<i", 1) + b"g1\0chrX\0chrX\0" + struct.pack("<iffiii", 1000, lo, hi, 23, 23, 5)
+    body = b"".join(full[i : i + 5, j : j + 5].astype("<f4").tobytes() for i in range(0, 23, 5) for j in range(0, 23, 5))
+    assert data[: len(header)] == header and len(data) == len(header) + len(body)
+    assert np.array_equal(np.frombuffer(data[len(header) :], "<f4"), np.frombuffer(body, "<f4"), equal_nan=True)
+    assert [x.name for x in tmp_path.iterdir()] == ["m.bin"]
