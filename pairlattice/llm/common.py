@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,32 +25,55 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+#: Folders of our own by application, where the session names none; names of the scopes that tables are written in just now.
+_OWN_FOLDERS: dict[str, str] = {}
+_SCOPES: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set, which a cluster cannot do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="pairlattice-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    application = spark.sparkContext.applicationId
+    if application not in _OWN_FOLDERS:
+        _OWN_FOLDERS[application] = "file://" + tempfile.mkdtemp(prefix="pairlattice-")
+    return _OWN_FOLDERS[application]
 
 
 def tables_folder(spark: SparkSession) -> str:
-    """Where this application's intermediate tables are."""
-    return f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+    """Where this application's intermediate tables are; those of a scope are in a folder of their own."""
+    return "/".join((f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}", *_SCOPES))
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_written(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once its results are read or written elsewhere."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, tables_folder(spark))
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written meanwhile go at the end."""
+    _SCOPES.append(uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        folder = tables_folder(spark)
+        _SCOPES.pop()
+        delete(spark, folder)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{tables_folder(spark)}/{uuid.uuid4().hex}"
+    path = path or f"{tables_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
