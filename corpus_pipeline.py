@@ -9,11 +9,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlattice.llm import bpe, jaccard_join, mixing, pii, quality
-from pairlattice.llm.common import written
+from pairlattice.llm.common import delete, scope, tables_folder, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+    """The last stage's rows. A stage's own tables go once its result is written, and its input once the next one's is."""
+    docs, folder, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{tables_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
+    for name, stage in STAGES:
+        with scope(spark):
+            docs = written(stage(spark, docs, sf_dir), f"{folder}/{name}")
+        if last:
+            delete(spark, last)
+        last = f"{folder}/{name}"
     return docs
