@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,16 +14,31 @@ def sites_to_fragments(sites: DataFrame) -> DataFrame:
     return s.select("chr", before.alias("beg"), "end", "idx")
 
 
+#: Levels of nested bins; each is eight times as wide as the one before.
+LEVELS = 16
+
+
+def _bins(beg: str, end: str, width: int) -> Column:
+    """A range's bin on every level from the finest that holds it whole: an array of (level, bin)."""
+    at = lambda c, level: F.shiftright(F.expr(f"{c} div {width}"), 3 * level)
+    levels = [F.when(at(beg, i) == at(end, i), F.struct(F.lit(i).alias("level"), at(beg, i).alias("bin"))) for i in range(LEVELS)]
+    return F.array_compact(F.array(*levels))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
-    """Rows of left (chr, beg, end, ...) and right (chr, r_beg, r_end, ...) whose closed ranges meet.
+    """Rows of left (chr, beg, end, ...) and right (chr, r_beg, r_end, ...) whose closed ranges meet; positions from 0 to width * 2^45.
 
-    Ranges are cut into tiles of ``width``, and rows meet on (chr, tile), an equi join that is
-    dealt by key; a pair is kept in the first tile that both have, so none is doubled.
+    Bins of ``width`` are nested in bins eight times as wide, and so on. A range belongs to the smallest bin that holds it
+    whole, whatever its length. Two ranges can only meet if one's bin is the other's or lies inside it. So a range stands once under its own bin and
+    once under each wider one (LEVELS at most), and rows meet in one equi join on the bin: ``own`` says whose own
+    bin it is, which makes every pair meet once.
     """
-    tiles = lambda b, e: F.explode(F.expr(f"sequence({b} div {width}, {e} div {width})"))
-    a, b = left.withColumn("tile", tiles("beg", "end")), right.withColumn("tile", tiles("r_beg", "r_end"))
-    met = a.join(b, ["chr", "tile"]).filter("beg <= r_end and end >= r_beg")
-    return met.filter(F.col("tile") == F.expr(f"greatest(beg div {width}, r_beg div {width})")).drop("tile")
+    kept = lambda df, beg, end: df.filter(F.col(beg) <= F.col(end)).withColumn("held", _bins(beg, end, width))
+    mark = lambda bins, own: F.transform(bins, lambda x: F.struct(F.lit(own).alias("own"), x["level"].alias("level"), x["bin"].alias("bin")))
+    first, wider = F.slice("held", 1, 1), F.slice("held", F.lit(2), F.greatest(F.size("held") - 1, F.lit(0)))
+    a = kept(left, "beg", "end").withColumn("place", F.explode(F.concat(mark(first, "left"), mark(F.col("held"), "right")))).drop("held")
+    b = kept(right, "r_beg", "r_end").withColumn("place", F.explode(F.concat(mark(first, "right"), mark(wider, "left")))).drop("held")
+    return a.join(b, ["chr", "place"]).filter("beg <= r_end and end >= r_beg").drop("place")
 
 
 def window_stats(track: DataFrame, window: int) -> DataFrame:

@@ -548,6 +548,17 @@ def fragment_overlap_join(spark, sf):
     return intervals.overlap_join(frags, notes, 20_000).select("chr", "beg", "end", "p_partkey")
 
 
+@query("SELECT f.chr, f.beg, f.end, p_partkey FROM (SELECT DISTINCT chr1 AS chr, pos1 // 4000 * 4000 AS beg, pos1 // 4000 * 4000 + 3999 AS end FROM pairs) f JOIN (SELECT CAST(p_partkey % 4 + 1 AS INT) AS chr, CASE WHEN p_partkey % 500 = 0 THEN 0 ELSE p_partkey * 3500 % 8000000 END AS r_beg, CASE WHEN p_partkey % 500 = 0 THEN 7999999 ELSE p_partkey * 3500 % 8000000 + CAST(10 ** (p_size % 6) AS BIGINT) - 1 END AS r_end, p_partkey FROM part) a ON f.chr = a.chr AND f.beg <= r_end AND f.end >= r_beg")
+def nested_overlap_join(spark, sf):
+    """Fragments and ranges of one base to a whole chromosome."""
+    b, whole = F.expr("pos1 div 4000 * 4000"), F.col("p_partkey") % 500 == 0
+    frags = pairs(spark, sf).select(F.col("chr1").alias("chr"), b.alias("beg"), (b + 3999).alias("end")).distinct()
+    start = F.col("p_partkey") * 3500 % 8000000
+    end = start + F.pow(F.lit(10.0), F.col("p_size") % 6).cast("long") - 1
+    ranges = spark.read.parquet(f"{sf}/part.parquet").select((F.col("p_partkey") % 4 + 1).cast("int").alias("chr"), F.when(whole, 0).otherwise(start).alias("r_beg"), F.when(whole, 7_999_999).otherwise(end).alias("r_end"), "p_partkey")
+    return intervals.overlap_join(frags, ranges, 2_000).select("chr", "beg", "end", "p_partkey")
+
+
 @query("SELECT chr, coalesce(lag(site) OVER (PARTITION BY chr ORDER BY site), 0) AS beg, site AS end, CAST(row_number() OVER (PARTITION BY chr ORDER BY site) - 1 AS INT) AS idx FROM (SELECT DISTINCT chr1 AS chr, pos1 // 4000 * 4000 AS site FROM pairs)")
 def sites_to_fragments(spark, sf):
     sites = pairs(spark, sf).groupBy(F.col("chr1").alias("chr")).agg(F.array_sort(F.collect_set(F.expr("pos1 div 4000 * 4000"))).alias("sites"))

@@ -212,3 +212,14 @@ def test_a_tiled_matrix_is_one_file(spark, tmp_path):
     assert data[: len(header)] == header and len(data) == len(header) + len(body)
     assert np.array_equal(np.frombuffer(data[len(header) :], "<f4"), np.frombuffer(body, "<f4"), equal_nan=True)
     assert [x.name for x in tmp_path.iterdir()] == ["m.bin"]
+
+
+def test_overlaps_of_ranges_of_any_length(spark):
+    rng = np.random.default_rng(8)
+    ranges = lambda n: [(int(c), int(a), int(a + 10 ** rng.uniform(0, 7) - 1)) for c, a in zip(rng.integers(1, 3, n), rng.integers(0, 5_000_000, n))] + [(1, 0, 10_000_000), (2, 7, 7), (2, 9, 3), (1, 16_384, 16_384), (1, 16_383, 16_384)]
+    left, right = ranges(300), ranges(200)
+    a = spark.createDataFrame([(*r, i) for i, r in enumerate(left)], "chr int, beg long, end long, i int")
+    b = spark.createDataFrame([(*r, j) for j, r in enumerate(right)], "chr int, r_beg long, r_end long, j int")
+    got = [(r["i"], r["j"]) for r in intervals.overlap_join(a, b, 16).collect()]
+    want = {(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if x[0] == y[0] and x[1] <= y[2] and x[2] >= y[1] and x[1] <= x[2] and y[1] <= y[2]}
+    assert len(got) == len(set(got)) and set(got) == want
