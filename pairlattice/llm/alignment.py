@@ -7,13 +7,13 @@ in both: A's pattern takes it with what follows, and none of B's pieces holds a
 anything else (checked when the files are read). So a text is the row of its segments between such spaces, each
 encoded with a space before it, and a segment is encoded and aligned once for all its places.
 
-Pairs are counted as one 64-bit key, B's id in the upper half. Every partition adds its segments
-up (``np.unique`` by key), the partial counts are sorted by range of B's id over the cluster, and
-runs of one key are summed; a range holds all pairs of its B ids, so their highest counts are known
-there. In linked tokens the shorter one's bytes end the longer one's, so the pairs number at most
-``most_pairs`` whatever the corpus is (324,302 for the two files, 8 MB): the sorted ranges are written as
-shards to the shared folder, Spark hands them to every executor, and a second pass over the texts maps them into memory and
-looks keys up by binary search. Nothing else leaves the executors.
+The aligned rows, with their links as packed ids, are written once; later steps read these. Pairs are counted as one 64-bit key, B's
+id in the upper half. Every partition adds its links up (``np.unique``), the partial counts are sorted by range of B's
+id over the cluster, and runs of one key are summed; a range holds all pairs of its B ids, so their highest counts
+are known there. In linked tokens the shorter one's bytes end the longer one's, so the pairs number at most ``most_pairs`` whatever
+the corpus is (324,302 for the two files, 8 MB): the sorted ranges are written as shards to the shared
+folder, Spark hands them to every executor, and the rows' links are looked up in them by binary search, mapped into memory.
+Nothing else leaves the executors.
 
 Defined cases: texts that are null or empty, or that either tokenizer does not give back byte for
 byte (such as those with U+2581), have no tokens: zeros and an empty groups column, and their links are not counted;
@@ -45,11 +45,12 @@ from pairlattice.llm.bpe import _byte_letters as byte_letters
 from pairlattice.llm.common import bounded_batches, tables_folder, written
 
 #: Characters of a text that are held as segments at a time; bytes of segments and alignments that a worker keeps.
-PART, KEPT_BYTES = 1 << 20, 48 << 20
+PART, KEPT_BYTES = 1 << 20, 128 << 20
 #: Ranges of B ids that counts are sorted in, and shards at most.
 SHARDS = 16
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _LOW = (1 << 32) - 1
+_CODEC = pa.Codec("zstd")
 
 
 def vocabulary(name: str) -> str:
@@ -103,24 +104,43 @@ def coders(path_a: str, path_b: str) -> Coders:
     return Coders(path_a, path_b)
 
 
-def aligned(a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]) -> tuple[str, list[int]]:
-    """The groups of two token rows over the same bytes, as text, and the keys of their links."""
-    groups, keys, left = [], [], iter(b)
-    ours: list[str] = []
-    theirs: list[str] = []
-    end_a = end_b = 0
-    for x in a:
-        ours.append(str(x))
-        end_a += len(bytes_a[x])
-        while end_b < end_a:
-            y = next(left)
-            theirs.append(str(y))
-            end_b += len(bytes_b[y])
-        if end_a == end_b:
-            groups.append(f"{','.join(ours)}|{','.join(theirs)}")
-            keys.append(y << 32 | x)
-            ours, theirs = [], []
-    return ";".join(groups), keys
+class Aligned(NamedTuple):
+    """Rows of tokens matched by their ends: group texts and link counts by row, and all rows' keys."""
+
+    groups: list[str]
+    links: np.ndarray
+    keys: np.ndarray
+
+
+class Aligner:
+    """Matches many short rows of A and B tokens at once; the two rows of a pair are over the same bytes."""
+
+    def __init__(self, both: Coders) -> None:
+        self.size_a, self.size_b = (np.array([len(x) for x in side], np.int64) for side in (both.bytes_a, both.bytes_b))
+        # an id's text after each mark that can stand before it
+        self.text_a = np.array([[f"{mark}{i}" for i in range(len(self.size_a))] for mark in ("", ";", ",")], object)
+        self.text_b = np.array([[f"{mark}{i}" for i in range(len(self.size_b))] for mark in ("|", ",")], object)
+
+    def __call__(self, a: list[list[int]], b: list[list[int]]) -> Aligned:
+        if not a:
+            return Aligned([], np.zeros(0, np.int64), np.zeros(0, np.int64))
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        at = np.searchsorted(ends_b, ends_a)
+        last_a = ends_b[at] == ends_a  # the last of its group
+        last_b = np.zeros(len(ids_b), bool)
+        last_b[at[last_a]] = True
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        first_a, first_b = np.diff(group_a, prepend=-1) > 0, np.diff(group_b, prepend=-1) > 0
+        starts = np.zeros(len(ids_a), bool)
+        starts[np.cumsum(n_a) - n_a] = True
+        marked_a = self.text_a[np.where(starts, 0, np.where(first_a, 1, 2)), ids_a]
+        marked_b = self.text_b[np.where(first_b, 0, 1), ids_b]
+        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+        texts, ends = np.concatenate((marked_a, marked_b))[order].tolist(), np.cumsum(n_a + n_b).tolist()
+        links = np.add.reduceat(last_a, np.cumsum(n_a) - n_a, dtype=np.int64)
+        return Aligned(["".join(texts[i:j]) for i, j in zip([0, *ends], ends)], links, ids_b[last_b] << 32 | ids_a[last_a])
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,11 +155,10 @@ class Segments:
     """Segments met so far: their numbers, token counts, groups and keys; of segment i the keys from start[i] to start[i + 1]."""
 
     def __init__(self, both: Coders) -> None:
-        self.both = both
+        self.both, self.align = both, Aligner(both)
         self.clear()
 
     def clear(self) -> None:
-        self.sums, self.sums_of = np.empty((0, len(_COLUMNS)), np.int64), getattr(self, "sums_of", None)  # what the second pass adds up, by number
         self.code: dict[str, int] = {}
         self.groups: list[str] = []
         self.n_a, self.n_b, self.good, self.keys, self.start = array("q"), array("q"), array("b"), array("q"), array("q", [0])
@@ -148,31 +167,35 @@ class Segments:
     def codes(self, segments: list[str]) -> np.ndarray:
         """Each segment's number; those not met before are encoded together."""
         new = [s for s in dict.fromkeys(segments) if s not in self.code]
-        for s, a, b in zip(new, *self.both.encode(new)) if new else ():
-            whole = b" " + s.encode()
-            good = b"".join(map(self.both.bytes_a.__getitem__, a)) == whole == b"".join(map(self.both.bytes_b.__getitem__, b))
-            groups, keys = aligned(a, b, self.both.bytes_a, self.both.bytes_b) if good else ("", [])
-            self.code[s] = len(self.groups)
-            self.groups.append(groups)
-            self.n_a.append(len(a))
-            self.n_b.append(len(b))
-            self.good.append(good)
-            self.keys.extend(keys)
-            self.start.append(len(self.keys))
-            self.kept += 300 + len(whole) + len(groups) + 8 * len(keys)
+        if new:
+            a, b = self.both.encode(new)
+            whole, good = [b" " + s.encode() for s in new], [True] * len(new)
+            join = lambda table, rows: b"".join(map(table.__getitem__, chain.from_iterable(rows)))
+            if not join(self.both.bytes_a, a) == b"".join(whole) == join(self.both.bytes_b, b):
+                good = [join(self.both.bytes_a, [x]) == w == join(self.both.bytes_b, [y]) for x, y, w in zip(a, b, whole)]
+            fine = self.align([x for x, g in zip(a, good) if g], [y for y, g in zip(b, good) if g])
+            groups, links = np.full(len(new), "", object), np.zeros(len(new), np.int64)
+            groups[good], links[good] = fine.groups, fine.links
+            self.code.update(zip(new, range(len(self.groups), len(self.groups) + len(new))))
+            self.groups += groups.tolist()
+            self.n_a.extend(map(len, a))
+            self.n_b.extend(map(len, b))
+            self.good.extend(good)
+            self.keys.frombytes(fine.keys.tobytes())
+            self.start.extend((len(self.keys) - len(fine.keys) + np.cumsum(links)).tolist())
+            self.kept += 300 * len(new) + sum(map(len, whole)) + sum(map(len, fine.groups)) + 8 * len(fine.keys)
         return np.fromiter(map(self.code.__getitem__, segments), np.int64, len(segments))
 
     def make_room(self) -> None:
         if self.kept > KEPT_BYTES:
             self.clear()
 
-    def links(self) -> np.ndarray:
-        return np.diff(np.array(self.start))
-
-    def counted(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and counts of the links in segments of these numbers."""
-        times = np.repeat(np.bincount(codes, minlength=len(self.groups)), self.links())
-        return summed(np.array(self.keys)[times > 0], times[times > 0])
+    def linked(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of segments of these numbers in a row, and how many each has."""
+        start = np.array(self.start)
+        links = start[codes + 1] - start[codes]
+        shift = start[codes] - (np.cumsum(links) - links)
+        return np.array(self.keys, np.int64)[np.arange(links.sum()) + np.repeat(shift, links)], links
 
 
 def parts(text: str) -> Iterator[list[str]]:
@@ -225,36 +248,65 @@ def _segments(paths: tuple[str, str]) -> Segments:
     return _KNOWN[paths]
 
 
-def _good(known: Segments, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each text of a round, whether both tokenizers give all its segments back; at: its first segment."""
-    return np.logical_and.reduceat(np.array(known.good, bool)[codes], at)
+def _packed(keys: np.ndarray) -> bytes:
+    """Keys as their A ids and then their B ids, compressed."""
+    return _CODEC.compress(np.concatenate((keys & _LOW, keys >> 32)).astype("<u4"), asbytes=True)
+
+
+def _keys(links: pa.Array, counts: np.ndarray) -> np.ndarray:
+    """The keys of all rows of a batch, from their packed links."""
+    out = [np.empty(0, np.int64)]
+    for x, n in zip(links, counts.tolist()):
+        if n:
+            a, b = np.frombuffer(_CODEC.decompress(x.as_buffer(), 8 * n), "<u4").astype(np.int64).reshape(2, n)
+            out.append(b << 32 | a)
+    return np.concatenate(out)
 
 
-def _partial_counts(paths: tuple[str, str]) -> Callable:
-    """Per partition: (key, n) of the links in texts that both tokenizers give back."""
+def _aligned_rows(paths: tuple[str, str], with_groups: bool) -> Callable:
+    """(doc_id, n_a, n_b, n_groups, groups_sha256, links, groups if asked for)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = _segments(paths), (np.empty(0, np.int64), np.empty(0, np.int64))
+        known = _segments(paths)
         for batch in batches:
-            fine, held = True, []  # of a long text's parts so far
-            for r in _rounds(batch.column(0).to_pylist()):
+            texts = batch.column(1).to_pylist()
+            sums, good = np.zeros((3, len(texts)), np.int64), np.array([bool(t) for t in texts])
+            digests, links, groups = ([empty] * len(texts) for empty in ("", b"", ""))
+            for r in _rounds(texts):
                 known.make_room()
                 codes, sizes = known.codes(list(chain.from_iterable(r.segments))), np.array([len(x) for x in r.segments])
-                good = _good(known, codes, np.cumsum(sizes) - sizes)
-                if r.first:
-                    fine, held = True, []
-                if not (r.first and r.last):
-                    fine &= bool(good[0])
-                    held.append(known.counted(codes))
-                    found = held if fine and r.last else []
-                else:
-                    found = [known.counted(codes[np.repeat(good, sizes)])]
-                total = summed(*map(np.concatenate, zip(total, *found)))
-        yield pa.RecordBatch.from_pydict({"key": total[0], "n": total[1]})
+                at = np.cumsum(sizes) - sizes
+                keys, own = known.linked(codes)
+                good[r.rows] &= np.logical_and.reduceat(np.array(known.good, bool)[codes], at)
+                for k, values in enumerate((np.array(known.n_a)[codes], np.array(known.n_b)[codes], own)):
+                    sums[k, r.rows] += np.add.reduceat(values, at)
+                ends, listed = np.cumsum(np.add.reduceat(own, at)).tolist(), codes.tolist()
+                for i, a, n, begin, end in zip(r.rows, at.tolist(), sizes.tolist(), [0, *ends], ends):
+                    text = ";".join(map(known.groups.__getitem__, listed[a : a + n]))
+                    if r.first:
+                        digest, held = hashlib.sha256(), []
+                    digest.update(text.encode() if r.first else b";" + text.encode())
+                    held.append(keys[begin:end])
+                    if with_groups:
+                        groups[i] += text if r.first else ";" + text
+                    if r.last:
+                        digests[i], links[i] = digest.hexdigest(), _packed(np.concatenate(held)) if good[i] else b""
+            sums[:, ~good] = 0
+            row = {"doc_id": batch.column(0), "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "groups_sha256": [x if g else "" for x, g in zip(digests, good)], "links": pa.array(links, pa.binary())}
+            yield pa.RecordBatch.from_pydict(row | ({"groups": [x if g else "" for x, g in zip(groups, good)]} if with_groups else {}))
 
     return apply
 
 
+def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per partition: (key, n) of the links of rows (n_groups, links)."""
+    total = (np.empty(0, np.int64), np.empty(0, np.int64))
+    for batch in batches:
+        keys, n = np.unique(_keys(batch.column(1), batch.column(0).to_numpy()), return_counts=True)
+        total = summed(np.concatenate((total[0], keys)), np.concatenate((total[1], n)))
+    yield pa.RecordBatch.from_pydict({"key": total[0], "n": total[1]})
+
+
 def _run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One sorted range as a shard: distinct keys, summed counts, and whether a count is its B id's highest."""
     keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -269,10 +321,9 @@ def _run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"first": [int(keys[0])], "shard": [np.stack((keys, counts, best.astype(np.int64))).tobytes()]})
 
 
-def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """docs (text) as (first, shard): ranges of sorted keys with their counts, each three rows of int64 (keys, counts, 1 for a B id's highest)."""
-    bounded_batches(docs.sparkSession)
-    partial = written(docs.select("text").mapInArrow(_partial_counts((path_a, path_b)), "key long, n long"))
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """Aligned rows (n_groups, links) as (first, shard): ranges of sorted keys with their counts, each three rows of int64 (keys, counts, 1 for a B id's highest)."""
+    partial = written(rows.select("n_groups", "links").mapInArrow(_partial_counts, "key long, n long"))
     ranges = partial.repartitionByRange(SHARDS, F.shiftright("key", 32)).sortWithinPartitions("key")
     return ranges.mapInArrow(_run_lengths, "first long, shard binary")
 
@@ -310,63 +361,34 @@ class CountShards:
         return counts, best
 
 
-_COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-
-
-def _segment_sums(known: Segments, first: int, shards: CountShards) -> np.ndarray:
-    """The columns' values of the segments from number first on."""
-    start = np.array(known.start)[first:]
-    counts, best = shards.look_up(np.array(known.keys, np.int64)[start[0] :])
-    upto = lambda x: np.concatenate(([0], np.cumsum(x)))[start - start[0]]
-    links = np.diff(start)
-    return np.stack((np.array(known.n_a)[first:], np.array(known.n_b)[first:], links, links, np.diff(upto(best)), np.diff(upto(counts))), axis=1)
+def _looked_up(names: list[str]) -> Callable:
+    """Aligned rows with their links' number, those that are their B id's most frequent, and the sum of their counts."""
 
-
-def _aligned_rows(paths: tuple[str, str], names: list[str], with_groups: bool) -> Callable:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, shards = _segments(paths), CountShards([SparkFiles.get(x) for x in names])
-        if known.sums_of != names:
-            known.sums, known.sums_of = np.empty((0, len(_COLUMNS)), np.int64), names
+        shards = CountShards([SparkFiles.get(x) for x in names])
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            out, good = np.zeros((len(texts), len(_COLUMNS)), np.int64), np.array([bool(t) for t in texts])
-            digests, groups = ["" for _ in texts], ["" for _ in texts]
-            for r in _rounds(texts):
-                known.make_room()
-                codes, sizes = known.codes(list(chain.from_iterable(r.segments))), np.array([len(x) for x in r.segments])
-                at = np.cumsum(sizes) - sizes
-                if len(known.sums) < len(known.groups):
-                    known.sums = np.concatenate((known.sums, _segment_sums(known, len(known.sums), shards)))
-                out[r.rows] += np.add.reduceat(known.sums[codes], at, axis=0)
-                good[r.rows] &= _good(known, codes, at)
-                listed = codes.tolist()
-                for i, a, n in zip(r.rows, at.tolist(), sizes.tolist()):
-                    text = ";".join(map(known.groups.__getitem__, listed[a : a + n]))
-                    if r.first:
-                        digest = hashlib.sha256()
-                    digest.update(text.encode() if r.first else b";" + text.encode())
-                    if r.last:
-                        digests[i] = digest.hexdigest()
-                    if with_groups:
-                        groups[i] += text if r.first else ";" + text
-            out[~good] = 0
-            row = {"doc_id": batch.column(0)} | {c: out[:, k] for k, c in enumerate(_COLUMNS)} | {"groups_sha256": [x if g else "" for x, g in zip(digests, good)]}
-            yield pa.RecordBatch.from_pydict(row | ({"groups": [x if g else "" for x, g in zip(groups, good)]} if with_groups else {}))
+            columns = dict(zip(batch.schema.names, batch.columns))
+            n = columns["n_groups"].to_numpy()
+            counts, best = shards.look_up(_keys(columns.pop("links"), n))
+            ends = np.cumsum(n)
+            per_row = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[np.concatenate(([0], ends))])  # noqa: E731, B023
+            yield pa.RecordBatch.from_pydict(columns | {"n_links": n, "n_best": per_row(best), "count_sum": per_row(counts)})
 
     return apply
 
 
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, with_groups: bool = True) -> DataFrame:
     """docs (doc_id, text) as doc_id, the token, group and link counts, groups_sha256 and, if asked for, groups ("a1,a2|b1;a3|b2,b3")."""
+    bounded_batches(docs.sparkSession)
     paths = (path_a or vocabulary("byte_bpe_50k.json"), path_b or vocabulary("piece_bpe_32k.model"))
-    docs = docs.select("doc_id", "text")
+    groups = ", groups string" if with_groups else ""
+    rows = written(docs.select("doc_id", "text").mapInArrow(_aligned_rows(paths, with_groups), f"doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary{groups}"))
     # bounded by the vocabularies: see most_pairs
-    ranges = sorted((r["first"], bytes(r["shard"])) for r in pair_counts(docs, *paths).collect())
+    ranges = sorted((r["first"], bytes(r["shard"])) for r in pair_counts(rows).collect())
     shards = [np.frombuffer(x, np.int64).reshape(3, -1) for _, x in ranges]
-    groups = [np.concatenate(shards[i : i + -(-len(shards) // SHARDS)], axis=1) for i in range(0, len(shards), -(-len(shards) // SHARDS))] if shards else []
-    names = _handed_out(docs.sparkSession, groups)
-    columns = "".join(f", {c} long" for c in _COLUMNS) + ", groups_sha256 string" + (", groups string" if with_groups else "")
-    return docs.mapInArrow(_aligned_rows(paths, names, with_groups), f"doc_id long{columns}")
+    step = -(-len(shards) // SHARDS) or 1
+    names = _handed_out(docs.sparkSession, [np.concatenate(shards[i : i + step], axis=1) for i in range(0, len(shards), step)])
+    return rows.mapInArrow(_looked_up(names), f"doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string{groups}, n_links long, n_best long, count_sum long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
