@@ -34,7 +34,7 @@ from pairlattice.llm.common import bounded_batches
 
 #: The pattern and the byte alphabet of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CACHED_PIECES, _KEPT_PAIRS = 250_000, 1_000_000
+_CACHED_PIECES, _CACHED_LENGTH, _KEPT_PAIRS = 250_000, 64, 1_000_000
 
 
 def default_vocabulary() -> str:
@@ -209,15 +209,17 @@ class Backtracker:
 
 
 class PieceCache(dict):
-    """piece -> its ids as bytes; starts anew when it holds too many pieces."""
+    """piece -> its ids as bytes; long pieces are not kept, and it starts anew when it holds too many."""
 
     def __init__(self, coder: Backtracker) -> None:
         self.coder = coder
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= _CACHED_PIECES:
-            self.clear()
-        out = self[piece] = np.array(self.coder.encode_piece(piece.encode()), "<u4").tobytes()
+        out = np.array(self.coder.encode_piece(piece.encode()), "<u4").tobytes()
+        if len(piece) <= _CACHED_LENGTH:
+            if len(self) >= _CACHED_PIECES:
+                self.clear()
+            self[piece] = out
         return out
 
 
@@ -232,12 +234,14 @@ def piece_cache(path: str) -> PieceCache:
     return PieceCache(coder(path))
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs (doc_id, text) as (doc_id, n_tokens, ids, decoded): ids is array<int>, decoded the text they give."""
+def encode(docs: DataFrame, path: str | None = None, decode: bool = True) -> DataFrame:
+    """docs (doc_id, text) as (doc_id, n_tokens, ids, decoded): ids is array<int>, decoded (if asked for) the text they give."""
+    if not decode:
+        return _encoded(docs, path, "ids array<int>", lambda ids, text: {"ids": np.frombuffer(ids, "<i4")}, False)
     return _encoded(docs, path, "ids array<int>, decoded string", lambda ids, text: {"ids": np.frombuffer(ids, "<i4"), "decoded": text.decode("utf-8", "replace")})
 
 
-def _encoded(docs: DataFrame, path: str | None, columns: str, finish: Callable[[bytes, bytes], dict]) -> DataFrame:
+def _encoded(docs: DataFrame, path: str | None, columns: str, finish: Callable[[bytes, bytes | None], dict], decode: bool = True) -> DataFrame:
     bounded_batches(docs.sparkSession)
     path = path or default_vocabulary()
 
@@ -247,7 +251,7 @@ def _encoded(docs: DataFrame, path: str | None, columns: str, finish: Callable[[
             rows = []
             for text in batch.column(1).to_pylist():
                 ids = table.encode(text, cache)
-                rows.append({"n_tokens": len(ids) // 4} | finish(ids, table.decode(np.frombuffer(ids, "<u4").astype(np.int64))))
+                rows.append({"n_tokens": len(ids) // 4} | finish(ids, table.decode(np.frombuffer(ids, "<u4").astype(np.int64)) if decode else None))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | {k: [r[k] for r in rows] for k in (rows[0] if rows else {})})
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_tokens long, {columns}")

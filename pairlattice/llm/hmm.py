@@ -10,7 +10,7 @@ likelihood.
 
 Baum-Welch starts with one round on each of ``PARTS_FIRST`` parts of the training rows, so that these rounds
 together read every row once, at any size. Rounds over all training rows follow until the likelihood of
-a token gains less than ``SETTLED``, or ``ROUNDS`` were made. Tasks send expected
+a token gains less than ``SETTLED``; as it is below 0, that ends. Tasks send expected
 counts (states by classes, a fixed size) that are added in two levels.
 
 A text is looked up word by word once, after counting, and written as two bytes a word with
@@ -28,6 +28,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -44,16 +45,27 @@ from pairlattice.llm.common import bounded_batches, sum_arrays, sum_parts, writt
 
 STATES, SHARED_CLASSES = 8, 1024
 OWN_CLASS, SENT = 1 << 14, 1 << 19
-PARTS_FIRST, ROUNDS, SETTLED, SEED = 8, 5, 0.002, 5
+PARTS_FIRST, SETTLED, SEED = 8, 0.002, 5
 #: Tokens whose recursion runs side by side, tokens gathered to choose texts of like length from, steps between scalings.
 TOGETHER, GATHERED, SCALED = 100_000, 1_500_000, 8
-FLUSH = 400_000
+#: Words that a worker keeps at most, their bytes at most, and bytes of a text whose words are held at a time.
+FLUSH, KEPT_BYTES, PART = 400_000, 64 << 20, 4 << 20
+_GAP = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def word_parts(text: str | None) -> Iterator[list[bytes]]:
+    """A text's words, some bytes of it at a time: whatever its length, few words are held; at least one part."""
+    data, at = (text or "").encode("utf-8", "surrogatepass").lower(), 0
+    while at + PART < len(data) and (gap := _GAP.search(data, at + PART)):
+        yield data[at : gap.start()].split()
+        at = gap.start()
+    yield data[at:].split()
+
+
 def shared_class(word: bytes) -> int:
     return xxhash.xxh32_intdigest(word[-3:] + (b"#" if not word[-1:].isalpha() and word[-1:] < b"\x80" else b"")) % SHARED_CLASSES
 
@@ -72,9 +84,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(words_of(text))
-            if len(seen) > FLUSH:
-                yield flush()
+                for words in word_parts(text):
+                    seen.update(words)
+                    if len(seen) > FLUSH:
+                        yield flush()
         if seen:
             yield flush()
 
@@ -131,6 +144,7 @@ class Words(dict):
 
     def room(self, n: int) -> None:
         self.clear()
+        self.held = 0
         self.classes, self.logs, self.shared, self.hash, self.sent = np.empty(n, np.int32), np.empty(n), np.empty(n), np.empty(n, np.uint64), np.empty(n, bool)
 
     def __missing__(self, word: bytes) -> int:
@@ -142,6 +156,7 @@ class Words(dict):
         if not self.new:
             return
         at = slice(len(self) - len(self.new), len(self))
+        self.held += sum(map(len, self.new))
         h = np.fromiter(map(xxhash.xxh64_intdigest, self.new), np.uint64, len(self.new))
         known = np.zeros(len(h), bool)
         if len(self.keys64):
@@ -156,9 +171,8 @@ class Words(dict):
         self.classes[at], self.logs[at], self.shared[at], self.hash[at], self.sent[at] = k, logs, shared, h, known
         self.new = []
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
-        if len(self) + len(words) > len(self.logs):
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) + len(words) > len(self.logs) or self.held > KEPT_BYTES:
             self.room(max(FLUSH, len(words)))
         out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         self.settle()
@@ -204,28 +218,40 @@ def _groups(texts: list[np.ndarray]) -> Iterator[list[int]]:
         yield group
 
 
-def forward(model: Model, x: np.ndarray, alpha: np.ndarray | None = None) -> np.ndarray:
-    """x: (T, B) classes -> natural log-likelihood of each column; alpha (T, B, K), if given, is filled.
+def _steps(model: Model, x: np.ndarray, first: int, last: int, a: np.ndarray | None, alpha: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The recursion over steps first to last (exclusive) of x: the values after them, and the logarithms of the scales taken out.
 
-    Forward values are scaled to sum 1 every SCALED steps, which keeps them far from underflow.
+    a: the values before, None at the start. Forward values are scaled to sum 1 every SCALED steps, which keeps them far from underflow.
     """
-    e = model.emit[x]
-    a, log = model.start * e[0], np.zeros(x.shape[1])
-    for t in range(len(x)):
-        if t:
-            a = a @ model.move
-            a *= e[t]
+    e, log = model.emit[x[first:last]], np.zeros(x.shape[1])
+    for t in range(first, last):
+        a = model.start * e[0] if t == 0 else (a @ model.move) * e[t - first]
         if t % SCALED == SCALED - 1 or t == len(x) - 1:
             s = a.sum(1)
-            a /= s[:, None]
+            a = a / s[:, None]
             log += np.log(s)
         if alpha is not None:
-            alpha[t] = a
+            alpha[t - first] = a
+    return a, log
+
+
+def _blocks(x: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of steps whose values are held together: about TOGETHER tokens."""
+    size = max(SCALED, TOGETHER // x.shape[1] // SCALED * SCALED)
+    return [(t, min(t + size, len(x))) for t in range(0, len(x), size)]
+
+
+def forward(model: Model, x: np.ndarray) -> np.ndarray:
+    """x: (T, B) classes -> natural log-likelihood of each column."""
+    a, log = None, np.zeros(x.shape[1])
+    for first, last in _blocks(x):
+        a, more = _steps(model, x, first, last, a)
+        log += more
     return log
 
 
 def padded(texts: list[np.ndarray], pad: int) -> np.ndarray:
-    x = np.full((max(map(len, texts)), len(texts)), pad, np.int64)
+    x = np.full((max(map(len, texts)), len(texts)), pad, np.int32)
     for j, t in enumerate(texts):
         x[: len(t), j] = t
     return x
@@ -235,37 +261,51 @@ def expected_counts(model: Model, texts: list[np.ndarray], into: np.ndarray) ->
     """Adds the forward-backward counts: K starts, K x K moves, then classes x K emissions. Gives the texts' log-likelihood.
 
     Forward and backward values are known up to a factor per step and text, which the posteriors'
-    own sums take out.
+    own sums take out. Of a long text the forward values before each block of steps are kept, and those of a block
+    are worked out again on the way back, so memory is that of one block and two bytes a token.
     """
     k, pad, likely = STATES, len(model.emit) - 1, 0.0
+    counts, back = into[k + k * k :].reshape(pad, k), model.move.T.copy()
     for group in _groups(texts):
         x = padded([texts[i] for i in group], pad)
-        alpha = np.empty((*x.shape, k))
-        likely += float(forward(model, x, alpha).sum())
-        e = model.emit[x]
-        after, gamma = np.empty_like(alpha), alpha.copy()  # after[t]: emission times backward value at t
-        after[-1] = e[-1]
-        b = np.ones(alpha.shape[1:])
-        moved, back = np.zeros((k, k)), model.move.T.copy()
-        inside = x != pad
-        for t in range(len(x) - 2, -1, -1):
-            b = after[t + 1] @ back
-            if t % SCALED == 0:
-                s = b.sum(1, keepdims=True)
-                b /= s
-                after[t + 1] /= s
-            np.multiply(e[t], b, out=after[t])
-            gamma[t] *= b
-        total = gamma.sum(2, keepdims=True)
-        seen = inside[1:, :, None]
-        moved = (alpha[:-1] / total[:-1]).reshape(-1, k).T @ (after[1:] * seen).reshape(-1, k)
-        gamma /= total
-        into[:k] += gamma[0].sum(0)
+        blocks, before = _blocks(x), [None]
+        for first, last in blocks[:-1]:
+            a, log = _steps(model, x, first, last, before[-1])
+            likely += float(log.sum())
+            before.append(a)
+        moved, following = np.zeros((k, k)), None  # following: emission times backward value of the first step of the later block
+        for (first, last), a in zip(reversed(blocks), reversed(before)):
+            alpha = np.empty((last - first, x.shape[1], k))
+            _, log = _steps(model, x, first, last, a, alpha)
+            if following is None:
+                likely += float(log.sum())
+            e, gamma = model.emit[x[first:last]], alpha.copy()
+            after = np.empty((last - first + 1, x.shape[1], k))  # after[t]: emission times backward value at t
+            if following is None:
+                after[-2] = e[-1]
+            else:
+                after[-1] = following
+            for t in range(last - 1 if following is not None else last - 2, first - 1, -1):
+                i = t - first
+                b = after[i + 1] @ back
+                if t % SCALED == 0:
+                    s = b.sum(1, keepdims=True)
+                    b /= s
+                    after[i + 1] /= s
+                np.multiply(e[i], b, out=after[i])
+                gamma[i] *= b
+            total = gamma.sum(2, keepdims=True)
+            n = last - first - (following is None)  # steps that move on
+            seen = x[first + 1 : first + 1 + n, :, None] != pad
+            moved += (alpha[:n] / total[:n]).reshape(-1, k).T @ (after[1 : n + 1] * seen).reshape(-1, k)
+            gamma /= total
+            if first == 0:
+                into[:k] += gamma[0].sum(0)
+            flat, g = x[first:last].ravel(), gamma.reshape(-1, k)
+            for s in range(k):
+                counts[:, s] += np.bincount(flat, weights=g[:, s], minlength=pad + 1)[:pad]
+            following = after[0]
         into[k : k + k * k] += (model.move * moved).ravel()
-        flat, g = x.ravel(), gamma.reshape(-1, k)
-        counts = into[k + k * k :].reshape(pad, k)
-        for s in range(k):
-            counts[:, s] += np.bincount(flat, weights=g[:, s], minlength=pad + 1)[:pad]
     return likely
 
 
@@ -292,17 +332,27 @@ def encode(docs: DataFrame, lex: Lexicon) -> DataFrame:
         for batch in batches:
             n, n_known, logs, shares, rare, times, classes = ([] for _ in range(7))
             for text in batch.column(1).to_pylist():
-                at = known.of(text)
-                sent, shared, log = known.sent[at], known.shared[at], known.logs[at]
-                inside = ~np.isnan(shared)
-                h, k = np.unique(known.hash[at[~sent]], return_counts=True)
-                n.append(len(at) + 1)
-                n_known.append(int(sent.sum()) + (lx.docs > 0))
-                logs.append(float(log.sum()) + end_log)
-                shares.append(float((log - shared)[inside].sum()))
+                length, of_lexicon, log, share, hashes, times_of, held = 1, int(lx.docs > 0), end_log, 0.0, [], [], []
+                for words in word_parts(text):
+                    at = known.of(words)
+                    sent, shared = known.sent[at], known.shared[at]
+                    inside = ~np.isnan(shared)
+                    h, k = np.unique(known.hash[at[~sent]], return_counts=True)
+                    hashes.append(h)
+                    times_of.append(k)
+                    length += len(at)
+                    of_lexicon += int(sent.sum())
+                    log += float(known.logs[at].sum())
+                    share += float((known.logs[at] - shared)[inside].sum())
+                    held.append(known.classes[at].astype(np.uint16))
+                h, place = np.unique(np.concatenate(hashes), return_inverse=True)
+                n.append(length)
+                n_known.append(of_lexicon)
+                logs.append(log)
+                shares.append(share)
                 rare.append(h.view(np.int64))
-                times.append(k.astype(np.int32))
-                classes.append(np.append(known.classes[at].astype(np.uint16), end).tobytes())
+                times.append(np.bincount(place, np.concatenate(times_of), len(h)).astype(np.int32))
+                classes.append(np.concatenate((*held, [end])).tobytes())
             rows = np.arange(row, row + len(n))
             row += len(n)
             yield pa.RecordBatch.from_pydict({"row": rows, "doc_id": batch.column(0), "held_out": batch.column(2), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "logs": pa.array(logs, pa.float64()), "shares": pa.array(shares, pa.float64()), "rare": pa.array(rare, pa.list_(pa.int64())), "times": pa.array(times, pa.list_(pa.int32())), "classes": pa.array(classes, pa.binary())})
@@ -347,17 +397,14 @@ def train_round(encoded: DataFrame, lex: Lexicon, model: Model) -> tuple[Model,
     return next_model(lex, counts[:n]), counts[n] / counts[n + 1]
 
 
-def train_model(encoded: DataFrame, lex: Lexicon, model: Model, rounds: int | None = None) -> Model:
+def train_model(encoded: DataFrame, lex: Lexicon, model: Model) -> Model:
     """Rounds on the parts of encoded (row, classes), then full rounds until a token's likelihood settles."""
-    rounds = ROUNDS if rounds is None else rounds
     for part in range(PARTS_FIRST):
         model, _ = train_round(encoded.filter(F.pmod("row", F.lit(PARTS_FIRST)) == part), lex, model)
-    before = -math.inf
-    for _ in range(rounds):
+    before, likely = -math.inf, None
+    while likely is None or likely - before >= SETTLED:
+        before = before if likely is None else likely
         model, likely = train_round(encoded, lex, model)
-        if likely - before < SETTLED:
-            break
-        before = likely
     return model
 
 

@@ -265,6 +265,8 @@ def fit(rows: DataFrame) -> DataFrame:
         now = written(step(rows, now, few))
         if n and now.filter(F.col("logdet") < F.col("was") - SETTLED).isEmpty():
             break
+    else:
+        raise ArithmeticError(f"the estimates do not settle in {MOST_STEPS} steps")
     best = now.groupBy("grp").agg(F.min_by(F.struct("median", "centre", "inverse", "logdet"), F.struct("logdet", "start")).alias("e")).select("grp", "e.*")
     won = written(best)
     at = _with(rows, won, few)
