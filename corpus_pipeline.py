@@ -12,7 +12,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pairlattice.llm import bpe, jaccard_join, mixing, pii, quality
 from pairlattice.llm.common import delete, scope, tables_folder, written
@@ -36,7 +35,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, one row per copy that the mix made."""
-    return bpe.encode(docs).select("doc_id", "n_tokens", F.col("ids"))
+    return bpe.encode(docs, decode=False).select("doc_id", "n_tokens", "ids")
 
 
 STAGES = [
