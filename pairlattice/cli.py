@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pairlattice.functions import genome, pairs as P
 from pairlattice.operators import binning, corr, expected, intervals, merge, norms, qc, rows
-from pairlattice.sources import readers, sinks
+from pairlattice.sources import container, readers, sinks
 from pairlattice.sources.pairs_binary import FULL, SHORT, write_pairs_binary
 
 
@@ -82,12 +82,17 @@ def _expected(spark: SparkSession, path: str, resolution: int, intra: DataFrame,
 
 
 def statistics(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Reports per MAPQ threshold: printed, and with an output name as files, the histograms beside them."""
+    """Reports per MAPQ threshold: printed, and with an output name as files, the histograms beside them.
+
+    An earlier report gives the sequenced and unique reads that shares are of; the new lines follow its own.
+    """
+    before = [r["line"] for r in readers.read_report_lines(spark, a.earlier).collect()] if a.earlier else []
+    known = {r["label"]: r["value"] for r in readers.earlier_values(readers.read_report_lines(spark, a.earlier)).collect()} if a.earlier else {}
     pairs = readers.read_pairs(spark, a.input)
     hist, mapq = qc.orientation_histogram(pairs, a.mapqs), qc.mapq_histogram(pairs, a.mapqs)
     settled = {r["threshold"]: r["bin"] for r in qc.convergence(hist).collect()}
     for row in qc.counts(pairs, a.mapqs, a.ligation).orderBy("threshold").collect():
-        lines = sinks.stats_lines(row, settled_bin=settled.get(row["threshold"]))
+        lines = before + sinks.stats_lines(row, known.get("sequenced"), known.get("unique"), settled.get(row["threshold"]))
         print(f"MAPQ >= {row['threshold']}")
         print("\n".join(lines))
         if a.output:
@@ -99,8 +104,8 @@ def merge_statistics(spark: SparkSession, a: argparse.Namespace) -> None:
     """One report of several; single-end and paired-end ones do not mix."""
     lines = readers.read_report_lines(spark, a.inputs)
     kind = merge.read_type(lines)
-    merged = {r["label"]: r["value"] for r in merge.merge_stats(merge.parse_stats(lines)).collect()}  # a row per label
-    sinks.write_report(spark, ([f"Read type: {kind}"] if kind else []) + sinks.merged_report_lines(merged), a.output)
+    merged = {r["label"]: r["value"] for r in merge.merge_stats(merge.parse_stats(lines, kind)).collect()}  # a row per label
+    sinks.write_report(spark, sinks.merged_report_lines(merged, kind), a.output)
 
 
 def merge_histograms(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -109,19 +114,29 @@ def merge_histograms(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def sum_sets(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Sums per matrix; the whole genome's matrix has a bin size of its own and is summed as it is."""
+    """Sums per matrix, of intra cells near the diagonal only if asked for; the whole genome's matrix has a bin size of its own and is summed as it is."""
     parts = [sinks.read_cells(spark, p) for p in a.inputs]
     own, whole = [p.filter("chr1 > 0") for p in parts], [p.filter("chr1 = 0") for p in parts]
+    if a.near_diagonal:
+        own = [p.filter((F.col("chr1") == F.col("chr2")) & (F.abs(F.col("x") - F.col("y")) * F.col("resolution") <= P.NEAR_DIAGONAL)) for p in own]
     finest = a.resolution or own[0].agg(F.min("resolution")).first()[0]
     sizes = tuple(r[0] for r in own[0].select("resolution").distinct().collect() if r[0] >= finest and r[0] % finest == 0)
     cells = merge.rebin_datasets(own, finest, sizes).unionByName(merge.sum_datasets(whole))
     sinks.write_matrix_set(cells, spark.read.parquet(f"{a.inputs[0]}/chromosomes"), a.output)
 
 
+def _one_matrix(spark: SparkSession, a: argparse.Namespace, chroms: DataFrame) -> DataFrame:
+    idx = chroms.first()["idx"]
+    return rows.as_intra(sinks.read_cells(spark, a.path, a.resolution, idx, idx))
+
+
 def matrix(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Correlations or their first eigenvector, of raw cells or of those under a stored vector."""
     corr.check_resolution(a.resolution, 1 if a.any_resolution else corr.FINEST)
     chroms = spark.read.parquet(f"{a.path}/chromosomes").filter((F.col("name") == a.chromosome) & (F.col("idx") > 0))
-    c = rows.intra_cells(sinks.read_cells(spark, a.path, a.resolution, chroms.first()["idx"], chroms.first()["idx"]))
+    c = _one_matrix(spark, a, chroms)
+    if a.norm != "NONE":
+        c = rows.normalized(c, sinks.read_norms(spark, a.path, a.norm, a.resolution))
     density = expected.smoothed_density(expected.distance_histogram(c), expected.possible_distances(chroms, a.resolution))
     oe = expected.observed_over_expected(c, density)
     if a.command == "pearsons":
@@ -136,6 +151,31 @@ def matrix(spark: SparkSession, a: argparse.Namespace) -> None:
         sinks.write_vector_text(corr.eigenvector(oe), a.output)
 
 
+def test_norm(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The balanced vector of one chromosome at one bin size, as text."""
+    chroms = spark.read.parquet(f"{a.path}/chromosomes").filter((F.col("name") == a.chromosome) & (F.col("idx") > 0))
+    sinks.write_vector_text(norms.scale(_one_matrix(spark, a, chroms), chroms, (a.resolution,)), a.output)
+
+
+def export(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A matrix set, with its vectors and expected densities, as one container file."""
+    chroms = [(r["name"], r["length"]) for r in spark.read.parquet(f"{a.path}/chromosomes").orderBy("idx").collect()]
+    meta = {r["key"]: r["value"] for r in spark.read.parquet(f"{a.path}/metadata").collect()}
+    cells = sinks.read_cells(spark, a.path)
+    sizes = tuple(r[0] for r in cells.filter("chr1 > 0").select("resolution").distinct().collect())
+    vectors = spark.read.parquet(f"{a.path}/norms") if sinks.exists(spark, f"{a.path}/norms") else None
+    names = sorted({r[0] for r in vectors.select("norm").distinct().collect()}, key=sinks.norm_order) if vectors is not None else []
+    known = []
+    for size in sorted(sizes, reverse=True):
+        for name in ("raw", *names):
+            held = f"{a.path}/{name}_{size}"
+            if sinks.exists(spark, f"{held}/expected"):
+                density = spark.read.parquet(f"{held}/expected").orderBy("dist").select("density").toPandas()["density"].to_numpy()  # a value per bin distance
+                factors = {r["chr"]: r["factor"] for r in spark.read.parquet(f"{held}/chr_scale").collect()}
+                known.append(container.Expected(size, density, factors, "" if name == "raw" else name))
+    container.write_container(a.output, container.Head(meta.get("genome", ""), chroms, sizes, meta), cells, known, vectors)
+
+
 def convert(spark: SparkSession, a: argparse.Namespace) -> None:
     chroms = _chromosomes(spark, a.genome)
     pairs = readers.read_pairs(spark, a.input, chroms)
@@ -176,12 +216,14 @@ def parser() -> argparse.ArgumentParser:
     kinds = ("-k --norms", {"type": lambda x: x.split(","), "default": ["VC", "VC_SQRT", "SCALE"]})
     command("pre", pre, ("input", {}), out, ("-g --genome", {"required": True}), sizes, kinds, ("-q --mapq", {"type": int, "default": 0}), ("-m --min-count", {"type": float, "default": 0.0}), ("-c --chromosomes", {}), ("--intra", {"action": "store_true"}), ("--near-diagonal", {"type": int}), ("--orientation", {}), ("-z --scaling", {"type": float, "default": 1.0}), ("-n --no-norm", {"action": "store_true"}))
     command("addnorm", add_norm, path, sizes, kinds, ("--vectors", {}))
-    command("statistics", statistics, ("input", {}), ("--mapqs", {"type": _numbers, "default": (1, 30)}), ("--ligation", {}), ("-o --output", {}))
+    command("statistics", statistics, ("input", {}), ("--mapqs", {"type": _numbers, "default": (1, 30)}), ("--ligation", {}), ("-o --output", {}), ("--earlier", {}))
     command("mergestats", merge_statistics, out, ("inputs", {"nargs": "+"}))
     command("mergehists", merge_histograms, out, ("inputs", {"nargs": "+"}))
-    command("sum", sum_sets, out, ("inputs", {"nargs": "+"}), ("-r --resolution", {"type": int}))
+    command("sum", sum_sets, out, ("inputs", {"nargs": "+"}), ("-r --resolution", {"type": int}), ("--near-diagonal", {"action": "store_true"}))
     for name in ("pearsons", "eigenvector"):
-        command(name, matrix, path, ("chromosome", {}), ("resolution", {"type": int}), out, ("-p --any-resolution", {"action": "store_true"}), ("-b --tiles", {"action": "store_true"}))
+        command(name, matrix, path, ("chromosome", {}), ("resolution", {"type": int}), out, ("-p --any-resolution", {"action": "store_true"}), ("-b --tiles", {"action": "store_true"}), ("-k --norm", {"default": "NONE"}))
+    command("testnorm", test_norm, path, ("chromosome", {}), ("resolution", {"type": int}), out)
+    command("export", export, path, out)
     command("pairstobin", convert, ("input", {}), out, ("-g --genome", {"required": True}), ("--short", {"action": "store_true"}))
     command("bintopairs", convert, ("input", {}), out, ("-g --genome", {"required": True}), ("--mapq", {"action": "store_true"}))
     command("librarycomplexity", complexity, ("unique", {}), ("dups", {"nargs": "?"}), ("--optical", {"type": int, "default": 0}))

@@ -16,6 +16,12 @@ LABELS = (
     ("convergence", "L-I-O-R Convergence:"), ("inter", "Inter-chromosomal:"), ("intra", "Intra-chromosomal:"), ("ignore", "Short Range (<20Kb):"), ("under_500", "<500BP:"), ("under_5k", "500BP-5kB:"), ("under_20k", "5kB-20kB:"), ("far", "Long Range (>20Kb):"),
 )
 
+#: Labels that only paired-end or only single-end reports have (fixed values); they are tried before the others.
+OF_TYPE = {
+    "Paired End": (("sequenced", "Sequenced Read Pairs:"), ("unmapped", "One or both reads unmapped:"), ("two", "2 alignments:"), ("two_ends", "2 alignments (A...B):"), ("two_split", "2 alignments (A1...A2B; A1B2...B1A2):"), ("ignore", "Average insert size:")),
+    "Single End": (("sequenced", "Sequenced Reads:"), ("unmapped", "0 alignments:"), ("one", "1 alignment:"), ("two", "2 alignments:"), ("one_unique", "1 alignment unique"), ("one_dups", "1 alignment duplicates"), ("two_unique", "2 alignment unique"), ("two_dups", "2 alignment duplicates")),
+}
+
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
@@ -39,9 +45,10 @@ def matrices_in_all(parts: list[DataFrame]) -> DataFrame:
     return tagged.groupBy("chr1", "chr2").agg(F.count("*").alias("k")).filter(F.col("k") == n).select("chr1", "chr2")
 
 
-def label_of(line):
+def label_of(line, kind: str | None = None):
+    """The label of a report's line; reports that do not name their read type are taken for paired-end ones."""
     out = F.lit("ignore")
-    for name, mark in reversed(LABELS):
+    for name, mark in reversed((*OF_TYPE[kind or "Paired End"], *LABELS)):
         out = F.when(F.lower(line).contains(mark.lower()), name).otherwise(out)
     return out
 
@@ -55,9 +62,9 @@ def read_type(lines: DataFrame) -> str | None:
     return "Single End" if row["single"] else "Paired End" if row["paired"] else None
 
 
-def parse_stats(lines: DataFrame) -> DataFrame:
-    """(file, label, value) of report lines (file, line); N/A and lines without a number are dropped."""
-    p = lines.withColumn("label", label_of(F.col("line"))).filter("label <> 'ignore'").withColumn("rest", F.element_at(F.split("line", ":"), 2)).filter(F.col("rest").isNotNull() & ~F.lower("rest").contains("n/a"))
+def parse_stats(lines: DataFrame, kind: str | None = None) -> DataFrame:
+    """(file, label, value) of report lines (file, line) of one read type; N/A and lines without a number are dropped."""
+    p = lines.withColumn("label", label_of(F.col("line"), kind)).filter("label <> 'ignore'").withColumn("rest", F.element_at(F.split("line", ":"), 2)).filter(F.col("rest").isNotNull() & ~F.lower("rest").contains("n/a"))
     number = F.expr("try_cast(replace(trim(split(rest, '\\\\(')[0]), ',', '') as bigint)")
     quarter = (F.length("rest") - F.length(F.replace("rest", F.lit("25%"), F.lit("")))) == 12
     value = F.when(F.col("label") == "pair_percents", F.when(quarter, 25).otherwise(-1)).otherwise(number)

@@ -422,6 +422,24 @@ def merge_stats_labels(spark, sf):
     return merge.merge_stats(merge.parse_stats(lines))
 
 
+@query("SELECT label, CAST(CASE WHEN label = 'convergence' THEN max(p_partkey) ELSE sum(p_partkey) END AS BIGINT) AS value FROM (SELECT p_partkey, [NULL, 'sequenced', 'unmapped', 'one', 'one_unique', 'one_dups', 'two', 'two_unique', 'two_dups', 'three_plus', 'convergence'][p_size % 11 + 1] AS label FROM part) WHERE label IS NOT NULL GROUP BY label")
+def merge_single_end_labels(spark, sf):
+    """Labels of single-end reports, with a line that is to be ignored."""
+    texts = ("Library Complexity", "Sequenced Reads", "0 alignments", "1 alignment", "\t1 alignment unique", "\t1 alignment duplicates", "2 alignments", "\t2 alignment unique", "\t2 alignment duplicates", "3 or more alignments (>2)", "\tL-I-O-R Convergence")
+    kind = F.element_at(F.array(*map(F.lit, texts)), (F.col("p_size") % 11 + 1).cast("int"))
+    lines = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_brand").alias("file"), F.concat(kind, F.lit(": "), with_commas(F.col("p_partkey")), F.lit(" (1.00%)")).alias("line"))
+    return merge.merge_stats(merge.parse_stats(lines, "Single End"))
+
+
+@query("SELECT label, CAST(sum(p_partkey) AS BIGINT) AS value FROM (SELECT p_partkey, [NULL, 'sequenced', 'unmapped', 'two', 'two_ends', 'two_split', 'total_dups'][p_size % 7 + 1] AS label FROM part) WHERE label IS NOT NULL GROUP BY label")
+def merge_paired_end_labels(spark, sf):
+    """Labels of paired-end reports, with a line that is to be ignored."""
+    texts = ("Average insert size", "Sequenced Read Pairs", "One or both reads unmapped", "2 alignments", "\t2 alignments (A...B)", "\t2 alignments (A1...A2B; A1B2...B1A2)", "Total Duplicates")
+    kind = F.element_at(F.array(*map(F.lit, texts)), (F.col("p_size") % 7 + 1).cast("int"))
+    lines = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_brand").alias("file"), F.concat(kind, F.lit(": "), with_commas(F.col("p_partkey"))).alias("line"))
+    return merge.merge_stats(merge.parse_stats(lines, "Paired End"))
+
+
 @query("SELECT 'A' AS name, CAST(i AS INT) AS i, CAST(sum((p_partkey * (i + 1)) % 97) AS BIGINT) AS value FROM part, range(5) t(i) GROUP BY i")
 def merge_histograms(spark, sf):
     values = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: ((F.col("p_partkey") * i) % 97).cast("string")), " ")

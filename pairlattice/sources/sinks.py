@@ -80,7 +80,13 @@ REPORT = (
 
 
 def stats_lines(row: Row, sequenced: int | None = None, unique: int | None = None, settled_bin: int | None = None) -> list[str]:
-    """A report's lines from one row of ``qc.counts`` (a row per threshold, so it fits the driver)."""
+    """A report's lines from one row of ``qc.counts`` (a row per threshold, so it fits the driver).
+
+    sequenced and unique are those of an earlier report: shares are then of both, and unique pairs that are not in the
+    input, where none was below the threshold, had been left out for their MAPQ.
+    """
+    if unique and not row["under_mapq"]:
+        row = Row(**(row.asDict() | {"under_mapq": max(0, unique - row["n_unique"])}))
     total = unique or row["n_unique"] or 1
     part = lambda n: f"{n * 100 / sequenced:.2f}% / {n * 100 / total:.2f}%" if sequenced and unique else f"{n * 100 / total:.2f}%"
     out = []
@@ -115,11 +121,41 @@ def complexity_lines(row: Row, optical: int = 0) -> list[str]:
     return [f"Unique Reads: {row['n_unique']:,}{share(row['n_unique'])}", f"PCR Duplicates: {row['n_dups'] - optical:,}{share(row['n_dups'] - optical)}", f"Optical Duplicates: {optical:,}{share(optical)}", f"Library Complexity Estimate: {row['library_size'] or 0:,}"]
 
 
-def merged_report_lines(merged: dict[str, int]) -> list[str]:
-    """Lines of a merged report from (label, value) of ``merge.merge_stats``."""
-    from pairlattice.operators.merge import LABELS
+#: Lines of a merged report by read type: text, label, and the label of what a second percentage is of (fixed values).
+_BEFORE = {
+    "Paired End": (
+        ("Sequenced Read Pairs: ", "sequenced", None), ("No chimera found: ", "no_chimera", None), ("One or both reads unmapped: ", "unmapped", None), ("2 alignments: ", "two", None),
+        ("\t2 alignments (A...B): ", "two_ends", None), ("\t2 alignments (A1...A2B; A1B2...B1A2): ", "two_split", None), ("3 or more alignments: ", "three_plus", None), ("Ligation Motif Present: ", "ligation_motif", None),
+    ),
+    "Single End": (
+        ("Sequenced Reads: ", "sequenced", None), ("No chimera found: ", "no_chimera", None), ("0 alignments: ", "unmapped", None), ("1 alignment: ", "one", None), ("\t1 alignment unique: ", "one_unique", "one"), ("\t1 alignment duplicates: ", "one_dups", "one"),
+        ("2 alignments: ", "two", None), ("\t2 alignment unique: ", "two_unique", "two"), ("\t2 alignment duplicates: ", "two_dups", "two"), ("3 or more alignments: ", "three_plus", None), ("Ligation Motif Present: ", "ligation_motif", None),
+    ),
+}
+_AFTER = (
+    ("Total Unique: ", "total_unique", "alignable"), ("Total Duplicates: ", "total_dups", "alignable"), ("Intra-fragment Reads: ", "intra_fragment", "contacts_of"), ("Below MAPQ Threshold: ", "below_mapq", "contacts_of"), ("Hi-C Contacts: ", "contacts", "contacts_of"), ("\t3' Bias (Long Range): ", "three_bias", "contacts_of"),
+    ("pairs", "pair_percents", None), ("Inter-chromosomal: ", "inter", "contacts_of"), ("Intra-chromosomal: ", "intra", "contacts_of"), ("Short Range (<20Kb):", None, None), ("\t<500BP: ", "under_500", "contacts_of"), ("\t500BP-5kB: ", "under_5k", "contacts_of"), ("\t5kB-20kB: ", "under_20k", "contacts_of"), ("Long Range (>20Kb): ", "far", "contacts_of"),
+)
+
 
-    return [f"{mark} {merged[label]:,}" for label, mark in LABELS if label in merged and label not in ("ignore", "pair_percents")] + ([" Pair Type %(L-I-O-R): 25% - 25% - 25% - 25%"] if merged.get("pair_percents") == 25 else [])
+def merged_report_lines(merged: dict[str, int], kind: str | None = None) -> list[str]:
+    """Lines of a merged report from (label, value) of ``merge.merge_stats``: counts above 0, with their share of sequenced reads and of what they are a part of."""
+    single = kind == "Single End"
+    of = merged | {"alignable": merged.get("two", 0) + (merged.get("one", 0) if single else 0), "contacts_of": merged.get("two_unique" if single else "total_unique", 0)}
+    sequenced = merged.get("sequenced", 0)
+    out = [f"Read type: {kind}"] if kind else []
+    for text, label, part in (*_BEFORE[kind or "Paired End"], *_AFTER):
+        value = merged.get(label, 0)
+        if label is None:
+            out.append(text)
+        elif label == "pair_percents":
+            if value == 25:
+                out.append("\tPair Type %(L-I-O-R): 25% - 25% - 25% - 25%")
+                out += [f"\tL-I-O-R Convergence: {merged['convergence']:,}"] if merged.get("convergence", 0) > 0 else []
+        elif value > 0:
+            shares = [f"{value * 100 / n:.2f}%" for n in (sequenced, of.get(part, 0) if sequenced > 0 and label != "sequenced" else 0) if n > 0 and label != "sequenced"]
+            out.append(f"{text}{value:,}" + (f" ({' / '.join(shares)})" if shares else ""))
+    return out
 
 
 def merged_histogram_lines(merged: DataFrame) -> list[str]:
@@ -136,6 +172,11 @@ def merged_histogram_lines(merged: DataFrame) -> list[str]:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def write_report(spark: SparkSession, lines: list[str], path: str) -> None:
     """A report as one file of this name, through Hadoop's file system."""
     to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -173,8 +214,8 @@ def write_matrix_tiles(matrix: DataFrame, path: str, genome: str, chromosome: st
 
 
 def write_vector_text(vector: DataFrame, path: str) -> None:
-    """One value a line by bin: each part file is a range of bins, the parts are in order."""
-    vector.orderBy("bin").select(F.col("v").cast("string").alias("value")).write.mode("overwrite").text(path)
+    """One value a line by bin, NaN where there is none: each part file is a range of bins, the parts are in order."""
+    vector.orderBy("bin").select(F.coalesce(F.col("v").cast("string"), F.lit("NaN")).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_matrix_text(matrix: DataFrame, path: str, value: str = "r") -> None:

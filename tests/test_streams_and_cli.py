@@ -67,6 +67,78 @@ def test_reports_of_two_read_types_do_not_mix(spark, tmp_path):
     assert (tmp_path / "m").read_text().splitlines()[:2] == ["Read type: Paired End", "Hi-C Contacts: 2,000"]
 
 
+SINGLE = """Read type: Single End
+Sequenced Reads: 1,000
+No chimera found: 10 (1.00%)
+0 alignments: 100 (10.00%)
+1 alignment: 400 (40.00%)
+	1 alignment unique: 300 (30.00% / 75.00%)
+	1 alignment duplicates: 100 (10.00% / 25.00%)
+2 alignments: 480 (48.00%)
+	2 alignment unique: 400 (40.00% / 83.33%)
+	2 alignment duplicates: 80 (8.00% / 16.67%)
+3 or more alignments: 10 (1.00%)
+Ligation Motif Present: 200 (20.00%)
+Total Unique: 700 (70.00% / 79.55%)
+Total Duplicates: 180 (18.00% / 20.45%)
+Below MAPQ Threshold: 40 (4.00% / 10.00%)
+Hi-C Contacts: 360 (36.00% / 90.00%)
+	Pair Type %(L-I-O-R): 25% - 25% - 25% - 25%
+	L-I-O-R Convergence: 1,000
+Inter-chromosomal: 60 (6.00% / 15.00%)
+Intra-chromosomal: 300 (30.00% / 75.00%)
+Short Range (<20Kb):
+	<500BP: 50 (5.00% / 12.50%)
+Long Range (>20Kb): 250 (25.00% / 62.50%)
+"""
+
+
+def test_merged_single_end_report(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / name).write_text(SINGLE)
+    assert cli.main(["mergestats", str(tmp_path / "m"), str(tmp_path / "a"), str(tmp_path / "b")]) == 0
+    double = re.sub(r"(: )([\d,]+)(?= \(|$)", lambda m: f"{m[1]}{2 * int(m[2].replace(',', '')):,}", SINGLE, flags=re.M)
+    assert (tmp_path / "m").read_text() == double.replace("Convergence: 2,000", "Convergence: 1,000")
+
+
+def test_shares_of_an_earlier_report(spark, tmp_path, capsys):
+    (tmp_path / "g.txt").write_text("".join(f"chr{i}\t8000000\n" for i in range(1, 5)))
+    sinks.write_pairs_text(pairs(spark, SF), str(tmp_path / "pairs"))
+    (tmp_path / "old.txt").write_text("Sequenced Read Pairs: 20,000\nUnique Reads: 10,000\n")
+    assert cli.main(["statistics", str(tmp_path / "pairs"), "--mapqs", "1", "--earlier", str(tmp_path / "old.txt")]) == 0
+    out = capsys.readouterr().out
+    n = int(re.search(r"Hi-C Contacts: *([0-9,]+)", out)[1].replace(",", ""))
+    assert "Sequenced Read Pairs: 20,000" in out and f"Hi-C Contacts: {n:,} ({n / 200:.2f}% / {n / 100:.2f}%)" in out
+
+
+def test_normalised_matrices_vectors_and_export(spark, tmp_path):
+    (tmp_path / "g.txt").write_text("".join(f"chr{i}\t8000000\n" for i in range(1, 5)))
+    sinks.write_pairs_text(pairs(spark, SF), str(tmp_path / "pairs"))
+    set_ = str(tmp_path / "set")
+    assert cli.main(["pre", str(tmp_path / "pairs"), set_, "-g", str(tmp_path / "g.txt"), "-r", "1000000", "-k", "VC,SCALE"]) == 0
+    chrom = spark.read.parquet(f"{set_}/chromosomes").filter("idx = 1").first()["name"]
+    for norm in ("NONE", "VC"):
+        assert cli.main(["pearsons", set_, chrom, "1000000", str(tmp_path / norm), "-k", norm]) == 0
+    table = lambda name: spark.read.csv(str(tmp_path / name), sep="\t", schema="x long, y long, r double")
+    both = table("NONE").alias("a").join(table("VC").alias("b"), ["x", "y"]).selectExpr("a.r as r", "b.r as s").collect()
+    assert len(both) == 36 and all(abs(x["s"]) <= 1 + 1e-9 for x in both) and any(abs(x["r"] - x["s"]) > 1e-3 for x in both)
+    assert cli.main(["testnorm", set_, chrom, "1000000", str(tmp_path / "v")]) == 0
+    stored = {r["bin"]: r["v"] for r in sinks.read_norms(spark, set_, "SCALE", 1_000_000).filter("chr = 1").collect()}
+    text = [float(r["value"]) for r in spark.read.text(str(tmp_path / "v")).collect()]
+    assert len(text) == 9 and all(np.isclose(text[b], v) for b, v in stored.items()) and np.isnan([text[b] for b in range(9) if b not in stored]).all()
+    assert cli.main(["sum", str(tmp_path / "near"), set_, "--near-diagonal"]) == 0
+    near = sinks.read_cells(spark, str(tmp_path / "near")).filter("chr1 > 0")
+    assert near.filter("chr1 <> chr2").isEmpty() and not near.isEmpty()
+    assert cli.main(["export", set_, str(tmp_path / "one")]) == 0
+    from test_container import Reader
+
+    r = Reader((tmp_path / "one").read_bytes())
+    r.head()
+    r.footer()
+    assert {k[0] for k in r.vectors()} == {"VC", "SCALE"} and len(r.raw) == 1 and {e[0] for e in r.normed} == {"VC", "SCALE"}
+    assert "0_0" in r.index and "1_1" in r.index
+
+
 def test_complexity_of_a_folder(spark, tmp_path, capsys):
     for name, n in (("merged_nodups", 900), ("dups", 100), ("opt_dups", 10)):
         (tmp_path / f"{name}.txt").write_text("x\n" * n)
