@@ -47,6 +47,54 @@ def test_generated_quotes_are_linked_as_the_sql_links_them(spark, tmp_path, size
     assert sorted((tuple(r[c] for c in names) for r in got), key=str) == sorted(found.fetchall(), key=str)
 
 
+def same_as_the_sql(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = quotation.query(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = con.execute(quotation.ORACLE)
+    names = [c[0] for c in found.description]
+    assert sorted((tuple(r[c] for c in names) for r in got), key=str) == sorted(found.fetchall(), key=str)
+    return {(r["conv_id"], r["turn"]): r for r in got}
+
+
+ALPHA = "Alpha line one, which is long\nand goes on here.\n\nA second paragraph of the message\nstands below it."
+
+
+def test_quotes_that_a_mail_program_wrapped_anew(spark, tmp_path):
+    rows = [
+        (1, 0, "u", ALPHA), (1, 1, "u", "Another message,\nabout other things."),
+        (1, 2, "a", "On Monday u wrote:\n> Alpha line one,\n> which is long and\n> goes on here.\nYes."),
+        (1, 3, "a", "Am Montag schrieb u:\n\n> A second paragraph of the message stands below it.\n> \n> Alpha line one, which is long and goes on here.\nNo."),
+        (1, 4, "a", "> > Alpha line one, which is\n> > long and goes on here.\n> Yes.\nWell."),
+        (1, 5, "a", "> a second paragraph of the message stands\n> somewhere\nShingles."), (1, 6, "a", "> about it\nShort."), (1, 7, "a", "She wrote:\nnothing quoted"),
+    ]
+    got = same_as_the_sql(spark, tmp_path, rows)
+    assert [got[1, t]["parent_turn"] for t in range(8)] == [None, None, 0, 0, 2, 0, None, None]
+    assert [got[1, t]["n_linked"] for t in range(8)] == [0, 0, 3, 2, 3, 2, 0, 0]
+    assert [got[1, t]["own_text"] for t in (2, 3, 4, 5, 7)] == ["Yes.", "\nNo.", "Well.", "Shingles.", "She wrote:\nnothing quoted"]
+
+
+def test_shared_lines_wrapped_anew_against_the_sql(spark, tmp_path):
+    rng, rows = random.Random(5), [(2, None, "u", "> x y"), (None, 1, "u", "> x y"), (3, 0, "u", None), (3, 1, "u", "")]
+    for conv in (10, 11):
+        texts = []
+        for turn in range(150):
+            words = [rng.choice(WORDS[:12]) for _ in range(rng.randint(1, 30))]
+            wrap = lambda mark, w, k: "\n".join(mark + " ".join(w[i : i + k]) for i in range(0, len(w), k))
+            body = wrap("", words, rng.randint(3, 9))
+            if texts and rng.random() < 0.8:
+                up = rng.choice(texts)
+                part = up if rng.random() < 0.6 else up[rng.randrange(len(up)) :]
+                body = rng.choice(["", "u wrote:\n", "u wrote:\n\n"]) + wrap(rng.choice(["> ", ">> "]), part, rng.randint(3, 9)) + "\n" + body
+            texts.append(words)
+            rows.append((conv, turn, "u", body))
+            if rng.random() < 0.05:
+                rows.append((conv, turn, "u", body))
+    got = same_as_the_sql(spark, tmp_path, rows)
+    assert sum(r["parent_turn"] is not None for r in got.values()) > 150
+
+
 def test_threads_follow_the_answers(spark):
     rows, answers = conversations(3, [90, 15])
     got = {(r["conv_id"], r["turn"]): r for r in quotation.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
