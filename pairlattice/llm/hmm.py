@@ -218,26 +218,36 @@ def _groups(texts: list[np.ndarray]) -> Iterator[list[int]]:
         yield group
 
 
-def _steps(model: Model, x: np.ndarray, first: int, last: int, a: np.ndarray | None, alpha: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The recursion over steps first to last (exclusive) of x: the values after them, and the logarithms of the scales taken out.
+def _emitted(model: Model, x: np.ndarray) -> np.ndarray:
+    """(T, B, K): the emission probabilities of (T, B) classes."""
+    return np.take(model.emit, x.ravel().astype(np.intp), axis=0).reshape(*x.shape, STATES)
+
+
+def _steps(model: Model, e: np.ndarray, first: int, length: int, a: np.ndarray | None, alpha: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The recursion over steps with emissions e, from number first of length: the values after them, and the logarithms of the scales taken out.
 
     a: the values before, None at the start. Forward values are scaled to sum 1 every SCALED steps, which keeps them far from underflow.
     """
-    e, log = model.emit[x[first:last]], np.zeros(x.shape[1])
-    for t in range(first, last):
-        a = model.start * e[0] if t == 0 else (a @ model.move) * e[t - first]
-        if t % SCALED == SCALED - 1 or t == len(x) - 1:
-            s = a.sum(1)
-            a = a / s[:, None]
+    log = np.zeros(e.shape[1])
+    out = np.empty((2, e.shape[1], STATES)) if alpha is None else alpha
+    for t in range(first, first + len(e)):
+        now = out[(t - first) % len(out)]
+        if t:
+            np.matmul(a, model.move, out=now)
+            now *= e[t - first]
+        else:
+            np.multiply(model.start, e[0], out=now)
+        if t % SCALED == SCALED - 1 or t == length - 1:
+            s = now.sum(1)
+            now /= s[:, None]
             log += np.log(s)
-        if alpha is not None:
-            alpha[t - first] = a
-    return a, log
+        a = now
+    return a.copy(), log
 
 
 def _blocks(x: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of steps whose values are held together: about TOGETHER tokens."""
-    size = max(SCALED, TOGETHER // x.shape[1] // SCALED * SCALED)
+    """Ranges of steps whose values are held together: all of a group of several texts, of a long one twice TOGETHER tokens."""
+    size = max(SCALED, 2 * TOGETHER // x.shape[1] // SCALED * SCALED)
     return [(t, min(t + size, len(x))) for t in range(0, len(x), size)]
 
 
@@ -245,7 +255,7 @@ def forward(model: Model, x: np.ndarray) -> np.ndarray:
     """x: (T, B) classes -> natural log-likelihood of each column."""
     a, log = None, np.zeros(x.shape[1])
     for first, last in _blocks(x):
-        a, more = _steps(model, x, first, last, a)
+        a, more = _steps(model, _emitted(model, x[first:last]), first, len(x), a)
         log += more
     return log
 
@@ -270,30 +280,30 @@ def expected_counts(model: Model, texts: list[np.ndarray], into: np.ndarray) ->
         x = padded([texts[i] for i in group], pad)
         blocks, before = _blocks(x), [None]
         for first, last in blocks[:-1]:
-            a, log = _steps(model, x, first, last, before[-1])
+            a, log = _steps(model, _emitted(model, x[first:last]), first, len(x), before[-1])
             likely += float(log.sum())
             before.append(a)
         moved, following = np.zeros((k, k)), None  # following: emission times backward value of the first step of the later block
         for (first, last), a in zip(reversed(blocks), reversed(before)):
             alpha = np.empty((last - first, x.shape[1], k))
-            _, log = _steps(model, x, first, last, a, alpha)
+            e, beta = _emitted(model, x[first:last]), np.empty_like(alpha)
+            _, log = _steps(model, e, first, len(x), a, alpha)
             if following is None:
                 likely += float(log.sum())
-            e, gamma = model.emit[x[first:last]], alpha.copy()
             after = np.empty((last - first + 1, x.shape[1], k))  # after[t]: emission times backward value at t
             if following is None:
-                after[-2] = e[-1]
+                after[-2], beta[-1] = e[-1], 1.0
             else:
                 after[-1] = following
             for t in range(last - 1 if following is not None else last - 2, first - 1, -1):
                 i = t - first
-                b = after[i + 1] @ back
+                b = np.matmul(after[i + 1], back, out=beta[i])
                 if t % SCALED == 0:
                     s = b.sum(1, keepdims=True)
                     b /= s
                     after[i + 1] /= s
                 np.multiply(e[i], b, out=after[i])
-                gamma[i] *= b
+            gamma = np.multiply(alpha, beta, out=beta)
             total = gamma.sum(2, keepdims=True)
             n = last - first - (following is None)  # steps that move on
             seen = x[first + 1 : first + 1 + n, :, None] != pad
@@ -301,7 +311,7 @@ def expected_counts(model: Model, texts: list[np.ndarray], into: np.ndarray) ->
             gamma /= total
             if first == 0:
                 into[:k] += gamma[0].sum(0)
-            flat, g = x[first:last].ravel(), gamma.reshape(-1, k)
+            flat, g = x[first:last].ravel().astype(np.intp), gamma.reshape(-1, k)
             for s in range(k):
                 counts[:, s] += np.bincount(flat, weights=g[:, s], minlength=pad + 1)[:pad]
             following = after[0]
@@ -345,14 +355,18 @@ def encode(docs: DataFrame, lex: Lexicon) -> DataFrame:
                     log += float(known.logs[at].sum())
                     share += float((known.logs[at] - shared)[inside].sum())
                     held.append(known.classes[at].astype(np.uint16))
-                h, place = np.unique(np.concatenate(hashes), return_inverse=True)
+                h, k = hashes[0], times_of[0]
+                if len(hashes) > 1:
+                    h, place = np.unique(np.concatenate(hashes), return_inverse=True)
+                    k = np.bincount(place, np.concatenate(times_of), len(h))
                 n.append(length)
                 n_known.append(of_lexicon)
                 logs.append(log)
                 shares.append(share)
                 rare.append(h.view(np.int64))
-                times.append(np.bincount(place, np.concatenate(times_of), len(h)).astype(np.int32))
-                classes.append(np.concatenate((*held, [end])).tobytes())
+                times.append(k.astype(np.int32))
+                held.append(end)
+                classes.append(b"".join(x.tobytes() for x in held))
             rows = np.arange(row, row + len(n))
             row += len(n)
             yield pa.RecordBatch.from_pydict({"row": rows, "doc_id": batch.column(0), "held_out": batch.column(2), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "logs": pa.array(logs, pa.float64()), "shares": pa.array(shares, pa.float64()), "rare": pa.array(rare, pa.list_(pa.int64())), "times": pa.array(times, pa.list_(pa.int32())), "classes": pa.array(classes, pa.binary())})

@@ -234,7 +234,7 @@ def test_forward_is_the_sum_over_all_paths():
     assert np.isclose(long[k + k * k :].sum(), 12000) and np.isclose(long[k : k + k * k].sum(), 11999)
     blocks = np.zeros_like(counts)
     with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(hmm, "TOGETHER", 16)
+        patch.setattr(hmm, "TOGETHER", 12)
         assert np.isclose(hmm.expected_counts(m, [np.tile(text, 3000)], blocks), hmm.forward(m, hmm.padded([np.tile(text, 3000)], c))[0])
     assert np.allclose(blocks, long)
     assert np.isclose(counts[:k].sum(), 2) and np.isclose(counts[k : k + k * k].sum(), 4) and np.isclose(counts[k + k * k :].sum(), 6)
