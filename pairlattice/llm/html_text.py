@@ -7,14 +7,18 @@ are smoothed with a Gaussian window weighed by path, both are normalised and fus
 product's root, and a path is content if its mean fused value reaches ``LEVEL`` standard
 deviations, or if no path with text outside the excluded parts has a higher one.
 
-Content paths alone say what is taken. A run of such a path stays, and so does what belongs to it: all of an element
-(``article`` or the nearest container: div, section, table cell ...) of whose text at least half is of content
-paths, and of an element around such ones in which nothing else stands but headings and paragraphs;
+Paths are candidates first. Where a page says which element is its article (``article`` or that role), only runs inside are; where
+a container's name says so ("post", "story" ...), runs inside, and outside those whose element is of a kind that content inside has. The threshold
+is never above the best candidate path, so that a short article beside a longer notice is found.
+
+Content paths then say what is taken. A run of such a path stays, and so does what belongs to it: all of an element
+(the nearest container: div, section, table cell ...) of whose text at least half is of content
+paths (of an ``article``'s a fifth), and of an element around such ones in which nothing else stands but headings and paragraphs;
 so headings, lists and short paragraphs of the article stay, in as many containers as it has. Of
 the body itself only headings, paragraphs and what stands between its content paths' runs are added.
 
-Names only exclude: navigation, headers, footers, asides, forms, scripts, adverts, notices, comments by
-readers, told by tag, role, class or id, never stay.
+Names exclude as well: navigation, headers, footers, asides, forms, scripts, adverts, notices, comments by
+readers, told by tag, role, class or id, never stay; headings and paragraphs of an article are not judged by their names.
 
 Pages of any form take time in proportion to their length: paths are numbers made of the parent's number and a label,
 open elements are counted by name, sums go up the tree once, and a tag that does not end makes the
@@ -32,7 +36,7 @@ import html as entities
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +59,13 @@ NEVER_NAMED = re.compile(r"ads?|advert\w*|adbox|adslot|banners?|breadcrumbs?|com
 NEUTRAL = frozenset("a area bar block body bottom box button buttons col column container content form group inner item items left line link links list main message outer overlay panel part row right section slot space thread top unit wrap wrapper".split())
 OWN_HEADER = frozenset("article entry post story content".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-LEVEL, SHARE = 0.75, 0.5
+LEVEL, SHARE, SAID_SHARE = 1.25, 0.5, 0.2
+#: Parts of class names and ids of an article's container.
+NAMED = frozenset("article entry post story".split())
 #: Elements that hold blocks of text, among them those of the whole page, and blocks that may stand beside an article's containers.
 CONTAINERS = frozenset("div section article main body html td th center details fieldset".split()) | {""}
 PAGE = frozenset(("", "html", "body"))
+SAID = frozenset(("article",))
 MILD = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote figcaption hgroup".split())
 #: Elements inside which an outer paragraph, item or cell is not ended by a start tag.
 SCOPES = frozenset("table ul ol dl div article section td th button".split())
@@ -75,13 +82,15 @@ _SPACES = re.compile(r"\s+")
 class _Node:
     """An open or closed element. at is its place in page order; scope tells the open elements that a start tag may end."""
 
-    __slots__ = ("at", "tag", "parent", "out", "path", "scope", "article", "container", "block")
+    __slots__ = ("at", "tag", "parent", "out", "path", "scope", "article", "said", "named", "container", "block")
 
     def __init__(self, at: int, tag: str, parent: _Node | None, out: bool, path: int) -> None:
         self.at, self.tag, self.parent, self.out, self.path = at, tag, parent, out, path
         outer = {} if parent is None or tag in SCOPES else parent.scope
         self.scope = {**outer, tag: self} if tag in _ENDED else outer
         self.article = tag == "article" or (parent is not None and parent.article)
+        self.said = tag in SAID or (parent is not None and parent.said)
+        self.named = parent is not None and parent.named
         self.container = self if tag in CONTAINERS else parent.container
         self.block = self if tag in BLOCK or parent is None else parent.block
 
@@ -111,19 +120,24 @@ class _Page:
         self._read(page)
 
     def _open(self, node: _Node, name: str, attributes: str) -> _Node:
-        out, label = node.out, name
+        out, label, found = node.out, name, {}
         if attributes and not attributes.isspace():
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             if "class" in found:
                 label += "." + _DIGITS.sub("", found["class"])
-            if name not in ("html", "body", "article", "main"):
+            if name not in ("html", "body", "article", "main") and not (node.article and name in MILD):
                 named = f"{found.get('class', '')} {found.get('id', '')}"
                 out = out or (named != " " and _excluded(named)) or "hidden" in found or found.get("aria-hidden") == "true"
             out = out or found.get("role", "").lower() in ROLES
         out = out or (name in NEVER and not (name == "header" and node.article))  # an article's own heading stays
+        if node.tag in PAGE and name in CONTAINERS:  # parts of the page are told apart even where they are named alike
+            label += f"#{len(self.nodes)}"
         path = self.paths.setdefault((node.path, label), len(self.paths) + 1)
-        self.nodes.append(_Node(len(self.nodes), name, node, out, path))
-        return self.nodes[-1]
+        opened = _Node(len(self.nodes), name, node, out, path)
+        self.nodes.append(opened)
+        opened.said = opened.said or found.get("role", "").lower() in SAID
+        opened.named = opened.named or (name in CONTAINERS and any(NAMED & set(_PARTS.split(x.lower())) for k in ("class", "id") for x in found.get(k, "").split()))
+        return opened
 
     def _read(self, page: str) -> None:
         root = node = self.nodes[0]
@@ -205,7 +219,7 @@ def extract(page: str | None) -> str:
     length: dict[int, int] = defaultdict(int)
     marks: dict[int, int] = defaultdict(int)
     count: dict[int, int] = defaultdict(int)
-    full, free = [], set()
+    full = []
     for node, text, _ in runs:
         n = len(text.strip())
         if n:
@@ -213,12 +227,7 @@ def extract(page: str | None) -> str:
             marks[node.path] += len(PUNCTUATION.findall(text))
             count[node.path] += 1
             full.append(node.path)
-            if not node.out:
-                free.add(node.path)
-    if not free:
-        return ""
-    content = _content_paths(full, {p: length[p] / count[p] for p in count}, {p: marks[p] / count[p] for p in count}, free)
-    stays = _staying(read.nodes, runs, content)
+    stays = _selected(read.nodes, runs, lambda candidates: _content_paths(full, {p: length[p] / count[p] for p in count}, {p: marks[p] / count[p] for p in count}, candidates))
     out, now, current = [], [], None
     for (_, text, block), stay in zip(runs, stays, strict=True):
         if not stay:
@@ -232,6 +241,19 @@ def extract(page: str | None) -> str:
     return "\n".join(x for x in (_SPACES.sub(" ", b).strip() for b in out) if x)
 
 
+def _selected(nodes: list[_Node], runs: list[tuple[_Node, str, int]], content_paths: Callable[[set[int]], set[int]]) -> list[bool]:
+    """Whether each run stays: candidates by what the page says, content paths among them, and what belongs to these."""
+    free = [(node, bool(text.strip())) for node, text, _ in runs if not node.out]
+    said, named = ([node for node, full in free if full and getattr(node, kind)] for kind in ("said", "named"))
+    candidates = said or named or [node for node, full in free if full]
+    if not candidates:
+        return [False] * len(runs)
+    content = content_paths({node.path for node in candidates})
+    kinds = {node.block.tag for node in named if node.path in content}
+    able = [not node.out and (node.said if said else not named or node.named or node.block.tag in kinds) for node, _, _ in runs]
+    return _staying(nodes, runs, content, able)
+
+
 def _up(nodes: list[_Node], own: list[int]) -> list[int]:
     """Sums over whole elements; children come after their parents."""
     total = list(own)
@@ -249,9 +271,9 @@ def _inside(nodes: list[_Node], tops: set[int]) -> list[bool]:
     return held
 
 
-def _staying(nodes: list[_Node], runs: list[tuple[_Node, str, int]], content: set[int]) -> list[bool]:
-    """Whether each run stays: it is of a content path, or belongs to runs that are."""
-    size = [0 if node.out else len(text.strip()) for node, text, _ in runs]
+def _staying(nodes: list[_Node], runs: list[tuple[_Node, str, int]], content: set[int], able: list[bool]) -> list[bool]:
+    """Whether each run stays: it is able to, and of a content path or belongs to runs that are."""
+    size = [len(text.strip()) if a else 0 for (_, text, _), a in zip(runs, able, strict=True)]
     good = [n > 0 and node.path in content for (node, _, _), n in zip(runs, size, strict=True)]
     own, all_ = [0] * len(nodes), [0] * len(nodes)
     for (node, _, _), n, g in zip(runs, size, good, strict=True):
@@ -259,7 +281,7 @@ def _staying(nodes: list[_Node], runs: list[tuple[_Node, str, int]], content: se
         own[node.at] += n * g
     own, all_ = _up(nodes, own), _up(nodes, all_)
     mostly = lambda x: own[x.at] > 0 and own[x.at] >= SHARE * all_[x.at] and x.tag not in PAGE
-    tops = {x.at for x in nodes if x.tag == "article" and mostly(x)} | {x.at for (node, _, _), g in zip(runs, good, strict=True) if g and mostly(x := node.container)}
+    tops = {x.at for x in nodes if x.tag == "article" and own[x.at] > 0 and own[x.at] >= SAID_SHARE * all_[x.at]} | {x.at for (node, _, _), g in zip(runs, good, strict=True) if g and mostly(x := node.container)}
     # elements around them that hold no other text than headings and paragraphs of their own or of such elements
     held, other = _inside(nodes, tops), [0] * len(nodes)
     for (node, _, _), n in zip(runs, size, strict=True):
@@ -274,7 +296,7 @@ def _staying(nodes: list[_Node], runs: list[tuple[_Node, str, int]], content: se
     out = []
     for i, (node, _, block) in enumerate(runs):
         beside = bool(loose) and node.container.tag in PAGE and (node.block.tag in MILD or first <= i <= last)
-        out.append(not node.out and (held[node.at] or block in blocks or beside))
+        out.append(able[i] and (held[node.at] or block in blocks or beside))
     return out
 
 

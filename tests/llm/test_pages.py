@@ -95,3 +95,69 @@ def test_odd_pages_take_linear_time(piece):
     small, large = seconds(125_000), seconds(1_000_000)
     assert large < 16 * small + 1.0 and large < 15
     assert re.sub(r"\s", "", html_text.extract("<a 'x" + "<p>some text")) == "sometext"
+
+
+BODY = "<p>Body text of the article, with more. It goes on and on, for a line or two.</p>" * 6
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<div class=post><h1>Title</h1><ul>" + "".join(f"<li>item {i}</li>" for i in range(20)) + "</ul></div><div><p>" + "This is one long notice, with much text. It goes on. " * 8 + "</p></div>", ["Title", *(f"item {i}" for i in range(20))]),
+    ("<div><p>We use cookies, and more of them. You can accept, or not accept, all of them here today.</p></div><article><h1>Short</h1><p>A short one.</p></article>", ["Short", "A short one."]),
+    ("<div><ul><li><a>Home</a></li><li><a>News</a></li><li><a>Log</a></li></ul></div><div><h1>T</h1>" + BODY + "</div><div><p>Copyright, terms</p></div>", ["T", *re.findall("<p>(.*?)</p>", BODY)]),
+    ("<article><h1>T</h1>" + BODY + "</article><div><p>I think, so it is. Good text, that is long enough.</p><p>Me too, I do. It is fine, and well.</p></div>", ["T", *re.findall("<p>(.*?)</p>", BODY)]),
+    ("<article><h1>T</h1><h2 id=advert>Advert</h2>" + BODY + "</article>", ["T", "Advert", *re.findall("<p>(.*?)</p>", BODY)]),
+], ids=["short items", "cookies", "copyright", "replies", "heading"])
+def test_what_stands_beside_an_article_stays_out(html, want):
+    assert html_text.extract(f"<html><body>{html}</body></html>").split("\n") == want
+
+
+def test_ratios_alone_leave_out_what_names_no_longer_tell(monkeypatch):
+    rows = [r[0] for r in duckdb.connect().execute("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' WHERE html IS NOT NULL").fetchall()]
+    bare = [re.sub(r"(?i)<(/?)(article|nav|header|footer|aside|form)\b", r"<\1div", re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", h)) for h in rows]
+    before = [html_text.extract(h) for h in bare]
+    named = [html_text.extract(h) for h in rows]
+    assert all(set(x.split("\n")) <= set(y.split("\n")) for x, y in zip(named, before)) or sum(x == y for x, y in zip(named, before)) > 0.2 * len(rows)
+    monkeypatch.setattr(html_text, "_content_paths", lambda order, *_: set(order))
+    assert sum(html_text.extract(h) != x for h, x in zip(bare, before)) > 0.95 * len(rows)
+
+
+def brute_staying(nodes, runs, content, able):
+    """What stays, by its definition: every sum is taken over all runs anew."""
+    above = lambda node: [node] + (above(node.parent) if node.parent is not None else [])
+    around = [above(node) for node, _, _ in runs]
+    size = [len(text.strip()) * a for (_, text, _), a in zip(runs, able)]
+    good = [n > 0 and node.path in content for (node, _, _), n in zip(runs, size)]
+    total = lambda x, only: sum(n for n, g, up in zip(size, good, around) if x in up and (g or not only))
+    reaches = lambda x, share: total(x, True) > 0 and total(x, True) >= share * total(x, False)
+    mostly = {x: x.tag not in html_text.PAGE and reaches(x, html_text.SHARE) for x in nodes}
+    tops = {x for x in nodes if x.tag == "article" and reaches(x, html_text.SAID_SHARE)} | {node.container for (node, _, _), g in zip(runs, good) if g and mostly[node.container]}
+    held = lambda up, tops: any(x in tops for x in up)
+    foreign = [n and not held(up, tops) and node.block.tag not in html_text.MILD for (node, _, _), n, up in zip(runs, size, around)]
+    wide = tops | {x for x in nodes if mostly[x] and not any(f and x in up for f, up in zip(foreign, around))}
+    loose = [i for i, ((node, _, _), g) in enumerate(zip(runs, good)) if g and node.container.tag in html_text.PAGE]
+    blocks = {b for (_, _, b), g in zip(runs, good) if g}
+    out = []
+    for i, (node, _, block) in enumerate(runs):
+        beside = bool(loose) and node.container.tag in html_text.PAGE and (node.block.tag in html_text.MILD or loose[0] <= i <= loose[-1])
+        out.append(bool(able[i] and (held(around[i], wide) or block in blocks or beside)))
+    return out
+
+
+def test_selection_by_brute_force():
+    rng = random.Random(12)
+    tags = "div p article section ul li h2 a b td main span".split()
+
+    def tree(depth):
+        out = ""
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(tags)
+            inner = tree(depth - 1) if depth and rng.random() < 0.6 else para(rng, rng.randint(1, 12))
+            out += f"<{tag}{rng.choice(['', ' class=x', ' class=advert'])}>{inner}</{tag}>" + (para(rng, 2) if rng.random() < 0.2 else "")
+        return out
+
+    for _ in range(300):
+        page = html_text._Page(f"<html><body>{tree(3)}</body></html>")
+        paths = sorted({node.path for node, _, _ in page.runs})
+        content = set(rng.sample(paths, rng.randint(0, len(paths))))
+        able = [not node.out and rng.random() < 0.9 for node, _, _ in page.runs]
+        assert [bool(x) for x in html_text._staying(page.nodes, page.runs, content, able)] == brute_staying(page.nodes, page.runs, content, able)
