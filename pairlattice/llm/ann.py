@@ -6,7 +6,7 @@ vector goes to its nearest centroid's list. A list is dealt in slices by
 hash, so that one that holds any part of the rows is many tasks' work; so are the queries that probe it.
 
 Search: a query probes the lists of its nearest centroids, as many as found ``RECALL`` of the
-true neighbours among the sample's rows (``calibrate``), more if they hold under ``REACH``
+true neighbours, among all rows, of ``PROBED_QUERIES`` sample rows (``true_lists``), more if they hold under ``REACH``
 rows. Data without clusters thus probe many lists, clustered data few. The lists are scanned nearest first, in
 two rounds: the nearest ones, with ``FIRST`` of the rows to be probed, give each query a k-th distance that
 it carries to its other lists. In each slice the queries that probe it meet its
@@ -18,7 +18,7 @@ distance r, b of d rotated coordinates hold a share of r^2 with mean b/d and var
 original vectors. The k best of each slice meet in one ranking per query.
 
 Defined cases: vectors that are null, zero, of another length than the most common, or that
-hold null or non-finite components take no part; repeated vec_ids are separate candidates,
+hold null or non-finite components take no part, nor do rows without a vec_id; repeated vec_ids are separate candidates,
 and a query's own vec_id is none; ties go to the smaller vec_id; fewer candidates than k
 are all returned (then all lists are probed); an empty table gives an empty result.
 """
@@ -45,7 +45,7 @@ SLICE_ROWS, SLICE_QUERIES, BLOCK, EPSILON = 20_000, 2_000, 8, 2.0
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and the vector as doubles, without rows that take no part."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("v is not null and size(v) > 0")
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     v = v.filter(F.coalesce(fine, F.lit(False)))
     common = v.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
@@ -85,6 +85,38 @@ def calibrate(sample: np.ndarray, centroids: np.ndarray, k: int) -> int:
     return int(np.quantile(np.concatenate(ranks), RECALL, method="higher")) + 1
 
 
+def true_lists(placed: DataFrame, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query numbers, lists): the lists of the true k nearest of these few queries among all rows of placed (vec_id, v, list), by brute force in Spark."""
+    sent = placed.sparkSession.sparkContext.broadcast((queries, query_ids, (queries * queries).sum(1)))
+
+    def nearest_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, ids, size = sent.value
+        best_d, best_l, best_i = np.empty((len(q), 0)), np.empty((len(q), 0), np.int32), np.empty((len(q), 0), np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                x, own = _matrix(part.column(1)), part.column(0).to_numpy()
+                d = size[:, None] - 2 * q @ x.T + (x * x).sum(1)
+                d[ids[:, None] == own] = np.inf
+                d = np.concatenate((best_d, d), axis=1)
+                keep = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+                wide = lambda old, new: np.take_along_axis(np.concatenate((old, np.broadcast_to(new, (len(q), len(new)))), axis=1), keep, axis=1)  # noqa: E731, B023
+                best_d, best_l, best_i = np.take_along_axis(d, keep, axis=1), wide(best_l, part.column(2).to_numpy()), wide(best_i, own)
+        n = np.isfinite(best_d)
+        yield pa.RecordBatch.from_pydict({"q": np.nonzero(n)[0].astype(np.int32), "d": best_d[n], "vec_id": best_i[n], "list": best_l[n]})
+
+    found = placed.select("vec_id", "v", "list").mapInArrow(nearest_of_each, "q int, d double, vec_id long, list int")
+    rank = F.row_number().over(W.partitionBy("q").orderBy("d", "vec_id"))
+    rows = found.withColumn("rank", rank).filter(F.col("rank") <= k).select("q", "list").toArrow()  # k rows a query
+    return rows["q"].to_numpy(), rows["list"].to_numpy()
+
+
+def probes_for(queries: np.ndarray, centroids: np.ndarray, at: np.ndarray, lists: np.ndarray) -> int:
+    """Lists to probe: so many that RECALL of the queries' true neighbours, by query number and list, lie in them."""
+    place = np.argsort(np.argsort(0.5 * (centroids * centroids).sum(1) - queries @ centroids.T, axis=1, kind="stable"), axis=1)
+    return int(np.quantile(place[at, lists], RECALL, method="higher")) + 1 if len(at) else 1
+
+
 def rotation(dim: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
@@ -155,16 +187,19 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = K) -
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = max(1, int(np.sqrt(total)))
-    sample = _matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, PER_LIST * lists)).select("v").toArrow()["v"])
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, PER_LIST * lists)).select("vec_id", "v").toArrow()
+    sample, sample_ids = _matrix(chosen["v"]), chosen["vec_id"].to_numpy()
     turn = rotation(sample.shape[1])
     centroids = fit_centroids(sample, lists)
-    model, probes = spark.sparkContext.broadcast(centroids), calibrate(sample, centroids, k)
+    model = spark.sparkContext.broadcast(centroids)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nearest(_matrix(b.column(1)), model.value), pa.int32())], ["vec_id", "v", "list"])
 
     placed = written(rows.mapInArrow(assign, "vec_id long, v array<double>, list int"))
+    few = sample[:PROBED_QUERIES]
+    probes = probes_for(few, centroids, *true_lists(placed, few, sample_ids[:PROBED_QUERIES], k))
     sizes = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}
     held_by = spark.sparkContext.broadcast(np.array([sizes.get(i, 0) for i in range(len(centroids))]))
 
@@ -172,19 +207,19 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = K) -
         """A row per list that a query probes; round 0 are the nearest lists."""
         c, n = model.value, held_by.value
         half = 0.5 * (c * c).sum(1)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            order = np.argsort(half - _matrix(b.column(1)) @ c.T, axis=1, kind="stable")
-            held = np.cumsum(n[order], axis=1)
-            need = np.minimum(np.maximum((held < max(REACH, 4 * k)).sum(1) + 1, probes), len(c))
-            first = np.maximum(4 * k, FIRST * held[np.arange(len(held)), need - 1])
-            place = np.arange(len(c))
-            at, column = np.nonzero((place < need[:, None]) & (n[order] > 0))
-            late = column > 0
-            late &= held[at, column - 1] >= first[at]
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(order[at, column], pa.int32()), pa.array(late.astype(np.int32))], ["query_id", "q", "list", "round"])
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):  # a block of rows by lists at a time
+                b = batch.slice(start, 256)
+                order = np.argsort(half - _matrix(b.column(1)) @ c.T, axis=1, kind="stable")
+                held = np.cumsum(n[order], axis=1)
+                need = np.minimum(np.maximum((held < max(REACH, 4 * k)).sum(1) + 1, probes), len(c))
+                first = np.maximum(4 * k, FIRST * held[np.arange(len(held)), need - 1])
+                place = np.arange(len(c))
+                at, column = np.nonzero((place < need[:, None]) & (n[order] > 0))
+                late = column > 0
+                late &= held[at, column - 1] >= first[at]
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(order[at, column], pa.int32()), pa.array(late.astype(np.int32))], ["query_id", "q", "list", "round"])
 
     asked = written(rows.filter(is_query).mapInArrow(probe, "query_id long, q array<double>, list int, round int"))
 

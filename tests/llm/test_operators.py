@@ -103,7 +103,7 @@ def test_scan_is_exact_on_ties_and_copies():
 
 
 def test_odd_vectors_take_no_part(spark):
-    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0, None]), (5, [1.0, 1.0]), (6, [1.0, 1.0]), (6, [1.0, 1.0]), (7, []), (8, [1.0]), (100, [float("inf"), 1.0])]
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0, None]), (5, [1.0, 1.0]), (6, [1.0, 1.0]), (6, [1.0, 1.0]), (7, []), (8, [1.0]), (100, [float("inf"), 1.0]), (None, [1.0, 1.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"v": F.lit(1), "list": F.lit(2)})
     got = ann.search(v).collect()
     assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, 5), (0, 6), (0, 6)]

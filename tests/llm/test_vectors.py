@@ -61,3 +61,18 @@ def test_lists_grow_with_the_rows(spark):
     d = spark.range(50).select(F.col("id").alias("vec_id"), F.array((F.col("id") * 1.0 + 1), F.lit(1.0)).alias("embedding"))
     got = ann.search(d, "vec_id % 10 = 0", k=3).collect()
     assert len(got) == 15 and {r["vec_id"] for r in got if r["query_id"] == 20} == {18, 19, 21}
+
+
+def test_probes_go_by_the_true_neighbours_of_all_rows(spark):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.standard_normal((400, 16)), 12, axis=0) + 0.01 * rng.standard_normal((4800, 16))
+    centroids = ann.fit_centroids(x[::12], 40)
+    at = ann.nearest(x, centroids)
+    placed = spark.createDataFrame([(i, [float(y) for y in v], int(c)) for i, (v, c) in enumerate(zip(x, at))], "vec_id long, v array<double>, list int").repartition(3)
+    queries, ids = x[5:4800:100], np.arange(5, 4800, 100)
+    q, lists = ann.true_lists(placed, queries, ids, 10)
+    for i, own in enumerate(ids):
+        d = ((x - x[own]) ** 2).sum(1)
+        d[own] = np.inf
+        assert sorted(lists[q == i].tolist()) == sorted(at[np.argsort(d)[:10]].tolist())
+    assert ann.probes_for(queries, centroids, q, lists) <= 3 < ann.calibrate(x[::12], centroids, 10)
