@@ -289,7 +289,7 @@ def link_rows(texts: DataFrame) -> DataFrame:
     member = lists.select(_whole_key("key").alias("key"), "doc_id", "size", "place").join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     member = written(member)
     mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_ = member.join(mixed, "key", "left_semi")
+    open_ = written(member.join(mixed, "key", "left_semi"))  # written, so that the join deals its rows anew and a long list can be split
     a, b = open_.alias("a"), open_.alias("b")
     cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _may_link("a.size", "a.place", "b.size", "b.place"))
     cross = cross.select(F.least("a.doc_id", "b.doc_id").alias("u"), F.greatest("a.doc_id", "b.doc_id").alias("v")).distinct()
