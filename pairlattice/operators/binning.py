@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pairlattice.functions.genome import whole_genome_bin_size
 from pairlattice.functions.pairs import canonical, genome_position
 
+#: Size of a quantile sketch, and how far its ranks may be off, as a share of all counts (with 99 % certainty).
+SKETCH_K, SKETCH_ERROR = 400, 0.008
 KEYS = ("resolution", "chr1", "chr2", "x", "y")
 
 
@@ -63,6 +65,21 @@ def totals(cells: DataFrame) -> DataFrame:
     return cells.groupBy("resolution", "chr1", "chr2").agg(F.sum(F.when(off, 2 * F.col("n")).otherwise(F.col("n"))).alias("total"), F.count("*").alias("occupied"), F.percentile("n", F.lit(0.05)).alias("p5"), F.percentile("n", F.lit(0.95)).alias("p95"))
 
 
+def count_sketches(cells: DataFrame) -> DataFrame:
+    """(resolution, chr1, chr2, n, sketch): a mergeable quantile sketch of each matrix's counts, of fixed size; its ranks are within SKETCH_ERROR.
+
+    ``totals`` gives exact percentiles, for which all distinct counts of a matrix are held together.
+    """
+    return cells.groupBy("resolution", "chr1", "chr2").agg(F.count("*").alias("n"), F.kll_sketch_agg_double("n", F.lit(SKETCH_K)).alias("sketch"))
+
+
+def sketched_percentiles(sketches: DataFrame, shares: tuple[float, ...] = (0.05, 0.95)) -> DataFrame:
+    """(resolution, chr1, chr2, n, values): percentiles from sketches of parts of each matrix, such as days or datasets."""
+    merged = sketches.groupBy("resolution", "chr1", "chr2").agg(F.sum("n").alias("n"), F.collect_list("sketch").alias("parts"))
+    one = F.aggregate(F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0))), F.get("parts", F.lit(0)), F.kll_sketch_merge_double)
+    return merged.select("resolution", "chr1", "chr2", "n", F.kll_sketch_get_quantile_double(one, F.array(*map(F.lit, shares))).alias("values"))
+
+
 def to_contacts(cells: DataFrame) -> DataFrame:
     """Cells back to base pairs: (chr1, pos1, chr2, pos2, score)."""
     return cells.select("chr1", (F.col("x") * F.col("resolution")).alias("pos1"), "chr2", (F.col("y") * F.col("resolution")).alias("pos2"), F.col("n").alias("score"))

@@ -182,6 +182,20 @@ def cell_percentiles(spark, sf):
 # ---- matrix rows
 
 
+@query("SELECT chr1, chr2, count(*) AS n, TRUE AS within FROM cells GROUP BY ALL", (cells_sql(50_000),))
+def cell_percentile_sketches(spark, sf):
+    """Whether percentiles of merged sketches, one of each seventh of a matrix's cells, are within the stated error of their share of the cells."""
+    cells = settled(binning.bin_pairs(pairs(spark, sf), 50_000))
+    parts = cells.withColumn("part", F.pmod(F.col("x") + F.col("y"), F.lit(7)))
+    sketches = merge.union_all([binning.count_sketches(parts.filter(F.col("part") == i)) for i in range(7)])
+    shares = (0.05, 0.5, 0.95)
+    found = binning.sketched_percentiles(sketches, shares)
+    rank = [(F.avg((F.col("n") <= F.col("values")[i]).cast("double")), F.avg((F.col("n") < F.col("values")[i]).cast("double")), q) for i, q in enumerate(shares)]
+    fine = [(upto >= q - binning.SKETCH_ERROR) & (below <= q + binning.SKETCH_ERROR) for upto, below, q in rank]
+    both = cells.join(found.select("resolution", "chr1", "chr2", F.col("n").alias("held"), "values"), ["resolution", "chr1", "chr2"])
+    return both.groupBy("chr1", "chr2").agg(F.first("held").alias("n"), (fine[0] & fine[1] & fine[2]).alias("within"))
+
+
 @query("SELECT chr, bin, sum(n) AS v FROM halves GROUP BY ALL", (INTRA, HALVES))
 def row_sums_vc(spark, sf):
     return rows.row_sums(_intra(spark, sf)).select("chr", "bin", "v")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairlattice.functions.genome import clean_name
+from pairlattice.sources.bigwig import read_bigwig
 from pairlattice.sources.pairs_binary import FULL, SHORT, read_pairs_binary, read_records
 from pairlattice.sources.pairs_text import read_pairs_text
 
@@ -91,7 +92,9 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_track(spark: SparkSession, path: str) -> DataFrame:
-    """(chr, start, end, value) of a bedGraph; track and browser lines are skipped."""
+    """(chr, start, end, value) of a bigWig (``.bw``, ``.bigwig``) or else a bedGraph, of which track and browser lines are skipped."""
+    if path.lower().endswith((".bw", ".bigwig")):
+        return read_bigwig(spark, path)
     rows = spark.read.csv(path, sep="\t", comment="#", schema="chr string, start long, end long, value double")
     return rows.filter(~F.col("chr").startswith("track") & ~F.col("chr").startswith("browser"))
 
