@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,16 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for what a job keeps besides tables; without a shared folder one of this machine, which only a local session may use."""
+    own = folder(spark)
+    if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        own = "file://" + tempfile.mkdtemp(prefix="pairlattice-")
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
 def drop(spark: SparkSession) -> None:
     """Delete the tables written by ``settled``, once results are read or written elsewhere."""
     if own := folder(spark):

@@ -16,8 +16,13 @@ def chroms(spark: SparkSession) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read pairs on four chromosomes from order lines: 85 % on one chromosome, distances decaying."""
+    return pairs_of(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def pairs_of(lines: DataFrame) -> DataFrame:
+    """The same of any frame of order lines, a stream's too."""
     q, ep = F.floor("l_quantity").cast("long"), F.floor("l_extendedprice").cast("long")
-    b = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", q.alias("q"), ep.alias("ep"))
+    b = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", q.alias("q"), ep.alias("ep"))
     at = (F.col("l_partkey") * 7919 + F.col("l_orderkey") * 104729) % 8000000
     c1 = (F.col("l_suppkey") % 4 + 1).cast("int")
     c2 = F.when(F.col("l_partkey") % 5 == 0, (F.col("l_partkey") % 4 + 1).cast("int")).otherwise(c1)

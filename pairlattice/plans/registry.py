@@ -15,8 +15,8 @@ from pairlattice.functions import genome, pairs as P
 from pairlattice.functions.genome import offsets
 from pairlattice.functions.scalars import percent, with_commas
 from pairlattice.operators import balance, binning, corr, cutoffs, expected, intervals, merge, norms, qc, rows
-from pairlattice.operators.stage import settled
-from pairlattice.plans.fixture import CHROMOSOMES, CHROMS_SQL, PAIRS_SQL, cells_sql, chroms, halves_sql, pairs
+from pairlattice.operators.stage import settled, stage_folder
+from pairlattice.plans.fixture import CHROMOSOMES, CHROMS_SQL, PAIRS_SQL, cells_sql, chroms, halves_sql, pairs, pairs_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -624,3 +624,14 @@ def stream_contact_counts(spark, sf):
     from pairlattice.streaming.contacts import stream_cells
 
     return stream_cells(pairs(spark, sf), 1_000_000).select("chr1", "chr2", "x", "y", "n")
+
+
+@query("SELECT chr1, chr2, x, y, n FROM cells", (cells_sql(1_000_000),))
+def stream_delta_counts(spark, sf):
+    """Cell counts of a stream of order lines that is run to its end, kept as deltas by batch and a base."""
+    from pairlattice.streaming.deltas import run_deltas
+
+    schema = spark.read.parquet(f"{sf}/lineitem.parquet").schema
+    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{sf}/lineitem.parquet*")
+    folder = stage_folder(spark, "stream")
+    return run_deltas(pairs_of(lines), 1_000_000, f"{folder}/log", f"{folder}/counts", 3).select("chr1", "chr2", "x", "y", "n")
