@@ -99,11 +99,14 @@ def assign(docs: DataFrame, tree: Sequence[Shard] | None = None, seed: int = 1)
     return docs.withColumn(own_name(docs, "shard"), shard_of(tree or layout(), _key(), seed))
 
 
-def write_shards(docs: DataFrame, path: str, tree: Sequence[Shard] | None = None, seed: int = 1, parts: int = 1) -> None:
-    """docs as Parquet, a folder of ``parts`` files at least for each shard: a large shard is not one task's work."""
+def write_shards(docs: DataFrame, path: str, tree: Sequence[Shard] | None = None, seed: int = 1, rows: int = 200_000) -> None:
+    """docs as Parquet, a folder for each shard, in files of about so many rows: a large shard is many tasks' work."""
+    tree = tree or layout()
     placed = assign(docs, tree, seed)
     shard, part = placed.columns[-1], own_name(placed, "part")
-    placed = placed.withColumn(part, F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
+    parts = max(1, docs.count() // (len(tree) * rows))
+    # by row and not by document, so that copies of one document are spread as well
+    placed = placed.withColumn(part, F.pmod(F.monotonically_increasing_id(), F.lit(parts)))
     placed.repartition(shard, part).drop(part).write.partitionBy(shard).parquet(path)
 
 

@@ -102,7 +102,7 @@ def test_slots_do_not_depend_on_partitions(spark):
 
 def test_written_shards_hold_every_row(spark, tmp_path):
     df = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit(1).alias("shard"))
-    sharding.write_shards(df, str(tmp_path / "out"), parts=3)
+    sharding.write_shards(df, str(tmp_path / "out"), rows=2)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {(r["doc_id"], r["shard_"]) for r in back.collect()} == {(i, brute(layout(), i)) for i in range(300)} and back.count() == 300
 
