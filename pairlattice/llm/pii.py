@@ -13,7 +13,8 @@ stands for them; a tape keeps the edits, not positions of characters, so it is a
 3. ``plain_signs``: "[at]", "(dot)", " AT x DOT y" and the like become "@" and ".", between parts
    of an address of any number of labels. A spoken "at" before a plain domain counts only if the
    part before holds a digit or a sign, or a word like "mail" or "contact" stands shortly before;
-   what is left out: addresses spelled letter by letter, and those without any "at".
+   what is left out: addresses spelled letter by letter, and those without any "at"; network addresses whose numbers are
+   spelled digit by digit in words or with spaces between their digits. "at 10.30 dot com" is taken for an address.
 
 The same patterns then run on the normalised line, and what they find is mapped back through the
 edits. A hidden span is added unless a base span, or another hidden one, holds all of it; so an address of which the
