@@ -17,6 +17,8 @@ from pairlattice.functions.scalars import percent, with_commas
 from pairlattice.operators import balance, binning, corr, cutoffs, expected, intervals, merge, norms, qc, rows
 from pairlattice.operators.stage import settled, stage_folder
 from pairlattice.plans.fixture import CHROMOSOMES, CHROMS_SQL, PAIRS_SQL, cells_sql, chroms, halves_sql, pairs, pairs_of
+from pairlattice.sources import readers, sinks
+from pairlattice.sources.pairs_binary import FULL, SHORT, write_pairs_binary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -635,3 +637,171 @@ def stream_delta_counts(spark, sf):
     lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{sf}/lineitem.parquet*")
     folder = stage_folder(spark, "stream")
     return run_deltas(pairs_of(lines), 1_000_000, f"{folder}/log", f"{folder}/counts", 3).select("chr1", "chr2", "x", "y", "n")
+
+
+# ---- files: what a sink writes, its source reads back
+
+
+def _sums(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("pos1").alias("pos1"), F.sum("pos2").alias("pos2"))
+
+
+PAIR_SUMS = "count(*) AS n, CAST(sum(pos1) AS BIGINT) AS pos1, CAST(sum(pos2) AS BIGINT) AS pos2"
+
+
+@query(f"SELECT chr1, chr2, strand1, strand2, {PAIR_SUMS}, CAST(sum(frag1 + frag2) AS BIGINT) AS frags FROM pairs GROUP BY ALL")
+def text_pairs_round_trip(spark, sf):
+    """Pairs written as gzipped lines, read back through the dictionary of names."""
+    path = stage_folder(spark, "text")
+    sinks.write_pairs_text(pairs(spark, sf), path, chroms(spark), "gzip")
+    back = readers.read_pairs(spark, path, chroms(spark))
+    return back.groupBy("chr1", "chr2", "strand1", "strand2").agg(F.count("*").alias("n"), F.sum("pos1").alias("pos1"), F.sum("pos2").alias("pos2"), F.sum((F.col("frag1") + F.col("frag2")).cast("long")).alias("frags"))
+
+
+@query(f"SELECT 'chr' || chr1 AS chr1, 'chr' || chr2 AS chr2, {PAIR_SUMS} FROM pairs GROUP BY ALL")
+def first_seen_names(spark, sf):
+    """Pairs of a text file without a dictionary keep the names that stand there."""
+    path = stage_folder(spark, "text")
+    sinks.write_pairs_text(pairs(spark, sf), path, chroms(spark))
+    return _sums(readers.read_pairs(spark, path), "chr1", "chr2")
+
+
+@query(f"SELECT chr1, chr2, strand1, strand2, {PAIR_SUMS} FROM pairs GROUP BY ALL")
+def binary_pairs_round_trip(spark, sf):
+    """Full binary records, written by a committed sink and read in splits at record borders."""
+    path = stage_folder(spark, "binary")
+    write_pairs_binary(pairs(spark, sf), path, FULL)
+    return _sums(readers.read_pairs(spark, f"{path}/*.bin"), "chr1", "chr2", "strand1", "strand2")
+
+
+@query(f"SELECT chr1, chr2, {PAIR_SUMS}, CAST(sum(score) AS DOUBLE) AS score FROM pairs GROUP BY ALL")
+def short_binary_pairs_round_trip(spark, sf):
+    path = stage_folder(spark, "binary")
+    write_pairs_binary(pairs(spark, sf), path, SHORT, "bn")
+    return readers.read_pairs(spark, f"{path}/*.bn").groupBy("chr1", "chr2").agg(F.count("*").alias("n"), F.sum("pos1").alias("pos1"), F.sum("pos2").alias("pos2"), F.sum("score").alias("score"))
+
+
+@query("SELECT resolution, chr1, chr2, x, y, n FROM cells WHERE chr1 = 1 AND chr2 IN (1, 3) AND n >= 2", (cells_sql(BIN),))
+def matrix_set_round_trip(spark, sf):
+    """Two matrices of a stored set, read by the folders of their keys and put together."""
+    path = stage_folder(spark, "set")
+    sinks.write_matrix_set(binning.bin_pairs(pairs(spark, sf), BIN), chroms(spark), path, least=2.0)
+    keys = ("resolution", "chr1", "chr2", "x", "y", "n")
+    return merge.union_all([sinks.read_cells(spark, path, BIN, 1, c).select(*keys) for c in (1, 3)])
+
+
+@query("SELECT CAST(250000 AS INT) AS resolution, chr, bin, round(v, 6) AS v FROM (SELECT chr, bin, sum(n) AS v FROM halves GROUP BY ALL)", (INTRA, HALVES))
+def stored_vectors_round_trip(spark, sf):
+    path = stage_folder(spark, "norms")
+    sums = rows.row_sums(_intra(spark, sf))
+    sinks.write_norms(sums.select(F.lit("VC").alias("norm"), "resolution", "chr", "bin", "v"), path)
+    return sinks.read_norms(spark, path, "VC", BIN).select(F.col("resolution").cast("int").alias("resolution"), "chr", "bin", r6("v"))
+
+
+@query("SELECT idx AS chr, CAST(b AS BIGINT) AS bin, s.v FROM chroms CROSS JOIN range(33) r(b) LEFT JOIN (SELECT chr, bin, sum(n) AS v FROM halves GROUP BY ALL) s ON s.chr = idx AND s.bin = b", (INTRA, HALVES, CHROMS_SQL))
+def vector_file_scan(spark, sf):
+    """A file of vectors, a header and a value a line; bins without cells are written as a point."""
+    path = stage_folder(spark, "vectors")
+    sums = norms.none(chroms(spark), (BIN,)).drop("v").join(rows.row_sums(_intra(spark, sf)), ["resolution", "chr", "bin"], "left")
+    values = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bin", F.coalesce(F.col("v").cast("string"), F.lit(".")).alias("v")))), lambda x: x["v"]), "\n")
+    blocks = sums.groupBy("chr").agg(values.alias("values")).select(F.concat(F.lit("vector vc chr"), F.col("chr").cast("string"), F.lit(f" {BIN} bp\n"), "values").alias("value"))
+    blocks.write.text(path)
+    return readers.read_norm_vectors(spark, path, chroms(spark)).select("chr", "bin", F.nanvl("v", F.lit(None).cast("double")).alias("v"))
+
+
+@query("SELECT u.label, u.value FROM (SELECT count(*) FILTER (fate = 'contact') AS contacts, count(*) FILTER (fate = 'contact' AND NOT intra) AS inter, count(*) FILTER (fate = 'contact' AND intra) AS intra FROM f WHERE threshold = 1) UNPIVOT (value FOR label IN (contacts, inter, intra)) u", (FATES,))
+def report_round_trip(spark, sf):
+    """Counts of a printed report, read back as an earlier report is."""
+    path = stage_folder(spark, "report")
+    row = qc.counts(pairs(spark, sf), (1,)).first()  # a row per threshold
+    sinks.write_report(spark, sinks.stats_lines(row), path)
+    return merge.parse_stats(readers.read_report_lines(spark, path)).filter(F.col("label").isin("contacts", "inter", "intra")).select("label", "value")
+
+
+@query("SELECT name, CAST(sum(value) AS BIGINT) AS total FROM (SELECT 'D' AS name, count(*) AS value FROM f WHERE threshold = 1 AND fate = 'contact' AND intra) GROUP BY name", (FATES,))
+def histogram_report_round_trip(spark, sf):
+    """All distances of a histogram report: each intra contact stands in one class of one orientation."""
+    path = stage_folder(spark, "hists")
+    p = pairs(spark, sf)
+    sinks.write_report(spark, sinks.histogram_lines(qc.mapq_histogram(p, (1,)), qc.orientation_histogram(p, (1,)), 1), path)
+    return merge.parse_histograms(readers.read_whole(spark, path)).filter("name = 'D'").groupBy("name").agg(F.sum("value").alias("total"))
+
+
+@query("SELECT count(*) AS n FROM pairs")
+def line_counts(spark, sf):
+    path = stage_folder(spark, "text")
+    sinks.write_pairs_text(pairs(spark, sf), path)
+    return readers.count_lines(spark, [path]).agg(F.sum("n").alias("n"))
+
+
+@query("SELECT 'chr' || chr AS chr, coalesce(lag(site) OVER (PARTITION BY chr ORDER BY site), 0) AS beg, site AS end, CAST(row_number() OVER (PARTITION BY chr ORDER BY site) - 1 AS INT) AS idx FROM (SELECT DISTINCT chr1 AS chr, pos1 // 40000 * 40000 AS site FROM pairs)")
+def site_file_scan(spark, sf):
+    """Fragments from a file of a chromosome's sites in a line."""
+    path = stage_folder(spark, "sites")
+    sites = pairs(spark, sf).groupBy("chr1").agg(F.array_sort(F.collect_set(F.expr("pos1 div 40000 * 40000"))).alias("s"))
+    sites.select(F.concat(F.lit("chr"), F.col("chr1").cast("string"), F.lit(" "), F.array_join(F.transform("s", lambda x: x.cast("string")), " ")).alias("value")).write.text(path)
+    return intervals.sites_to_fragments(readers.read_sites(spark, path))
+
+
+@query("SELECT 'chr' || (p_partkey % 4 + 1) AS chr, CAST(p_partkey * 100 AS BIGINT) AS beg, CAST(p_partkey * 100 + p_size AS BIGINT) AS end, 'part' || p_partkey AS name, CAST(p_size AS INT) AS score FROM part")
+def annotation_file_scan(spark, sf):
+    path = stage_folder(spark, "notes")
+    s = lambda c: c.cast("string")
+    k = F.col("p_partkey")
+    lines = spark.read.parquet(f"{sf}/part.parquet").select(F.concat_ws(" ", F.concat(F.lit("chr"), s(k % 4 + 1)), s(k * 100), s(k * 100 + F.col("p_size")), F.concat(F.lit("part"), s(k)), s(F.col("p_size"))).alias("value"))
+    lines.write.text(path)
+    return readers.read_annotations(spark, path).select("chr", "beg", "end", "name", "score")
+
+
+@query("SELECT event_type AS chr, event_id // 100 AS win, round(avg(CAST(value AS DOUBLE)), 6) AS mean, round(max(CAST(value AS DOUBLE)), 6) AS max FROM events GROUP BY ALL")
+def bedgraph_scan(spark, sf):
+    path = stage_folder(spark, "track")
+    spark.read.parquet(f"{sf}/events.parquet").select("event_type", "event_id", F.col("event_id").alias("end"), "value").write.csv(path, sep="\t")
+    return intervals.window_stats(readers.read_track(spark, path), 100).select("chr", "win", r6("mean"), r6("max"))
+
+
+@query("SELECT a.x, a.y, round(a.n, 6) AS n FROM (SELECT x, y, n FROM c WHERE chr1 = 1 AND chr2 = 1) a", (cells_sql(BIN, "c"),))
+def matrix_text_round_trip(spark, sf):
+    path = stage_folder(spark, "matrix")
+    sinks.write_matrix_text(rows.as_intra(binning.bin_pairs(pairs(spark, sf).filter("chr1 = 1 and chr2 = 1"), BIN)), path, "n")
+    return spark.read.csv(path, sep="\t", schema="x long, y long, n double").select("x", "y", r6("n"))
+
+
+@query("SELECT count(*) AS n, round(sum(v), 4) AS total FROM (SELECT bin, sum(n) AS v FROM halves WHERE chr = 2 GROUP BY ALL)", (INTRA, HALVES))
+def vector_text_round_trip(spark, sf):
+    path = stage_folder(spark, "vector")
+    sinks.write_vector_text(rows.row_sums(_intra(spark, sf)).filter("chr = 2"), path)
+    return spark.read.text(path).agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("double")), 4).alias("total"))
+
+
+@query("SELECT x, y, round(r, 3) AS r FROM (SELECT x, y, corr(a.v, b.v) AS r FROM (SELECT p.b AS x, q.b AS y FROM range(8) p(b) CROSS JOIN range(8) q(b)) JOIN d a ON a.i = x JOIN d b ON b.i = y AND a.j = b.j GROUP BY ALL)",
+       (cells_sql(1_000_000, "c", where="chr1 = 1 AND chr2 = 1"), "d AS (SELECT p.b AS i, q.b AS j, coalesce(max(n), 0) AS v FROM range(8) p(b) CROSS JOIN range(8) q(b) LEFT JOIN c ON (x = p.b AND y = q.b) OR (x = q.b AND y = p.b) GROUP BY ALL)"))
+def tiled_matrix_round_trip(spark, sf):
+    """Correlations as one tiled file, whose floats are read as records."""
+    path = f"{stage_folder(spark, 'tiles')}/matrix.bin"
+    c = rows.as_intra(binning.bin_pairs(pairs(spark, sf).filter("chr1 = 1 and chr2 = 1"), 1_000_000))
+    sinks.write_matrix_tiles(corr.pearson(c, "n"), path, "g", "chr1", 1_000_000, 8, side=3)
+    head = len(sinks.tile_header("g", "chr1", 1_000_000, 0.0, 0.0, 8, 3))
+    whole = spark.read.format("binaryFile").load(path).select(F.substring("content", head + 1, 4 * 64).alias("body"))
+    tile = F.expr("transform(sequence(0, 63), k -> k)")
+    at = whole.select("body", F.explode(tile).alias("k")).select(F.substring("body", F.col("k") * 4 + 1, F.lit(4)).alias("f"), "k")
+
+    def floats(frames):
+        import struct
+
+        for f in frames:
+            f["r"] = [struct.unpack("<f", x)[0] for x in f.pop("f")]
+            yield f
+
+    # the k-th float lies in the tile whose rows and columns begin at multiples of 3 and are cut at 8
+    spots = [(tx * 3 + i, ty * 3 + j) for tx in range(3) for ty in range(3) for i in range(min(3, 8 - 3 * tx)) for j in range(min(3, 8 - 3 * ty))]
+    place = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(spots)], "k int, x long, y long")
+    return at.mapInPandas(floats, "k int, r float").join(place, "k").filter(~F.isnan("r")).select("x", "y", F.round(F.col("r").cast("double"), 3).alias("r"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'chrM' ELSE 'chr' || p_partkey END AS name FROM part")
+def track_names(spark, sf):
+    """Names as tracks use them, from bare and prefixed ones."""
+    key = F.col("p_partkey")
+    name = F.when(key % 3 == 0, "MT").when(key % 3 == 1, F.concat(F.lit("chr"), key.cast("string"))).otherwise(key.cast("string"))
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", genome.track_name(name).alias("name"))
