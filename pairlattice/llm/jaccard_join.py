@@ -48,7 +48,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlattice.llm.common import bounded_batches, by_ids, numbered, written
+from pairlattice.llm.common import bounded_batches, by_ids, numbered, tidy, written
 from pairlattice.llm.components import components
 from pairlattice.llm.shingles import WordHashes, shingle_set
 
@@ -246,10 +246,10 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) that link, by their whole texts; only documents that occur in a pair are moved."""
     needed = written(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    packed = written(by_ids(texts, needed, "doc_id", "left_semi").mapInArrow(_packed, "doc_id long, packed binary"))
+    packed = written(by_ids(texts, needed, "doc_id", "left_semi").mapInArrow(tidy(_packed), "doc_id long, packed binary"))
     half = pairs.join(packed.select(F.col("doc_id").alias("v"), F.col("packed").alias("b")), "v")
     full = half.join(packed.select(F.col("doc_id").alias("u"), F.col("packed").alias("a")), "u")
-    return full.select("u", "v", "a", "b").mapInArrow(_linked, "u long, v long")
+    return full.select("u", "v", "a", "b").mapInArrow(tidy(_linked), "u long, v long")
 
 
 def _may_link(size: str, place: str, other_size: str, other_place: str):
@@ -263,7 +263,7 @@ def link_rows(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     bounded_batches(spark)
     ids, texts = texts.select("row", "doc_id"), texts.select(F.col("row").alias("doc_id"), "text")  # a row number is the id from here on
-    first = written(texts.mapInArrow(_profiles, "doc_id long, size long, digest binary, part int, spread int, counts binary"))
+    first = written(texts.mapInArrow(tidy(_profiles), "doc_id long, size long, digest binary, part int, spread int, counts binary"))
     profile = first.filter("part is null").select("doc_id", "size", "digest")
     levels = _shared_levels(_sum_sketch(first.filter("part is not null").select("part", "spread", "counts")))
     classes = written(profile.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("representative"), F.min("size").alias("size"), F.count("*").alias("copies")))
@@ -273,9 +273,9 @@ def link_rows(texts: DataFrame) -> DataFrame:
     own = by_ids(texts, written(copied), "doc_id", "left_anti")
 
     spread = spark.sparkContext.broadcast(levels)
-    postings = own.mapInArrow(lambda it: _postings(spread.value, boundary)(it), "key long, doc_id long, size int, place int, rare int")
+    postings = own.mapInArrow(tidy(lambda it: _postings(spread.value, boundary)(it)), "key long, doc_id long, size int, place int, rare int")
     by_key = postings.repartition("key").sortWithinPartitions("key", "rare", "size", "doc_id").select("key", "doc_id", "size", "place")
-    lists = written(by_key.mapInArrow(_stars, "key long, doc_id long, size int, place int, centre long, centre_size int, centre_place int"))
+    lists = written(by_key.mapInArrow(tidy(_stars), "key long, doc_id long, size int, place int, centre long, centre_size int, centre_place int"))
     stars = lists.filter("doc_id <> centre").filter(_may_link("size", "place", "centre_size", "centre_place")).select(F.least("doc_id", "centre").alias("u"), F.greatest("doc_id", "centre").alias("v"))
     if _slices(levels).any():  # some list is dealt in slices: their centres meet the least of them
         heads = lists.filter(F.col("key").bitwiseAND(SLICE_MASK) > 0).select(_whole_key("key").alias("list"), F.struct(F.col("centre_size").alias("size"), F.col("centre").alias("id"), F.col("centre_place").alias("place")).alias("head")).distinct()

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairlattice.llm.common import BROADCAST_IDS, bounded_batches, by_ids, own_name, written
+from pairlattice.llm.common import BROADCAST_IDS, bounded_batches, by_ids, own_name, tidy, written
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -116,7 +116,7 @@ def measure(docs: DataFrame, keyed: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({k: batch.column(i) for i, k in enumerate(("doc_id", "lang", "source", "key"))} | {k: pa.array(v, kind) for k, v, kind in zip((*base, *STATS), rows, kinds, strict=True)})
 
     schema = "doc_id long, lang string, source string, key string, " + ", ".join([f"{k} long" for k in base] + [f"{k} double" for k in STATS])
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), (verdict_key(docs) if keyed else F.lit(None).cast("string")).alias("key"), "text").mapInArrow(run, schema)
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), (verdict_key(docs) if keyed else F.lit(None).cast("string")).alias("key"), "text").mapInArrow(tidy(run), schema)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -222,7 +222,7 @@ def starts(rows: DataFrame, middles: DataFrame, few: bool) -> DataFrame:
                     out.append((r.grp, start, r.median, *_shape(r.median, cov * np.outer(spread, spread)), None))
             yield pd.DataFrame(out, columns=_COLUMNS)
 
-    return sums.mapInPandas(make, _ESTIMATE)
+    return sums.mapInPandas(tidy(make), _ESTIMATE)
 
 
 _ESTIMATE = "grp string, start int, median array<double>, centre array<double>, inverse array<double>, logdet double, was double"
@@ -253,7 +253,7 @@ def step(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
     # arrays are joined afterwards, so that the sums are made by a hash aggregate of doubles
     sums = near.groupBy("grp", "start").agg(F.count("*").alias("n"), _sums(_CENTRED).alias("sums"))
     sums = sums.join(now.select("grp", "start", "median", F.col("logdet").alias("was")), ["grp", "start"])
-    return sums.mapInPandas(_refined, _ESTIMATE)
+    return sums.mapInPandas(tidy(_refined), _ESTIMATE)
 
 
 def fit(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import xxhash
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_CACHED_WORDS = 200_000
+_CACHED_WORDS = 100_000
 
 
 class WordHashes(dict):
