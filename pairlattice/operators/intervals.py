@@ -18,27 +18,42 @@ def sites_to_fragments(sites: DataFrame) -> DataFrame:
 LEVELS = 16
 
 
-def _bins(beg: str, end: str, width: int) -> Column:
-    """A range's bin on every level from the finest that holds it whole: an array of (level, bin)."""
-    at = lambda c, level: F.shiftright(F.expr(f"{c} div {width}"), 3 * level)
-    levels = [F.when(at(beg, i) == at(end, i), F.struct(F.lit(i).alias("level"), at(beg, i).alias("bin"))) for i in range(LEVELS)]
-    return F.array_compact(F.array(*levels))
+def _at(position: str, width: int, level: Column) -> Column:
+    """A position's bin on a level."""
+    return F.call_function("shiftright", F.expr(f"{position} div {width}"), level * 3)
+
+
+def _level(beg: str, end: str, width: int) -> Column:
+    """The finest level on which a range meets at most two bins; the last one if there is none."""
+    narrow = lambda i: _at(end, width, F.lit(i)) - _at(beg, width, F.lit(i)) <= 1
+    return F.coalesce(*[F.when(narrow(i), F.lit(i)) for i in range(LEVELS - 1)], F.lit(LEVELS - 1))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
     """Rows of left (chr, beg, end, ...) and right (chr, r_beg, r_end, ...) whose closed ranges meet; positions from 0 to width * 2^45.
 
-    Bins of ``width`` are nested in bins eight times as wide, and so on. A range belongs to the smallest bin that holds it
-    whole, whatever its length. Two ranges can only meet if one's bin is the other's or lies inside it. So a range stands once under its own bin and
-    once under each wider one (LEVELS at most), and rows meet in one equi join on the bin: ``own`` says whose own
-    bin it is, which makes every pair meet once.
+    Bins of ``width`` are nested in bins eight times as wide, and so on. A range's own level is the finest on which it meets
+    at most two bins, whatever its length. Rows meet in one equi join on bins of the wider of their two own levels: a range stands
+    under its bins on its own level, and on those wider levels that are some range's own on the other side. ``own`` says whose own
+    level it is, and the bin must be the one in which the ranges begin to meet, which makes every pair meet once.
+
+    Both sides are shuffled and merged: Spark's estimate of their size knows nothing of the places of a row, and by it a large side would
+    be sent to the driver to be broadcast. Each side is read twice, once for its levels (16 at most, broadcast), so it should be a stored table.
     """
-    kept = lambda df, beg, end: df.filter(F.col(beg) <= F.col(end)).withColumn("held", _bins(beg, end, width))
-    mark = lambda bins, own: F.transform(bins, lambda x: F.struct(F.lit(own).alias("own"), x["level"].alias("level"), x["bin"].alias("bin")))
-    first, wider = F.slice("held", 1, 1), F.slice("held", F.lit(2), F.greatest(F.size("held") - 1, F.lit(0)))
-    a = kept(left, "beg", "end").withColumn("place", F.explode(F.concat(mark(first, "left"), mark(F.col("held"), "right")))).drop("held")
-    b = kept(right, "r_beg", "r_end").withColumn("place", F.explode(F.concat(mark(first, "right"), mark(wider, "left")))).drop("held")
-    return a.join(b, ["chr", "place"]).filter("beg <= r_end and end >= r_beg").drop("place")
+    kept = lambda df, beg, end: df.filter(F.col(beg) <= F.col(end)).withColumn("held", _level(beg, end, width))
+    mark = lambda own, level: F.struct(F.lit(own).alias("own"), F.col(level).cast("int").alias("level")).alias("place")
+
+    def placed(df: DataFrame, beg: str, end: str, own: str, others: DataFrame, other: str, wider: Column) -> DataFrame:
+        places = df.sparkSession.range(0, LEVELS, 1, 1).select(mark(own, "id")).unionByName(others.select(mark(other, "held")).distinct())
+        level = F.col("place.level")
+        under = df.join(F.broadcast(places), F.when(F.col("place.own") == own, level == F.col("held")).otherwise(wider))
+        return under.withColumn("held", F.explode(F.sequence(_at(beg, width, level), _at(end, width, level))))
+
+    a, b = kept(left, "beg", "end"), kept(right, "r_beg", "r_end")
+    x = placed(a, "beg", "end", "left", b, "right", F.col("place.level") >= F.col("held"))
+    y = placed(b, "r_beg", "r_end", "right", a, "left", F.col("place.level") > F.col("held"))
+    first = _at("greatest(beg, r_beg)", width, F.col("place.level")) == F.col("held")
+    return x.hint("merge").join(y, ["chr", "place", "held"]).filter(first).filter("beg <= r_end and end >= r_beg").drop("place", "held")
 
 
 def window_stats(track: DataFrame, window: int) -> DataFrame:

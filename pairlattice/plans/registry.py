@@ -576,7 +576,7 @@ def custom_norm_expected(spark, sf):
 @query("SELECT f.chr, f.beg, f.end, p_partkey FROM (SELECT DISTINCT chr1 AS chr, pos1 // 4000 * 4000 AS beg, pos1 // 4000 * 4000 + 3999 AS end FROM pairs) f JOIN (SELECT CAST(p_partkey % 4 + 1 AS INT) AS chr, p_partkey * 3500 % 8000000 AS r_beg, p_partkey * 3500 % 8000000 + p_size * 500 AS r_end, p_partkey FROM part) a ON f.chr = a.chr AND f.beg <= r_end AND f.end >= r_beg")
 def fragment_overlap_join(spark, sf):
     b = F.expr("pos1 div 4000 * 4000")
-    frags = pairs(spark, sf).select(F.col("chr1").alias("chr"), b.alias("beg"), (b + 3999).alias("end")).distinct()
+    frags = settled(pairs(spark, sf).select(F.col("chr1").alias("chr"), b.alias("beg"), (b + 3999).alias("end")).distinct())
     start = F.col("p_partkey") * 3500 % 8000000
     notes = spark.read.parquet(f"{sf}/part.parquet").select((F.col("p_partkey") % 4 + 1).cast("int").alias("chr"), start.alias("r_beg"), (start + F.col("p_size") * 500).alias("r_end"), "p_partkey")
     return intervals.overlap_join(frags, notes, 20_000).select("chr", "beg", "end", "p_partkey")
