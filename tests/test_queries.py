@@ -41,7 +41,7 @@ def test_query_without_sql_gives_rows(name, spark):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name", ["fragment_overlap_join"])
+@pytest.mark.parametrize("name", ["fragment_overlap_join", "nested_overlap_join"])
 def test_overlaps_do_not_broadcast_a_side(name, spark, tmp_path):
     """With 200 times the parts, and broadcasts of a megabyte at most."""
     con = duckdb.connect()
