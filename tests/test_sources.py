@@ -223,3 +223,18 @@ def test_overlaps_of_ranges_of_any_length(spark):
     got = [(r["i"], r["j"]) for r in intervals.overlap_join(a, b, 16).collect()]
     want = {(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if x[0] == y[0] and x[1] <= y[2] and x[2] >= y[1] and x[1] <= x[2] and y[1] <= y[2]}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_long_ranges_meet_in_several_tasks(spark):
+    a = spark.range(2000).selectExpr("1 chr", "id * 4000 beg", "id * 4000 + 3999 end")
+    b = spark.range(40).selectExpr("1 chr", "0L r_beg", "7999999L r_end", "id j")
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        counts = [r["count"] for r in intervals.overlap_join(a, b, 2000).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(counts) == 80_000 and max(counts) <= 40_000
