@@ -33,8 +33,8 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
     """Rows of left (chr, beg, end, ...) and right (chr, r_beg, r_end, ...) whose closed ranges meet; positions from 0 to width * 2^45.
 
     Bins of ``width`` are nested in bins eight times as wide, and so on. A range's own level is the finest on which it meets
-    at most nine bins, whatever its length; above the finest of all that is at least two, so that long ranges are spread. Rows meet in one equi join on bins of the wider of their two own levels: a range stands
-    under its bins on its own level, and on those wider levels that are some range's own on the other side. ``own`` says whose own
+    at most nine bins, whatever its length; above the finest of all that is at least two, so that long ranges are spread.
+    Rows meet in one equi join on bins of the wider of their two own levels: a range stands under its bins on its own level, and on those wider levels that are some range's own on the other side. ``own`` says whose own
     level it is, and the bin must be the one in which the ranges begin to meet, which makes every pair meet once.
 
     Both sides are shuffled and merged: Spark's estimate of their size knows nothing of the places of a row, and by it a large side would
