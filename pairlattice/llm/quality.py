@@ -3,8 +3,10 @@
 Each document gets a vector of six transformed statistics. Per group the minimum-covariance-
 determinant estimate is sought by concentration steps on DataFrames, from several starts that
 are computed from all rows (``starts``). A step takes the ``SUBSET`` of the group's rows with
-the smallest distances and makes the next mean and covariance of them, which cannot raise the
-determinant; it is repeated until no group's determinant falls any more. Of the starts the
+the smallest distances and makes the next mean and covariance of them. Rows of equal distance
+stay together, so subsets differ in size and a step can raise the determinant again; steps that
+go on regardless can go round for ever. Each start therefore ends by itself, with the first step
+that does not lower its determinant, and keeps the lower of the two. Of the starts the
 least determinant wins, and the estimate is reweighted: mean and covariance of the rows within
 the 0.975 quantile of chi-square, made consistent for normal samples. Where a statistic hardly
 varies in a group, its deviation is raised to ``FLOOR``; other deviations stay as estimated. A document
@@ -47,8 +49,8 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 #: The estimate: statistics, share of rows in the subset, rows a group needs.
 STATS = ("z_length", "z_symbols", "z_upper", "z_marks", "z_lines", "z_repeats")
 SUBSET, LEAST_ROWS, STARTS = 0.75, 100, 3
-#: Steps end when no determinant falls by more than this share of itself; a bound on their number, which is not met in practice.
-SETTLED, MOST_STEPS = 5e-3, 60
+#: A start ends when its determinant does not fall by more than this share of itself; as the ridge keeps it above 0, that ends.
+SETTLED = 5e-3
 #: Least standard deviation per statistic, so that one that is constant in a group rejects only large departures.
 FLOOR = (0.3, 0.05, 0.06, 0.06, 0.1, 0.12)
 #: Share of the floor that keeps covariances invertible during the steps.
@@ -195,10 +197,11 @@ def centres(rows: DataFrame) -> DataFrame:
 
 
 def starts(rows: DataFrame, middles: DataFrame, few: bool) -> DataFrame:
-    """(grp, start, median, centre, inverse, logdet, was): three starts per group, all about its median, of all its rows.
+    """(grp, start, median, centre, inverse, logdet, falls): three starts per group, all about its median, of all its rows.
 
     0: deviations from quartiles, without correlation; 1: the correlation of hyperbolic tangents of the standardised
     statistics; 2: the covariance of their directions (spatial signs). 1 and 2 are scaled to the deviations.
+    As no subset made them, their determinants do not count: logdet is infinite.
     """
     at = _with(rows, middles, few)
     u = [f"({x} / spread[{i}])" for i, x in enumerate(_CENTRED)]
@@ -219,29 +222,31 @@ def starts(rows: DataFrame, middles: DataFrame, few: bool) -> DataFrame:
                         cov = moments(np.array(flat, float), r.rows)[1]
                         own = np.sqrt(np.maximum(cov.diagonal(), 1e-6))
                         cov = cov / np.outer(own, own) + 1e-3 * np.eye(P)
-                    out.append((r.grp, start, r.median, *_shape(r.median, cov * np.outer(spread, spread)), None))
+                    out.append((r.grp, start, r.median, *_shape(r.median, cov * np.outer(spread, spread))[:2], math.inf, True))
             yield pd.DataFrame(out, columns=_COLUMNS)
 
     return sums.mapInPandas(tidy(make), _ESTIMATE)
 
 
-_ESTIMATE = "grp string, start int, median array<double>, centre array<double>, inverse array<double>, logdet double, was double"
+_ESTIMATE = "grp string, start int, median array<double>, centre array<double>, inverse array<double>, logdet double, falls boolean"
 _COLUMNS = [x.split()[0] for x in _ESTIMATE.split(", ")]
 
 
 def _refined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per group and start: the estimate of its subset, from the subset's sums about the group's median."""
+    """Per group and start: the estimate of its subset, from the subset's sums about the group's median, or the one before if that is lower."""
     scale = consistency(P, SUBSET)
     for f in frames:
         out = []
         for r in f.itertuples(index=False):
             mean, cov = moments(np.array(r.sums, float), r.n)
-            out.append((r.grp, r.start, r.median, *_shape(np.array(r.median) + mean, cov, scale), r.was))
+            new = _shape(np.array(r.median) + mean, cov, scale)
+            kept = new if new[2] <= r.logdet else (list(r.centre), list(r.inverse), r.logdet)
+            out.append((r.grp, r.start, r.median, *kept, new[2] < r.logdet - SETTLED))
         yield pd.DataFrame(out, columns=_COLUMNS)
 
 
 def step(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
-    """One concentration step of every group and start.
+    """One concentration step of every group and start in now.
 
     Distances are counted per step of a fixed grid (``GRID`` a doubling); the subset is all rows up to the grid step
     at which the running count reaches SUBSET of the group, so rows of equal distance stay together.
@@ -252,7 +257,7 @@ def step(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
     near = far.join(F.broadcast(cut) if few else cut, ["grp", "start"]).filter("cell <= cut")
     # arrays are joined afterwards, so that the sums are made by a hash aggregate of doubles
     sums = near.groupBy("grp", "start").agg(F.count("*").alias("n"), _sums(_CENTRED).alias("sums"))
-    sums = sums.join(now.select("grp", "start", "median", F.col("logdet").alias("was")), ["grp", "start"])
+    sums = sums.join(now.drop("falls"), ["grp", "start"])
     return sums.mapInPandas(tidy(_refined), _ESTIMATE)
 
 
@@ -261,12 +266,8 @@ def fit(rows: DataFrame) -> DataFrame:
     middles = written(centres(rows))
     few = middles.count() * STARTS <= BROADCAST_IDS
     now = written(starts(rows, middles, few))
-    for n in range(MOST_STEPS):
-        now = written(step(rows, now, few))
-        if n and now.filter(F.col("logdet") < F.col("was") - SETTLED).isEmpty():
-            break
-    else:
-        raise ArithmeticError(f"the estimates do not settle in {MOST_STEPS} steps")
+    while not now.filter("falls").isEmpty():
+        now = written(step(rows, now.filter("falls"), few).unionByName(now.filter("not falls")))
     best = now.groupBy("grp").agg(F.min_by(F.struct("median", "centre", "inverse", "logdet"), F.struct("logdet", "start")).alias("e")).select("grp", "e.*")
     won = written(best)
     at = _with(rows, won, few)

@@ -172,6 +172,15 @@ def test_estimate_is_the_least_determinant(spark):
     assert np.abs(np.array(r["centre"])).max() < 0.4
 
 
+def test_steps_that_go_round_end(spark, monkeypatch):
+    """On a coarse grid subsets differ in size, and the determinants of these rows rise and fall for ever, not all at once."""
+    monkeypatch.setattr(quality, "GRID", 2)
+    rows = lambda seeds: spark.createDataFrame([(str(s), *map(float, r)) for s in seeds for r in np.round(np.random.default_rng(s).standard_normal((100, 6)) * quality.UNIT) / quality.UNIT], ["grp", *quality.STATS])
+    both, alone = ({r["grp"]: r for r in quality.fit(rows(seeds)).collect()} for seeds in ((6, 52), (6,)))
+    assert set(both) == {"6", "52"} and both["6"] == alone["6"]
+    assert all(np.isfinite([r["logdet"], *r["centre"], *r["inverse"]]).all() for r in both.values())
+
+
 def test_floors_only_raise_what_lacks():
     wide = np.diag([4.0] * 6) + 0.5
     assert np.array_equal(quality.floored(wide), wide)
